@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, token_blocks
+from . import bpe, language, licenses, mixing, quality, token_blocks
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
+    "op3_license_scan": licenses.op3_license_scan,
     "op7_token_blocks": token_blocks.op7_token_blocks,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
