@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, language, licenses, mixing, quality, token_blocks
+from . import bpe, chat, language, licenses, mixing, quality, token_blocks, url_filter
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_language_id": language.op2_language_id,
     "op3_license_scan": licenses.op3_license_scan,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_blocks": token_blocks.op7_token_blocks,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
