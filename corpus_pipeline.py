@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, mixing, quality
+from locusframe.llm import bpe, language, mixing, near_duplicates, quality
 from locusframe.llm.common import keep, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Share of the posterior that the likeliest language needs.
+SURE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; those without a letter or a likely language go."""
+    judged = language.predict(docs, language.learned(docs))
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= SURE)).select(*docs.columns)
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,22 +26,29 @@ def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs).filter("q_kept").select(*docs.columns)
 
 
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id."""
+    return near_duplicates.first_of_group(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each document, in decimal, joined by commas."""
     return bpe.encode_decode(docs).select("doc_id", "n_tokens", "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language id", language_stage),
     ("quality rules", rule_stage),
+    ("near duplicates", duplicate_stage),
     ("mixing sources", mixing_stage),
     ("bpe", token_stage),
 ]
-#: BPE and naive Bayes can't be written in SQL; tests compare the pipeline with brute force.
+#: Naive Bayes, near duplicates and BPE aren't written in SQL; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 

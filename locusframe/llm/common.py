@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,15 @@ def words(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else, unlike ``lower``."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of few rows while a step with wide rows runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

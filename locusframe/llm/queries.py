@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language, licenses, mixing, quality, token_blocks, url_filter
+from . import bpe, chat, embedding_join, language, licenses, mixing, near_duplicates, quality, token_blocks, url_filter
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_language_id": language.op2_language_id,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_jaccard_join": near_duplicates.op4_jaccard_join,
+    "op5_embedding_join": embedding_join.op5_embedding_join,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_blocks": token_blocks.op7_token_blocks,
     "op8_bpe": bpe.op8_bpe,

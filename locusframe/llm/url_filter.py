@@ -21,6 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import lower_ascii, table
 
@@ -88,8 +89,8 @@ def lexical(pages: DataFrame) -> DataFrame:
 def suffix_statistics(featured: DataFrame) -> DataFrame:
     """Of each bin of suffixes: its share of all urls and the smoothed share of blocked ones among its labelled ones."""
     t = featured.groupBy("suffix_bin").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
-    whole = t.agg(F.sum("n").alias("all_n"))
-    return t.join(F.broadcast(whole)).select("suffix_bin", (F.col("n") / F.col("all_n")).alias("f_suffix_share"), ((F.col("blocked") + 1.0) / (F.col("labelled") + 2.0)).alias("f_suffix_block"))
+    whole = F.sum("n").over(W.partitionBy(F.lit(0)))  # over SUFFIX_BINS rows at most
+    return t.select("suffix_bin", (F.col("n") / whole).alias("f_suffix_share"), ((F.col("blocked") + 1.0) / (F.col("labelled") + 2.0)).alias("f_suffix_block"))
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
