@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from math import erfc as _erfc
 from math import lgamma, log
 
 import numpy as np
@@ -70,9 +71,7 @@ def t_ppf_upper(alpha: float, df: float) -> float:
 
 
 def erfc(x: np.ndarray) -> np.ndarray:
-    from math import erfc as one
-
-    return np.vectorize(one, otypes=[float])(x)
+    return np.vectorize(_erfc, otypes=[float])(x)
 
 
 def norm_cdf(x: np.ndarray) -> np.ndarray:

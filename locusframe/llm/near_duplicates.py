@@ -12,7 +12,8 @@ Equal sets are one class from the start. A group of similar sets would meet in e
 are not sought pair by pair: each set is compared with one pivot of its buckets, components are formed, and buckets
 within one component are done, as no further link changes the result. What is left, pairs of different components in
 one bucket, is compared in full. Parities of hashed shingles reject most pairs exactly (their difference bounds the
-sets' difference from below); the rest is verified on the whole sets.
+sets' difference from below), short ones as a condition of the join itself, so that rejected pairs are never rows;
+the rest is verified on the whole sets.
 
 Shingles are compared by 64-bit hashes, sets by a 128-bit digest of these.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import exp
 
 import numpy as np
@@ -48,6 +49,8 @@ RISK = 10_000.0
 #: Rounds in which sets are compared with pivots only.
 ROUNDS = 2
 WORDS = 1_000_000
+#: Words of the short parities.
+BRIEF = 8
 _M1, _M2, _P1, _P2, _P3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -131,6 +134,12 @@ def parities(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def brief(h: np.ndarray) -> np.ndarray:
+    """Parities in BRIEF 64-bit words, for conditions of joins."""
+    bits = np.bincount((h & np.uint64(64 * BRIEF - 1)).astype(np.int64), minlength=64 * BRIEF).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference; the longer parities are folded to the shorter's length."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -154,7 +163,7 @@ def indexed(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column("text")):
                 rows = batch.slice(part.start, part.stop - part.start)
-                ns, digests, twos, ones, belows, sketches = [], [], [], [], [], []
+                ns, digests, twos, ones, belows, sketches, briefs = [], [], [], [], [], [], []
                 for text in rows.column("text").to_pylist():
                     h = shingle_set(text, shingle)
                     n = len(h)
@@ -171,9 +180,10 @@ def indexed(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
                     ones.append(one)
                     belows.append(below)
                     sketches.append(parities(h) if n else b"")
-                yield pa.record_batch([rows.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), _lists(twos), _lists(ones), _lists(belows), pa.array(sketches, pa.binary())], ["doc_id", "n", "digest", "two", "one", "below", "sketch"])
+                    briefs.append(brief(h))
+                yield pa.record_batch([rows.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), _lists(twos), _lists(ones), _lists(belows), pa.array(sketches, pa.binary()), _lists(briefs)], ["doc_id", "n", "digest", "two", "one", "below", "sketch", "brief"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, two array<long>, one array<long>, below array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, two array<long>, one array<long>, below array<long>, sketch binary, brief array<long>")
 
 
 def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -227,13 +237,16 @@ def pivots(rows: DataFrame, seed: int) -> DataFrame:
     return best.select(F.col("doc").alias("a"), "b")
 
 
-def remaining(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in a bucket of which the smaller set probes."""
+def remaining(rows: DataFrame, briefs: DataFrame, t: int = T) -> DataFrame:
+    """Pairs of different components in a bucket of which the smaller set probes, but for those that parities reject."""
+    rows = rows.join(briefs.select("doc", "brief"), "doc")
     sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    x = rows.join(main, "sig").filter(F.col("comp") != F.col("main")).select("sig", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "probes", "comp")))
-    meets = x.join(rows, "sig").filter(F.col("x_comp") != F.col("comp")).filter(_alike(F.col("x_n"), F.col("n")))
-    meets = meets.filter((F.col("x_probes") & (F.col("x_n") <= F.col("n"))) | (F.col("probes") & (F.col("n") <= F.col("x_n"))))
+    x = rows.join(main, "sig").filter(F.col("comp") != F.col("main")).select(F.col("sig").alias("x_sig"), *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "probes", "comp", "brief")))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.get("x_brief", F.lit(k)).bitwiseXOR(F.get("brief", F.lit(k)))) for k in range(BRIEF)))
+    probed = (F.col("x_probes") & (F.col("x_n") <= F.col("n"))) | (F.col("probes") & (F.col("n") <= F.col("x_n")))
+    close = (100 + t) * apart <= (100 - t) * (F.col("x_n") + F.col("n"))
+    meets = x.join(rows, (F.col("x_sig") == F.col("sig")) & (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n")) & probed & close)
     return meets.select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
 
 
@@ -274,7 +287,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> Data
     some = index.filter(F.col("n").between(1, (1 << 40) - 1) & F.col("doc_id").isNotNull())
     of_digest = some.groupBy("digest").agg(F.min("doc_id").alias("doc"))
     classes = keep(
-        some.join(of_digest.select("doc"), some["doc_id"] == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n", "two", "one", "below", "sketch"),
+        some.join(of_digest.select("doc"), some["doc_id"] == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n", "two", "one", "below", "sketch", "brief"),
         "classes",
     )
     rows = keep(buckets(classes), "buckets")
@@ -284,7 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> Data
     links, labels = None, None
     for k in range(ROUNDS + 1):
         rows = keep(mixed(rows, labels), "mixed")
-        pairs = keep(rejected_not(pivots(rows, k) if k < ROUNDS else remaining(rows), sketches, t), "pairs")
+        pairs = keep(rejected_not(pivots(rows, k) if k < ROUNDS else remaining(rows, classes, t), sketches, t), "pairs")
         with rows_a_batch(spark, 256):  # a row holds two sets
             found = keep(verified(pairs, own, t), "found")
         links = found if links is None else links.unionByName(found)

@@ -7,6 +7,7 @@ samples, not of the variants. Variants are processed in Arrow batches, all trait
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from math import log, pi
 
 import numpy as np
@@ -221,10 +222,15 @@ def mixed_scan(geno: DataFrame, traits: dict[str, np.ndarray], by_chromosome: di
     return geno.select("variant_index", "CHR", "dosages").mapInArrow(run, "variant_index long, context string, trait string, " + ", ".join(f"{k} double" for k in names))
 
 
+@lru_cache(maxsize=1024)
+def cutoff(alpha: float, df: int) -> float:
+    return special.t_ppf_upper(alpha / 2, df)
+
+
 def power(beta: float, n: int, maf: float, alpha: float, covariates: int = 1) -> float:
     """Two-sided power of the slope's t test for an effect of beta residual standard deviations an allele."""
     df = n - covariates - 1
-    cut = special.t_ppf_upper(alpha / 2, df)
+    cut = cutoff(alpha, df)
     shift = abs(beta) * (n * 2 * maf * (1 - maf)) ** 0.5
     return 1 - special.nct_cdf(cut, df, shift) + special.nct_cdf(-cut, df, shift)
 

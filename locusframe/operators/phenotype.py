@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -129,31 +130,29 @@ def accession_traits(plots: DataFrame) -> DataFrame:
     models = {"INC": (plots, "INC", ()), "SEV": (plots, "SEV", ()), "SEV_POS": (plots.filter("INC > 0"), "SEV", ()), "SEV_COND": (plots, "SEV", ("INC",))}
     for name, (rows, value, cov) in models.items():
         out = out.join(adjusted_means(rows, value, cov, name).drop(f"{name}_RANK", f"{name}_DF"), "ID_std", "left")
-    for c in ("INC_ADJ_RAW", "SEV_ADJ_RAW", "SEV_POS_ADJ_RAW", "SEV_COND_ADJ_RAW", "INC_SIMPLE_RAW", "SEV_SIMPLE_RAW"):
-        out = rank_normal(out, c, c.replace("_RAW", "_INT"))
-    return out
+    raw = ("INC_ADJ_RAW", "SEV_ADJ_RAW", "SEV_POS_ADJ_RAW", "SEV_COND_ADJ_RAW", "INC_SIMPLE_RAW", "SEV_SIMPLE_RAW")
+    return rank_normal(out, {c: c.replace("_RAW", "_INT") for c in raw})
 
 
 def omission_traits(plots: DataFrame, locations: Sequence[str]) -> DataFrame:
     """Adjusted INC, SEV and conditional SEV without one location at a time, inverse-normal."""
-    out = plots.select("ID_std").distinct()
+    out, names = plots.select("ID_std").distinct(), {}
     for place in locations:
         rest, label = plots.filter(F.col("Location") != place), slug(place)
         for name, value, cov in (("INC", "INC", ()), ("SEV", "SEV", ()), ("SEV_COND", "SEV", ("INC",))):
-            own = adjusted_means(rest, value, cov, "X").select("ID_std", F.col("X_ADJ_RAW").alias("_x"))
-            out = rank_normal(out.join(own, "ID_std", "left"), "_x", f"{name}_LOO_{label}").drop("_x")
-    return out
+            names[f"_{name}_{label}"] = f"{name}_LOO_{label}"
+            own = adjusted_means(rest, value, cov, "X").select("ID_std", F.col("X_ADJ_RAW").alias(f"_{name}_{label}"))
+            out = out.join(own, "ID_std", "left")
+    return rank_normal(out, names).drop(*names)
 
 
 def slug(place: str) -> str:
-    import re
-
     return re.sub(r"[^A-Za-z0-9]+", "_", place).strip("_").upper()
 
 
 def location_traits(plots: DataFrame, locations: Sequence[str]) -> DataFrame:
     """Means and numbers of plots of each id by location, wide; the locations are known, so the pivot needs no scan."""
-    wide = plots.groupBy("ID_std").pivot("Location", list(locations)).agg(F.avg("INC").alias("INC"), F.avg("SEV").alias("SEV"), F.count("*").alias("N"))
+    wide = plots.groupBy("ID_std").pivot("Location", list(locations)).agg(F.avg("INC").alias("INC"), F.avg("SEV").alias("SEV"), F.count(F.lit(1)).alias("N"))
     return wide.toDF("ID_std", *(f"{v}_SITE_{slug(p)}" for p in locations for v in ("INC", "SEV", "N")))
 
 

@@ -65,20 +65,20 @@ def _step_up(values: DataFrame, p: str, q: str, n: int) -> DataFrame:
     return raw.select(p, F.least(F.min("_raw").over(up.rowsBetween(0, W.unboundedFollowing)), "_later", F.lit(1.0)).alias(q))  # nulls are skipped
 
 
-def average_rank(df: DataFrame, value: str, by: list[str] | None = None) -> Column:
-    """Rank with ties averaged, among rows of the same group; rows with a null value must be away."""
-    w = W.partitionBy(*(by or []))
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(W.partitionBy(*(by or []), value)) - 1) / 2
-
-
-def rank_normal(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds the inverse-normal transform of the average ranks; nulls stay null and don't count."""
-    d = df.withColumn("_v", F.when(F.isnan(value), None).otherwise(F.col(value)))
-    counts = d.filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.count("*").alias("k"))
-    below = F.coalesce(F.sum("k").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("k").over(W.partitionBy(F.lit(0)))
-    ranks = counts.select("_v", norm_ppf(clip((below + (F.col("k") + 1) / 2 - 0.5) / n, 1e-12, 1 - 1e-12)).alias(out))
-    return d.join(ranks, "_v", "left").drop("_v")
+def rank_normal(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Adds the inverse-normal transform of the average ranks of several columns, each from the same input.
+
+    Nulls stay null and don't count. Ranks are running sums over distinct values.
+    """
+    out = df.withColumns({f"_v_{c}": F.when(F.isnan(c), None).otherwise(F.col(c)) for c in names})
+    for c, name in names.items():
+        v = f"_v_{c}"
+        counts = df.select(F.when(F.isnan(c), None).otherwise(F.col(c)).alias(v)).dropna().groupBy(v).agg(F.count("*").alias("k"))
+        below = F.coalesce(F.sum("k").over(W.orderBy(v).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        n = F.sum("k").over(W.partitionBy(F.lit(0)))
+        ranks = counts.select(v, norm_ppf(clip((below + (F.col("k") + 1) / 2 - 0.5) / n, 1e-12, 1 - 1e-12)).alias(name))
+        out = out.join(ranks, v, "left").drop(v)
+    return out
 
 
 def lambda_gc(p: Column) -> Column:

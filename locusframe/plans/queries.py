@@ -275,7 +275,7 @@ def a7_bh_strict(spark: SparkSession, d: str) -> DataFrame:
 )
 def w1_rank_normal(spark: SparkSession, d: str) -> DataFrame:
     c = v.table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.round("c_acctbal", -2)).alias("x"))
-    return ranking.rank_normal(c, "x", "z").select("c_custkey", r8("z").alias("z"))
+    return ranking.rank_normal(c, {"x": "z"}).select("c_custkey", r8("z").alias("z"))
 
 
 @query(
@@ -319,10 +319,6 @@ def t5_candidate_set(spark: SparkSession, d: str) -> DataFrame:
     return found.select("variant_index", F.lit(rule).alias("criterion"))
 
 
-def _top(source: str, p: str, k: str) -> str:
-    return f"(SELECT variant_index FROM {source} ORDER BY {p}, variant_index LIMIT {k})"
-
-
 @query(
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {f}::DOUBLE AS top_fraction, k, both_n AS overlap, round(both_n / (2.0 * k - both_n), 8) AS jaccard FROM (SELECT count(*) AS both_n, any_value(k) AS k FROM (SELECT variant_index, row_number() OVER (ORDER BY p_score_INC, variant_index) AS a, row_number() OVER (ORDER BY p_score_SEV, variant_index) AS b, CAST(greatest(1, round_even(count(*) OVER () * {f}::DOUBLE, 0)) AS BIGINT) AS k FROM scan) WHERE a <= k AND b <= k)" for f in (0.05, 0.1)) + ")",
     v.SCAN_SQL,
