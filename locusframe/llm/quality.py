@@ -2,7 +2,7 @@
 
 Edge cases: a null or empty text has no words, so it fails the base rule; a document of under eight words has no
 window; lines count with a word only; every count covers the whole text. Rows that repeat are judged one by one,
-extra columns are carried along.
+extra columns are carried along, those named like an added one (``q_*`` as listed in COUNTS, and the verdicts) replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("upper_ratio", None, 0.6),
 )
 
+#: Columns that quality_counts adds.
+COUNTS = ("q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_lines", "q_n_repeat_words", "q_n_stop", "q_n_upper")
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -40,34 +43,34 @@ def quality_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with the counts that the rules use, as columns named ``q_*``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     has_word = r"[^\x20\x09-\x0D]"
-    d = docs.withColumn("q_words", words(text)).withColumn("q_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word)))
-    d = d.withColumn("q_n_words", F.size("q_words"))
+    d = docs.withColumn("__q_words", words(text)).withColumn("__q_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word)))
+    d = d.withColumn("q_n_words", F.size("__q_words"))
     d = d.withColumn(
         # A hash of each window tells the texts that may repeat one; only those are compared word by word.
-        "q_may_repeat",
+        "__q_may_repeat",
         F.when(F.col("q_n_words") <= WINDOW, False).otherwise(
-            F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("q_n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("q_words"), i, WINDOW)))))
+            F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("q_n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("__q_words"), i, WINDOW)))))
             < F.col("q_n_words") - (WINDOW - 1)
         ),
     )
     # Windows in the order of their words; equal ones stand together.
     d = d.withColumn(
-        "q_windows",
+        "__q_windows",
         F.when(
-            F.col("q_may_repeat"),
-            F.sort_array(F.transform(F.sequence(F.lit(1), F.col("q_n_words") - (WINDOW - 1)), lambda i: F.struct(F.array_join(F.slice(F.col("q_words"), i, WINDOW), " ").alias("k"), i.alias("i")))),
+            F.col("__q_may_repeat"),
+            F.sort_array(F.transform(F.sequence(F.lit(1), F.col("q_n_words") - (WINDOW - 1)), lambda i: F.struct(F.array_join(F.slice(F.col("__q_words"), i, WINDOW), " ").alias("k"), i.alias("i")))),
         ),
     )
     # get() is null beyond the ends; <=> makes that false.
     d = d.withColumn(
-        "q_starts",
+        "__q_starts",
         F.when(
-            F.col("q_may_repeat"),
+            F.col("__q_may_repeat"),
             F.sort_array(
                 F.transform(
                     F.filter(
-                        "q_windows",
-                        lambda x, at: x["k"].eqNullSafe(F.get(F.col("q_windows"), at - 1)["k"]) | x["k"].eqNullSafe(F.get(F.col("q_windows"), at + 1)["k"]),
+                        "__q_windows",
+                        lambda x, at: x["k"].eqNullSafe(F.get(F.col("__q_windows"), at - 1)["k"]) | x["k"].eqNullSafe(F.get(F.col("__q_windows"), at + 1)["k"]),
                     ),
                     lambda x: x["i"],
                 )
@@ -76,25 +79,25 @@ def quality_counts(docs: DataFrame) -> DataFrame:
     )
     # Each start covers the words up to the next start, a window at most.
     covered = F.when(
-        F.size("q_starts") > 0,
+        F.size("__q_starts") > 0,
         F.aggregate(
-            F.zip_with(F.slice("q_starts", 2, F.size("q_starts")), F.slice("q_starts", 1, F.size("q_starts") - 1), lambda b, a: F.least(F.lit(WINDOW), b - a)),
+            F.zip_with(F.slice("__q_starts", 2, F.size("__q_starts")), F.slice("__q_starts", 1, F.size("__q_starts") - 1), lambda b, a: F.least(F.lit(WINDOW), b - a)),
             F.lit(WINDOW).cast("long"),
             lambda s, x: s + x,
         ),
     )
     symbols = F.regexp_replace(text, r"[^#*$%&|<>]+", "")
-    joined = F.array_join("q_words", "")
+    joined = F.array_join("__q_words", "")
     return (
         d.withColumn("q_word_chars", F.length(joined).cast("long"))
         .withColumn("q_n_symbols", F.length(symbols).cast("long"))
-        .withColumn("q_n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"))
-        .withColumn("q_n_lines", F.size("q_lines").cast("long"))
+        .withColumn("q_n_dup_lines", (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"))
+        .withColumn("q_n_lines", F.size("__q_lines").cast("long"))
         .withColumn("q_n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-        .withColumn("q_n_stop", F.size(F.filter("q_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"))
+        .withColumn("q_n_stop", F.size(F.filter("__q_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"))
         .withColumn("q_n_upper", F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long"))
         .withColumn("q_n_words", F.col("q_n_words").cast("long"))
-        .drop("q_words", "q_lines", "q_may_repeat", "q_windows", "q_starts")
+        .drop("__q_words", "__q_lines", "__q_may_repeat", "__q_windows", "__q_starts")
     )
 
 
@@ -129,7 +132,11 @@ def verdict(rules: tuple[tuple[str, float | None, float | None], ...] = RULES) -
 def apply_rules(docs: DataFrame, rules: tuple[tuple[str, float | None, float | None], ...] = RULES) -> DataFrame:
     """``docs`` with the counts, q_base_failed, q_broken (names of broken rules) and q_kept."""
     base = (F.col("q_n_words") < 20) | (100 * F.col("q_n_repeat_words") > 30 * F.col("q_n_words"))
-    return quality_counts(docs).withColumn("q_base_failed", base).withColumn("q_broken", verdict(rules)).withColumn("q_kept", ~F.col("q_base_failed") & (F.size("q_broken") == 0))
+    # A filter on q_kept would move below the projections and repeat their expressions; it doesn't move below inline().
+    counted = quality_counts(docs)
+    names = [c for c in counted.columns if c not in docs.columns or c in COUNTS]
+    counted = counted.select(*(c for c in docs.columns if c not in COUNTS), F.inline(F.array(F.struct(*names))))
+    return counted.withColumn("q_base_failed", base).withColumn("q_broken", verdict(rules)).withColumn("q_kept", ~F.col("q_base_failed") & (F.size("q_broken") == 0))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
