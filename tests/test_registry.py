@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as registry
@@ -19,7 +20,7 @@ def tables(sf_dir):
 
 
 def shown(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return "null"
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
