@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import lower_ascii, table
+from .common import keep, lower_ascii, table
 
 #: Verdict, host and path of each rule, in order.
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -100,8 +100,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
         return None
     share = min(1.0, sample / sum(kinds.values()))
     draw = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / float(1 << 30)
-    # The sample has a bound and one partition: floating-point sums, and so the trees, come out alike in each run.
-    chosen = labelled.filter(draw < share).select("label", *FEATURES).coalesce(1).sortWithinPartitions(*FEATURES, "label")
+    # All tasks filter; only the sample, which has a bound, goes to one partition, and is written so that it's drawn once.
+    # In one sorted partition floating-point sums, and so the trees, come out alike in each run.
+    chosen = keep(labelled.filter(draw < share).select("label", *FEATURES).repartition(1).sortWithinPartitions(*FEATURES, "label"), "url-sample")
     if chosen.select("label").distinct().count() < 2:
         return None
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
