@@ -124,14 +124,37 @@ def _library(path: str):  # noqa: ANN202
 _KNOWN: dict[str, dict[str, bytes]] = {}
 
 
+#: Pieces that the library gets as one text.
+RUN = 256
+
+
+def encode_pieces(pieces: list[str], library) -> Iterator[tuple[str, bytes]]:  # noqa: ANN001
+    """Each piece with its ids as bytes.
+
+    Pieces that begin with a blank before something else are cut again at that blank when they stand in a row, so the
+    library gets them as texts of many pieces, whose ids it tells apart by word.
+    """
+    blank: list[str] = []
+    rest: list[str] = []
+    for p in pieces:
+        (blank if p[:1] == " " and len(p) > 1 and not p[1].isspace() else rest).append(p)
+    runs = [blank[i : i + RUN] for i in range(0, len(blank), RUN)]
+    for run, got in zip(runs, library.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        ids = np.array(got.ids, "<u4")
+        at = [*np.flatnonzero(np.diff(np.array(got.word_ids), prepend=-1)).tolist(), len(ids)]
+        data = ids.tobytes()
+        for piece, a, b in zip(run, at[:-1], at[1:], strict=True):
+            yield piece, data[4 * a : 4 * b]
+    for piece, got in zip(rest, library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        yield piece, np.array(got.ids, "<u4").tobytes()
+
+
 def encode_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text by the tokenizers library, which sees each distinct piece once while a worker remembers it."""
     library, cut = _library(path)
     known = _KNOWN.setdefault(path, {})
     batch = pieces_of(texts, cut)
-    fresh = list(unseen(batch, known))
-    for piece, got in zip(fresh, library.encode_batch(fresh, add_special_tokens=False), strict=True):
-        known[piece] = np.array(got.ids, "<u4").tobytes()
+    known.update(encode_pieces(list(unseen(batch, known)), library))
     of = known.__getitem__
     return [np.frombuffer(b"".join(map(of, pieces)), "<u4") for pieces in batch]
 
