@@ -13,6 +13,8 @@ from locusframe.llm.common import keep, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Share of the posterior that the likeliest language needs.
 SURE = 0.5
+#: Words of a shingle and per cent of similarity of near duplicates; op4 has its own contract.
+NEAR = (5, 80)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest doc_id."""
-    return near_duplicates.first_of_group(docs)
+    return near_duplicates.first_of_group(docs, *NEAR)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
