@@ -156,17 +156,17 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def indexed(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
-    """doc_id, n, digest, signatures of the own band (two: neighbourhoods, one: segments) and the band below, parities."""
+    """doc_id, n, digest, signatures of the own band (two: neighbourhoods, one: segments) and the band below, parities, spare segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch.column("text")):
                 rows = batch.slice(part.start, part.stop - part.start)
-                ns, digests, twos, ones, belows, sketches, briefs = [], [], [], [], [], [], []
+                ns, digests, twos, ones, belows, sketches, briefs, spares = [], [], [], [], [], [], [], []
                 for text in rows.column("text").to_pylist():
                     h = shingle_set(text, shingle)
-                    n = len(h)
+                    n, spare = len(h), 0
                     two = one = below = none
                     band = bisect_right(edges(t), n) - 1
                     if band >= 0:
@@ -181,9 +181,10 @@ def indexed(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
                     belows.append(below)
                     sketches.append(parities(h) if n else b"")
                     briefs.append(brief(h))
-                yield pa.record_batch([rows.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), _lists(twos), _lists(ones), _lists(belows), pa.array(sketches, pa.binary()), _lists(briefs)], ["doc_id", "n", "digest", "two", "one", "below", "sketch", "brief"])
+                    spares.append(spare)
+                yield pa.record_batch([rows.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), _lists(twos), _lists(ones), _lists(belows), pa.array(sketches, pa.binary()), _lists(briefs), pa.array(spares, pa.int32())], ["doc_id", "n", "digest", "two", "one", "below", "sketch", "brief", "spare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, two array<long>, one array<long>, below array<long>, sketch binary, brief array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, two array<long>, one array<long>, below array<long>, sketch binary, brief array<long>, spare int")
 
 
 def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -198,19 +199,13 @@ def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def buckets(classes: DataFrame) -> DataFrame:
     """(sig, doc, n, probes) of all buckets that hold a probing set and another one."""
-    entry = lambda c, own, exact: F.transform(c, lambda x: F.struct(x.alias("sig"), F.lit(own).alias("own"), F.lit(exact).alias("exact")))
-    rows = classes.select("doc", "n", F.inline(F.concat(entry("two", True, False), entry("one", True, True), entry("below", False, True))))
+    entry = lambda c, own, spare: F.transform(c, lambda x: F.struct(x.alias("sig"), F.lit(own).alias("own"), spare.alias("spare")))
+    rows = classes.select("doc", "n", F.inline(F.concat(entry("two", True, F.lit(0)), entry("one", True, F.col("spare")), entry("below", False, F.lit(0)))))
     bucket = W.partitionBy("sig")
     rows = rows.withColumn("cost", F.count("*").over(bucket)).withColumn("probers", F.count_if("own").over(bucket)).filter("cost > 1 and probers > 0")
     # The fullest buckets of a set's exact segments, as many as it has spare ones.
-    full = F.row_number().over(W.partitionBy("doc").orderBy(F.when(F.col("own") & F.col("exact"), F.col("cost")).desc_nulls_last(), "sig"))
-    spare = F.when(F.col("n") >= edges()[_first_with_spare()], F.lit(SPARE)).otherwise(F.lit(0))
-    return rows.withColumn("probes", F.col("own") & (~F.col("exact") | (full > spare))).select("sig", "doc", "n", "probes")
-
-
-@lru_cache
-def _first_with_spare(t: int = T) -> int:
-    return next(k for k in range(200) if scheme(k, t)[1])
+    full = F.row_number().over(W.partitionBy("doc").orderBy(F.when(F.col("spare") > 0, F.col("cost")).desc_nulls_last(), "sig"))
+    return rows.withColumn("probes", F.col("own") & (full > F.col("spare"))).select("sig", "doc", "n", "probes")
 
 
 def _alike(a: Column, b: Column, t: int = T) -> Column:
@@ -287,7 +282,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> Data
     some = index.filter(F.col("n").between(1, (1 << 40) - 1) & F.col("doc_id").isNotNull())
     of_digest = some.groupBy("digest").agg(F.min("doc_id").alias("doc"))
     classes = keep(
-        some.join(of_digest.select("doc"), some["doc_id"] == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n", "two", "one", "below", "sketch", "brief"),
+        some.join(of_digest.select("doc"), some["doc_id"] == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n", "two", "one", "below", "sketch", "brief", "spare"),
         "classes",
     )
     rows = keep(buckets(classes), "buckets")

@@ -1,8 +1,11 @@
-"""Near duplicates at other shingles and thresholds than op4's: the pipeline's stage."""
+"""Near duplicates at other shingles and thresholds than op4's: the pipeline's stage and the spare segments."""
 
 import brute
+import numpy as np
+import pytest
 
 import corpus_pipeline
+from locusframe.llm import near_duplicates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,3 +22,22 @@ def test_stage_links_scattered_changes(spark, tmp_path):
     want = {d for d, (_, c) in brute.jaccard_components(dict(rows), 5, 80).items() if c == d}
     assert want == {0, 2, 4}
     assert {r["doc_id"] for r in corpus_pipeline.duplicate_stage(spark, docs, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("t", [80, 95])
+def test_no_bucket_is_spared_that_is_needed(t, spark):
+    """Families around the threshold, and pairs of sets of 62 with 61 in common whose odd shingles fall in two segments."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for n in (16, 30, 64, 100, 140, 300):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        for _ in range(10):
+            rows.append(" ".join(words))
+            words = list(words)
+            for at in rng.integers(0, n, max(1, n * (100 - t) // 1000)):
+                words[at] = f"v{rng.integers(0, 10**6)}"
+    for k in range(40):
+        words = [f"p{k}_{i}" for i in range(62)]
+        rows += [" ".join(words), " ".join([*words[:-1], "odd"])]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 1, t).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard_components(dict(enumerate(rows)), 1, t)
