@@ -3,7 +3,11 @@
 Tokens are ordered by how many documents hold them, rarest first. A block meets a template if it holds ``CONTAINS``
 of the template's distinct tokens; then it holds one of the template's first ``size - need + 1`` tokens (prefix
 filter), at least ``need`` tokens of templates (length filter), and what follows a shared token in both suffices
-(positional filter). Tokens that are in no template can't count and are left out of blocks. Blocks are lines.
+(positional filter). Tokens that are in no template can't count and are left out of blocks.
+
+Blocks are lines and, as notices are wrapped, runs of words across lines: some run a template long, with as many other
+words as ``CONTAINS`` lets miss, must hold the tokens. The filters take wide runs, that overlap so far that each such
+run lies in one of them; what passes is verified in each run of the template's own length.
 
 All of it are DataFrame expressions. One scan counts the documents of each template token, a second one scans; only
 rows with a block that may match are exploded, and one narrow shuffle brings a row's blocks together again.
@@ -46,6 +50,15 @@ def need(size: int) -> int:
     return -(-size * round(100 * CONTAINS) // 100)
 
 
+def run_of(size: int) -> int:
+    """Words of a run that may hold a template of so many words."""
+    return -(-size * 100 // round(100 * CONTAINS))
+
+
+#: Words by which wide runs advance, half of their length: the longest template's run.
+STEP = run_of(max(len(t.split()) for _, t in TEMPLATES))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -79,8 +92,9 @@ def scan(docs: DataFrame) -> DataFrame:
     order = token_order(docs)
     rank = {w: k for k, w in enumerate(order)}
     templates = [(k, label, sorted(ws, key=rank.get)) for k, (label, ws) in enumerate(template_tokens())]
-    prefixes = [(w, k, label, at, len(ws), need(len(ws)), ws) for k, label, ws in templates for at, w in enumerate(ws[: len(ws) - need(len(ws)) + 1])]
-    index = spark.createDataFrame(prefixes, "token string, template int, label string, t_at int, t_size int, t_need int, t_tokens array<string>")
+    runs = [run_of(len(t.split())) for _, t in TEMPLATES]
+    prefixes = [(w, k, label, at, len(ws), need(len(ws)), ws, runs[k]) for k, label, ws in templates for at, w in enumerate(ws[: len(ws) - need(len(ws)) + 1])]
+    index = spark.createDataFrame(prefixes, "token string, template int, label string, t_at int, t_size int, t_need int, t_tokens array<string>, t_run int")
     fewest = min(p[5] for p in prefixes)
     heads = F.array(*(F.lit(w) for w in sorted({p[0] for p in prefixes}, key=rank.get)))
     ordered = F.array(*map(F.lit, order))
@@ -90,10 +104,14 @@ def scan(docs: DataFrame) -> DataFrame:
     d = d.withColumn("places_by", F.array(*(F.struct(F.lit(label).alias("label"), places(F.col("words"), p).alias("at")) for p, label in PHRASES)))
     # A text whose words as a whole fail the filters has no block that passes them.
     may = F.arrays_overlap("words", heads) & (F.size(F.array_intersect(ordered, F.col("words"))) >= fewest)
-    block_sets = F.filter(
-        F.transform(F.split("lowered", "\n"), lambda b: F.array_intersect(ordered, tokens(b))),
-        lambda s: (F.size(s) >= fewest) & F.arrays_overlap(s, heads),
-    )
+    none = F.array().cast("array<string>")
+    block = lambda words, run: F.struct(F.array_intersect(ordered, words).alias("set"), run.alias("run"))
+    lines = F.transform(F.split("lowered", "\n"), lambda b: block(tokens(b), none))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STEP))
+    wide = F.transform(starts, lambda i: block(F.slice("words", i + 1, 2 * STEP), F.slice("words", i + 1, 2 * STEP)))
+    # In a text of one line a run holds no more than the line.
+    across = F.when(F.contains("lowered", F.lit("\n")), wide).otherwise(F.array())
+    block_sets = F.filter(F.concat(lines, across), lambda b: (F.size(b["set"]) >= fewest) & F.arrays_overlap(b["set"], heads))
     d = d.select(
         "row",
         "doc_id",
@@ -103,14 +121,17 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(may, F.array_distinct(block_sets)).alias("blocks"),
     )
     base = ["row", "doc_id", "n_words", "places", "base_labels"]
-    blocks = d.select(*base, F.explode_outer("blocks").alias("block"))
-    probes = blocks.select(*base, "block", F.posexplode_outer(F.slice("block", 1, F.greatest(F.size("block") - fewest + 1, F.lit(1)))).alias("b_at", "token"))
+    blocks = d.select(*base, F.explode_outer("blocks").alias("b")).select(*base, F.col("b.set").alias("block"), F.col("b.run").alias("run"))
+    probes = blocks.select(*base, "block", "run", F.posexplode_outer(F.slice("block", 1, F.greatest(F.size("block") - fewest + 1, F.lit(1)))).alias("b_at", "token"))
     # The index has a row for each prefix token of each template: its size is fixed by the table above.
     pairs = probes.join(F.broadcast(index), "token", "left")
     follow = 1 + F.least(F.col("t_size") - F.col("t_at") - 1, F.size("block") - F.col("b_at") - 1)
     shared = F.size(F.array_intersect("t_tokens", "block"))
     passes = (F.size("block") >= F.col("t_need")) & (follow >= F.col("t_need"))
-    match = F.when(passes, F.when(shared >= F.col("t_need"), F.struct("label", (shared / F.col("t_size")).alias("share"))))
+    at = F.sequence(F.lit(0), F.greatest(F.size("run") - F.col("t_run"), F.lit(0)))
+    held = F.array_max(F.transform(at, lambda i: F.size(F.array_intersect("t_tokens", F.slice("run", i + 1, F.col("t_run"))))))
+    best = F.when(F.size("run") == 0, shared).otherwise(held)
+    match = F.when(passes, F.when(shared >= F.col("t_need"), F.when(best >= F.col("t_need"), F.struct("label", (best / F.col("t_size")).alias("share")))))
     out = pairs.withColumn("match", match).groupBy("row").agg(*(F.first(c).alias(c) for c in base[1:]), F.collect_set("match").alias("matches"))
     return out.drop("row")
 
