@@ -67,7 +67,7 @@ def ols_scan(geno: DataFrame, traits: dict[str, np.ndarray], pcs: np.ndarray, co
 def kinships(geno: DataFrame, samples: Sequence[int] | None = None) -> dict[int, np.ndarray]:
     """By chromosome left out (0: none): K of the other chromosomes' markers, with a mean diagonal of 1.
 
-    Each task sums the products of its batches; sums of tasks are added by entry. K without a chromosome is the whole
+    Each task sums the products of its batches; sums of tasks are added by row of K. K without a chromosome is the whole
     sum less the chromosome's.
     """
     keep = None if samples is None else list(samples)
@@ -84,16 +84,22 @@ def kinships(geno: DataFrame, samples: Sequence[int] | None = None) -> dict[int,
                 old, n = sums.get(int(c), (0.0, 0))
                 sums[int(c)] = old + z.T @ z, n + len(z)
         for c, (s, n) in sums.items():
-            i, j = np.indices(s.shape)
-            yield pa.record_batch([pa.array(np.full(s.size, c, np.int32)), pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(s.ravel()), pa.array(np.full(s.size, n, np.int64))], ["CHR", "i", "j", "v", "m"])
+            for at in range(0, len(s), 256):
+                part = s[at : at + 256]
+                yield pa.record_batch([pa.array(np.full(len(part), c, np.int32)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(list(part)), pa.array(np.full(len(part), n, np.int64))], ["CHR", "i", "v", "m"])
 
-    got = geno.select("CHR", "dosages").mapInArrow(run, "CHR int, i int, j int, v double, m long").groupBy("CHR", "i", "j").agg(F.sum("v").alias("v"), F.sum("m").alias("m")).toPandas()
+    def added(t: pa.Table) -> pa.Table:
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1).sum(axis=0)
+        return pa.table({"CHR": t.column("CHR")[:1], "i": t.column("i")[:1], "v": pa.array([v]), "m": pa.array([sum(t.column("m").to_pylist())], pa.int64())})
+
+    schema = "CHR int, i int, v array<double>, m long"
+    got = geno.select("CHR", "dosages").mapInArrow(run, schema).groupBy("CHR", "i").applyInArrow(added, schema).toPandas()
     require(len(got) > 0, "no variable marker")
     n = int(got["i"].max()) + 1
     by, m = {}, {}
     for c, g in got.groupby("CHR"):
         s = np.zeros((n, n))
-        s[g["i"], g["j"]] = g["v"]
+        s[g["i"].to_numpy()] = np.stack(g["v"].to_list())
         by[int(c)], m[int(c)] = s, int(g["m"].iloc[0])
     whole, markers = sum(by.values()), sum(m.values())
     out = {0: whole / markers} | {c: (whole - s) / (markers - m[c]) for c, s in by.items() if markers > m[c]}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -719,13 +720,11 @@ def m6_ols_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("n >= 5 AND sxx > 0").select("l_partkey", F.round(b, 6).alias("beta"), F.round(F.sqrt(F.greatest(F.col("syy") - b * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx")), 6).alias("se"))
 
 
-#: Samples that the model queries use: the first 100 columns of each variant, so that n x n matrices stay small.
-_SAMPLES = 100
-
-
 def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
-    g = v.genotypes(spark, d).withColumn("dosages", F.slice("dosages", 1, _SAMPLES))
-    return g, np.sin(np.arange(_SAMPLES) * 1.7) + np.cos(np.arange(_SAMPLES) * 0.3)
+    """All samples of the table, and a trait as long."""
+    g = v.genotypes(spark, d)
+    n = g.agg(F.max(F.size("dosages"))).first()[0] or 0
+    return g, np.sin(np.arange(n) * 1.7) + np.cos(np.arange(n) * 0.3)
 
 
 @query()
@@ -743,7 +742,8 @@ def m4_mixed_scan_loco(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m3_kinship(spark: SparkSession, d: str) -> DataFrame:
     k = models.kinships(_panel(spark, d)[0])
-    return spark.createDataFrame([(c, i, [float(x) for x in row]) for c, m in k.items() for i, row in enumerate(m)], "context int, i int, row array<double>")
+    rows = [pa.table({"context": pa.array(np.full(len(m), c, np.int32)), "i": pa.array(np.arange(len(m), dtype=np.int32)), "row": pa.array(list(m))}) for c, m in k.items()]
+    return spark.createDataFrame(pa.concat_tables(rows), "context int, i int, row array<double>")
 
 
 @query()
