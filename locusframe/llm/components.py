@@ -6,10 +6,12 @@ one task: a node's smallest neighbour is a partial aggregate, and the join back
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import Scratch
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -24,12 +26,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") > F.col("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of all nodes but the smallest of each component; links: (a, b) of longs, in any order."""
-    now = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") > F.col("v")).distinct(), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    name = f"links-{uuid.uuid4().hex}"
+    now = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") > F.col("v")).distinct(), name)
     seen = None
     while True:
-        now = keep(_star(_star(now, True), False), "stars")
+        last, name = name, f"stars-{uuid.uuid4().hex}"
+        now = scratch.keep(_star(_star(now, True), False), name)
+        scratch.drop(last)
         # The links change as long as a round does something; a star's rows stay as they are.
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

@@ -5,21 +5,27 @@ similarity ``T`` per cent or more differ in at most ``H = (100 - T) (|r| + |s|)
 segments whose allotments sum to more than H, one of allotment 1 is equal in both sets, or one of allotment 2 differs
 by one shingle at most. The latter are found by one-deletion neighbourhoods. How many segments get 2 is chosen by the
 cost of a band: rows in the index against the risk that small segments agree by chance. In a second, measured step
-each set drops its ``SPARE`` fullest buckets, as it has so many segments more than it needs. The smaller set of a pair
+each set drops its fullest buckets, as many as it has segments more than it needs. The smaller set of a pair
 probes; a set is indexed in its own band, and in the band below where a smaller partner may stand.
 
-Equal sets are one class from the start. A group of similar sets would meet in each bucket of its segments, so links
-are not sought pair by pair: each set is compared with one pivot of its buckets, components are formed, and buckets
-within one component are done, as no further link changes the result. What is left, pairs of different components in
-one bucket, is compared in full. Parities of hashed shingles reject most pairs exactly (their difference bounds the
-sets' difference from below), short ones as a condition of the join itself, so that rejected pairs are never rows;
-the rest is verified on the whole sets.
+Equal sets are one class. The index is made of texts in one pass, straight into the shuffle that brings buckets
+together, and only buckets of several classes are written. Within a batch one set speaks for all that share its
+segment: the others are marked as meeting it and are dealt out by themselves, so that a segment that very many sets
+share is no hot key. A group of similar sets would meet in each bucket of its segments, so links are not sought pair
+by pair: each set is compared with two pivots of its buckets, components are formed, and buckets within one component
+are done, as no further link changes the result. What is left, pairs of different components in one bucket, is
+compared in full. Statistics of buckets are partial aggregates that are joined back, which Spark splits where they are
+skewed. Parities of hashed shingles reject most pairs exactly (their difference bounds the sets' difference from
+below), short ones as a condition of the join itself, so that rejected pairs are never rows; the rest is verified on
+the whole sets, which are read from the texts then.
 
-Shingles are compared by 64-bit hashes, sets by a 128-bit digest of these.
+Shingles are compared by 64-bit hashes, sets by a 128-bit digest of these; that two of a pair's shingles agree by
+chance has a probability of about the product of the sets' sizes / 2^64.
 
 Edge cases: null and empty texts link with nothing; a text of fewer words than a shingle is one shingle; texts of any
-length are processed whole; doc_id names a text: rows that repeat it count once; a null doc_id gets a null component
-and links with nothing; an empty table gives an empty result; extra columns are left out.
+length are processed whole; rows that repeat a doc_id are sets of their own, each with the smallest doc_id that it
+reaches by links, in whatever order rows come; a null doc_id gets a null component and links with nothing; an empty
+table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from math import exp
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +44,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import slices
-from .common import keep, rows_a_batch, table
+from .common import Scratch, rows_a_batch, table, unused
 from .components import components
 
 SHINGLE, T = 3, 90
-#: Segments beyond the necessary ones, in bands where sets may differ by MANY shingles or more.
-SPARE, MANY = 2, 8
-#: Cost of a chance agreement against a row of the index.
+#: Cost of a segment that sets agree in by chance, against a row of the index.
 RISK = 10_000.0
-#: Rounds in which sets are compared with pivots only.
-ROUNDS = 2
+#: Pivots that each set is compared with before the rest.
+PIVOTS = 2
+#: Digests that a task remembers, so that equal sets enter the index once a task.
+SEEN = 500_000
 WORDS = 1_000_000
 #: Words of the short parities.
 BRIEF = 8
@@ -100,19 +106,26 @@ def edges(t: int = T) -> tuple[int, ...]:
 
 @lru_cache
 def scheme(band: int, t: int = T) -> tuple[int, int, int]:
-    """Of a band: segments with neighbourhoods, spare segments, all segments."""
-    top = edges(t)[band + 1] - 1
+    """Of a band: segments with neighbourhoods, spare segments, all segments; the cheapest by rows and risk.
+
+    Sets agree by chance in segments in which both hold nothing. A set may drop as many buckets as it has spare segments,
+    so the risk is that it has more empty ones (a bound of the Poisson tail), or neighbourhoods of one shingle.
+    """
+    low, top = edges(t)[band], edges(t)[band + 1] - 1
     most = differ(top, t) + 1
-    spare = SPARE if most > MANY else 0
 
-    def cost(two: int) -> float:
-        one = most - 2 * two + spare if most > 2 * two else 0
-        n = two + one
-        return one + two * (1 + top / n) + RISK * n * exp(-top / n)
+    def cost(two: int, spare: int) -> float:
+        one = max(0, most - 2 * two)
+        n = two + one + spare
+        filled = low / n
+        empty, more = (one + spare) * exp(-filled), spare + 1
+        excess = exp(more - empty - more * log(more / empty)) if one and empty < more else float(one > 0)
+        return one + spare + two * (1 + filled) + RISK * (excess + two * exp(-filled) * (1 + filled))
 
-    two = min(range((most + 1) // 2 + 1), key=cost)
-    one = max(0, most - 2 * two)
-    return two, spare if one else 0, two + one + (spare if one else 0)
+    halves = {*range(min((most + 1) // 2, 24) + 1), (most + 1) // 2}
+    spares = sorted({0, *(k for e in range(96) if (k := round(2 ** (e / 4))) <= most)})
+    two, spare = min(((d, k) for d in halves for k in (spares if most > 2 * d else [0])), key=lambda x: (cost(*x), x))
+    return two, spare, two + max(0, most - 2 * two) + spare
 
 
 def signatures(h: np.ndarray, band: int, upto: int | None, t: int = T) -> tuple[np.ndarray, np.ndarray]:
@@ -155,55 +168,96 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)))
 
 
-def indexed(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
-    """doc_id, n, digest, signatures of the own band (two: neighbourhoods, one: segments) and the band below, parities, spare segments."""
+def digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def described(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, row (a hash of the text), n, digest and parities of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch.column("text")):
                 rows = batch.slice(part.start, part.stop - part.start)
-                ns, digests, twos, ones, belows, sketches, briefs, spares = [], [], [], [], [], [], [], []
-                for text in rows.column("text").to_pylist():
+                hs = [shingle_set(text, shingle) for text in rows.column("text").to_pylist()]
+                made = [pa.array([len(h) for h in hs], pa.int64()), pa.array([digest(h) for h in hs], pa.binary()), pa.array([parities(h) if len(h) else b"" for h in hs], pa.binary()), _lists([brief(h) for h in hs])]
+                yield pa.record_batch([rows.column("doc_id"), rows.column("row"), *made], ["doc_id", "row", "n", "digest", "sketch", "brief"])
+
+    return with_row(docs).select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row binary, n long, digest binary, sketch binary, brief array<long>")
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """Tells rows of one doc_id apart by their text."""
+    return docs.withColumn("row", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+
+
+#: Marks of an entry of the index: of the set's own band, met by others of its batch; above them, for segments that may
+#: be spared, how many of the set's may.
+OWN, MET, SPARE = 1, 2, 2
+
+
+def entries(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
+    """The index: sig, name (of the set, from its digest), n, marks, and apart, which is not 0 for sets that met another of their batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                sigs, names, sizes, marks, counts = [], [], [], [], []
+                for text in batch.column("text").slice(part.start, part.stop - part.start).to_pylist():
                     h = shingle_set(text, shingle)
-                    n, spare = len(h), 0
-                    two = one = below = none
+                    n = len(h)
                     band = bisect_right(edges(t), n) - 1
-                    if band >= 0:
-                        d, spare, _ = scheme(band, t)
-                        two, one = signatures(h, band, d + max(0, differ(n, t) + 1 - 2 * d) + spare, t)
-                        if band and n * t <= (edges(t)[band] - 1) * 100:
-                            below = np.concatenate(signatures(h, band - 1, None, t))
-                    ns.append(n)
-                    digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                    twos.append(two)
-                    ones.append(one)
-                    belows.append(below)
-                    sketches.append(parities(h) if n else b"")
-                    briefs.append(brief(h))
-                    spares.append(spare)
-                yield pa.record_batch([rows.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), _lists(twos), _lists(ones), _lists(belows), pa.array(sketches, pa.binary()), _lists(briefs), pa.array(spares, pa.int32())], ["doc_id", "n", "digest", "two", "one", "below", "sketch", "brief", "spare"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, two array<long>, one array<long>, below array<long>, sketch binary, brief array<long>, spare int")
-
-
-def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+                    if band < 0 or (own := digest(h)) in seen:
+                        continue
+                    seen.add(own)
+                    d, spare, _ = scheme(band, t)
+                    two, one = signatures(h, band, d + max(0, differ(n, t) + 1 - 2 * d) + spare, t)
+                    below = np.concatenate(signatures(h, band - 1, None, t)) if band and n * t <= (edges(t)[band] - 1) * 100 else one[:0]
+                    sigs += [two, one, below]
+                    marks.append(np.repeat(np.array([OWN, OWN | spare << SPARE, 0], np.int32), [len(two), len(one), len(below)]))
+                    names.append(int.from_bytes(own[:8], "big", signed=True))
+                    sizes.append(n)
+                    counts.append(len(marks[-1]))
+                if sigs:
+                    sig, mark = np.concatenate(sigs).view(np.int64), np.concatenate(marks)
+                    name = np.repeat(np.array(names, np.int64), counts)
+                    _, first, group, times = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
+                    mark |= np.where(times[group] > 1, MET, 0).astype(np.int32)
+                    apart = np.where(first[group] == np.arange(len(sig)), 0, name | 1)
+                    yield pa.record_batch([pa.array(sig), pa.array(name), pa.array(np.repeat(np.array(sizes, np.int64), counts)), pa.array(mark), pa.array(apart)], ["sig", "name", "n", "marks", "apart"])
+                if len(seen) > SEEN:
+                    seen.clear()
+
+    return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "sig long, name long, n long, marks int, apart long")
+
+
+def sets(wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc and hashes of (doc, digest, text) rows, of those texts that have the digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.record_batch([rows.column("doc_id"), _lists([shingle_set(x, shingle) for x in rows.column("text").to_pylist()])], ["doc", "hashes"])
+                hs = [shingle_set(x, shingle) for x in rows.column("text").to_pylist()]
+                own = [digest(h) == d for h, d in zip(hs, rows.column("digest").to_pylist(), strict=True)]
+                yield pa.record_batch([rows.column("doc").filter(pa.array(own, pa.bool_())), _lists([h for h, o in zip(hs, own, strict=True) if o])], ["doc", "hashes"])
+
+    return wanted.select("doc", "digest", "text").mapInArrow(run, "doc long, hashes array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, hashes array<long>")
 
+def shared_buckets(index: DataFrame) -> DataFrame:
+    """(sig, name, n, own, spare) of the buckets of the index that hold several sets."""
+    bucket = W.partitionBy("sig", "apart")
+    met = F.max(F.col("marks").bitwiseAND(MET)).over(bucket) > 0
+    several = index.withColumn("lo", F.min("name").over(bucket)).withColumn("hi", F.max("name").over(bucket)).withColumn("met", met).filter("met or lo < hi")
+    return several.select("sig", "name", "n", (F.col("marks").bitwiseAND(OWN) > 0).alias("own"), F.shiftright("marks", SPARE).alias("spare")).distinct()
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(sig, doc, n, probes) of all buckets that hold a probing set and another one."""
-    entry = lambda c, own, spare: F.transform(c, lambda x: F.struct(x.alias("sig"), F.lit(own).alias("own"), spare.alias("spare")))
-    rows = classes.select("doc", "n", F.inline(F.concat(entry("two", True, F.lit(0)), entry("one", True, F.col("spare")), entry("below", False, F.lit(0)))))
-    bucket = W.partitionBy("sig")
-    rows = rows.withColumn("cost", F.count("*").over(bucket)).withColumn("probers", F.count_if("own").over(bucket)).filter("cost > 1 and probers > 0")
-    # The fullest buckets of a set's exact segments, as many as it has spare ones.
+
+def probing(rows: DataFrame) -> DataFrame:
+    """(sig, doc, n, probes): each set probes in its own band, but for the fullest buckets that it can spare."""
+    sizes = rows.groupBy(F.col("sig").alias("of_sig")).agg(F.count("*").alias("cost"))
+    rows = rows.join(sizes, F.col("sig") == F.col("of_sig"))
     full = F.row_number().over(W.partitionBy("doc").orderBy(F.when(F.col("spare") > 0, F.col("cost")).desc_nulls_last(), "sig"))
     return rows.withColumn("probes", F.col("own") & (full > F.col("spare"))).select("sig", "doc", "n", "probes")
 
@@ -213,41 +267,48 @@ def _alike(a: Column, b: Column, t: int = T) -> Column:
 
 
 def mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Buckets that hold several components, with each row's component as comp."""
+    """Buckets that hold several components and a probing set, with each row's component as comp."""
+    rows = rows.select("sig", "doc", "n", "probes")
     if labels is None:
         rows = rows.withColumn("comp", F.col("doc"))
     else:
-        rows = rows.drop("comp").join(labels, rows["doc"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
-    bucket = W.partitionBy("sig")
-    several = rows.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).withColumn("any", F.max("probes").over(bucket))
-    return several.filter("lo < hi and any").drop("lo", "hi", "any")
+        rows = rows.join(labels, rows["doc"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
+    several = rows.groupBy(F.col("sig").alias("of_sig")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probes").alias("any")).filter("lo < hi and any")
+    return rows.join(several.select("of_sig"), F.col("sig") == F.col("of_sig")).drop("of_sig")
 
 
-def pivots(rows: DataFrame, seed: int) -> DataFrame:
+def pivots(rows: DataFrame, seed: int, t: int = T) -> DataFrame:
     """One pair (a, b) for each set: the pivot that it meets in most buckets, if of another component."""
     order = F.struct((F.col("doc") if seed == 0 else F.xxhash64(F.lit(seed), "doc")).alias("key"), "doc", "n", "comp")
-    met = rows.withColumn("p", F.min(order).over(W.partitionBy("sig"))).filter((F.col("p.comp") != F.col("comp")) & _alike(F.col("n"), F.col("p.n")))
+    first = rows.groupBy(F.col("sig").alias("of_sig")).agg(F.min(order).alias("p"))
+    met = rows.join(first, F.col("sig") == F.col("of_sig")).filter((F.col("p.comp") != F.col("comp")) & _alike(F.col("n"), F.col("p.n"), t))
     met = met.groupBy("doc", F.col("p.doc").alias("pivot")).agg(F.count("*").alias("times"))
     best = met.groupBy("doc").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("b"))
-    return best.select(F.col("doc").alias("a"), "b")
+    return best.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b"))
 
 
-def remaining(rows: DataFrame, briefs: DataFrame, t: int = T) -> DataFrame:
-    """Pairs of different components in a bucket of which the smaller set probes, but for those that parities reject."""
-    rows = rows.join(briefs.select("doc", "brief"), "doc")
+def main_of(rows: DataFrame) -> DataFrame:
+    """(of_sig, main): the component with the most rows of each bucket."""
     sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    x = rows.join(main, "sig").filter(F.col("comp") != F.col("main")).select(F.col("sig").alias("x_sig"), *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "probes", "comp", "brief")))
+    return sizes.groupBy(F.col("sig").alias("of_sig")).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+
+
+def remaining(rows: DataFrame, others: DataFrame, t: int = T) -> DataFrame:
+    """Pairs of different components in a bucket of which the smaller set probes, but for those that parities reject.
+
+    rows: of mixed buckets, with brief parities; others: those of them that aren't of their bucket's main component.
+    """
+    x = others.select(*(F.col(c).alias(f"x_{c}") for c in ("sig", "doc", "n", "probes", "comp", "brief")))
     apart = reduce(lambda a, b: a + b, (F.bit_count(F.get("x_brief", F.lit(k)).bitwiseXOR(F.get("brief", F.lit(k)))) for k in range(BRIEF)))
     probed = (F.col("x_probes") & (F.col("x_n") <= F.col("n"))) | (F.col("probes") & (F.col("n") <= F.col("x_n")))
     close = (100 + t) * apart <= (100 - t) * (F.col("x_n") + F.col("n"))
-    meets = x.join(rows, (F.col("x_sig") == F.col("sig")) & (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n")) & probed & close)
+    meets = x.join(rows, (F.col("x_sig") == F.col("sig")) & (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n"), t) & probed & close)
     return meets.select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
 
 
-def rejected_not(pairs: DataFrame, sketches: DataFrame, t: int = T) -> DataFrame:
+def rejected_not(pairs: DataFrame, classes: DataFrame, t: int = T) -> DataFrame:
     """Pairs that the parities don't reject."""
-    one, other = (sketches.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in ("a", "b"))
+    one, other = (classes.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,39 +336,79 @@ def verified(pairs: DataFrame, own: DataFrame, t: int = T) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row for each row of ``docs``."""
+def classified(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, t: int = T) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, row, n and digest of each row, and of each digest its component's number (node) and smallest doc_id (first).
+
+    Classes of equal sets are numbered; a class's rows in the index have its name, half of the digest. Classes that
+    share a name and a size would get each other's buckets too, which the verification of pairs settles.
+    """
     spark = docs.sparkSession
-    index = keep(indexed(docs, shingle, t), "sets")
-    some = index.filter(F.col("n").between(1, (1 << 40) - 1) & F.col("doc_id").isNotNull())
-    of_digest = some.groupBy("digest").agg(F.min("doc_id").alias("doc"))
-    classes = keep(
-        some.join(of_digest.select("doc"), some["doc_id"] == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n", "two", "one", "below", "sketch", "brief", "spare"),
-        "classes",
-    )
-    rows = keep(buckets(classes), "buckets")
-    in_bucket = rows.select("doc").distinct()
-    sketches = classes.select("doc", "n", "sketch")
-    own = keep(sets(docs.join(in_bucket, docs["doc_id"] == in_bucket["doc"], "left_semi").dropDuplicates(["doc_id"]), shingle), "hashes")
-    links, labels = None, None
-    for k in range(ROUNDS + 1):
-        rows = keep(mixed(rows, labels), "mixed")
-        pairs = keep(rejected_not(pivots(rows, k) if k < ROUNDS else remaining(rows, classes, t), sketches, t), "pairs")
+    rows = scratch.keep(described(docs, shingle), "described")
+    some = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    of_digest = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "brief")).alias("least"))
+    name = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    classes = scratch.keep(of_digest.select(F.monotonically_increasing_id().alias("doc"), "digest", name.alias("name"), "least.*"), "classes")
+
+    found = scratch.keep(shared_buckets(entries(docs, shingle, t)), "index")
+    numbered = classes.select("doc", F.col("name").alias("of_name"), F.col("n").alias("of_n"))
+    found = found.join(numbered, (F.col("name") == F.col("of_name")) & (F.col("n") == F.col("of_n"))).select("sig", "doc", "n", "own", "spare")
+    buckets = scratch.keep(mixed(probing(found), None), "buckets")
+    scratch.drop("index")
+
+    def links_of(pairs: DataFrame, step: str) -> DataFrame:
+        """Those of the pairs that are links."""
+        pairs = scratch.keep(rejected_not(pairs, classes, t).distinct(), f"pairs-{step}")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(classes.select("doc", "digest", F.col("doc_id").alias("of_id")), "doc")
+        wanted = scratch.keep(wanted, f"wanted-{step}")
+        own = scratch.keep(sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("of_id")), shingle), f"sets-{step}")
         with rows_a_batch(spark, 256):  # a row holds two sets
-            found = keep(verified(pairs, own, t), "found")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    whole = index.select("doc_id", "digest", "n").join(of_digest, "digest", "left").join(labels, F.col("doc") == labels["node"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc_id"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+            links = scratch.keep(verified(pairs, own, t).distinct(), f"links-{step}")
+        scratch.drop(f"pairs-{step}", f"wanted-{step}", f"sets-{step}")
+        return links
+
+    links = links_of(reduce(DataFrame.unionByName, (pivots(buckets, k, t) for k in range(PIVOTS))), "pivots")
+    labels = components(links, scratch)
+    left = mixed(buckets, labels).join(classes.select("doc", "brief"), "doc")
+    left = scratch.keep(left, "mixed")
+    scratch.drop("buckets")
+    main = scratch.keep(main_of(left), "main")
+    others = scratch.keep(left.join(main, F.col("sig") == F.col("of_sig")).filter(F.col("comp") != F.col("main")).drop("of_sig", "main"), "others")
+    rest = links_of(remaining(left, others, t), "rest")
+    scratch.drop("mixed", "main", "others")
+    labels = components(links.unionByName(rest), scratch)
+
+    member = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+    group = classes.select("digest", "doc", "doc_id").join(member, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("node"), "doc_id")
+    group = scratch.keep(group, "groups")
+    first = group.groupBy(F.col("node").alias("of_node")).agg(F.min("doc_id").alias("first"))
+    named = scratch.keep(group.join(first, F.col("node") == F.col("of_node")).select("digest", "node", "first"), "named")
+    scratch.drop("classes", "groups", "links-pivots", "links-rest")
+    return rows.select("doc_id", "row", "n", "digest"), named
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row for each row of ``docs``."""
+    rows, named = classified(docs, Scratch(docs.sparkSession), shingle, t)
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked, F.col("first")).otherwise(F.col("doc_id"))
+    return rows.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def first_of_group(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
-    """The document with the smallest doc_id of each group; documents without a doc_id stay."""
-    found = near_duplicates(docs, shingle, t)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(first, docs["doc_id"] == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group, the row with its smallest doc_id (of several, that with the smallest hash of the text).
+
+    Texts without words are groups of their own; of rows that repeat doc_id and text one stays; all without a doc_id stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows, named = classified(docs, scratch, shingle, t)
+    rows = rows.filter(F.col("doc_id").isNotNull())
+    grouped = rows.filter("n > 0").join(named, "digest").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("k")).select("k.*")
+    alone = rows.filter("n = 0").select("doc_id", "row").distinct()
+    chosen = scratch.keep(grouped.unionByName(alone).select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")), "chosen")
+    key = unused(docs, "row")
+    own = docs.filter(F.col("doc_id").isNotNull()).withColumn(key, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    own = own.join(chosen, (own["doc_id"] == chosen["of_id"]) & (own[key] == chosen["of_row"]), "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    return own.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
