@@ -32,6 +32,8 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     name = f"links-{uuid.uuid4().hex}"
     now = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") > F.col("v")).distinct(), name)
     seen = None
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         last, name = name, f"stars-{uuid.uuid4().hex}"
         now = scratch.keep(_star(_star(now, True), False), name)

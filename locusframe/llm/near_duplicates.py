@@ -38,7 +38,7 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,44 +50,95 @@ from .components import components
 SHINGLE, T = 3, 90
 #: Cost of a segment that sets agree in by chance, against a row of the index.
 RISK = 10_000.0
+#: Rows of a bucket beyond which it's grouped with others.
+CROWDED = 8
 #: Pivots that each set is compared with before the rest.
 PIVOTS = 2
 #: Digests that a task remembers, so that equal sets enter the index once a task.
 SEEN = 500_000
-WORDS = 1_000_000
 #: Words of the short parities.
 BRIEF = 8
 _M1, _M2, _P1, _P2, _P3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
 
 
+#: By byte: A-Z lowered, white space, a number to hash with.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _P1)
+
+
+def word_hashes(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that stand side by side in ``raw``, and by text the number of words before it.
+
+    A word's hash is the sum of numbers of its bytes times odd numbers of their places, mixed with its length.
+    """
+    low = _LOWER[raw]
+    at = np.flatnonzero(~_BLANK[low])
+    fresh = np.diff(at, prepend=-2) > 1
+    inner = np.searchsorted(at, cuts[:-1])  # a text's first letter begins a word
+    fresh[inner[inner < len(at)]] = True
+    starts = np.flatnonzero(fresh)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(cuts), np.int64)
+    sizes = np.diff(starts, append=len(at))
+    place = np.arange(len(at)) - np.repeat(starts, sizes)
+    odd = _mix(np.arange(1, sizes.max() + 1, dtype=np.uint64) * _P2) | np.uint64(1)
+    sums = np.add.reduceat(_BYTE[low[at]] * odd[place], starts)
+    return _mix(sums + sizes.astype(np.uint64) * _P3), np.searchsorted(at[starts], cuts)
+
+
+def _pieces(raw: np.ndarray, most: int = 1 << 21) -> Iterator[np.ndarray]:
+    """A text in pieces that end before white space."""
+    at = 0
+    while len(raw) - at > most:
+        blank = np.flatnonzero(_BLANK[raw[at + 1 : at + most]])
+        end = at + most
+        if len(blank):
+            end = at + 1 + int(blank[-1])
+        else:  # a word of more than a piece
+            while end < len(raw) and not _BLANK[raw[end]]:
+                end += 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text of an array."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if len(texts) == 1 and len(raw) > 1 << 22:
+        w = np.concatenate([word_hashes(x, np.array([0, len(x)]))[0] for x in _pieces(raw)])
+        cuts = np.array([0, len(w)])
+    else:
+        w, cuts = word_hashes(raw, ends)
+    joined = np.zeros(max(0, len(w) - size + 1), np.uint64)
+    for k in range(size):
+        joined = _mix((joined + _P1) ^ w[k : k + len(joined)] * (_P2 if k % 2 else _P3))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a >= size:
+            h = np.sort(joined[a : b - size + 1])
+            out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
+        else:  # the whole text is one shingle, or it has no word
+            h = np.zeros(min(1, b - a), np.uint64)
+            for k in range(b - a):
+                h = _mix((h + _P1) ^ w[a + k : a + k + 1] * (_P2 if k % 2 else _P3))
+            out.append(h + np.uint64(1))
+    return out
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z only; blanks are those of the contract
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_HASHES) > WORDS:
-        _HASHES.clear()
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(w))
-    h = np.zeros(len(w) - n + 1, np.uint64)
-    for k in range(n):
-        h = _mix((h + _P1) ^ w[k : len(w) - n + 1 + k] * (_P2 if k % 2 else _P3))
-    return np.unique(h + np.uint64(n < size))
+    return shingle_sets(pa.array([text], pa.string()), size)[0]
 
 
 def differ(n: int, t: int = T) -> int:
@@ -179,7 +230,7 @@ def described(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column("text")):
                 rows = batch.slice(part.start, part.stop - part.start)
-                hs = [shingle_set(text, shingle) for text in rows.column("text").to_pylist()]
+                hs = shingle_sets(rows.column("text"), shingle)
                 made = [pa.array([len(h) for h in hs], pa.int64()), pa.array([digest(h) for h in hs], pa.binary()), pa.array([parities(h) if len(h) else b"" for h in hs], pa.binary()), _lists([brief(h) for h in hs])]
                 yield pa.record_batch([rows.column("doc_id"), rows.column("row"), *made], ["doc_id", "row", "n", "digest", "sketch", "brief"])
 
@@ -204,8 +255,7 @@ def entries(docs: DataFrame, shingle: int = SHINGLE, t: int = T) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column("text")):
                 sigs, names, sizes, marks, counts = [], [], [], [], []
-                for text in batch.column("text").slice(part.start, part.stop - part.start).to_pylist():
-                    h = shingle_set(text, shingle)
+                for h in shingle_sets(batch.column("text").slice(part.start, part.stop - part.start), shingle):
                     n = len(h)
                     band = bisect_right(edges(t), n) - 1
                     if band < 0 or (own := digest(h)) in seen:
@@ -239,7 +289,7 @@ def sets(wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column("text")):
                 rows = batch.slice(part.start, part.stop - part.start)
-                hs = [shingle_set(x, shingle) for x in rows.column("text").to_pylist()]
+                hs = shingle_sets(rows.column("text"), shingle)
                 own = [digest(h) == d for h, d in zip(hs, rows.column("digest").to_pylist(), strict=True)]
                 yield pa.record_batch([rows.column("doc").filter(pa.array(own, pa.bool_())), _lists([h for h, o in zip(hs, own, strict=True) if o])], ["doc", "hashes"])
 
@@ -287,22 +337,29 @@ def pivots(rows: DataFrame, seed: int, t: int = T) -> DataFrame:
     return best.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b"))
 
 
-def main_of(rows: DataFrame) -> DataFrame:
-    """(of_sig, main): the component with the most rows of each bucket."""
-    sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("k"))
-    return sizes.groupBy(F.col("sig").alias("of_sig")).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-
-
-def remaining(rows: DataFrame, others: DataFrame, t: int = T) -> DataFrame:
-    """Pairs of different components in a bucket of which the smaller set probes, but for those that parities reject.
+def grouped(rows: DataFrame) -> DataFrame:
+    """(key, doc, n, comp, probes, other): the rows of mixed buckets, each set once a group of buckets.
 
-    rows: of mixed buckets, with brief parities; others: those of them that aren't of their bucket's main component.
+    Sets that are alike meet in very many buckets. Crowded buckets are one group if they have the same pivot, so that a
+    pair meets in few groups; a group holds the pairs of all of its buckets. other: not of the group's largest component.
     """
-    x = others.select(*(F.col(c).alias(f"x_{c}") for c in ("sig", "doc", "n", "probes", "comp", "brief")))
+    order = F.struct(F.xxhash64("doc").alias("key"), "doc")
+    of_sig = rows.groupBy(F.col("sig").alias("of_sig")).agg(F.count("*").alias("k"), F.min(order)["doc"].alias("pivot"))
+    key = F.when(F.col("k") > CROWDED, F.col("pivot")).otherwise(F.col("sig"))
+    rows = rows.join(of_sig, F.col("sig") == F.col("of_sig")).groupBy(key.alias("key"), "doc").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max("probes").alias("probes"))
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy(F.col("key").alias("of_key")).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    return rows.join(main, F.col("key") == F.col("of_key")).withColumn("other", F.col("comp") != F.col("main")).drop("of_key", "main")
+
+
+def remaining(rows: DataFrame, t: int = T) -> DataFrame:
+    """Pairs of different components in a group of which the smaller set probes, but for those that parities reject."""
+    x = rows.filter("other").select(*(F.col(c).alias(f"x_{c}") for c in ("key", "doc", "n", "probes", "comp", "brief")))
     apart = reduce(lambda a, b: a + b, (F.bit_count(F.get("x_brief", F.lit(k)).bitwiseXOR(F.get("brief", F.lit(k)))) for k in range(BRIEF)))
+    once = ~F.col("other") | (F.col("x_doc") < F.col("doc"))
     probed = (F.col("x_probes") & (F.col("x_n") <= F.col("n"))) | (F.col("probes") & (F.col("n") <= F.col("x_n")))
     close = (100 + t) * apart <= (100 - t) * (F.col("x_n") + F.col("n"))
-    meets = x.join(rows, (F.col("x_sig") == F.col("sig")) & (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n"), t) & probed & close)
+    meets = x.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_comp") != F.col("comp")) & once & _alike(F.col("x_n"), F.col("n"), t) & probed & close)
     return meets.select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
 
 
@@ -360,7 +417,7 @@ def classified(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, t: int
         pairs = scratch.keep(rejected_not(pairs, classes, t).distinct(), f"pairs-{step}")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(classes.select("doc", "digest", F.col("doc_id").alias("of_id")), "doc")
         wanted = scratch.keep(wanted, f"wanted-{step}")
-        own = scratch.keep(sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("of_id")), shingle), f"sets-{step}")
+        own = scratch.keep(sets(docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("of_id")), shingle), f"sets-{step}")
         with rows_a_batch(spark, 256):  # a row holds two sets
             links = scratch.keep(verified(pairs, own, t).distinct(), f"links-{step}")
         scratch.drop(f"pairs-{step}", f"wanted-{step}", f"sets-{step}")
@@ -368,14 +425,12 @@ def classified(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, t: int
 
     links = links_of(reduce(DataFrame.unionByName, (pivots(buckets, k, t) for k in range(PIVOTS))), "pivots")
     labels = components(links, scratch)
-    left = mixed(buckets, labels).join(classes.select("doc", "brief"), "doc")
-    left = scratch.keep(left, "mixed")
+    left = scratch.keep(grouped(mixed(buckets, labels)).join(classes.select("doc", "brief"), "doc"), "mixed")
     scratch.drop("buckets")
-    main = scratch.keep(main_of(left), "main")
-    others = scratch.keep(left.join(main, F.col("sig") == F.col("of_sig")).filter(F.col("comp") != F.col("main")).drop("of_sig", "main"), "others")
-    rest = links_of(remaining(left, others, t), "rest")
-    scratch.drop("mixed", "main", "others")
-    labels = components(links.unionByName(rest), scratch)
+    rest = links_of(remaining(left, t), "rest")
+    scratch.drop("mixed")
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest), scratch)
 
     member = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
     group = classes.select("digest", "doc", "doc_id").join(member, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("node"), "doc_id")

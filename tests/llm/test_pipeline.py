@@ -24,7 +24,7 @@ def test_pipeline(spark, sf_dir):
     assert not any(brute.quality(text[d])[-1] for d in own)
     kept &= own
 
-    groups = brute.jaccard_components({d: text[d] for d in kept})
+    groups = brute.jaccard_components({d: text[d] for d in kept}, 5, 80)
     kept = {d for d in kept if groups[d][1] == d}
 
     sizes = {d: len(brute.WORD.findall(text[d])) for d in kept}
