@@ -226,3 +226,33 @@ def test_mix_sources_matches_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
     want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.OP10_SQL})").fetchall()}
     assert collected(mixing.op10_mix_sources(spark, sf_dir), "doc_id", "size", "source_size", "target", "taken") == want
+
+
+def test_language_labels_are_bounded(spark, monkeypatch):
+    rows = [(i, "abc " * 5, "x") for i in range(6)] + [(10 + i, "qqq " * 5, "y") for i in range(4)] + [(20, "zzz", "z")]
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    assert language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).names == ["x", "y"]
+
+
+def test_language_model_against_plain_bayes(spark, sf_dir):
+    """Every n-gram of every document counted plainly, in double precision."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    grams = lambda t: [int(b) for b in language.buckets(t.lower())]
+    total = {}
+    for d, text, lang in rows:
+        if lang is not None and not brute.held_out(d) and language.has_letter(text):
+            own = total.setdefault(lang, [language.ALPHA] * language.BUCKETS)
+            for b in grams(text):
+                own[b] += 1
+    logs = {lang: np.log(np.array(c) / sum(c)) for lang, c in sorted(total.items())}
+    got = collected(language.op2_language_id(spark, sf_dir), "doc_id", "lang_pred", "score")
+    for d, text, _ in rows:
+        if language.has_letter(text):
+            at = grams(text)
+            scores = {lang: x[at].sum() for lang, x in logs.items()}
+            best = max(scores, key=scores.get)
+            share = 1 / sum(np.exp(v - scores[best]) for v in scores.values())
+            assert got[d][0] == best and got[d][1] == pytest.approx(share, abs=1e-3), d
+        else:
+            assert got[d] == ("und", 0.0)
