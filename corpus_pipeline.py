@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm import bpe, language, mixing, near_duplicates, quality
-from locusframe.llm.common import keep, table
+from locusframe.llm.common import Scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Share of the posterior that the likeliest language needs.
@@ -55,9 +55,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = keep(docs, f"stage{k}")
+            docs = scratch.keep(docs, f"stage{k}")
+            if k:
+                scratch.drop(f"stage{k - 1}")
     return docs
