@@ -14,8 +14,8 @@ segment: the others are marked as meeting it and are dealt out by themselves, so
 share is no hot key. A group of similar sets would meet in each bucket of its segments, so links are not sought pair
 by pair: each set is compared with two pivots of its buckets, components are formed, and buckets within one component
 are done, as no further link changes the result. What is left, pairs of different components in one bucket, is
-compared in full. Statistics of buckets are partial aggregates that are joined back, which Spark splits where they are
-skewed. Parities of hashed shingles reject most pairs exactly (their difference bounds the sets' difference from
+compared in full. Statistics of buckets are partial aggregates that are written and joined back, which Spark splits where
+they are skewed. Parities of hashed shingles reject most pairs exactly (their difference bounds the sets' difference from
 below), short ones as a condition of the join itself, so that rejected pairs are never rows; the rest is verified on
 the whole sets, which are read from the texts then.
 
@@ -304,9 +304,9 @@ def shared_buckets(index: DataFrame) -> DataFrame:
     return several.select("sig", "name", "n", (F.col("marks").bitwiseAND(OWN) > 0).alias("own"), F.shiftright("marks", SPARE).alias("spare")).distinct()
 
 
-def probing(rows: DataFrame) -> DataFrame:
+def probing(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(sig, doc, n, probes): each set probes in its own band, but for the fullest buckets that it can spare."""
-    sizes = rows.groupBy(F.col("sig").alias("of_sig")).agg(F.count("*").alias("cost"))
+    sizes = scratch.keep(rows.groupBy(F.col("sig").alias("of_sig")).agg(F.count("*").alias("cost")), "sizes")
     rows = rows.join(sizes, F.col("sig") == F.col("of_sig"))
     full = F.row_number().over(W.partitionBy("doc").orderBy(F.when(F.col("spare") > 0, F.col("cost")).desc_nulls_last(), "sig"))
     return rows.withColumn("probes", F.col("own") & (full > F.col("spare"))).select("sig", "doc", "n", "probes")
@@ -316,7 +316,7 @@ def _alike(a: Column, b: Column, t: int = T) -> Column:
     return 100 * F.least(a, b) >= t * F.greatest(a, b)
 
 
-def mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def mixed(rows: DataFrame, labels: DataFrame | None, scratch: Scratch, step: str) -> DataFrame:
     """Buckets that hold several components and a probing set, with each row's component as comp."""
     rows = rows.select("sig", "doc", "n", "probes")
     if labels is None:
@@ -324,31 +324,32 @@ def mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         rows = rows.join(labels, rows["doc"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
     several = rows.groupBy(F.col("sig").alias("of_sig")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probes").alias("any")).filter("lo < hi and any")
-    return rows.join(several.select("of_sig"), F.col("sig") == F.col("of_sig")).drop("of_sig")
+    return rows.join(scratch.keep(several.select("of_sig"), f"several-{step}"), F.col("sig") == F.col("of_sig")).drop("of_sig")
 
 
-def pivots(rows: DataFrame, seed: int, t: int = T) -> DataFrame:
+def pivots(rows: DataFrame, seed: int, scratch: Scratch, t: int = T) -> DataFrame:
     """One pair (a, b) for each set: the pivot that it meets in most buckets, if of another component."""
     order = F.struct((F.col("doc") if seed == 0 else F.xxhash64(F.lit(seed), "doc")).alias("key"), "doc", "n", "comp")
-    first = rows.groupBy(F.col("sig").alias("of_sig")).agg(F.min(order).alias("p"))
+    first = scratch.keep(rows.groupBy(F.col("sig").alias("of_sig")).agg(F.min(order).alias("p")), f"pivots-{seed}")
     met = rows.join(first, F.col("sig") == F.col("of_sig")).filter((F.col("p.comp") != F.col("comp")) & _alike(F.col("n"), F.col("p.n"), t))
     met = met.groupBy("doc", F.col("p.doc").alias("pivot")).agg(F.count("*").alias("times"))
     best = met.groupBy("doc").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("b"))
     return best.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b"))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
+def grouped(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, doc, n, comp, probes, other): the rows of mixed buckets, each set once a group of buckets.
 
     Sets that are alike meet in very many buckets. Crowded buckets are one group if they have the same pivot, so that a
     pair meets in few groups; a group holds the pairs of all of its buckets. other: not of the group's largest component.
     """
     order = F.struct(F.xxhash64("doc").alias("key"), "doc")
-    of_sig = rows.groupBy(F.col("sig").alias("of_sig")).agg(F.count("*").alias("k"), F.min(order)["doc"].alias("pivot"))
+    of_sig = scratch.keep(rows.groupBy(F.col("sig").alias("of_sig")).agg(F.count("*").alias("k"), F.min(order)["doc"].alias("pivot")), "of-sig")
     key = F.when(F.col("k") > CROWDED, F.col("pivot")).otherwise(F.col("sig"))
-    rows = rows.join(of_sig, F.col("sig") == F.col("of_sig")).groupBy(key.alias("key"), "doc").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max("probes").alias("probes"))
+    rows = rows.join(of_sig, F.col("sig") == F.col("of_sig")).groupBy(key.alias("key"), "doc").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.max("probes").alias("probes"))
+    rows = scratch.keep(rows, "grouped")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy(F.col("key").alias("of_key")).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    main = scratch.keep(sizes.groupBy(F.col("key").alias("of_key")).agg(F.max(F.struct("k", "comp"))["comp"].alias("main")), "main")
     return rows.join(main, F.col("key") == F.col("of_key")).withColumn("other", F.col("comp") != F.col("main")).drop("of_key", "main")
 
 
@@ -409,8 +410,9 @@ def classified(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, t: int
     found = scratch.keep(shared_buckets(entries(docs, shingle, t)), "index")
     numbered = classes.select("doc", F.col("name").alias("of_name"), F.col("n").alias("of_n"))
     found = found.join(numbered, (F.col("name") == F.col("of_name")) & (F.col("n") == F.col("of_n"))).select("sig", "doc", "n", "own", "spare")
-    buckets = scratch.keep(mixed(probing(found), None), "buckets")
-    scratch.drop("index")
+    probes = scratch.keep(probing(found, scratch), "probes")
+    buckets = scratch.keep(mixed(probes, None, scratch, "first"), "buckets")
+    scratch.drop("index", "sizes", "probes", "several-first")
 
     def links_of(pairs: DataFrame, step: str) -> DataFrame:
         """Those of the pairs that are links."""
@@ -423,10 +425,12 @@ def classified(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, t: int
         scratch.drop(f"pairs-{step}", f"wanted-{step}", f"sets-{step}")
         return links
 
-    links = links_of(reduce(DataFrame.unionByName, (pivots(buckets, k, t) for k in range(PIVOTS))), "pivots")
+    links = links_of(reduce(DataFrame.unionByName, (pivots(buckets, k, scratch, t) for k in range(PIVOTS))), "pivots")
     labels = components(links, scratch)
-    left = scratch.keep(grouped(mixed(buckets, labels)).join(classes.select("doc", "brief"), "doc"), "mixed")
-    scratch.drop("buckets")
+    rows_left = scratch.keep(mixed(buckets, labels, scratch, "rest"), "left")
+    scratch.drop("buckets", "several-rest", *(f"pivots-{k}" for k in range(PIVOTS)))
+    left = scratch.keep(grouped(rows_left, scratch).join(classes.select("doc", "brief"), "doc"), "mixed")
+    scratch.drop("left", "of-sig", "grouped", "main")
     rest = links_of(remaining(left, t), "rest")
     scratch.drop("mixed")
     if not rest.isEmpty():
