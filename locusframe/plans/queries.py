@@ -468,10 +468,11 @@ def j5_ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
     return phenotype.in_order(s.select("ID_std", "value"), s.select("sample_index", "ID_std")).select("sample_index", "ID_std", "value")
 
 
-@query("SELECT l_orderkey, l_quantity AS INC, round(l_tax - l_discount, 8) AS SEV_correction, abs(l_tax - l_discount) > 1e-12 AS CorrectionFlag FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem WHERE l_linenumber <= 2)")
+@query("SELECT l_orderkey, l_quantity AS INC, round(l_tax - l_discount, 8) AS SEV_correction, abs(l_tax - l_discount) > 1e-12 AS CorrectionFlag FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem)")
 def j6_align_by_position(spark: SparkSession, d: str) -> DataFrame:
-    w = W.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    li = v.table(spark, d, "lineitem").filter("l_linenumber <= 2").withColumn("row", F.row_number().over(w)).withColumn("id", F.concat(F.lit("C"), F.col("l_partkey").cast("string")))
+    # All columns settle ties, so that both tables number their rows alike.
+    w = W.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    li = v.table(spark, d, "lineitem").withColumn("row", F.row_number().over(w)).withColumn("id", F.concat(F.lit("C"), F.col("l_partkey").cast("string")))
     raw = li.select("row", "l_orderkey", F.col("l_quantity").alias("INC_raw_source"), F.col("l_discount").alias("SEV_raw_source"), F.col("l_returnflag").alias("Location"), F.col("id").alias("Cultivar_raw"))
     fixed = li.select("row", F.col("l_quantity").alias("INC"), F.col("l_tax").alias("SEV"), F.col("l_returnflag").alias("Location"), F.col("id").alias("Cultivar"), F.col("id").alias("ID_std"))
     return phenotype.align_by_position(raw, fixed, ["row"]).select("l_orderkey", "INC", r8("SEV_correction").alias("SEV_correction"), "CorrectionFlag")
@@ -576,31 +577,30 @@ def m1_standardized(spark: SparkSession, d: str) -> DataFrame:
     return g.select("variant_index", F.round(z2, 4).alias("squares"))
 
 
-#: Classes are made of three samples only, so that some are shared: 27 patterns for all variants.
-_SMALL_SQL = """small AS (SELECT v, string_agg(CAST(CASE WHEN first_code = 2 AND code >= 0 THEN 2 - code ELSE code END AS VARCHAR), ',' ORDER BY vec_id) AS canonical
-  FROM (SELECT *, arg_min(code, vec_id) FILTER (code IN (0, 2)) OVER (PARTITION BY v) AS first_code FROM dosage WHERE vec_id < 3) GROUP BY v)"""
+#: Vectors of all samples; most classes hold one variant. Shared and complemented classes are tested on small tables.
+_VECTORS_SQL = """vectors AS (SELECT v, string_agg(CAST(CASE WHEN first_code = 2 AND code >= 0 THEN 2 - code ELSE code END AS VARCHAR), ',' ORDER BY vec_id) AS canonical
+  FROM (SELECT *, arg_min(code, vec_id) FILTER (code IN (0, 2)) OVER (PARTITION BY v) AS first_code FROM dosage) GROUP BY v)"""
 
 
-def _small(spark: SparkSession, d: str) -> DataFrame:
-    g = v.dosage(spark, d).filter("vec_id < 3").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "code"))).alias("a"))
-    return g.select(F.col("v").alias("variant_index"), (F.col("v") % 10 + 1).cast("int").alias("CHR"), (F.col("v") * 100).alias("pos"), F.transform("a", lambda x: x["code"].cast("tinyint")).alias("dosages"))
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return v.genotypes(spark, d).withColumn("pos", F.col("variant_index") * 100)
 
 
-@query("SELECT v AS variant_index, count(*) OVER (PARTITION BY canonical) AS global_size, count(*) OVER (PARTITION BY canonical, v % 10) AS test_size FROM small", v.DOSAGE_SQL, _SMALL_SQL)
+@query("SELECT v AS variant_index, count(*) OVER (PARTITION BY canonical) AS global_size, count(*) OVER (PARTITION BY canonical, v % 10) AS test_size FROM vectors", v.DOSAGE_SQL, _VECTORS_SQL)
 def a15_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    return genotype.equivalence_classes(_small(spark, d)).select("variant_index", "global_size", "test_size")
+    return genotype.equivalence_classes(_vectors(spark, d)).select("variant_index", "global_size", "test_size")
 
 
 _CLASS_P = "CAST((v * 7919) % 101 + 1 AS DOUBLE) / CAST(102 AS DOUBLE)"
 
 
 def _classed(spark: SparkSession, d: str) -> DataFrame:
-    c = genotype.equivalence_classes(_small(spark, d))
+    c = genotype.equivalence_classes(_vectors(spark, d))
     p = ((F.col("variant_index") * 7919) % 101 + 1).cast("double") / 102
     return c.withColumn("snp", F.concat(F.lit("S"), F.col("variant_index").cast("string"))).withColumns({f"p_{m}": p for m in tables.METHODS})
 
 
-@query(f"SELECT arg_min(v, p) AS representative, count(*) AS n FROM (SELECT v, canonical, {_CLASS_P} AS p FROM small) GROUP BY canonical", v.DOSAGE_SQL, _SMALL_SQL)
+@query(f"SELECT arg_min(v, p) AS representative, count(*) AS n FROM (SELECT v, canonical, {_CLASS_P} AS p FROM vectors) GROUP BY canonical", v.DOSAGE_SQL, _VECTORS_SQL)
 def a16_representatives(spark: SparkSession, d: str) -> DataFrame:
     c = _classed(spark, d)
     sizes = c.groupBy("global_class").agg(F.count("*").alias("n"))
@@ -608,19 +608,19 @@ def a16_representatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT count(*) AS class_size, arg_min(v, p) AS representative, count(DISTINCT v % 10) AS n_chromosomes, min(v * 100) AS minimum_position, max(v * 100) AS maximum_position, string_agg(concat('S', CAST(v AS VARCHAR), '@chr', CAST(v % 10 + 1 AS VARCHAR), ':', CAST(v * 100 AS VARCHAR)), '; ' ORDER BY v) AS alias_mappings FROM (SELECT v, canonical, {_CLASS_P} AS p FROM small) GROUP BY canonical",
-    v.DOSAGE_SQL, _SMALL_SQL,
+    f"SELECT count(*) AS class_size, arg_min(v, p) AS representative, count(DISTINCT v % 10) AS n_chromosomes, min(v * 100) AS minimum_position, max(v * 100) AS maximum_position, string_agg(concat('S', CAST(v AS VARCHAR), '@chr', CAST(v % 10 + 1 AS VARCHAR), ':', CAST(v * 100 AS VARCHAR)), '; ' ORDER BY v) AS alias_mappings FROM (SELECT v, canonical, {_CLASS_P} AS p FROM vectors) GROUP BY canonical",
+    v.DOSAGE_SQL, _VECTORS_SQL,
 )
 def a17_global_classes(spark: SparkSession, d: str) -> DataFrame:
     return genotype.class_tables(_classed(spark, d))["global_classes"].drop("global_class", "global_id")
 
 
-@query(f"SELECT CAST(v % 10 + 1 AS INTEGER) AS CHR, count(*) AS class_size, round(min({_CLASS_P}), 8) AS minimum_p_ACAT, round(max({_CLASS_P}) - min({_CLASS_P}), 8) AS spread_ACAT FROM small GROUP BY canonical, v % 10", v.DOSAGE_SQL, _SMALL_SQL)
+@query(f"SELECT CAST(v % 10 + 1 AS INTEGER) AS CHR, count(*) AS class_size, round(min({_CLASS_P}), 8) AS minimum_p_ACAT, round(max({_CLASS_P}) - min({_CLASS_P}), 8) AS spread_ACAT FROM vectors GROUP BY canonical, v % 10", v.DOSAGE_SQL, _VECTORS_SQL)
 def a18_class_spread(spark: SparkSession, d: str) -> DataFrame:
     return genotype.class_tables(_classed(spark, d))["test_classes"].select("CHR", "class_size", r8("minimum_p_ACAT").alias("minimum_p_ACAT"), r8("spread_ACAT").alias("spread_ACAT"))
 
 
-@query(f"SELECT v AS variant_index FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY p, v) AS g FROM (SELECT *, row_number() OVER (PARTITION BY canonical, v % 10 ORDER BY p, v) AS t FROM (SELECT v, canonical, {_CLASS_P} AS p FROM small)) WHERE t = 1) WHERE g = 1", v.DOSAGE_SQL, _SMALL_SQL)
+@query(f"SELECT v AS variant_index FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY p, v) AS g FROM (SELECT *, row_number() OVER (PARTITION BY canonical, v % 10 ORDER BY p, v) AS t FROM (SELECT v, canonical, {_CLASS_P} AS p FROM vectors)) WHERE t = 1) WHERE g = 1", v.DOSAGE_SQL, _VECTORS_SQL)
 def w3_collapse(spark: SparkSession, d: str) -> DataFrame:
     return genotype.collapse(_classed(spark, d), "ACAT").select("variant_index")
 
@@ -646,10 +646,18 @@ def a1_simple_means(spark: SparkSession, d: str) -> DataFrame:
     return phenotype.simple_means(v.plots(spark, d)).withColumn("INC_SIMPLE_RAW", F.round("INC_SIMPLE_RAW", 6)).withColumn("SEV_SIMPLE_RAW", r8("SEV_SIMPLE_RAW"))
 
 
-@query("SELECT ID_std, round(avg(INC) FILTER (Location = 'ASIA'), 6) AS INC_SITE_ASIA, round(avg(SEV) FILTER (Location = 'EUROPE'), 8) AS SEV_SITE_EUROPE, nullif(count(*) FILTER (Location = 'AFRICA'), 0) AS N_SITE_AFRICA FROM plots GROUP BY ID_std", v.PLOTS_SQL)
+#: The names in the table of regions.
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+@query(
+    "SELECT ID_std, " + ", ".join(f"round(avg(INC) FILTER (Location = '{r}'), 6) AS INC_SITE_{r.replace(' ', '_')}, round(avg(SEV) FILTER (Location = '{r}'), 8) AS SEV_SITE_{r.replace(' ', '_')}, nullif(count(*) FILTER (Location = '{r}'), 0) AS N_SITE_{r.replace(' ', '_')}" for r in _REGIONS) + " FROM plots GROUP BY ID_std",
+    v.PLOTS_SQL,
+)
 def a2_location_traits(spark: SparkSession, d: str) -> DataFrame:
-    t = phenotype.location_traits(v.plots(spark, d), ["AFRICA", "ASIA", "EUROPE"])
-    return t.select("ID_std", F.round("INC_SITE_ASIA", 6).alias("INC_SITE_ASIA"), r8("SEV_SITE_EUROPE").alias("SEV_SITE_EUROPE"), "N_SITE_AFRICA")
+    t = phenotype.location_traits(v.plots(spark, d), _REGIONS)
+    digits = {"INC": 6, "SEV": 8}
+    return t.select(*(F.round(c, digits[c[:3]]).alias(c) if c[:3] in digits else F.col(c) for c in t.columns))
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT ID_std) AS ids, count(DISTINCT Location) AS locations, count(DISTINCT Stratum) AS strata, count(*) FILTER (INC = 0 AND SEV = 0) AS zero_zero, len(list(DISTINCT SEV)) AS severities FROM plots", v.PLOTS_SQL)
