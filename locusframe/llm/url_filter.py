@@ -1,13 +1,15 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 Features: lengths of url, host and path, depth, dots and dashes of the host, share of digits, entropy of the letters,
-number of parameters, scheme, fragment, and two statistics of the host's suffix, which is hashed to a fixed number of
-bins so that the table of statistics has a bound. The trees learn from urls with a label, by default those that a
-rule decides; the labelled sample is bounded by SAMPLE and chosen by a hash of the url. All of it are DataFrame
-expressions and Spark ML.
+number of parameters, scheme, fragment, and statistics of the host's suffix and of the path's first segment: their share
+of all urls and the share of blocked ones among theirs. Suffixes and segments are hashed to a fixed number of bins, so
+that the tables of statistics have a bound, and a url's statistics leave out the fold of urls that it is in, so that no
+label speaks for itself. The trees learn from urls with a label, by default those that a rule decides; a url without a
+label counts as one to allow, as the ones to block are what rules name. Of either kind a hash of the url chooses a
+sample, bounded by SAMPLE in all, weighted back to its number. All of it are DataFrame expressions and Spark ML.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule, and is judged by the trees like
-any other; without labels of both kinds every url that no rule decides is allowed; an empty table gives an empty
+any other; where nothing, or everything, is labelled to block, every url that no rule decides is allowed; an empty table gives an empty
 result; rows that repeat get the same verdict; extra columns are left out.
 """
 
@@ -33,11 +35,12 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Bound of the labelled sample that the trees are fitted to.
+#: Bound of the sample that the trees are fitted to.
 SAMPLE = 4_000
-SUFFIX_BINS = 256
+#: Of hashed suffixes and segments; of urls whose labels are left out of each other's statistics.
+BINS, FOLDS = 256, 5
 TREES, DEPTH = 12, 4
-FEATURES = ("f_url_len", "f_host_len", "f_path_len", "f_depth", "f_dots", "f_dashes", "f_digits", "f_entropy", "f_params", "f_https", "f_fragment", "f_suffix_share", "f_suffix_block")
+FEATURES = ("f_url_len", "f_host_len", "f_path_len", "f_depth", "f_dots", "f_dashes", "f_digits", "f_entropy", "f_params", "f_https", "f_fragment", "f_suffix_share", "f_suffix_block", "f_segment_share", "f_segment_block")
 
 
 def host_of(url: Column) -> Column:
@@ -83,48 +86,80 @@ def lexical(pages: DataFrame) -> DataFrame:
         "f_fragment": (F.instr("u", "#") > 0).cast("int"),
     }
     d = d.withColumns({k: v.cast("double") for k, v in number.items()})
-    return d.withColumn("suffix_bin", F.pmod(F.xxhash64(F.element_at(F.split("host", r"\."), -1)), F.lit(SUFFIX_BINS)).cast("int")).drop("u")
+    suffix, segment = F.element_at(F.split("host", r"\."), -1), F.split_part("path", F.lit("/"), F.lit(2))
+    bins = {k: F.pmod(F.xxhash64(v), F.lit(BINS)).cast("int") for k, v in (("suffix_bin", suffix), ("segment_bin", segment))}
+    return d.withColumns(bins).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "u"), F.lit(FOLDS)).cast("int")).drop("u")
 
 
-def suffix_statistics(featured: DataFrame) -> DataFrame:
-    """Of each bin of suffixes: its share of all urls and the smoothed share of blocked ones among its labelled ones."""
-    t = featured.groupBy("suffix_bin").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
-    whole = F.sum("n").over(W.partitionBy(F.lit(0)))  # over SUFFIX_BINS rows at most
-    return t.select("suffix_bin", (F.col("n") / whole).alias("f_suffix_share"), ((F.col("blocked") + 1.0) / (F.col("labelled") + 2.0)).alias("f_suffix_block"))
+def statistics(featured: DataFrame, what: str) -> DataFrame:
+    """Of each bin of ``what`` and each fold: the bin's share of urls and of blocked ones in the other folds, at most BINS x FOLDS rows."""
+    t = featured.groupBy(F.col(f"{what}_bin").alias("of_bin"), F.col("fold").alias("of_fold")).agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
+    # Folds in which a bin has no url meet no row; those that have some leave their own out.
+    whole, own, fold = (W.partitionBy(*x) for x in ([F.lit(0)], ["of_bin"], ["of_fold"]))
+    n = F.sum("n").over(own) - F.col("n")
+    share = n / F.greatest(F.sum("n").over(whole) - F.sum("n").over(fold), F.lit(1))
+    blocked = (F.sum("blocked").over(own) - F.col("blocked") + 0.1) / (n + 1.0)
+    return t.select("of_bin", "of_fold", share.alias(f"f_{what}_share"), blocked.alias(f"f_{what}_block"))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
-    """Trees on rows with the features and a label of 0 or 1; None where only one label occurs."""
-    kinds = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+def with_statistics(featured: DataFrame) -> DataFrame:
+    for what in ("suffix", "segment"):
+        own = statistics(featured, what)
+        featured = featured.join(F.broadcast(own), (featured[f"{what}_bin"] == own["of_bin"]) & (featured["fold"] == own["of_fold"])).drop("of_bin", "of_fold")
+    return featured
+
+
+def fit(featured: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
+    """Trees on rows with the features, a label of 1 to block or else 0; None where one of them doesn't occur."""
+    d = featured.withColumn("label", F.coalesce("label", F.lit(0.0)))
+    kinds = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}
     if len(kinds) < 2:
         return None
-    share = min(1.0, sample / sum(kinds.values()))
+    share = F.when(F.col("label") > 0, min(1.0, sample / 2 / kinds[1.0])).otherwise(min(1.0, sample / 2 / kinds[0.0]))
     draw = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / float(1 << 30)
     # All tasks filter; only the sample, which has a bound, goes to one partition, and is written so that it's drawn once.
     # In one sorted partition floating-point sums, and so the trees, come out alike in each run.
-    chosen = keep(labelled.filter(draw < share).select("label", *FEATURES).repartition(1).sortWithinPartitions(*FEATURES, "label"), "url-sample")
+    chosen = d.filter(draw < share).select("label", (1.0 / share).alias("weight"), *FEATURES)
+    chosen = keep(chosen.repartition(1).sortWithinPartitions(*FEATURES, "label"), "url-sample")
     if chosen.select("label").distinct().count() < 2:
         return None
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
+    trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
     return PipelineModel([rows, trees.fit(rows.transform(chosen))])
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labels: Column | None = None) -> DataFrame:
-    """(page_id, url) rows with host, path, rule, block_probability and verdict. ``labels``: 1 to block, 0 to allow, or null."""
+def labelled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labels: Column | None = None) -> DataFrame:
+    """(page_id, url) rows with features, statistics, rule, decided (its verdict) and label: 1 to block, 0 to allow, or null."""
     d = lexical(pages.select("page_id", "url"))
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
     d = d.withColumn("rule", rule).withColumn("decided", decided)
-    d = d.withColumn("label", (F.when(F.col("decided") == "block", 1.0).when(F.col("decided") == "allow", 0.0) if labels is None else labels).cast("double"))
-    # At most SUFFIX_BINS rows.
-    d = d.join(F.broadcast(suffix_statistics(d)), "suffix_bin")
-    model = fit(d.filter(F.col("label").isNotNull()))
+    own = F.when(F.col("decided") == "block", 1.0).when(F.col("decided") == "allow", 0.0) if labels is None else labels
+    return with_statistics(d.withColumn("label", own.cast("double")))
+
+
+def judged(featured: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """Adds block_probability and own, the trees' verdict."""
     if model is None:
-        d = d.withColumn("block_probability", F.lit(0.0))
+        d = featured.withColumn("block_probability", F.lit(0.0))
     else:
-        d = model.transform(d).withColumn("block_probability", F.get(vector_to_array("probability"), F.lit(1)))
-    own = F.when(F.col("block_probability") > 0.5, "block").otherwise("allow")
-    return d.select("page_id", "url", "host", "path", "rule", "block_probability", F.coalesce("decided", own).alias("verdict"))
+        d = model.transform(featured).withColumn("block_probability", F.get(vector_to_array("probability"), F.lit(1)))
+    return d.withColumn("own", F.when(F.col("block_probability") > 0.5, "block").otherwise("allow"))
+
+
+def held_out_quality(pages: DataFrame) -> dict[str, float]:
+    """Precision and recall of the trees' verdict to block on a fold of urls whose labels they haven't seen, as the rules have it."""
+    d = labelled(pages)
+    hidden = F.col("fold") == 0
+    got = judged(d.filter(hidden & F.col("label").isNotNull()), fit(d.filter(~hidden)))
+    hit, said, true = got.agg(F.count_if((F.col("own") == "block") & (F.col("label") == 1)), F.count_if(F.col("own") == "block"), F.count_if(F.col("label") == 1)).first()
+    return {"precision": hit / max(said, 1), "recall": hit / max(true, 1), "blocked": float(true)}
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labels: Column | None = None) -> DataFrame:
+    """(page_id, url) rows with host, path, rule, block_probability and verdict. ``labels``: 1 to block, 0 to allow, or null."""
+    d = labelled(pages, rules, labels)
+    d = judged(d, fit(d))
+    return d.select("page_id", "url", "host", "path", "rule", "block_probability", F.coalesce("decided", "own").alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
