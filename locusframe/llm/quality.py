@@ -142,3 +142,33 @@ def apply_rules(docs: DataFrame, rules: tuple[tuple[str, float | None, float | N
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(F.col(f"q_{n}").alias(n) for n in names))
+
+
+def _broken_sql() -> str:
+    """The conditions of RULES that break, in SQL."""
+    ratio = lambda a, b: f"(CASE WHEN {b} = 0 THEN 0.0::DOUBLE ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END)"
+    value = {
+        "n_words": "CAST(n_words AS DOUBLE)", "mean_word_chars": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "n_words"), "stop_ratio": ratio("n_stop", "n_words"),
+        "dup_line_ratio": ratio("n_dup_lines", "n_lines"), "repeat_ratio": ratio("n_repeat_words", "n_words"), "upper_ratio": ratio("n_upper", "word_chars"),
+    }
+    sides = [f"{value[k]} {sign} {x}::DOUBLE" for k, low, high in RULES for sign, x in (("<", low), (">", high)) if x is not None]
+    return " OR ".join(sides)
+
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+OP9_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM cut WHERE len(w) >= {WINDOW})
+), starts AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS times FROM windows) WHERE times > 1),
+covered AS (SELECT r, sum(least({WINDOW}, coalesce(after - i, {WINDOW}))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM starts) GROUP BY r),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    len(list_filter(w, lambda x: lower(x) IN ({_STOP_SQL}))) AS n_stop, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper
+  FROM cut LEFT JOIN covered USING (r)
+), judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_broken_sql()}) AS kept FROM judged
+"""

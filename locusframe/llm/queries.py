@@ -17,5 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {
+    "op1_chat_format": chat.OP1_SQL,
+    "op9_quality_rules": quality.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
