@@ -10,8 +10,10 @@ Template: ``[INST]`` text ``[/INST]`` for a user, ``<s>`` text ``</s>`` for an a
 ``<</SYS>>`` for a system prompt, ``[ROLE:`` name ``]`` text ``[/ROLE]`` for any other role. A control string inside a
 text gets a backslash after its first letter, one more where it had some, so that unescaping is exact.
 
-Everything is DataFrame expressions. No step puts the rows of a conversation into one task but the digest of the
-query, which is a hash of the whole conversation by contract; it gets a row for each run of 256 turns.
+Everything is DataFrame expressions. Events are dealt by conversation once; grouping, sorting, the running maximum and
+the digests find their rows together and shuffle nothing again. A conversation's events stream through one task, sorted
+and spilled where they are many; one message's events are one row, and the digest of the query, a hash of the whole
+conversation by contract, is made of runs of 256 turns.
 
 Edge cases: null text and role are empty; a null conv_id is a conversation of its own; events that share conv_id and
 message_id are one message; ties of seq are folded in the order of kind and text (message, delta, edit, regenerate);
@@ -32,8 +34,6 @@ OTHER = ("[ROLE:", "[/ROLE]")
 _TAILS = r"(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ROLE:|/ROLE\])"
 #: Turns that are joined to one row before a conversation's rows are.
 RUN = 256
-#: Sequence numbers in a block of the running maximum.
-BLOCK = 1024
 KINDS = ("message", "delta", "edit", "regenerate")
 
 
@@ -70,26 +70,9 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def _with_earlier_regeneration(messages: DataFrame) -> DataFrame:
-    """Adds taken_back: the last regeneration of a message that stands earlier in the conversation.
-
-    A running maximum in two steps, over blocks of sequence numbers and inside a block, so that a long conversation is
-    dealt to many tasks.
-    """
-    m = messages.withColumn("block", F.floor(F.coalesce(F.col("seq"), F.lit(0)) / BLOCK))
-    order = [F.col("seq").asc_nulls_first(), F.col("message_id").asc_nulls_first()]
-    inside = W.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    by_block = m.filter(F.col("regenerated").isNotNull()).groupBy("conv_id", "block").agg(F.max("regenerated").alias("high"))
-    # Blocks that hold a regeneration, each with the first block that it reaches.
-    reach = by_block.select(F.col("conv_id").alias("r_conv"), F.col("block").alias("r_block"), F.max("high").over(W.partitionBy("conv_id").orderBy("block")).alias("before"))
-    spans = reach.withColumn("until", F.lead("r_block").over(W.partitionBy("r_conv").orderBy("r_block")))
-    blocks = m.select("conv_id", "block").distinct()
-    prefix = (
-        blocks.join(spans, blocks["conv_id"].eqNullSafe(F.col("r_conv")) & (F.col("block") > F.col("r_block")) & (F.col("until").isNull() | (F.col("block") <= F.col("until"))))
-        .select(F.col("conv_id").alias("p_conv"), F.col("block").alias("p_block"), "before")
-    )
-    m = m.withColumn("here", F.max("regenerated").over(inside))
-    m = m.join(prefix, m["conv_id"].eqNullSafe(F.col("p_conv")) & (F.col("block") == F.col("p_block")), "left")
-    return m.withColumn("taken_back", F.greatest("here", "before")).drop("here", "before", "p_conv", "p_block", "block")
+    """Adds taken_back: the last regeneration of a message that stands earlier in the conversation, as a running maximum."""
+    before = W.partitionBy("conv_id").orderBy(F.col("seq").asc_nulls_first(), F.col("message_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    return messages.withColumn("taken_back", F.max("regenerated").over(before))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -161,7 +144,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     trial = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trial).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return digests(render(fold(turn_events(turns))))
+    return digests(render(fold(turn_events(turns.repartition("conv_id")))))
 
 
 OP1_SQL = r"""
