@@ -18,6 +18,7 @@ empty result; extra columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, rows_a_batch, table
+from .common import Scratch, rows_a_batch, table
 from .components import components
 
 COSINE = 0.93
 #: Vectors that the axes are fitted to, at most about so many.
 SAMPLE = 10_000
 #: Leading axes: of the grid that orders, of the cells by which blocks meet, of the boxes.
-GRID, MEET, BOX = 4, 2, 8
+GRID, MEET, BOX = 4, 3, 8
 BLOCK, LEAF = 1024, 128
+#: Coordinates of a cell, that lie within some tens of 0, as one number.
+STRIDES = np.array([1 << 20 * k for k in range(MEET)], np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -58,7 +61,7 @@ def axes_of(vectors: DataFrame) -> dict[int, np.ndarray]:
     by_size: dict[int, list[list[float]]] = {}
     for (e,) in rows:
         by_size.setdefault(len(e), []).append(e)
-    return {k: fit_axes(np.array(v, np.float32)) for k, v in by_size.items()}
+    return {k: fit_axes(np.array(v, np.float64)) for k, v in by_size.items()}
 
 
 def join_blocks(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, radius: float, cosine: float) -> np.ndarray:
@@ -91,18 +94,21 @@ def reached(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[n
         la, lb = na, nb
 
 
-def _matrix(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.float32).reshape(n, -1)
+def _matrix(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(n, -1)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of each (vec_id, embedding, label) row."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark)
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-9
-    v = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    # Floats stay floats, which is half the data; other numbers are taken as doubles.
+    held_as, kind_of = ("float", np.float32) if dict(vectors.dtypes)["embedding"] == "array<float>" else ("double", np.float64)
+    v = vectors.select("vec_id", F.col("embedding").cast(f"array<{held_as}>").alias("embedding"), "label")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0)
-    classes = keep(v.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
+    classes = scratch.keep(v.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
     axes = spark.sparkContext.broadcast(axes_of(classes))
 
     def project(x: np.ndarray) -> np.ndarray:
@@ -125,7 +131,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     types = dict(classes.dtypes)
     grid = ", ".join(f"c{k} int" for k in range(GRID))
     order = ["label", "size", *(f"c{k}" for k in range(GRID)), "rep"]
-    laid = classes.mapInArrow(cells, f"label {types['label']}, embedding array<float>, rep {types['rep']}, weight long, size int, {grid}")
+    laid = classes.mapInArrow(cells, f"label {types['label']}, embedding array<{held_as}>, rep {types['rep']}, weight long, size int, {grid}")
     # The ids in the order let a crowded cell be cut anywhere.
     laid = laid.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -135,9 +141,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal made
-            x = np.array([h[2] for h in held], np.float32)
+            x = np.array([h[2] for h in held], kind_of)
             p = project(x)
-            code = sorted({(int(a) << 32) + int(b) for a, b in np.floor(np.pad(p, ((0, 0), (0, max(0, MEET - p.shape[1]))))[:, :MEET] / radius)})
+            at = np.floor(np.pad(p, ((0, 0), (0, max(0, MEET - p.shape[1]))))[:, :MEET] / radius).astype(np.int64)
+            code = np.unique(at @ STRIDES).tolist()
             row = [[v] for v in ((part << 32) + made, held[0][0], held[0][1], p.min(axis=0).tolist(), p.max(axis=0).tolist(), code, [h[3] for h in held], [h[4] for h in held], x.tobytes())]
             made += 1
             held.clear()
@@ -152,10 +159,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         if held:
             yield flush()
 
-    table_of_blocks = keep(laid.mapInArrow(blocks, f"block long, label {types['label']}, size int, lo array<double>, hi array<double>, cells array<long>, ids array<long>, weights array<long>, data binary"), "blocks")
+    table_of_blocks = scratch.keep(laid.mapInArrow(blocks, f"block long, label {types['label']}, size int, lo array<double>, hi array<double>, cells array<long>, ids array<long>, weights array<long>, data binary"), "blocks")
     box = table_of_blocks.select("block", "label", "size", "lo", "hi", "cells")
     side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi")]
-    around = F.array(*(F.lit((i << 32) + j) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    around = F.array(*(F.lit(int(np.dot(step, STRIDES))) for step in product((-1, 0, 1), repeat=MEET)))
     near = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.transform(around, lambda d: c + d))))
     left = box.select("label", "size", *side("a"), F.explode("cells").alias("cell"))
     right = box.select("label", "size", *side("b"), F.explode(near).alias("cell"))
@@ -169,7 +176,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             for k in range(len(batch)):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
                 ia, ib, wa, wb = (np.array(row[c].as_py(), np.int64) for c in ("ids_a", "ids_b", "weights_a", "weights_b"))
-                xa, xb = _matrix(row["data_a"].as_py(), len(ia)), _matrix(row["data_b"].as_py(), len(ib))
+                xa, xb = _matrix(row["data_a"].as_py(), len(ia), kind_of), _matrix(row["data_b"].as_py(), len(ib), kind_of)
                 linked = join_blocks(unit(xa), unit(xb), project(xa), project(xb), radius, cosine)
                 same = row["block_a"].as_py() == row["block_b"].as_py()
                 if same:
@@ -182,9 +189,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     data = lambda k: table_of_blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("block", "ids", "weights", "data")))
     joined = pairs.join(data("a"), "block_a").join(data("b"), "block_b")
     with rows_a_batch(spark, 32):  # a row holds up to a megabyte
-        found = keep(joined.mapInArrow(compare, "rep long, n long, to long"), "links")
+        found = scratch.keep(joined.mapInArrow(compare, "rep long, n long, to long"), "links")
     n_links = found.groupBy(F.col("rep").alias("c_rep")).agg(F.sum("n").alias("n"))
-    labels = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    labels = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")), scratch)
+    scratch.drop("blocks")
     whole = v.withColumn("usable", usable).join(classes.withColumnRenamed("label", "k_label").withColumnRenamed("embedding", "k_embedding"), F.col("usable") & (F.col("label") == F.col("k_label")) & (F.col("embedding") == F.col("k_embedding")), "left")
     whole = whole.join(n_links, F.col("rep") == F.col("c_rep"), "left").join(labels, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "vec_id")
