@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,13 @@ def require_unique(df: DataFrame, key: str, what: str) -> None:
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
-    """Inner join in which every row of the left finds exactly one of the right."""
-    require_unique(left, key, what)
-    require_unique(right, key, what)
-    lost = left.join(right.select(key), key, "left_anti").limit(1).collect()
-    require(not lost, f"{what}: no partner for {lost}")
+    """Inner join in which every row of the left finds exactly one of the right. One job checks both sides."""
+    sides = left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(key, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = sides.groupBy(key).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+    bad = counts.filter(F.col(key).isNull() | (F.col("n_left") > 1) | (F.col("n_right") > 1) | (F.col("n_right") < F.col("n_left"))).limit(1).collect()
+    if bad:
+        require(bad[0][key] is not None and max(bad[0]["n_left"], bad[0]["n_right"]) < 2, f"{what}: {key} is null or repeats: {bad}")
+        require(False, f"{what}: no partner for {bad}")
     return left.join(right, key)
 
 
@@ -35,3 +39,16 @@ def expect(df: DataFrame, n: int, what: str) -> DataFrame:
     got = df.count()
     require(got == n, f"{what}: {got} rows instead of {n}")
     return df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed: for one that several statistics read, so that its plan isn't repeated in theirs.
+
+    The folder is the one of spark.checkpoint.dir; only a local session without it takes a temporary one.
+    """
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        require(bool(folder) or session.sparkContext.master.startswith("local"), "spark.checkpoint.dir must name a shared folder")
+        session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from locusframe.functions.stats import CHI2_1_MEDIAN, chi2_1_isf, clip, neglog10, norm_ppf
 
-#: Rows that a global rank puts in one task at most, about; more are dealt to ranges of the ordering value.
-RANGE_ROWS = 2_000_000
+#: Ranges of a value, by quantiles, that a global order is dealt to; each is a task's share of a window.
+RANGES = 64
+
+
+def ranged(counts: DataFrame, p: str, group: str) -> DataFrame:
+    """Adds _range, the number of quantiles of ``p`` in its group that a value is above: at most RANGES ranges a group."""
+    cuts = counts.groupBy(group).agg(F.percentile_approx(p, [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    dealt = counts.join(F.broadcast(cuts), group)  # one row a group
+    return dealt.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(p)))).drop("_cuts")
 
 
-def range_of(df: DataFrame, value: str, rows: int) -> Column:
-    """Number of the range of ``value`` that a row is in, by quantiles; 0 for all of a small table."""
-    parts = max(1, rows // RANGE_ROWS)
-    if parts == 1:
-        return F.lit(0)
-    cuts = df.select(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000)).first()[0]
-    return reduce(lambda a, c: a + c, [(F.col(value) > c).cast("int") for c in sorted(set(cuts))], F.lit(0))
+def running_counts(counts: DataFrame, p: str, group: str) -> DataFrame:
+    """(group, p, k) with _range, _upto (the rows of the group up to and with p) and _n (all of the group).
+
+    Windows stay within ranges; sums of whole ranges, at most RANGES rows a group, are added to them.
+    """
+    dealt = ranged(counts, p, group)
+    order = W.partitionBy(group).orderBy("_range")
+    sums = dealt.groupBy(group, "_range").agg(F.sum("k").alias("_own"))
+    before = sums.select(group, "_range", (F.sum("_own").over(order) - F.col("_own")).alias("_before"), F.sum("_own").over(W.partitionBy(group)).alias("_n"))
+    up = W.partitionBy(group, "_range").orderBy(p).rowsBetween(W.unboundedPreceding, 0)
+    return dealt.withColumn("_upto", F.sum("k").over(up)).join(F.broadcast(before), [group, "_range"]).withColumn("_upto", F.col("_upto") + F.col("_before")).drop("_before")
 
 
 def bh_adjust(df: DataFrame, p: str, q: str, strict: bool = False) -> DataFrame:
@@ -32,52 +41,52 @@ def bh_adjust(df: DataFrame, p: str, q: str, strict: bool = False) -> DataFrame:
     return bh_columns(df, {p: q})
 
 
-def bh_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Adds q-values of several columns, each from the same input, so that plans add up instead of nesting.
+def _safe(p: str) -> Column:
+    return F.when(F.abs(p) < float("inf"), clip(F.col(p), 0.0, 1.0)).otherwise(F.lit(1.0))
 
-    Values that aren't finite count as 1 and all are clipped to [0, 1]; ties get the same value, so no other key is needed.
-    """
-    n = df.count()
-    safe = {p: F.when(F.abs(p) < float("inf"), clip(F.col(p), 0.0, 1.0)).otherwise(F.lit(1.0)) for p in names}
-    out = df.withColumns({f"_safe_{p}": c for p, c in safe.items()})
-    for p, q in names.items():
-        out = out.join(_step_up(df.select(safe[p].alias(f"_safe_{p}")), f"_safe_{p}", q, n), f"_safe_{p}").drop(f"_safe_{p}")
-    return out
 
+def bh_columns(df: DataFrame, names: dict[str, str], key: str | None = None) -> DataFrame:
+    """Adds q-values of several columns: one pass over (column, p) pairs.
 
-def _step_up(values: DataFrame, p: str, q: str, n: int) -> DataFrame:
-    """(p, q) of distinct values. Beyond RANGE_ROWS they are dealt to ranges, whose counts and minima, one row each, are summed up."""
-    part = range_of(values, p, n)
-    counts = values.groupBy(p).agg(F.count("*").alias("k"))
-    if n < 2 * RANGE_ROWS:
-        up = W.orderBy(p)
-        raw = counts.withColumn("_raw", F.col(p) * F.lit(float(n)) / F.sum("k").over(up.rowsBetween(W.unboundedPreceding, 0)))
-        return raw.select(p, F.least(F.min("_raw").over(up.rowsBetween(0, W.unboundedFollowing)), F.lit(1.0)).alias(q))
-    counts = counts.withColumn("_range", part)
-    up = W.partitionBy("_range").orderBy(p)
-    totals = counts.groupBy("_range").agg(F.sum("k").alias("_n"))
-    before = totals.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    raw = counts.join(F.broadcast(before), counts["_range"] == F.col("_r")).drop("_r")
-    raw = raw.withColumn("_raw", F.col(p) * F.lit(float(n)) / (F.col("_before") + F.sum("k").over(up.rowsBetween(W.unboundedPreceding, 0))))
-    lowest = raw.groupBy("_range").agg(F.min("_raw").alias("_low"))
-    later = lowest.select(F.col("_range").alias("_r"), F.min("_low").over(W.orderBy("_range").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
-    raw = raw.join(F.broadcast(later), raw["_range"] == F.col("_r"))
-    return raw.select(p, F.least(F.min("_raw").over(up.rowsBetween(0, W.unboundedFollowing)), "_later", F.lit(1.0)).alias(q))  # nulls are skipped
+    Values that aren't finite count as 1 and all are clipped to [0, 1]; ties get the same value. With a unique ``key`` the
+    q-values come back by one join on it, else by one join on p for each column.
+    """
+    pairs = F.inline(F.array(*(F.struct(F.lit(q).alias("_name"), _safe(p).alias("_p")) for p, q in names.items())))
+    if key is None:
+        q = _step_up(df.select(pairs))
+        out = df
+        for p, name in names.items():
+            out = out.withColumn("_p", _safe(p)).join(q.filter(F.col("_name") == name).select("_p", F.col("_q").alias(name)), "_p").drop("_p")
+        return out
+    long = df.select(key, pairs)
+    found = long.join(_step_up(long), ["_name", "_p"]).groupBy(key).agg(*(F.max(F.when(F.col("_name") == q, F.col("_q"))).alias(q) for q in names.values()))
+    return df.join(found, key)
+
+
+def _step_up(values: DataFrame) -> DataFrame:
+    """(_name, _p, _q) of the distinct values of each name."""
+    counts = running_counts(values.groupBy("_name", "_p").agg(F.count("*").alias("k")), "_p", "_name")
+    raw = counts.withColumn("_raw", F.col("_p") * F.col("_n").cast("double") / F.col("_upto"))
+    lowest = raw.groupBy("_name", "_range").agg(F.min("_raw").alias("_low"))
+    later = lowest.select("_name", "_range", F.min("_low").over(W.partitionBy("_name").orderBy("_range").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    down = W.partitionBy("_name", "_range").orderBy("_p").rowsBetween(0, W.unboundedFollowing)
+    q = F.least(F.min("_raw").over(down), "_later", F.lit(1.0))  # nulls are skipped
+    return raw.join(F.broadcast(later), ["_name", "_range"]).select("_name", "_p", q.alias("_q"))
 
 
 def rank_normal(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Adds the inverse-normal transform of the average ranks of several columns, each from the same input.
 
-    Nulls stay null and don't count. Ranks are running sums over distinct values.
+    Nulls stay null and don't count. Ranks are running sums over distinct values, within ranges of them.
     """
-    out = df.withColumns({f"_v_{c}": F.when(F.isnan(c), None).otherwise(F.col(c)) for c in names})
+    value = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c)).cast("double")
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("_name"), value(c).alias("_v")) for c in names)))).dropna()
+    ranks = running_counts(long.groupBy("_name", "_v").agg(F.count("*").alias("k")), "_v", "_name")
+    ranks = ranks.withColumn("_rank", F.col("_upto") - (F.col("k") - 1) / 2)
+    out = df
     for c, name in names.items():
-        v = f"_v_{c}"
-        counts = df.select(F.when(F.isnan(c), None).otherwise(F.col(c)).alias(v)).dropna().groupBy(v).agg(F.count("*").alias("k"))
-        below = F.coalesce(F.sum("k").over(W.orderBy(v).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        n = F.sum("k").over(W.partitionBy(F.lit(0)))
-        ranks = counts.select(v, norm_ppf(clip((below + (F.col("k") + 1) / 2 - 0.5) / n, 1e-12, 1 - 1e-12)).alias(name))
-        out = out.join(ranks, v, "left").drop(v)
+        own = ranks.filter(F.col("_name") == c).select("_v", norm_ppf(clip((F.col("_rank") - 0.5) / F.col("_n"), 1e-12, 1 - 1e-12)).alias(name))
+        out = out.withColumn("_v", value(c)).join(own, "_v", "left").drop("_v")
     return out
 
 
@@ -109,11 +118,11 @@ def jaccard_top(df: DataFrame, a: str, b: str, fractions: list[float], key: str
 
 
 def qq_points(df: DataFrame, p: str, key: str = "variant_index") -> DataFrame:
-    """Expected and observed -log10 p in order, for a plot."""
-    d = df.filter((F.col(p) > 0) & (F.col(p) <= 1))
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    i = F.row_number().over(W.orderBy(p, key))
-    return d.select(key, (-F.log10((i - 0.5) / n)).alias("expected"), neglog10(F.col(p)).alias("observed"))
+    """Expected and observed -log10 p in order, for a plot. Ties are ordered by key."""
+    d = df.filter((F.col(p) > 0) & (F.col(p) <= 1)).select(key, F.col(p).alias("_p"), F.lit(p).alias("_name"))
+    counts = running_counts(d.groupBy("_name", "_p").agg(F.count("*").alias("k")), "_p", "_name")
+    i = F.col("_upto") - F.col("k") + F.row_number().over(W.partitionBy("_p").orderBy(key))
+    return d.join(counts, ["_name", "_p"]).select(key, (-F.log10((i - 0.5) / F.col("_n"))).alias("expected"), neglog10(F.col("_p")).alias("observed"))
 
 
 def candidate_set(df: DataFrame, p: str, q: str | None = None, fdr: float | None = None, p_max: float | None = None, fallback: int | None = None, key: str = "variant_index") -> tuple[DataFrame, str]:

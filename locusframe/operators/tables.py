@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 
 from locusframe.functions import special
 from locusframe.functions.stats import acat, interval, neglog10, simes
-from locusframe.operators.guards import join_one_to_one, require_columns
-from locusframe.operators.ranking import bh_adjust, bh_columns, jaccard_top, lambda_gc
+from locusframe.operators.guards import cut, join_one_to_one, require, require_columns
+from locusframe.operators.ranking import bh_adjust, bh_columns, jaccard_top, lambda_gc, running_counts
 
 META = ("variant_index", "snp", "CHR", "pos", "MAF", "missing_rate")
 METHODS = ("INC", "SEV", "ACAT", "SIMES")
@@ -29,7 +29,7 @@ def trait_pair_table(inc: DataFrame, sev: DataFrame, test: str) -> DataFrame:
     named = lambda df, t: [F.col(c).alias("p_" + t if c == p else f"{c}_{t}") for c in _effects(df, p)]
     out = join_one_to_one(inc.select(*META, *named(inc, "INC")), sev.select("variant_index", *named(sev, "SEV")), "variant_index", f"{test} scans")
     out = out.withColumn("p_ACAT", acat(F.col("p_INC"), F.col("p_SEV"))).withColumn("p_SIMES", simes(F.col("p_INC"), F.col("p_SEV")))
-    out = bh_columns(out, {f"p_{m}": f"q_{m}" for m in METHODS})
+    out = bh_columns(out, {f"p_{m}": f"q_{m}" for m in METHODS}, "variant_index")
     for t in ("INC", "SEV"):
         if {f"beta_{t}", f"se_{t}"} <= set(out.columns):
             low, high = interval(F.col(f"beta_{t}"), F.col(f"se_{t}"))
@@ -68,23 +68,27 @@ def pearson(x: str, y: str):  # noqa: ANN201
     return F.when((sxx > 0) & (syy > 0), sxy / (F.sqrt(sxx) * F.sqrt(syy)))
 
 
-def with_average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds the average rank by counts of distinct values, whose running sum is small against the rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_k"))
-    below = F.coalesce(F.sum("_k").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(value, (below + (F.col("_k") + 1) / 2).alias(out)), value)
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rho, n."""
-    d = with_average_rank(with_average_rank(df.select(x, y).dropna(), x, "_rx"), y, "_ry")
-    return d.agg(pearson("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    """One row: rho, n. Average ranks of both columns come from one pass over their distinct values.
+
+    The two columns are checkpointed, as the ranks and the rows read them.
+    """
+    d = cut(df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).dropna())
+    long = d.select(F.inline(F.array(*(F.struct(F.lit(c).alias("_name"), F.col(c).alias("_v")) for c in ("_x", "_y")))))
+    ranks = running_counts(long.groupBy("_name", "_v").agg(F.count("*").alias("k")), "_v", "_name")
+    for c in ("_x", "_y"):
+        d = d.join(ranks.filter(F.col("_name") == c).select(F.col("_v").alias(c), (F.col("_upto") - (F.col("k") - 1) / 2).alias("_r" + c)), c)
+    return d.agg(pearson("_r_x", "_r_y").alias("rho"), F.count("*").alias("n"))
 
 
 def compare_pair(left: DataFrame, right: DataFrame, method: str, fdr: float = 0.10) -> DataFrame:
-    """One row that compares a method's p-values between two tests, joined by variant."""
+    """One row that compares a method's p-values between two tests, joined by variant.
+
+    The joined rows, eight numbers each, are checkpointed, as several statistics read them.
+    """
     both = left.select("variant_index", F.col(f"p_{method}").alias("pl"), F.col(f"q_{method}").alias("ql")).join(right.select("variant_index", F.col(f"p_{method}").alias("pr"), F.col(f"q_{method}").alias("qr")), "variant_index")
     both = both.withColumn("x", neglog10(F.col("pl"))).withColumn("y", neglog10(F.col("pr"))).withColumn("d", F.abs(F.col("x") - F.col("y")))
+    both = cut(both)
     hits = [F.count_if(c < fdr) for c in (F.col("ql"), F.col("qr"))]
     base = both.agg(
         pearson("x", "y").alias("pearson"), F.percentile("d", 0.5).alias("median_difference"), F.percentile("d", 0.99).alias("p99_difference"), F.max("d").alias("max_difference"),
@@ -107,12 +111,12 @@ def compare_tests(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def compare_scans(full: DataFrame, other: DataFrame, label: str) -> DataFrame:
-    """By method: rank correlation and smallest p of two scans, joined by variant."""
-    out = []
+    """By method: rank correlation and smallest p of two scans, joined by variant. The joined p-values are checkpointed."""
+    named = lambda df, side: df.select("variant_index", *(F.col(f"p_{m}").alias(f"{side}_{m}") for m in METHODS))
+    joined, out = cut(named(full, "a").join(named(other, "b"), "variant_index")), []
     for m in METHODS:
-        both = full.select("variant_index", F.col(f"p_{m}").alias("a")).join(other.select("variant_index", F.col(f"p_{m}").alias("b")), "variant_index")
-        low = both.agg(F.min("a").alias("full_min_p"), F.min("b").alias("other_min_p")).withColumn("_one", F.lit(1))
-        out.append(spearman(both, "a", "b").withColumn("_one", F.lit(1)).join(low, "_one").drop("_one").withColumn("metric", F.lit(f"p_{m}")))
+        low = joined.agg(F.min(f"a_{m}").alias("full_min_p"), F.min(f"b_{m}").alias("other_min_p")).withColumn("_one", F.lit(1))
+        out.append(spearman(joined, f"a_{m}", f"b_{m}").withColumn("_one", F.lit(1)).join(low, "_one").drop("_one").withColumn("metric", F.lit(f"p_{m}")))
     return reduce(DataFrame.unionByName, out).withColumn("comparison", F.lit(label))
 
 
@@ -140,7 +144,8 @@ def concordance(table: DataFrame, a: str = "p_INC", b: str = "p_SEV") -> tuple[D
 
 
 def method_comparison(table: DataFrame, fdr: float = 0.10) -> DataFrame:
-    """ACAT against Simes: rank correlation, hits, overlap of top lists."""
+    """ACAT against Simes: rank correlation, hits, overlap of top lists. The columns compared are checkpointed."""
+    table = cut(table.select("variant_index", "p_ACAT", "p_SIMES", "q_ACAT", "q_SIMES"))
     rho = spearman(table, "p_ACAT", "p_SIMES").select(F.lit("rank correlation").alias("comparison"), F.col("rho").alias("value"), F.lit(None).cast("double").alias("jaccard"))
     hits = table.agg(*(F.count_if(F.col(f"q_{m}") < fdr).cast("double").alias(m) for m in ("ACAT", "SIMES")))
     hits = hits.select(F.inline(F.array(*(F.struct(F.lit(f"hits {m}").alias("comparison"), F.col(m).alias("value"), F.lit(None).cast("double").alias("jaccard")) for m in ("ACAT", "SIMES")))))
@@ -159,6 +164,33 @@ def candidate_support(leads: DataFrame, tables: dict[str, tuple[DataFrame, list[
     return out
 
 
+def map_candidates(candidates: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Candidates (lead_snp, CHR, pos, ...) with variant_index of the mapping's row of that snp, which must agree in position."""
+    named = mapping.select(F.col("snp").alias("lead_snp"), "variant_index", F.col("CHR").alias("_chr"), F.col("pos").alias("_pos"))
+    out = join_one_to_one(candidates, named, "lead_snp", "candidate mapping")
+    off = out.filter(~(F.col("CHR").eqNullSafe(F.col("_chr")) & F.col("pos").eqNullSafe(F.col("_pos")))).limit(1).collect()
+    require(not off, f"candidate position disagrees with the mapping: {off}")
+    return out.drop("_chr", "_pos")
+
+
+def enrich_candidates(candidates: DataFrame, primary: DataFrame, others: dict[str, DataFrame], classes: DataFrame) -> DataFrame:
+    """Candidates with the primary scan's columns, intervals, p-values of other scans (suffixed by name) and alias classes.
+
+    A column of the candidates that the primary scan has too is taken from the scan. Ranked by p_ACAT, p_SEV and position.
+    """
+    own = [c for c in candidates.columns if c == "variant_index" or c not in primary.columns]
+    out = candidates.select(*own).join(primary, "variant_index", "left")
+    for t in ("INC", "SEV"):
+        low, high = interval(F.col(f"beta_{t}"), F.col(f"se_{t}"))
+        out = out.withColumn(f"ci_low_{t}", low).withColumn(f"ci_high_{t}", high)
+    for name, df in others.items():
+        out = out.join(df.select("variant_index", *(F.col(f"p_{m}").alias(f"p_{m}_{name}") for m in METHODS if f"p_{m}" in df.columns)), "variant_index", "left")
+    alias = classes.select("global_alias_class_index", "global_alias_class_id", F.col("class_size").alias("global_alias_count"), "n_chromosomes", "alias_mappings")
+    out = out.drop("global_alias_class_size").join(alias, "global_alias_class_index", "left")
+    rank = F.row_number().over(W.orderBy(F.col("p_ACAT").asc_nulls_last(), F.col("p_SEV").asc_nulls_last(), "CHR", "pos", "variant_index"))  # candidates are few
+    return out.withColumn("candidate_rank", rank)
+
+
 def check_reference(values: DataFrame) -> DataFrame:
     """(metric, expected, actual, mode, tolerance) rows with PASS, FAIL or, for diagnostics, WARN."""
     e, a, tol = F.col("expected"), F.col("actual"), F.col("tolerance")

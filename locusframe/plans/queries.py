@@ -556,6 +556,29 @@ def j13_candidate_support(spark: SparkSession, d: str) -> DataFrame:
     return c.select("variant_index", "lead_snp", r8("p_ACAT_score").alias("p_ACAT_score"), r8("q_SEV_lrt").alias("q_SEV_lrt"), rank.cast("bigint").alias("candidate_rank"))
 
 
+_ALIAS_SQL = "SELECT DISTINCT variant_index % 7 AS c, count(*) OVER (PARTITION BY variant_index % 7) AS k FROM scan"
+
+
+@query(
+    "SELECT l.lead_variant_index AS variant_index, round(t.p_ACAT, 8) AS p_ACAT, round(t.beta_INC - 1.96 * t.se, 8) AS ci_low_INC, round(s.p_lrt_SEV, 8) AS p_SEV_lrt, a.k AS global_alias_count,"
+    f" row_number() OVER (ORDER BY t.p_ACAT, t.p_SEV, l.CHR, l.pos, l.lead_variant_index) AS candidate_rank FROM leads l JOIN t_score t ON t.variant_index = l.lead_variant_index JOIN scan s ON s.variant_index = l.lead_variant_index JOIN ({_ALIAS_SQL}) a ON a.c = l.lead_variant_index % 7",
+    v.SCAN_SQL, v.LEADS_SQL, _methods_sql("score"),
+)
+def j12_enrich_candidates(spark: SparkSession, d: str) -> DataFrame:
+    key = (F.col("variant_index") % 7).alias("global_alias_class_index")
+    scan = v.scan(spark, d).select(key)
+    classes = scan.groupBy("global_alias_class_index").agg(F.count("*").alias("class_size")).selectExpr("*", "'c' AS global_alias_class_id", "1 AS n_chromosomes", "'' AS alias_mappings")
+    leads = v.leads(spark, d).withColumnRenamed("lead_variant_index", "variant_index")
+    lrt = v.trait_scan(spark, d, "SEV", "lrt").select("variant_index", F.col("p_lrt").alias("p_SEV"))
+    c = tables.enrich_candidates(leads, pair(spark, d).select("*", key), {"lrt": lrt}, classes)
+    return c.select("variant_index", r8("p_ACAT").alias("p_ACAT"), r8("ci_low_INC").alias("ci_low_INC"), r8("p_SEV_lrt").alias("p_SEV_lrt"), "global_alias_count", F.col("candidate_rank").cast("bigint").alias("candidate_rank"))
+
+
+@query("SELECT lead_snp, CHR, pos, lead_variant_index AS variant_index FROM leads", v.SCAN_SQL, v.LEADS_SQL)
+def j14_candidate_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return tables.map_candidates(v.leads(spark, d).drop("lead_variant_index"), v.scan(spark, d)).select("lead_snp", "CHR", "pos", "variant_index")
+
+
 # -- genotypes --------------------------------------------------------------------------------------------------------
 
 _R2_SQL = """SELECT a.chr AS CHR, a.v AS a, b.v AS b, round(regr_r2(CAST(b.x AS DOUBLE), CAST(a.x AS DOUBLE)), 6) AS r2
