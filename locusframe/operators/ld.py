@@ -1,5 +1,5 @@
-"""Greedy linkage operators. They only interact within a chromosome, which is the unit of a grouped task; its rows were
-thinned or thresholded before, so a group holds candidates, not a genome."""
+"""Greedy linkage operators. Rows farther apart than the window never interact, so the unit of a grouped task is a run of
+rows of a chromosome without such a gap. Rows that are dense throughout are one run a chromosome: thin or threshold them before."""
 
 from __future__ import annotations
 
@@ -27,6 +27,19 @@ def r2_to(x: np.ndarray, ss: np.ndarray, lead: int, rows: np.ndarray) -> np.ndar
     return np.clip(np.divide(top, low, out=np.zeros_like(top), where=low > 1e-12), 0, 1)
 
 
+def with_runs(df: DataFrame, window_bp: int) -> DataFrame:
+    """Adds _run, which grows along a chromosome where two neighbours are more than the window apart.
+
+    Neighbours are found between bins as wide as the window: no gap within a bin is wider, and bins are few.
+    """
+    d = df.withColumn("_bin", F.floor(F.col("pos") / max(window_bp, 1)))
+    bins = d.groupBy("CHR", "_bin").agg(F.min("pos").alias("_low"), F.max("pos").alias("_high"))
+    order = W.partitionBy("CHR").orderBy("_bin")
+    cut = (F.col("_low") - F.lag("_high").over(order) > window_bp).cast("int")
+    runs = bins.withColumn("_cut", F.coalesce(cut, F.lit(0))).select("CHR", "_bin", F.sum("_cut").over(order).alias("_run"))
+    return d.join(runs, ["CHR", "_bin"]).drop("_bin")
+
+
 def prune(candidates: DataFrame, window_bp: int, r2: float, at_least: int = 1) -> DataFrame:
     """Markers in order of position, without those that some kept one within the window has r2 or more with."""
 
@@ -46,7 +59,7 @@ def prune(candidates: DataFrame, window_bp: int, r2: float, at_least: int = 1) -
                 kept.append(i)
         return pdf.loc[kept, ["variant_index", "CHR", "pos"]]
 
-    got = candidates.select("variant_index", "CHR", "pos", "dosages").groupBy("CHR").applyInPandas(one, "variant_index long, CHR int, pos long")
+    got = with_runs(candidates.select("variant_index", "CHR", "pos", "dosages"), window_bp).groupBy("CHR", "_run").applyInPandas(one, "variant_index long, CHR int, pos long")
     out = got.withColumn("structure_marker_rank", F.row_number().over(W.orderBy("CHR", "pos", "variant_index")))
     if at_least > 1:
         n = out.count()
@@ -90,7 +103,7 @@ def clump(table: DataFrame, p: str, index_p: float, secondary_p: float | None, w
         out = pd.DataFrame(rows, columns=["lead_variant_index", "variant_index", "r2_to_lead", "n_local_members"])
         return out.astype({"r2_to_lead": "float64", "n_local_members": "Int64"})
 
-    got = pool.groupBy("CHR").applyInPandas(one, "lead_variant_index long, variant_index long, r2_to_lead double, n_local_members long")
+    got = with_runs(pool, window_bp).groupBy("CHR", "_run").applyInPandas(one, "lead_variant_index long, variant_index long, r2_to_lead double, n_local_members long")
     about = index.select(F.col("variant_index").alias("lead_variant_index"), F.col("snp").alias("lead_snp"), "CHR", "pos", F.col(p).alias("p")).distinct()
     rank = F.row_number().over(W.orderBy("p", "CHR", "pos", "lead_variant_index"))
     leads = got.filter(F.col("n_local_members").isNotNull()).select("lead_variant_index", "n_local_members").join(about, "lead_variant_index").withColumn("lead_rank", rank)

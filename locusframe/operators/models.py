@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions import special
-from locusframe.operators.genotype import dosage_matrix, standardized
+from locusframe.operators.genotype import dosage_matrix, imputed, standardized
 from locusframe.operators.guards import require
 
 LOG_LAMBDA = (-5.0, 5.0)
@@ -128,6 +128,40 @@ def subspaces(a: np.ndarray, b: np.ndarray, sizes: Sequence[int] = (1, 2, 3, 5))
     return out
 
 
+def structure_components(geno: DataFrame, markers: DataFrame, samples: Sequence[int] | None = None, count: int = 5) -> np.ndarray:
+    """Components of the kinship of stated markers (variant_index): more than ``count`` that vary, each once, all among the genotypes.
+
+    Missing dosages are imputed over all samples before ``samples`` are taken.
+    """
+    n, distinct = markers.agg(F.count("*"), F.count_distinct("variant_index")).first()
+    require(n > count and n == distinct, "too few structure markers, or one that repeats")
+    own = geno.join(markers.select("variant_index"), "variant_index", "left_semi")
+    x = imputed(F.col("dosages"))
+    if samples is not None:
+        x = F.transform(F.lit(list(samples)), lambda i: F.get(x, i))
+    found, varied = own.agg(F.count("*"), F.count_if(F.size(F.array_distinct(x)) > 1)).first()
+    require(found == n, "structure markers outside the genotypes")
+    require(varied > count, "too few markers that vary")
+    return components(kinships(own, samples)[0], count)
+
+
+def pc_geometry(reference: np.ndarray, observed: np.ndarray) -> tuple[list[dict], list[dict]]:
+    """Of two tables of five components, samples in rows: how each observed one correlates with the reference's, and how
+    far their nested spaces are apart. Signs don't matter for the spaces."""
+    a, b = np.asarray(reference, float), np.asarray(observed, float)
+    require(a.ndim == 2 and a.shape == b.shape and a.shape[1] == 5, "components must be two tables of the same rows and five columns")
+    require(bool(np.isfinite(a).all() and np.isfinite(b).all()), "components must be finite")
+    require(bool(min(a.std(axis=0).min(), b.std(axis=0).min()) > 1e-12), "a component is constant")
+    require(all(np.linalg.matrix_rank(x - x.mean(axis=0)) == 5 for x in (a, b)), "the components are collinear")
+    r = np.corrcoef(a, b, rowvar=False)[:5, 5:]
+    columns = []
+    for j, best in enumerate(np.abs(r).argmax(axis=0)):
+        own, top = float(r[j, j]), float(abs(r[best, j]))
+        columns.append({"PC": f"PC{j + 1}", "same_column_correlation": own, "same_column_absolute_correlation": abs(own), "best_reference_PC": f"PC{best + 1}", "best_absolute_correlation": top, "column_correlation_check_passed": abs(own) >= 1 - 1e-8})
+    spaces = [{"n_pc": k, "projector_frobenius_distance": d, "maximum_subspace_angle_degrees": angle, "equivalent_within_numerical_tolerance": d <= 1e-6} for k, d, angle in subspaces(a, b)]
+    return columns, spaces
+
+
 class MixedModel:
     """y = W a + x b + u + e with u ~ N(0, lambda K / tau): all likelihoods in the eigenbasis of K, by blocks of variants."""
 
@@ -267,3 +301,22 @@ def power_table(spark: SparkSession, ns: Sequence[int], mafs: Sequence[float], a
 
     schema = "n_samples int, maf double, alpha_definition string, alpha double, target_power double, minimum_detectable_beta_residual_SD_per_allele double, residual_df_assumption int"
     return grid.repartition(8, "maf", "alpha_definition").mapInArrow(run, schema)
+
+
+def reproduce_power(table: DataFrame) -> DataFrame:
+    """One row: rows, maximum_absolute_difference of a table's detectable effects from recomputed ones, passed (below 1e-8).
+
+    Needs the columns of ``power_table``; an empty table or a null effect does not pass.
+    """
+    effect = "minimum_detectable_beta_residual_SD_per_allele"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            got = [None if r[effect] is None else abs(r[effect] - detectable_beta(r["n_samples"], r["maf"], r["alpha"], r["target_power"])) for r in rows]
+            yield pa.record_batch([pa.array(got, pa.float64())], ["difference"])
+
+    d = table.select("n_samples", "maf", "alpha", "target_power", effect).mapInArrow(run, "difference double")
+    most = F.max("difference")
+    passed = F.coalesce((most < 1e-8) & (F.count("difference") == F.count("*")), F.lit(False))
+    return d.agg(F.count("*").alias("rows"), most.alias("maximum_absolute_difference"), passed.alias("passed"))

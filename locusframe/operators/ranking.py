@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from locusframe.functions.stats import CHI2_1_MEDIAN, chi2_1_isf, clip, neglog10, norm_ppf
+from locusframe.functions.stats import CHI2_1_MEDIAN, TINY, chi2_1_isf, clip, neglog10, norm_ppf
 
 #: Ranges of a value, by quantiles, that a global order is dealt to; each is a task's share of a window.
 RANGES = 64
@@ -95,6 +95,17 @@ def lambda_gc(p: Column) -> Column:
     return F.percentile(F.when((p > 0) & (p <= 1), chi2_1_isf(p)), 0.5) / CHI2_1_MEDIAN
 
 
+def scan_summary(scan: DataFrame, keys: list[str], p: str, fdr: float = 0.10) -> DataFrame:
+    """By group of ``keys``: n, lambda_gc, minimum_p and fdr_significant, the rows with a q-value below ``fdr``.
+
+    p-values are clipped to [1e-300, 1], and 1 where they aren't finite; groups are few, their rows many.
+    """
+    d = scan.withColumn("_name", F.to_json(F.struct(*keys))).withColumn("_p", clip(_safe(p), TINY, 1.0))
+    found = d.join(_step_up(d).filter(F.col("_q") < fdr), ["_name", "_p"]).groupBy("_name").agg(F.count("*").alias("_hits"))
+    whole = d.groupBy("_name", *keys).agg(F.count("*").alias("n"), lambda_gc(F.col("_p")).alias("lambda_gc"), F.min("_p").alias("minimum_p"))
+    return whole.join(found, "_name", "left").withColumn("fdr_significant", F.coalesce("_hits", F.lit(0))).drop("_name", "_hits")
+
+
 def top_k(df: DataFrame, p: str, k: int, key: str = "variant_index") -> DataFrame:
     """The k rows of smallest p, ties by key; nulls last. A take of the ordered rows, not a sort of all."""
     return df.orderBy(F.col(p).asc_nulls_last(), F.col(key)).limit(k)

@@ -198,3 +198,41 @@ def check_reference(values: DataFrame) -> DataFrame:
     return values.withColumn("status", F.when(F.coalesce(ok, F.lit(False)), "PASS").when(F.col("mode") == "diagnostic", "WARN").otherwise("FAIL"))
 
 
+#: Figures of a scan's summary, how far two runs may differ in them, and on what scale.
+SUMMARY_TOLERANCES = (("lambda_gc", 2e-6, "absolute"), ("minimum_p", 2e-4, "log10"), ("fdr_significant", 0.0, "exact"))
+
+
+def compare_summaries(observed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, observed, expected, difference, tolerance, comparison_scale, passed: a row for each figure of each group.
+
+    A group that ``expected`` lacks does not pass.
+    """
+    own = expected.select(*keys, *(F.col(m).alias(f"_{m}") for m, _, _ in SUMMARY_TOLERANCES))
+    figures = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("observed"), F.col(f"_{m}").cast("double").alias("expected"), F.lit(t).alias("tolerance"), F.lit(s).alias("comparison_scale")) for m, t, s in SUMMARY_TOLERANCES))
+    d = observed.join(own, keys, "left").select(*keys, F.inline(figures))
+    log = F.abs(F.log10("observed") - F.log10("expected"))
+    d = d.withColumn("difference", F.when(F.col("comparison_scale") == "log10", log).otherwise(F.abs(F.col("observed") - F.col("expected"))))
+    return d.withColumn("passed", F.coalesce(F.col("difference") <= F.col("tolerance"), F.lit(False)))
+
+
+def candidate_score_effects(scan: DataFrame, candidates: DataFrame, omissions: DataFrame, locations: int, traits: tuple[str, ...] = ("INC", "SEV")) -> DataFrame:
+    """Each candidate's score-test effect of a scan beside those of runs that leave one location out.
+
+    ``scan``: variant_index, trait, beta, se, p_score; ``candidates``: variant_index, lead_snp and p_<trait>_score, with
+    which the scan must agree to 3e-6 of the value; ``omissions``: lead_snp, omitted_location, beta_<trait>_score and
+    p_<trait>_score, a row for each candidate and location. A row that is missing, repeats or isn't finite is an error.
+    """
+    by_trait = lambda *cols: F.inline(F.array(*(F.struct(F.lit(t).alias("trait"), *(F.col(f"{c}_{t}_score").alias(n) for c, n in cols)) for t in traits)))
+    wanted = candidates.select("variant_index", "lead_snp", by_trait(("p", "_p")))
+    primary = wanted.join(scan.select("variant_index", "trait", "beta", "se", "p_score"), ["variant_index", "trait"])
+    own = primary.select("lead_snp", "trait", F.col("beta").alias("primary_beta_null_ML"), F.col("se").alias("primary_se_null_ML"), F.col("p_score").alias("primary_p_score"), "_p")
+    left_out = omissions.select("lead_snp", "omitted_location", by_trait(("beta", "omission_beta_null_ML"), ("p", "omission_p_score")))
+    out = cut(own.join(left_out, ["lead_snp", "trait"]))
+    agrees = F.abs(F.col("primary_p_score") - F.col("_p")) <= 1e-12 + 3e-6 * F.abs("_p")
+    sound = reduce(lambda a, b: a & b, (F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in ("primary_beta_null_ML", "primary_se_null_ML", "omission_beta_null_ML")))
+    n, keys, same, fine = out.agg(F.count("*"), F.count_distinct("lead_snp", "trait", "omitted_location"), F.count_if(agrees), F.count_if(sound)).first()
+    require(n == keys == candidates.count() * locations * len(traits), f"{n} rows of {keys} candidates, traits and locations")
+    require(same == n, "score p-values differ from the candidates'")
+    require(fine == n, "an effect isn't finite")
+    alike = F.signum("primary_beta_null_ML") == F.signum("omission_beta_null_ML")
+    return out.drop("_p").withColumn("direction_preserved", alike)

@@ -780,3 +780,21 @@ def m3_kinship(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m10_power_table(spark: SparkSession, d: str) -> DataFrame:
     return models.power_table(spark, [100, 102], [0.05, 0.1, 0.2, 0.3, 0.5], {"bonferroni": 0.05 / 567758, "suggestive": 1e-5}, [0.8, 0.9])
+
+
+@query()
+def m7_ols_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.scan_summary(m6_ols_scan(spark, d), ["trait", "n_pcs"], "p")
+
+
+@query()
+def m9_pc_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Spaces of the components of all markers and of every second one."""
+    g = _panel(spark, d)[0]
+    some = g.filter("variant_index % 2 = 0").select("variant_index")
+    return spark.createDataFrame(models.pc_geometry(models.components(models.kinships(g)[0], 5), models.structure_components(g, some))[1])
+
+
+@query()
+def m11_reproduce_power(spark: SparkSession, d: str) -> DataFrame:
+    return models.reproduce_power(m10_power_table(spark, d))
