@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,22 +55,34 @@ def write_plink(geno: DataFrame, samples: list[str], phenotypes: dict[str, list[
             fam.writelines(f"{s} {s} 0 0 0 {v:.12g}\n" for s, v in zip(samples, values, strict=True))
 
 
-def read_bed(spark: SparkSession, path: str, samples: int) -> DataFrame:
-    """variant_index and dosages of a SNP-major file, which Spark reads as records of fixed length after its head."""
+def read_bed(spark: SparkSession, path: str, samples: int, task_bytes: int = 32 << 20) -> DataFrame:
+    """variant_index and dosages of a SNP-major file, which each task reads a range of; the driver reads its first bytes.
+
+    ``path`` is a URI that pyarrow knows, or a path of a folder that all executors share.
+    """
+    require(samples > 0, "a BED file needs samples")
     width = -(-samples // 4)
+    uri = path if "://" in path else os.path.abspath(path)
+    files, name = FileSystem.from_uri(uri)
+    size = files.get_file_info(name).size or 0
+    require(size >= len(MAGIC) and (size - len(MAGIC)) % width == 0, f"{path}: not a BED file of {samples} samples")
+    with files.open_input_file(name) as f:
+        require(f.read(len(MAGIC)) == MAGIC, f"{path}: not a SNP-major BED file")
+    rows, step, chunk = (size - len(MAGIC)) // width, max(1, task_bytes // width), max(1, (4 << 20) // width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                data = content.as_py()
-                if data[:3] != MAGIC or (len(data) - 3) % width:
-                    raise ValueError("not a SNP-major BED file of so many samples")
-                for at in range(3, len(data), width * 20_000):
-                    part = np.frombuffer(data, np.uint8, min(width * 20_000, len(data) - at), at).reshape(-1, width)
-                    first = (at - 3) // width
-                    yield pa.record_batch([pa.array(np.arange(first, first + len(part))), pa.array(unpack(part, samples).tolist(), pa.list_(pa.int8()))], ["variant_index", "dosages"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "variant_index long, dosages array<tinyint>")
+        own, at = FileSystem.from_uri(uri)
+        with own.open_input_file(at) as f:
+            for batch in batches:
+                for start in batch.column("id").to_pylist():
+                    for first in range(start, min(start + step, rows), chunk):
+                        n = min(chunk, start + step - first, rows - first)
+                        f.seek(len(MAGIC) + first * width)
+                        dosages = unpack(np.frombuffer(f.read(n * width), np.uint8).reshape(n, width), samples)
+                        ends = pa.array(np.arange(n + 1, dtype=np.int32) * samples)
+                        yield pa.record_batch([pa.array(np.arange(first, first + n)), pa.ListArray.from_arrays(ends, pa.array(dosages.ravel()))], ["variant_index", "dosages"])
+
+    return spark.range(0, rows, step, numPartitions=max(1, -(-rows // step))).mapInArrow(run, "variant_index long, dosages array<tinyint>")
 
 
 def kinship_text(k: np.ndarray, path: str, loco: bool = False) -> None:

@@ -70,3 +70,62 @@ def test_join_stops_at_lost_and_repeated_keys(spark):
         join_one_to_one(left, right, "k", "lost")
     with pytest.raises(ValueError):
         join_one_to_one(left.union(left), right, "k", "repeated")
+
+
+def test_bed_by_ranges(spark, tmp_path):
+    matrix = np.random.default_rng(4).integers(-1, 3, (23, 9)).astype(np.int8)
+    path = tmp_path / "x.bed"
+    path.write_bytes(plink.MAGIC + plink.pack(matrix).tobytes())
+    for size in (1, 7, 1000):  # bytes a task: one row, two, all
+        d = plink.read_bed(spark, str(path), 9, size)
+        assert (np.array([r["dosages"] for r in d.orderBy("variant_index").collect()]) == matrix).all()
+    assert plink.read_bed(spark, path.as_uri(), 9).count() == 23
+    for samples in (0, 13):
+        with pytest.raises(ValueError):
+            plink.read_bed(spark, str(path), samples)
+    path.write_bytes(plink.MAGIC)
+    assert plink.read_bed(spark, str(path), 9).count() == 0
+
+
+def test_field_books(spark):
+    grid = [["", "", "", "LB", ""], ["Plot", "Line", "Plants", "Inc %", "Sev"], ["1001", "A", "10", "50", "2"], ["x", "B", "9", "1", "1"], ["2003", " C ", "8", "", "3"], ["2004", "", "8", "1", "3"]]
+    got = workbooks.numbered_plots_book(spark, grid, "here", "land").orderBy("Plot").collect()
+    assert [(r["Rep"], r["Cultivar_raw"], r["Plants"], r["INC_raw_source"], r["SEV_raw_source"], r["Location"], r["Country"]) for r in got] == [(1, "A", 10, 50, 2, "here", "land"), (2, "C", 8, None, 3, "here", "land")]
+    head = [["", "", "", "", "", "LB", ""], ["Rep", "Block", "Plot", "Entry", "Plants", "Inc", "Sev"]]
+    book = {k: [[place, "", "", "", "", "", ""], *head, ["1", "2", plot, "A", "5", "10", "1"]] for k, place, plot in (("s", "East", "7"), ("t", "West", ""))}
+    got = workbooks.sheets_book(spark, book, ("east", "west"), "land").orderBy("row").collect()
+    assert [(r["Location"], r["Rep"], r["Block"], r["Plot"], r["INC_raw_source"]) for r in got] == [("East", 1, 2, 7, 10), ("West", 1, 2, None, 10)]
+    with pytest.raises(ValueError):
+        workbooks.sheets_book(spark, book, ("east",), "land")
+    fixed = [["Cultivar", "LB-Incidence", "LB-Severity", "Location", "Country", "Year"], [" A1 ", "5", "x", " East ", "land", "2022"]]
+    r = workbooks.corrected_book(spark, fixed).first()
+    assert (r["Cultivar"], r["INC"], r["SEV"], r["Location"], r["Year"]) == ("A1", 5, None, "East", 2022)
+
+
+def test_samples_are_matched_in_the_order_of_ids(spark):
+    got = text_formats.match_samples(spark, ["B2", "A1", "C3"], ["C3", "A1", "D4"], 2).collect()
+    assert [(r["sample_index"], r["VCF_sample"], r["VCF_sample_index"]) for r in got] == [(0, "C3", 2), (1, "A1", 1)]
+    for samples, least in ((["A1", "A1"], 1), (["A1"], 2)):
+        with pytest.raises(ValueError):
+            text_formats.match_samples(spark, samples, ["A1", "C3"], least)
+
+
+def test_scans_matrices_and_inventories(spark, tmp_path):
+    scans = spark.createDataFrame([(1, 0.5, "loco", "INC"), (2, 1e-300, "loco", "SEV")], "variant_index long, p double, context string, trait string")
+    text_formats.write_scans(scans, str(tmp_path / "scans"))
+    back = text_formats.read_scans(spark, str(tmp_path / "scans"), "variant_index long, p double, context string, trait string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, scans.collect()))
+    k = np.array([[2.0, 0.5], [0.5, 1.0]])
+    plink.kinship_text(k, str(tmp_path / "k.txt"), loco=True)
+    assert np.allclose(np.loadtxt(tmp_path / "k.txt"), k, atol=1e-12)
+    for bad in (np.array([[1.0, 0.1], [0.0, 1.0]]), np.array([[0.0, 1.0], [1.0, 0.0]])):
+        with pytest.raises(ValueError):
+            plink.kinship_text(bad, str(tmp_path / "bad.txt"))
+    plink.covariate_text(np.array([[3.0, 4.0], [5.0, 6.0]]), 1, str(tmp_path / "c.txt"))
+    assert np.loadtxt(tmp_path / "c.txt").tolist() == [[1, 3], [1, 5]]
+    (tmp_path / "files").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "files" / name).write_text(name)
+    found = text_formats.file_digests(spark, str(tmp_path / "files"))
+    listed = spark.createDataFrame([(r["path"], r["sha256"].lower() if r["path"].endswith("a") else "0") for r in found.collect()] + [("gone", "1")], "path string, sha256 string")
+    assert {r["path"].rsplit("/")[-1]: r["state"] for r in text_formats.compare_inventories(listed, found).collect()} == {"b": "changed", "gone": "missing"}
