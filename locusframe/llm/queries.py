@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding_join, language, licenses, mixing, near_duplicates, quality, token_blocks, url_filter
+from . import bpe, chat, embedding_join, language, licenses, mixing, near_duplicates, quality, resampling, token_blocks, url_filter
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_resample": resampling.op11_resample,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_resample": resampling.OP11_SQL,
 }
