@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding_join, language, licenses, mixing, near_duplicates, quality, resampling, token_blocks, url_filter
+from . import bpe, chat, embedding_join, language, licenses, mixing, near_duplicates, quality, repeats, resampling, token_blocks, url_filter
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_resample": resampling.op11_resample,
+    "op13_substring_dedup": repeats.op13_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
     "op11_resample": resampling.OP11_SQL,
+    "op13_substring_dedup": repeats.OP13_SQL,
 }
