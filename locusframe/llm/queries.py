@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding_join, language, licenses, mixing, near_duplicates, quality, repeats, resampling, token_blocks, url_filter
+from . import bpe, chat, embedding_join, language, licenses, mixing, near_duplicates, phrases, quality, repeats, resampling, token_blocks, url_filter
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_resample": resampling.op11_resample,
+    "op12_collocations": phrases.op12_collocations,
     "op13_substring_dedup": repeats.op13_substring_dedup,
 }
 ORACLE_SQL = {
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op9_quality_rules": quality.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
     "op11_resample": resampling.OP11_SQL,
+    "op12_collocations": phrases.OP12_SQL,
     "op13_substring_dedup": repeats.OP13_SQL,
 }
