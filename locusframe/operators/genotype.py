@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType, StructField, StructType
 
+from locusframe.operators.packed import links, matrix, packed
 from locusframe.operators.ranking import bh_columns
 from locusframe.operators.tables import METHODS
 
@@ -40,7 +41,8 @@ def missing_rate(d: Column) -> Column:
 def imputed(d: Column) -> Column:
     """Doubles with missing entries as the mean of the called ones; 0 where none is called."""
     mean = F.coalesce(F.try_divide(total(d).cast("double"), F.size(called(d))), F.lit(0.0))
-    return F.transform(d, lambda x: F.when(x < 0, mean).otherwise(x.cast("double")))
+    # The mean is the variable of an outer lambda, so that it's summed once a row and not once an entry.
+    return F.get(F.transform(F.array(mean), lambda m: F.transform(d, lambda x: F.when(x < 0, m).otherwise(x.cast("double")))), F.lit(0))
 
 
 def orientation(d: Column) -> Column:
@@ -122,9 +124,21 @@ def standardized(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return (x - mean[:, None]) / np.sqrt(2 * p * (1 - p))[:, None]
 
 
+def standardized_squares(geno: DataFrame) -> DataFrame:
+    """variant_index and squares, the sum of squares of the standardised, imputed dosages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dosage_matrix(batch.column("dosages"))
+            z = standardized(x, x.mean(axis=1))
+            yield pa.record_batch([batch.column("variant_index"), pa.array((z * z).sum(axis=1))], ["variant_index", "squares"])
+
+    return geno.select("variant_index", "dosages").mapInArrow(run, "variant_index long, squares double")
+
+
 def dosage_matrix(column: pa.Array) -> np.ndarray:
     """Imputed doubles of a batch: missing entries get the row's mean."""
-    x = np.array(column.to_pylist(), np.float64)
+    x = matrix(column).astype(np.float64)
     miss = x < 0
     n = (~miss).sum(axis=1)
     mean = np.where(miss, 0, x).sum(axis=1) / np.maximum(n, 1)
@@ -132,18 +146,5 @@ def dosage_matrix(column: pa.Array) -> np.ndarray:
 
 
 def r2_pairs(geno: DataFrame, window_bp: int) -> DataFrame:
-    """(a, b, r2) of variants of a chromosome within a window, on imputed dosages.
-
-    The band is an equality on window-wide buckets: one side stands in its own and the next bucket, so each pair meets
-    once. The sums are those of centred vectors; a constant vector has r2 0.
-    """
-    d = geno.withColumn("x", imputed(F.col("dosages")))
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
-    d = d.withColumn("x", F.transform("x", lambda v: v - mean)).withColumn("ss", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    d = d.withColumn("bucket", F.expr(f"pos div {max(window_bp, 1)}"))
-    left = d.select("CHR", "bucket", F.col("variant_index").alias("a"), F.col("pos").alias("pa"), F.col("x").alias("xa"), F.col("ss").alias("sa"))
-    right = d.select("CHR", F.explode(F.array("bucket", F.col("bucket") + 1, F.col("bucket") - 1)).alias("bucket"), F.col("variant_index").alias("b"), F.col("pos").alias("pb"), F.col("x").alias("xb"), F.col("ss").alias("sb"))
-    pairs = left.join(right, ["CHR", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("pa") - F.col("pb")) <= window_bp))
-    dot = F.aggregate(F.zip_with("xa", "xb", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    r2 = F.when(F.col("sa") * F.col("sb") > 1e-12, F.least(dot * dot / (F.col("sa") * F.col("sb")), F.lit(1.0))).otherwise(F.lit(0.0))
-    return pairs.select("CHR", "a", "b", r2.alias("r2"))
+    """(CHR, a, b, r2) of variants of a chromosome within a window, on imputed dosages; a constant one has r2 0."""
+    return links(packed(geno.select(F.col("variant_index").alias("id"), "CHR", "pos", "dosages")), window_bp)

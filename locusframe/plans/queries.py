@@ -594,10 +594,7 @@ def l1_ld_r2_band(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT v AS variant_index, round(sum(z * z), 4) AS squares FROM (SELECT v, (x - m) / sqrt(2 * (m / 2) * (1 - m / 2)) AS z FROM (SELECT v, x, avg(x) OVER (PARTITION BY v) AS m FROM imputed)) GROUP BY v", v.DOSAGE_SQL, _IMPUTED_SQL)
 def m1_standardized(spark: SparkSession, d: str) -> DataFrame:
-    g = v.genotypes(spark, d).withColumn("x", genotype.imputed(F.col("dosages")))
-    g = g.withColumn("m", F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.size("x"))
-    z2 = F.aggregate("x", F.lit(0.0), lambda s, x: s + F.pow((x - F.col("m")) / F.sqrt(F.col("m") * (1 - F.col("m") / 2)), 2))
-    return g.select("variant_index", F.round(z2, 4).alias("squares"))
+    return genotype.standardized_squares(v.genotypes(spark, d)).select("variant_index", F.round("squares", 4).alias("squares"))
 
 
 #: Vectors of all samples; most classes hold one variant. Shared and complemented classes are tested on small tables.
@@ -653,12 +650,21 @@ def l2_ld_prune(spark: SparkSession, d: str) -> DataFrame:
     return ld.prune(v.genotypes(spark, d), 3000, 0.02)
 
 
-@query()
-def l4_ld_clump(spark: SparkSession, d: str) -> DataFrame:
+def _clumps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     g = v.genotypes(spark, d)
     p = ((F.col("variant_index") * 7919) % 101 + 1).cast("double") / 102
     g = g.withColumn("snp", F.concat(F.lit("S"), F.col("variant_index").cast("string"))).withColumn("p_ACAT", p)
-    return ld.clump(g, "p_ACAT", 0.2, 0.8, 3000, 0.002, 50)[0]
+    return ld.clump(g, "p_ACAT", 0.2, 0.8, 3000, 0.002, 50)
+
+
+@query()
+def l4_ld_clump(spark: SparkSession, d: str) -> DataFrame:
+    return _clumps(spark, d)[0]
+
+
+@query()
+def l4_clump_members(spark: SparkSession, d: str) -> DataFrame:
+    return _clumps(spark, d)[1]
 
 
 # -- phenotypes -------------------------------------------------------------------------------------------------------

@@ -22,18 +22,6 @@ def r2(g, a, b):
     return np.corrcoef(g[a], g[b])[0, 1] ** 2
 
 
-def test_runs_are_cut_only_at_gaps(spark):
-    df, data, _ = gapped(spark)
-    run = {r["variant_index"]: (r["CHR"], r["_run"]) for r in ld.with_runs(df, 100).collect()}
-    want, last, seen = {}, {}, {}
-    for i, _, c, at, *_ in sorted(data, key=lambda r: (r[2], r[3])):
-        if c in last and at - last[c] > 100:
-            seen[c] = seen.get(c, 0) + 1
-        last[c] = at
-        want[i] = (c, seen.get(c, 0))
-    assert run == want and len(set(want.values())) > 4
-
-
 def test_prune_and_clump_across_gaps(spark):
     df, data, g = gapped(spark)
     near = lambda i, j: data[i][2] == data[j][2] and abs(data[i][3] - data[j][3]) <= 100
