@@ -1,7 +1,7 @@
 """Linear and mixed models over variants, population structure and power.
 
-The sample side is small: vectors and n x n matrices are made on the driver and broadcast, their size is that of the
-samples, not of the variants. Variants are processed in Arrow batches, all traits and contexts of a batch at once.
+Traits and components are vectors of samples and are sent to all tasks. Variants are processed in Arrow batches, all
+traits and contexts of a batch at once. Kinships and their spectra stay in tables, see kinship.
 """
 
 from __future__ import annotations
@@ -16,14 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions import special
-from locusframe.operators.genotype import dosage_matrix, imputed, standardized
-from locusframe.operators.guards import require
+from locusframe.operators.genotype import dosage_matrix
+from locusframe.operators.guards import cut, require
+from locusframe.operators.kinship import imputed_rows, principal_components, spectra, standard_rows
+from locusframe.operators.packed import packed, planes_of
 
 LOG_LAMBDA = (-5.0, 5.0)
+#: Variants of a group of a mixed scan, about.
+GROUP = 4096
 
 
 def projection(pcs: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """Residual-maker of an intercept and k standardised components, and its degrees of freedom less a slope."""
+    """An orthonormal basis of an intercept and k standardised components, and the degrees of freedom less a slope."""
     n = len(pcs)
     x = np.ones((n, 1))
     if k:
@@ -31,13 +35,12 @@ def projection(pcs: np.ndarray, k: int) -> tuple[np.ndarray, int]:
         x = np.hstack((x, p / p.std(axis=0)))
     rank = int(np.linalg.matrix_rank(x))
     require(rank == k + 1, "the components are collinear")
-    q, _ = np.linalg.qr(x)
-    return np.eye(n) - q @ q.T, n - rank - 1
+    return np.linalg.qr(x)[0], n - rank - 1
 
 
-def ols_block(x: np.ndarray, y: np.ndarray, m: np.ndarray, df: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """beta, se, t, p of each row of x; a constant row or a perfect fit has p 1."""
-    xr, yr = x @ m, m @ y
+def ols_block(x: np.ndarray, y: np.ndarray, q: np.ndarray, df: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """beta, se, t, p of each row of x beside the basis q; a constant row or a perfect fit has p 1."""
+    xr, yr = x - (x @ q) @ q.T, y - q @ (q.T @ y)
     sxx, sxy = (xr * xr).sum(axis=1), xr @ yr
     ok = sxx > 1e-10
     beta = np.divide(sxy, sxx, out=np.zeros_like(sxy), where=ok)
@@ -57,66 +60,13 @@ def ols_scan(geno: DataFrame, traits: dict[str, np.ndarray], pcs: np.ndarray, co
         for batch in batches:
             x = dosage_matrix(batch.column("dosages"))
             for name, y in own.items():
-                for k, (m, df) in made.items():
-                    got = ols_block(x, y, m, df)
+                for k, (q, df) in made.items():
+                    got = ols_block(x, y, q, df)
                     yield pa.record_batch([batch.column("variant_index"), pa.array([name] * len(batch)), pa.array([k] * len(batch), pa.int32()), *map(pa.array, got)], ["variant_index", "trait", "n_pcs", "beta", "se", "t", "p"])
 
     return geno.select("variant_index", "dosages").mapInArrow(run, "variant_index long, trait string, n_pcs int, beta double, se double, t double, p double")
 
 
-def kinships(geno: DataFrame, samples: Sequence[int] | None = None) -> dict[int, np.ndarray]:
-    """By chromosome left out (0: none): K of the other chromosomes' markers, with a mean diagonal of 1.
-
-    Each task sums the products of its batches; sums of tasks are added by row of K. K without a chromosome is the whole
-    sum less the chromosome's.
-    """
-    keep = None if samples is None else list(samples)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[np.ndarray, int]] = {}
-        for batch in batches:
-            x = dosage_matrix(batch.column("dosages"))
-            x = x if keep is None else x[:, keep]
-            chrom = batch.column("CHR").to_numpy()
-            ok = x.var(axis=1) > 1e-12
-            for c in np.unique(chrom[ok]):
-                z = standardized(x[ok & (chrom == c)], x[ok & (chrom == c)].mean(axis=1))
-                old, n = sums.get(int(c), (0.0, 0))
-                sums[int(c)] = old + z.T @ z, n + len(z)
-        for c, (s, n) in sums.items():
-            for at in range(0, len(s), 256):
-                part = s[at : at + 256]
-                yield pa.record_batch([pa.array(np.full(len(part), c, np.int32)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(list(part)), pa.array(np.full(len(part), n, np.int64))], ["CHR", "i", "v", "m"])
-
-    def added(t: pa.Table) -> pa.Table:
-        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1).sum(axis=0)
-        return pa.table({"CHR": t.column("CHR")[:1], "i": t.column("i")[:1], "v": pa.array([v]), "m": pa.array([sum(t.column("m").to_pylist())], pa.int64())})
-
-    schema = "CHR int, i int, v array<double>, m long"
-    got = geno.select("CHR", "dosages").mapInArrow(run, schema).groupBy("CHR", "i").applyInArrow(added, schema).toPandas()
-    require(len(got) > 0, "no variable marker")
-    n = int(got["i"].max()) + 1
-    by, m = {}, {}
-    for c, g in got.groupby("CHR"):
-        s = np.zeros((n, n))
-        s[g["i"].to_numpy()] = np.stack(g["v"].to_list())
-        by[int(c)], m[int(c)] = s, int(g["m"].iloc[0])
-    whole, markers = sum(by.values()), sum(m.values())
-    out = {0: whole / markers} | {c: (whole - s) / (markers - m[c]) for c, s in by.items() if markers > m[c]}
-    return {c: (k + k.T) / 2 / np.mean(np.diag(k)) for c, k in out.items()}
-
-
-def eigen(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, largest first and not below 0, and vectors."""
-    values, vectors = np.linalg.eigh((k + k.T) / 2)
-    return np.maximum(values[::-1], 0), vectors[:, ::-1]
-
-
-def components(k: np.ndarray, count: int) -> np.ndarray:
-    values, vectors = eigen(k)
-    return vectors[:, :count] * np.sqrt(values[:count])
-
-
 def subspaces(a: np.ndarray, b: np.ndarray, sizes: Sequence[int] = (1, 2, 3, 5)) -> list[tuple[int, float, float]]:
     """(k, distance of projectors, largest angle in degrees) of the spaces of the first k components; signs don't matter."""
     out = []
@@ -135,14 +85,18 @@ def structure_components(geno: DataFrame, markers: DataFrame, samples: Sequence[
     """
     n, distinct = markers.agg(F.count("*"), F.count_distinct("variant_index")).first()
     require(n > count and n == distinct, "too few structure markers, or one that repeats")
-    own = geno.join(markers.select("variant_index"), "variant_index", "left_semi")
-    x = imputed(F.col("dosages"))
-    if samples is not None:
-        x = F.transform(F.lit(list(samples)), lambda i: F.get(x, i))
-    found, varied = own.agg(F.count("*"), F.count_if(F.size(F.array_distinct(x)) > 1)).first()
-    require(found == n, "structure markers outside the genotypes")
+    own = cut(packed(geno.join(markers.select("variant_index"), "variant_index", "left_semi").select("dosages")))
+    require(own.count() == n, "structure markers outside the genotypes")
+
+    def varying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                many = sum(len(z) for z, _ in standard_rows(planes_of(batch.column("bits")), batch.column("samples")[0].as_py(), samples))
+                yield pa.record_batch([pa.array([many], pa.int64())], ["n"])
+
+    varied = own.select("bits", "samples").mapInArrow(varying, "n long").agg(F.sum("n")).first()[0] or 0
     require(varied > count, "too few markers that vary")
-    return components(kinships(own, samples)[0], count)
+    return principal_components(own, count, samples)
 
 
 def pc_geometry(reference: np.ndarray, observed: np.ndarray) -> tuple[list[dict], list[dict]]:
@@ -163,73 +117,118 @@ def pc_geometry(reference: np.ndarray, observed: np.ndarray) -> tuple[list[dict]
 
 
 class MixedModel:
-    """y = W a + x b + u + e with u ~ N(0, lambda K / tau): all likelihoods in the eigenbasis of K, by blocks of variants."""
+    """y = W a + x b + u + e with u ~ N(0, lambda K / tau): all likelihoods in the eigenbasis of K, by blocks of variants.
+
+    The basis may have fewer vectors than samples; beyond it K is 0, and what lies there enters by inner products alone.
+    """
 
     def __init__(self, y: np.ndarray, k: np.ndarray, w: np.ndarray | None = None) -> None:
-        self.d, self.u = eigen(k)
-        self.y = self.u.T @ y
-        self.w = self.u.T @ (np.ones((len(y), 1)) if w is None else w)
-        self.n = len(y)
+        values, vectors = np.linalg.eigh((k + k.T) / 2)
+        self._set(y, np.maximum(values, 0), vectors, w)
+
+    @classmethod
+    def of_spectrum(cls, y: np.ndarray, d: np.ndarray, u: np.ndarray, w: np.ndarray | None = None) -> MixedModel:
+        out = object.__new__(cls)
+        out._set(y, d, u, w)
+        return out
+
+    def _set(self, y: np.ndarray, d: np.ndarray, u: np.ndarray, w: np.ndarray | None) -> None:
+        self.d, self.u, self.n = d, u, len(y)
+        self.full_y, self.full_w = y, np.ones((len(y), 1)) if w is None else w
+        self.y, self.w = u.T @ y, u.T @ self.full_w
+        # Sums of squares and products beyond the basis.
+        self.yy = max(float(y @ y - self.y @ self.y), 0.0)
+        self.wy, self.ww = self.full_w.T @ y - self.w.T @ self.y, self.full_w.T @ self.full_w - self.w.T @ self.w
         lam, ml = self._best(None, False)
         self.null_lambda, self.null_ml = float(lam[0]), float(ml[0])
 
-    def _fit(self, x: np.ndarray | None, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def rotated(self, dosages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in the basis, and beyond it their squares and products with y and W."""
+        x = dosages @ self.u
+        return x, np.maximum((dosages * dosages).sum(axis=1) - (x * x).sum(axis=1), 0), dosages @ self.full_y - x @ self.y, dosages @ self.full_w - x @ self.w
+
+    def _moments(self, rows: tuple | None, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Z'H^-1 Z, Z'H^-1 y and y'H^-1 y for weights h of each row (rows, basis)."""
+        m, c = len(h), self.w.shape[1]
+        pairs = (self.w[:, :, None] * self.w[:, None, :]).reshape(len(self.d), c * c)
+        a = np.empty((m, c + (rows is not None), c + (rows is not None)))
+        b = np.empty(a.shape[:2])
+        a[:, :c, :c] = (h @ pairs).reshape(m, c, c) + self.ww
+        b[:, :c] = h @ (self.w * self.y[:, None]) + self.wy
+        if rows is not None:
+            x, xx, xy, xw = rows
+            hx = h * x
+            a[:, :c, c] = a[:, c, :c] = hx @ self.w + xw
+            a[:, c, c] = (hx * x).sum(axis=1) + xx
+            b[:, c] = hx @ self.y + xy
+        return a, b, h @ (self.y * self.y) + self.yy
+
+    def _fit(self, rows: tuple | None, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """At one lambda a row: log|H|, Z'H^-1 Z, its solution for y, y'Py."""
         h = 1 / (lam[:, None] * self.d + 1)
-        z = np.broadcast_to(self.w, (len(lam), *self.w.shape))
-        if x is not None:
-            z = np.concatenate((z, x[:, :, None]), axis=2)
-        hz = z * h[:, :, None]
-        a = np.einsum("mni,mnj->mij", hz, z)
-        b = np.einsum("mni,n->mi", hz, self.y)
+        a, b, yy = self._moments(rows, h)
         s = np.linalg.solve(a + 1e-12 * np.eye(a.shape[1]), b[:, :, None])[:, :, 0]
-        return -np.log(h).sum(axis=1), a, s, np.maximum((h * self.y**2).sum(axis=1) - (b * s).sum(axis=1), 1e-300)
+        return -np.log(h).sum(axis=1), a, s, np.maximum(yy - (b * s).sum(axis=1), 1e-300)
 
-    def _likelihood(self, x: np.ndarray | None, lam: np.ndarray, restricted: bool) -> np.ndarray:
-        log_h, a, _, pyy = self._fit(x, lam)
+    def _likelihood(self, rows: tuple | None, lam: np.ndarray, restricted: bool) -> np.ndarray:
+        log_h, a, _, pyy = self._fit(rows, lam)
         if not restricted:
             return 0.5 * self.n * (log(self.n / (2 * pi)) - 1) - 0.5 * log_h - 0.5 * self.n * np.log(pyy)
         df = self.n - a.shape[1]
         return 0.5 * df * (log(df / (2 * pi)) - 1) - 0.5 * log_h - 0.5 * np.linalg.slogdet(a)[1] - 0.5 * df * np.log(pyy)
 
-    def _best(self, x: np.ndarray | None, restricted: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The lambda of largest likelihood of each row: a grid of its logarithm, then golden sections."""
-        m = 1 if x is None else len(x)
-        grid = np.linspace(*LOG_LAMBDA, 21)
-        at = np.stack([self._likelihood(x, np.full(m, 10.0**g), restricted) for g in grid]).argmax(axis=0)
+    def _best(self, rows: tuple | None, restricted: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The lambda of largest likelihood of each row: the two highest peaks of a grid of its logarithm, then golden sections."""
+        m = 1 if rows is None else len(rows[0])
+        grid = np.linspace(*LOG_LAMBDA, 41)
+        found = np.stack([self._likelihood(rows, np.full(m, 10.0**g), restricted) for g in grid])
+        wide = np.pad(found, ((1, 1), (0, 0)), constant_values=-np.inf)
+        peaks = np.where((found >= wide[:-2]) & (found >= wide[2:]), found, -np.inf)
+        first = peaks.argmax(axis=0)
+        peaks[first, np.arange(m)] = -np.inf
+        second = np.where(np.isfinite(peaks.max(axis=0)), peaks.argmax(axis=0), first)
+        (lam, best), (other, value) = (self._section(rows, restricted, grid, at) for at in (first, second))
+        better = value > best
+        return np.where(better, other, lam), np.where(better, value, best)
+
+    def _section(self, rows: tuple | None, restricted: bool, grid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best lambda between the neighbours of a point of the grid, for each row its own."""
         low, high = grid[np.maximum(at - 1, 0)], grid[np.minimum(at + 1, len(grid) - 1)]
         r = (5**0.5 - 1) / 2
         c, d = high - r * (high - low), low + r * (high - low)
-        fc, fd = (self._likelihood(x, 10**v, restricted) for v in (c, d))
-        for _ in range(45):
+        fc, fd = (self._likelihood(rows, 10**v, restricted) for v in (c, d))
+        for _ in range(40):
             left = fc > fd
             low, high = np.where(left, low, c), np.where(left, d, high)
-            c, d = high - r * (high - low), low + r * (high - low)
-            fc, fd = (self._likelihood(x, 10**v, restricted) for v in (c, d))
+            # Of the two points of a section one was the other's before; its likelihood is known.
+            new = np.where(left, high - r * (high - low), low + r * (high - low))
+            f = self._likelihood(rows, 10**new, restricted)
+            c, d = np.where(left, new, d), np.where(left, c, new)
+            fc, fd = np.where(left, f, fd), np.where(left, fc, f)
         lam = 10 ** ((low + high) / 2)
-        return lam, self._likelihood(x, lam, restricted)
+        return lam, self._likelihood(rows, lam, restricted)
 
     def test(self, dosages: np.ndarray, mode: str = "all") -> dict[str, np.ndarray]:
         """Of each row: score test, and for mode ``all`` likelihood-ratio and Wald tests with REML effect."""
-        x = dosages @ self.u
+        rows = self.rotated(dosages)
         c = self.w.shape[1]
         df = self.n - c - 1
-        lam = np.full(len(x), self.null_lambda)
-        h = 1 / (self.null_lambda * self.d + 1)
-        wh = self.w * h[:, None]
-        solve = np.linalg.solve(self.w.T @ wh, wh.T)
-        py, px = self.y - self.w @ (solve @ self.y), x - (x @ solve.T) @ self.w.T
-        xx, xy, yy = (px * px * h).sum(axis=1), (px * h) @ py, (h * py * py).sum()
+        a, b, yy = self._moments(rows, np.broadcast_to(1 / (self.null_lambda * self.d + 1), rows[0].shape))
+        # Of x and y the parts beside W, in the weights of the null model.
+        solved = np.linalg.solve(a[:, :c, :c], np.concatenate((a[:, :c, c:], b[:, :c, None]), axis=2))
+        xx = a[:, c, c] - (a[:, c, :c] * solved[:, :, 0]).sum(axis=1)
+        xy = b[:, c] - (a[:, c, :c] * solved[:, :, 1]).sum(axis=1)
+        yy = yy - (b[:, :c] * solved[:, :, 1]).sum(axis=1)
         ok = xx > 1e-10
         share = np.divide(xy * xy, xx * yy, out=np.zeros_like(xx), where=ok)
         beta = np.divide(xy, xx, out=np.zeros_like(xx), where=ok)
         se = np.sqrt(np.divide(np.maximum(yy - beta * xy, 0) / df, xx, out=np.zeros_like(xx), where=ok))
         out = {"beta": beta, "se": se, "p_score": np.where(ok, special.f_sf(self.n * share, 1, df), 1.0)}
         if mode == "all":
-            lam, ml = self._best(x, False)
+            lam, ml = self._best(rows, False)
             out["p_lrt"] = np.where(ok, special.chi2_1_sf(2 * np.maximum(ml - self.null_ml, 0)), 1.0)
-            lam, reml = self._best(x, True)
-            _, a, s, pyy = self._fit(x, lam)
+            lam, reml = self._best(rows, True)
+            _, a, s, pyy = self._fit(rows, lam)
             beta = s[:, -1]
             se = np.sqrt(np.maximum(np.linalg.pinv(a)[:, -1, -1] * pyy / df, 0))
             wald = np.divide(beta, se, out=np.zeros_like(beta), where=se > 0) ** 2
@@ -237,29 +236,44 @@ class MixedModel:
         return out
 
 
-def mixed_scan(geno: DataFrame, traits: dict[str, np.ndarray], by_chromosome: dict[int, np.ndarray], mode: str = "all", w: np.ndarray | None = None) -> DataFrame:
-    """variant_index, context, trait and the tests. A chromosome has the kinship of the others; key 0 is the global one.
+def mixed_scan(geno: DataFrame, traits: dict[str, np.ndarray], loco: bool = True, mode: str = "all", w: np.ndarray | None = None, spectrum: DataFrame | None = None) -> DataFrame:
+    """variant_index, context, trait and the tests. ``loco``: a variant has the kinship of the other chromosomes.
 
-    Each null model is fitted once on the driver, as many as traits x chromosomes. ``beta`` is per alternative allele.
+    Variants are dealt to groups of about GROUP, each of which meets its context's decomposition (one row, made in a task
+    and once for all traits) by a cogroup and fits the null models anew; nothing of samples by samples reaches the
+    driver. ``beta`` is per alternative allele. ``spectrum``: see kinship.spectra, made here if it isn't given. A variant
+    whose context has no variable marker is an error.
     """
-    models = {(c, t): MixedModel(y, k, w) for c, k in by_chromosome.items() for t, y in traits.items()}
-    context = "global" if set(by_chromosome) == {0} else "loco"
-    shared = geno.sparkSession.sparkContext.broadcast(models)
+    spectrum = cut(spectra(geno, loco) if spectrum is None else spectrum)
+    context = "loco" if loco else "global"
+    d = packed(geno.select("variant_index", "CHR", "dosages")).withColumn("context", F.col("CHR") if loco else F.lit(0))
+    groups = d.groupBy("context").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    lost = groups.join(spectrum, "context", "left_anti").limit(1).collect()
+    require(not lost, f"no kinship for {lost}")
+    d = d.join(groups, "context").withColumn("group", F.pmod(F.xxhash64("variant_index"), F.col("groups")).cast("int")).drop("groups")
+    bases = spectrum.join(groups, "context").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     names = ["beta", "se", "p_score", *(["p_lrt", "l_remle", "logl_H1", "p_wald"] if mode == "all" else [])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, chrom = dosage_matrix(batch.column("dosages")), batch.column("CHR").to_numpy()
-            for (c, trait), model in shared.value.items():
-                own = np.flatnonzero((chrom == c) | (c == 0))
-                for at in range(0, len(own), 2000):
-                    rows = own[at : at + 2000]
-                    got = model.test(x[rows], mode)
-                    yield pa.record_batch([batch.column("variant_index").take(pa.array(rows)), pa.array([context] * len(rows)), pa.array([trait] * len(rows)), *(pa.array(got[k]) for k in names)], ["variant_index", "context", "trait", *names])
-
-    kept = {0: by_chromosome[0]} if context == "global" else {c: k for c, k in by_chromosome.items() if c}
-    require(bool(kept), "no kinship")
-    return geno.select("variant_index", "CHR", "dosages").mapInArrow(run, "variant_index long, context string, trait string, " + ", ".join(f"{k} double" for k in names))
+    shared = geno.sparkSession.sparkContext.broadcast((traits, w))
+    schema = "variant_index long, context string, trait string, " + ", ".join(f"{k} double" for k in names)
+
+    def run(variants: pa.Table, basis: pa.Table) -> pa.Table:
+        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.string(), *[pa.float64()] * len(names))], ["variant_index", "context", "trait", *names])
+        if not len(variants) or not len(basis):
+            return empty
+        own, covariates = shared.value
+        values = np.frombuffer(basis.column("d")[0].as_py())
+        vectors = np.frombuffer(basis.column("u")[0].as_py()).reshape(basis.column("n")[0].as_py(), len(values))
+        bits, out = planes_of(variants.column("bits").combine_chunks()), []
+        step = max(1, (16 << 20) // (8 * len(vectors)))
+        for trait, y in own.items():
+            model = MixedModel.of_spectrum(y, values, vectors, covariates)
+            for at in range(0, len(bits), step):
+                got = model.test(imputed_rows(bits[at : at + step], len(vectors)), mode)
+                rows = len(got["beta"])
+                out.append(pa.table([variants.column("variant_index").slice(at, rows).combine_chunks(), pa.array([context] * rows), pa.array([trait] * rows), *(pa.array(got[k]) for k in names)], ["variant_index", "context", "trait", *names]))
+        return pa.concat_tables(out)
+
+    return d.groupBy("context", "group").cogroup(bases.groupBy("context", "group")).applyInArrow(run, schema)
 
 
 @lru_cache(maxsize=1024)

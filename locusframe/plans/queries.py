@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from locusframe.functions import stats, text
-from locusframe.operators import annotate, genotype, guards, ld, models, phenotype, ranking, tables
+from locusframe.operators import annotate, genotype, guards, kinship, ld, models, packed, phenotype, ranking, tables
 from locusframe.plans import views as v
 from locusframe.sources import text_formats
 
@@ -767,20 +766,18 @@ def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
 @query()
 def m6_ols_scan(spark: SparkSession, d: str) -> DataFrame:
     g, y = _panel(spark, d)
-    return models.ols_scan(g, {"A": y, "B": y**2}, models.components(models.kinships(g)[0], 5), [0, 1, 3])
+    return models.ols_scan(g, {"A": y, "B": y**2}, kinship.principal_components(packed.packed(g.select("dosages")), 5), [0, 1, 3])
 
 
 @query()
 def m4_mixed_scan_loco(spark: SparkSession, d: str) -> DataFrame:
     g, y = _panel(spark, d)
-    return models.mixed_scan(g, {"A": y}, {c: k for c, k in models.kinships(g).items() if c})
+    return models.mixed_scan(g, {"A": y})
 
 
 @query()
 def m3_kinship(spark: SparkSession, d: str) -> DataFrame:
-    k = models.kinships(_panel(spark, d)[0])
-    rows = [pa.table({"context": pa.array(np.full(len(m), c, np.int32)), "i": pa.array(np.arange(len(m), dtype=np.int32)), "row": pa.array(list(m))}) for c, m in k.items()]
-    return spark.createDataFrame(pa.concat_tables(rows), "context int, i int, row array<double>")
+    return kinship.kinship_tiles(_panel(spark, d)[0])
 
 
 @query()
@@ -798,7 +795,7 @@ def m9_pc_geometry(spark: SparkSession, d: str) -> DataFrame:
     """Spaces of the components of all markers and of every second one."""
     g = _panel(spark, d)[0]
     some = g.filter("variant_index % 2 = 0").select("variant_index")
-    return spark.createDataFrame(models.pc_geometry(models.components(models.kinships(g)[0], 5), models.structure_components(g, some))[1])
+    return spark.createDataFrame(models.pc_geometry(kinship.principal_components(packed.packed(g.select("dosages")), 5), models.structure_components(g, some))[1])
 
 
 @query()
