@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType, StructField, StructType
 
+from locusframe.operators.numbering import numbered
 from locusframe.operators.packed import links, matrix, packed
 from locusframe.operators.ranking import bh_columns
 from locusframe.operators.tables import METHODS
@@ -82,9 +83,9 @@ def equivalence_classes(geno: DataFrame) -> DataFrame:
     """
     d = digests(geno.select("variant_index", "CHR", "pos", "dosages")).drop("dosages")
     whole = d.groupBy("digest").agg(F.count("*").alias("global_size"))
-    whole = whole.withColumn("global_class", F.row_number().over(W.orderBy("digest")) - 1).withColumn("global_id", F.concat(F.lit("G_"), F.col("digest")))
+    whole = numbered(whole, [F.col("digest")], "global_class").withColumn("global_id", F.concat(F.lit("G_"), F.col("digest")))
     local = d.groupBy("CHR", "digest").agg(F.count("*").alias("test_size"))
-    local = local.withColumn("test_class", F.row_number().over(W.orderBy("CHR", "digest")) - 1).withColumn("test_id", F.format_string("CHR%02d_%s", "CHR", "digest"))
+    local = numbered(local, [F.col("CHR"), F.col("digest")], "test_class").withColumn("test_id", F.format_string("CHR%02d_%s", "CHR", "digest"))
     return d.join(whole, "digest").join(local, ["CHR", "digest"])
 
 

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from locusframe.functions.stats import close
 from locusframe.functions.text import normalize_id, slugify, stratum
-from locusframe.operators.guards import require
+from locusframe.operators.guards import cut, require, summed
+from locusframe.operators.numbering import numbered
 from locusframe.operators.ranking import rank_normal
 
+#: Strata that a model may have; columns of a design that is solved as a whole.
+STRATA, WHOLE = 2_000, 3_000
+
 
 def disease_flags(plots: DataFrame) -> DataFrame:
     """Adds DiseasePresent and the three zero patterns; a comparison with null is false."""
@@ -36,9 +40,9 @@ def align_by_position(raw: DataFrame, corrected: DataFrame, order: Sequence[str]
     ``order`` names the columns that give the order in both. Locations and incidences must agree in every row, ids in
     99 % of them; else it stops.
     """
-    at = F.row_number().over(W.orderBy(*order))
-    a = raw.dropna(subset=["INC_raw_source", "SEV_raw_source"]).withColumn("_at", at).drop(*order)
-    b = corrected.dropna(subset=["INC", "SEV"]).select("_at" if "_at" in corrected.columns else at.alias("_at"), F.col("Location").alias("_location"), "Cultivar", "ID_std", "INC", "SEV")
+    by = [F.col(c) for c in order]
+    a = numbered(raw.dropna(subset=["INC_raw_source", "SEV_raw_source"]), by, "_at").drop(*order)
+    b = numbered(corrected.dropna(subset=["INC", "SEV"]), by, "_at").select("_at", F.col("Location").alias("_location"), "Cultivar", "ID_std", "INC", "SEV")
     both = a.join(b, "_at", "full")
     checks = both.agg(
         F.count_if(F.col("INC_raw_source").isNull() | F.col("INC").isNull()).alias("lone"),
@@ -60,8 +64,8 @@ def without_sources(corrected: DataFrame) -> DataFrame:
     """Canonical plots where the field books are missing: plots numbered in order, nothing corrected."""
     d = corrected.withColumn("Cultivar_raw", F.col("Cultivar")).withColumn("INC_raw_source", F.col("INC")).withColumn("SEV_raw_source", F.col("SEV"))
     d = d.withColumn("Rep", F.lit(None).cast("bigint")).withColumn("Block", F.lit(None).cast("bigint")).withColumn("Plants", F.lit(None).cast("double"))
-    d = d.withColumn("Plot", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("double"))
-    return canonical_plots(corrections(d))
+    d = numbered(cut(d.withColumn("_row", F.monotonically_increasing_id())), [F.col("_row")], "_number")
+    return canonical_plots(corrections(d.withColumn("Plot", (F.col("_number") + 1).cast("double")).drop("_row", "_number")))
 
 
 def plot_report(plots: DataFrame) -> DataFrame:
@@ -74,50 +78,125 @@ def plot_report(plots: DataFrame) -> DataFrame:
 def adjusted_means(plots: DataFrame, value: str, covariates: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
     """Least-squares means of ids: value ~ id + stratum + covariates, every stratum with equal weight.
 
-    Rows are summed by id and stratum in Spark; the normal equations of the dummies, a matrix of (ids + strata) squared,
-    are solved on the driver with the minimum-norm solution. References are the first id and stratum in order,
-    covariates are centred on the rows used.
+    Ids are absorbed: what is solved is their Schur complement, of the size of strata and covariates, and an id's mean and
+    error follow from its own sums. Ids, however many, stay in Spark; their sums are added up by task. Where ids and
+    strata fall apart into groups that share no stratum, the means aren't estimable one by one, and the minimum-norm
+    solution of all dummies is taken, for a design of at most WHOLE columns. Covariates are centred on the rows used.
     """
-    spark, prefix = plots.sparkSession, prefix or value
-    used = plots.select("ID_std", "Stratum", *(F.col(c).cast("double").alias(c) for c in (value, *covariates))).dropna()
+    prefix = prefix or value
     names = [value, *covariates]
-    sums = [F.sum(c).alias(f"s_{c}") for c in names] + [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    cells = used.groupBy("ID_std", "Stratum").agg(F.count("*").alias("n"), *sums).toPandas()  # ids x strata rows at most
-    ids, strata = sorted(cells["ID_std"].unique()), sorted(cells["Stratum"].unique())
-    n = int(cells["n"].sum())
-    require(len(ids) >= 10 and n > len(ids) + len(strata), f"{value}: {len(ids)} ids, {len(strata)} strata and {n} rows don't suffice")
-    k = len(covariates)
-    width = 1 + len(ids) - 1 + len(strata) - 1 + k
-    means = np.array([cells[f"s_{c}"].sum() / n for c in covariates])
-    pair = lambda r, a, b: r[f"p_{a}_{b}"] if f"p_{a}_{b}" in r else r[f"p_{b}_{a}"]
-    xtx, xty, yty = np.zeros((width, width)), np.zeros(width), 0.0
-    id_at, stratum_at = {v: j for j, v in enumerate(ids)}, {v: j for j, v in enumerate(strata)}
-    for r in cells.to_dict("records"):
-        fixed = [0] + ([id_at[r["ID_std"]]] if id_at[r["ID_std"]] else []) + ([len(ids) - 1 + stratum_at[r["Stratum"]]] if stratum_at[r["Stratum"]] else [])
+    used = cut(plots.select(F.col("ID_std").cast("string").alias("ID_std"), F.col("Stratum").cast("string").alias("Stratum"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names))).dropna())
+    xs = [f"x{i}" for i in range(len(names))]
+    n, n_ids, *centre = used.agg(F.count("*"), F.count_distinct("ID_std"), *(F.avg(x) for x in xs)).first()
+    strata = sorted(r["Stratum"] for r in used.select("Stratum").distinct().limit(STRATA + 1).collect())
+    require(len(strata) <= STRATA, f"{value}: more than {STRATA} strata")
+    require(n_ids >= 10 and n > n_ids + len(strata), f"{value}: {n_ids} ids, {len(strata)} strata and {n} rows don't suffice")
+    used = used.select("ID_std", "Stratum", *((F.col(x) - F.lit(m)).alias(x) for x, m in zip(xs, centre, strict=True)))
+    pairs = [(a, b) for k, a in enumerate(xs) for b in xs[k:]]
+    by_stratum = {r["Stratum"]: r for r in used.groupBy("Stratum").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in xs)).collect()}
+    products = used.agg(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs)).first()
+    product = {p: v for (a, b), v in zip(pairs, products, strict=True) for p in ((a, b), (b, a))}
+    # The nuisance columns: strata but the first, then covariates.
+    k, c = len(strata) - 1, len(covariates)
+    inner, toward = np.zeros((k + c, k + c)), np.zeros(k + c)
+    for j, name in enumerate(strata[1:]):
+        row = by_stratum[name]
+        inner[j, j], toward[j] = row["n"], row["x0"]
+        inner[j, k:] = inner[k:, j] = [row[x] for x in xs[1:]]
+    for j, a in enumerate(xs[1:]):
+        toward[k + j] = product[a, "x0"]
+        inner[k + j, k:] = [product[a, b] for b in xs[1:]]
+    cells = used.groupBy("ID_std", "Stratum").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in xs))
+    by_id = cut(cells.groupBy("ID_std").agg(F.collect_list("Stratum").alias("strata"), F.collect_list("n").alias("counts"), F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in xs)))
+    at = {name: j - 1 for j, name in enumerate(strata)}
+
+    def means(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, mean of the value and means of the nuisance columns of each id."""
+        rows, size = batch.num_rows, batch.column("n").to_numpy().astype(float)
+        out = np.zeros((rows, k + 1 + c))
+        lists, counts = batch.column("strata"), batch.column("counts").flatten().to_numpy()
+        where = np.array([at[x] for x in lists.flatten().to_pylist()], int)  # the first stratum is -1, the column that goes
+        out[np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy())), np.where(where < 0, k, where)] = counts
+        for j, x in enumerate(xs[1:]):
+            out[:, k + 1 + j] = batch.column(x).to_numpy()
+        return size, batch.column("x0").to_numpy() / size, np.delete(out, k, axis=1) / size[:, None]
+
+    def absorbed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + c + 1, k + c + 1))
+        for batch in batches:
+            size, y, b = means(batch)
+            z = np.column_stack((b, y)) * np.sqrt(size)[:, None]
+            total += z.T @ z
+        for row in range(len(total)):
+            yield pa.record_batch([pa.array([row], pa.int32()), pa.array([total[row].tobytes()], pa.binary()), pa.array([0.0])], ["row", "sums", "trace"])
+
+    schema = "row int, sums binary, trace double"
+    lost = by_id.mapInArrow(absorbed, schema).groupBy("row").applyInArrow(summed(["row"]), schema).collect()
+    own = np.vstack([np.frombuffer(r["sums"]) for r in sorted(lost, key=lambda r: r["row"])])
+    schur, right = inner - own[:-1, :-1], toward - own[:-1, -1]
+    values, vectors = np.linalg.eigh(schur) if k + c else (np.zeros(0), np.zeros((0, 0)))
+    if k + c and values[0] <= 1e-10 * max(float(np.diag(inner).max()), 1e-300):
+        require(n_ids + len(strata) + c <= WHOLE, f"{value}: ids and strata fall apart, and {n_ids} ids are too many for one matrix")
+        return _whole_design(cells, names, centre[0], product, prefix)
+    inverse = (vectors / values) @ vectors.T
+    gamma = inverse @ right
+    df = max(n - n_ids - k - c, 1)
+    sigma2 = max(product["x0", "x0"] - own[-1, -1] - right @ gamma, 0.0) / df
+    even = np.concatenate((np.full(k, 1 / (k + 1)), np.zeros(c)))
+    rank, middle = n_ids + k + c, centre[0]
+
+    def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, y, b = means(batch)
+            off = b - even
+            error = np.sqrt(np.maximum(sigma2 * (1 / size + ((off @ inverse) * off).sum(axis=1)), 0))
+            columns = [batch.column("ID_std"), pa.array(middle + y - off @ gamma), pa.array(error), batch.column("n"), *(pa.array(np.full(len(size), x, np.int64)) for x in (rank, df))]
+            yield pa.record_batch(columns, ["ID_std", "estimate", "se", "n", "rank", "df"])
+
+    found = by_id.mapInArrow(estimates, "ID_std string, estimate double, se double, n long, rank long, df long")
+    return found.toDF("ID_std", *_means_columns(prefix))
+
+
+def _means_columns(prefix: str) -> list[str]:
+    return [f"{prefix}_ADJ_RAW", f"{prefix}_ADJ_RAW_LSM_SE", f"{prefix}_ADJ_RAW_N_PLOTS", f"{prefix}_RANK", f"{prefix}_DF"]
+
+
+def _whole_design(cells: DataFrame, names: Sequence[str], centre: float, product: dict[tuple[str, str], float], prefix: str) -> DataFrame:
+    """The minimum-norm solution of a small design of all dummies, from sums by id and stratum of centred values.
+
+    Centring the value moves the intercept, so the minimum norm is that of the value as it is.
+    """
+    rows = cells.toPandas()
+    ids, strata = sorted(rows["ID_std"].unique()), sorted(rows["Stratum"].unique())
+    c, n = len(names) - 1, int(rows["n"].sum())
+    width = len(ids) + len(strata) - 1 + c
+    id_at, stratum_at = ({v: j for j, v in enumerate(x)} for x in (ids, strata))
+    xtx, xty = np.zeros((width, width)), np.zeros(width)
+    xs = [f"x{i}" for i in range(1, c + 1)]
+    for r in rows.to_dict("records"):
+        i, s = id_at[r["ID_std"]], stratum_at[r["Stratum"]]
+        fixed = [0] + ([i] if i else []) + ([len(ids) - 1 + s] if s else [])
         xtx[np.ix_(fixed, fixed)] += r["n"]
-        xty[fixed] += r[f"s_{value}"]
-        yty += r[f"p_{value}_{value}"]
-        for j, c in enumerate(covariates):
-            at = width - k + j
-            centred = r[f"s_{c}"] - r["n"] * means[j]
-            xtx[fixed, at] += centred
-            xtx[at, fixed] += centred
-            xty[at] += pair(r, value, c) - means[j] * r[f"s_{value}"]
-            for m, e in enumerate(covariates):
-                xtx[at, width - k + m] += pair(r, c, e) - means[j] * r[f"s_{e}"] - means[m] * r[f"s_{c}"] + r["n"] * means[j] * means[m]
+        xty[fixed] += r["x0"] + r["n"] * centre
+        for j, x in enumerate(xs):
+            xtx[fixed, width - c + j] += r[x]
+            xtx[width - c + j, fixed] += r[x]
+    for j, x in enumerate(xs):
+        xty[width - c + j] = product[x, "x0"]
+        xtx[width - c + j, width - c :] = [product[x, z] for z in xs]
     inverse = np.linalg.pinv(xtx, rcond=1e-12, hermitian=True)
     rank = int(np.linalg.matrix_rank(xtx, tol=1e-10 * np.abs(xtx).max(), hermitian=True))
-    beta = inverse @ xty
-    df = max(n - rank, 1)
-    sigma2 = max(yty - xty @ beta, 0.0) / df
+    beta, df = inverse @ xty, max(n - rank, 1)
+    sigma2 = max(product["x0", "x0"] + n * centre**2 - xty @ beta, 0.0) / df
     contrast = np.zeros((len(ids), width))
     contrast[:, 0] = 1
     contrast[np.arange(1, len(ids)), np.arange(1, len(ids))] = 1
     contrast[:, len(ids) : len(ids) + len(strata) - 1] = 1 / len(strata)
     se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", contrast, inverse, contrast) * sigma2, 0))
-    count = cells.groupby("ID_std")["n"].sum()
-    rows = [(v, float(e), float(s), int(count[v]), rank, df) for v, e, s in zip(ids, contrast @ beta, se, strict=True)]
-    return spark.createDataFrame(rows, f"ID_std string, {prefix}_ADJ_RAW double, {prefix}_ADJ_RAW_LSM_SE double, {prefix}_ADJ_RAW_N_PLOTS long, {prefix}_RANK long, {prefix}_DF long")
+    count = rows.groupby("ID_std")["n"].sum()
+    out = [(v, float(e), float(s), int(count[v]), rank, df) for v, e, s in zip(ids, contrast @ beta, se, strict=True)]
+    kinds = ("double", "double", "long", "long", "long")
+    return cells.sparkSession.createDataFrame(out, "ID_std string, " + ", ".join(f"{c} {t}" for c, t in zip(_means_columns(prefix), kinds, strict=True)))
 
 
 def simple_means(plots: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from locusframe.functions.stats import CHI2_1_MEDIAN, TINY, chi2_1_isf, clip, neglog10, norm_ppf
+from locusframe.operators.guards import cut
+from locusframe.operators.numbering import numbered
 
 #: Ranges of a value, by quantiles, that a global order is dealt to; each is a task's share of a window.
 RANGES = 64
@@ -32,6 +36,36 @@ def running_counts(counts: DataFrame, p: str, group: str) -> DataFrame:
     return dealt.withColumn("_upto", F.sum("k").over(up)).join(F.broadcast(before), [group, "_range"]).withColumn("_upto", F.col("_upto") + F.col("_before")).drop("_before")
 
 
+def selected(rows: DataFrame, value: str, group: str, at: Callable[[Column], Column] | DataFrame) -> DataFrame:
+    """(group, _at, value, _below, _n) of the values at stated places of each group's order, counted from 0.
+
+    ``at`` makes an array of places from the group's number of rows, or is a table (group, _at); _below is the number of
+    smaller values. Rows are counted by range; only the ranges that hold a place are then sorted. ``rows`` is read three
+    times: checkpoint it.
+    """
+    dealt = ranged(rows.filter(F.col(value).isNotNull()), value, group)
+    order = W.partitionBy(group).orderBy("_range")
+    sums = dealt.groupBy(group, "_range").agg(F.count("*").alias("_own"))
+    sums = sums.select(group, "_range", "_own", (F.sum("_own").over(order) - F.col("_own")).alias("_before"), F.sum("_own").over(W.partitionBy(group)).alias("_n"))
+    placed = sums.join(at, group) if isinstance(at, DataFrame) else sums.withColumn("_at", F.explode(F.array_distinct(at(F.col("_n")))))
+    want = placed.filter((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_own")))
+    inside = dealt.join(want.select(group, "_range").distinct(), [group, "_range"]).groupBy(group, "_range", value).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(W.partitionBy(group, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    found = inside.withColumn("_upto", upto).join(want, [group, "_range"])
+    below = F.col("_before") + F.col("_upto") - F.col("_k")
+    return found.filter((below <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_upto"))).select(group, "_at", value, below.alias("_below"), "_n")
+
+
+def quantiles(rows: DataFrame, value: str, group: str, shares: Sequence[float]) -> DataFrame:
+    """(group, q0, q1, ...): exact quantiles, linear between the two values around a place. Nulls don't count."""
+    place = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    found = selected(rows, value, group, lambda n: F.flatten(F.array(*(F.array(F.floor(F.lit(float(q)) * (n - 1)), F.ceil(F.lit(float(q)) * (n - 1))) for q in shares))))
+    value_at = lambda c: F.max(F.when(F.col("_at") == c, F.col(value)))
+    n = found.groupBy(group, "_n")
+    both = n.agg(*(value_at(f(place(q))).alias(f"_{side}{i}") for i, q in enumerate(shares) for side, f in (("low", F.floor), ("high", F.ceil))))
+    return both.select(group, *((F.col(f"_low{i}") + (place(q) - F.floor(place(q))) * (F.col(f"_high{i}") - F.col(f"_low{i}"))).alias(f"q{i}") for i, q in enumerate(shares)))
+
+
 def bh_adjust(df: DataFrame, p: str, q: str, strict: bool = False) -> DataFrame:
     """Adds Benjamini-Hochberg q-values of ``p`` over all rows. ``strict``: values outside [0, 1] are an error."""
     if strict:
@@ -90,9 +124,10 @@ def rank_normal(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return out
 
 
-def lambda_gc(p: Column) -> Column:
-    """Aggregate: median chi-square over its expectation, of p-values in (0, 1]."""
-    return F.percentile(F.when((p > 0) & (p <= 1), chi2_1_isf(p)), 0.5) / CHI2_1_MEDIAN
+def lambda_gc(rows: DataFrame, p: str, group: str) -> DataFrame:
+    """(group, lambda_gc): median chi-square over its expectation, of p-values in (0, 1]."""
+    chi = rows.select(group, F.when((F.col(p) > 0) & (F.col(p) <= 1), chi2_1_isf(F.col(p))).alias("_chi"))
+    return quantiles(cut(chi), "_chi", group, [0.5]).select(group, (F.col("q0") / CHI2_1_MEDIAN).alias("lambda_gc"))
 
 
 def scan_summary(scan: DataFrame, keys: list[str], p: str, fdr: float = 0.10) -> DataFrame:
@@ -100,10 +135,10 @@ def scan_summary(scan: DataFrame, keys: list[str], p: str, fdr: float = 0.10) ->
 
     p-values are clipped to [1e-300, 1], and 1 where they aren't finite; groups are few, their rows many.
     """
-    d = scan.withColumn("_name", F.to_json(F.struct(*keys))).withColumn("_p", clip(_safe(p), TINY, 1.0))
+    d = cut(scan.select(*keys, F.to_json(F.struct(*keys)).alias("_name"), clip(_safe(p), TINY, 1.0).alias("_p")))
     found = d.join(_step_up(d).filter(F.col("_q") < fdr), ["_name", "_p"]).groupBy("_name").agg(F.count("*").alias("_hits"))
-    whole = d.groupBy("_name", *keys).agg(F.count("*").alias("n"), lambda_gc(F.col("_p")).alias("lambda_gc"), F.min("_p").alias("minimum_p"))
-    return whole.join(found, "_name", "left").withColumn("fdr_significant", F.coalesce("_hits", F.lit(0))).drop("_name", "_hits")
+    whole = d.groupBy("_name", *keys).agg(F.count("*").alias("n"), F.min("_p").alias("minimum_p"))
+    return whole.join(lambda_gc(d, "_p", "_name"), "_name", "left").join(found, "_name", "left").withColumn("fdr_significant", F.coalesce("_hits", F.lit(0))).drop("_name", "_hits")
 
 
 def top_k(df: DataFrame, p: str, k: int, key: str = "variant_index") -> DataFrame:
@@ -116,24 +151,58 @@ def share_count(n: int, fraction: float) -> int:
     return max(1, round(n * fraction))
 
 
-def jaccard_top(df: DataFrame, a: str, b: str, fractions: list[float], key: str = "variant_index") -> DataFrame:
-    """Of the top lists by two columns: top_fraction, k, overlap, jaccard."""
-    n = df.count()
-    ks = [share_count(n, f) for f in fractions]
-    most = max(ks)
-    rank = lambda c, name: top_k(df, c, most, key).select(F.col(key).alias("_key"), F.row_number().over(W.orderBy(F.col(c).asc_nulls_last(), key)).alias(name))
-    both = rank(a, "ra").join(rank(b, "rb"), "_key")
-    counts = both.agg(*(F.count_if((F.col("ra") <= k) & (F.col("rb") <= k)).alias(f"n{i}") for i, k in enumerate(ks)))
-    rows = F.array(*(F.struct(F.lit(f).alias("top_fraction"), F.lit(k).alias("k"), F.col(f"n{i}").alias("overlap")) for i, (f, k) in enumerate(zip(fractions, ks, strict=True))))
-    return counts.select(F.inline(rows)).withColumn("jaccard", F.col("overlap") / (2 * F.col("k") - F.col("overlap")))
+def _share_counts(n: Column, fractions: Sequence[float]) -> list[Column]:
+    """share_count of a column."""
+    return [F.greatest(F.lit(1), F.rint(n * F.lit(float(f))).cast("long")) for f in fractions]
+
+
+def top_limits(rows: DataFrame, group: str, p: str, fractions: Sequence[float], key: str) -> DataFrame:
+    """(group, k0, edge0, last0, k1, ...), a row a group: a row is in the top share i if its p is below edge i, or equal
+    to it and its key at most last i. Nulls count as infinite.
+
+    The value at the share's end is selected, and where it ties, the key at the place that is left for the tied.
+    """
+    rows = cut(rows.select(group, _or_infinite(p).alias("_v"), F.col(key).alias("_key")))
+    ends = cut(selected(rows, "_v", group, lambda n: F.array(*(k - 1 for k in _share_counts(n, fractions)))).withColumn("_tie", F.concat_ws(":", group, "_at")))
+    tied = rows.join(ends.select(group, "_v", "_tie"), [group, "_v"]).select("_tie", "_key")
+    last = selected(cut(tied), "_key", "_tie", ends.select("_tie", (F.col("_at") - F.col("_below")).alias("_at"))).select("_tie", F.col("_key").alias("_last"))
+    found = ends.join(last, "_tie").groupBy(group, "_n")
+    ks = _share_counts(F.col("_n"), fractions)
+    out = found.agg(*(F.max(F.when(F.col("_at") == k - 1, F.col(c))).alias(f"{name}{i}") for i, k in enumerate(ks) for c, name in (("_v", "edge"), ("_last", "last"))))
+    return out.select(group, *(k.alias(f"k{i}") for i, k in enumerate(ks)), *(f"{name}{i}" for i in range(len(fractions)) for name in ("edge", "last")))
+
+
+def _or_infinite(p: str) -> Column:
+    return F.coalesce(F.col(p).cast("double"), F.lit(float("inf")))
+
+
+def jaccard_by(df: DataFrame, group: str, a: str, b: str, fractions: Sequence[float], key: str = "variant_index") -> DataFrame:
+    """Of each group's top lists by two columns: group, top_fraction, k, overlap, jaccard. ``key`` is a number that
+    doesn't repeat within a group; groups are few. Whether a row is in a list follows from the list's limits alone."""
+    out = df
+    for side, c in (("a", a), ("b", b)):
+        limits = top_limits(df, group, c, fractions, key)
+        out = out.join(F.broadcast(limits.select(group, *(F.col(x).alias(f"_{side}_{x}") for x in limits.columns if x != group))), group)
+    inside = lambda side, c, i: (_or_infinite(c) < F.col(f"_{side}_edge{i}")) | ((_or_infinite(c) == F.col(f"_{side}_edge{i}")) & (F.col(key) <= F.col(f"_{side}_last{i}")))
+    counts = out.groupBy(group).agg(*(F.first(f"_a_k{i}").alias(f"k{i}") for i in range(len(fractions))), *(F.count_if(inside("a", a, i) & inside("b", b, i)).alias(f"n{i}") for i in range(len(fractions))))
+    rows = F.array(*(F.struct(F.lit(float(f)).alias("top_fraction"), F.col(f"k{i}").cast("int").alias("k"), F.col(f"n{i}").alias("overlap")) for i, f in enumerate(fractions)))
+    return counts.select(group, F.inline(rows)).withColumn("jaccard", F.col("overlap") / (2 * F.col("k") - F.col("overlap")))
+
+
+def jaccard_top(df: DataFrame, a: str, b: str, fractions: Sequence[float], key: str = "variant_index") -> DataFrame:
+    """Of the top lists of all rows by two columns: top_fraction, k, overlap, jaccard."""
+    return jaccard_by(df.select(F.lit("").alias("_g"), key, a, b), "_g", a, b, fractions, key).drop("_g")
 
 
 def qq_points(df: DataFrame, p: str, key: str = "variant_index") -> DataFrame:
-    """Expected and observed -log10 p in order, for a plot. Ties are ordered by key."""
-    d = df.filter((F.col(p) > 0) & (F.col(p) <= 1)).select(key, F.col(p).alias("_p"), F.lit(p).alias("_name"))
-    counts = running_counts(d.groupBy("_name", "_p").agg(F.count("*").alias("k")), "_p", "_name")
-    i = F.col("_upto") - F.col("k") + F.row_number().over(W.partitionBy("_p").orderBy(key))
-    return d.join(counts, ["_name", "_p"]).select(key, (-F.log10((i - 0.5) / F.col("_n"))).alias("expected"), neglog10(F.col("_p")).alias("observed"))
+    """Expected and observed -log10 p in order, for a plot. Ties are ordered by key.
+
+    p-values are clipped to [1e-300, 1], so those of 0 keep their place; what is null or not a number is left out.
+    """
+    d = df.filter(F.col(p).isNotNull() & ~F.isnan(p)).select(key, clip(F.col(p), TINY, 1.0).alias("_p"))
+    ordered = numbered(d, [F.col("_p"), F.col(key)], "_i")
+    n = ordered.count()
+    return ordered.select(key, (-F.log10((F.col("_i") + 0.5) / F.lit(float(max(n, 1))))).alias("expected"), neglog10(F.col("_p")).alias("observed"))
 
 
 def candidate_set(df: DataFrame, p: str, q: str | None = None, fdr: float | None = None, p_max: float | None = None, fallback: int | None = None, key: str = "variant_index") -> tuple[DataFrame, str]:
@@ -151,9 +220,9 @@ def candidate_set(df: DataFrame, p: str, q: str | None = None, fdr: float | None
 def leads_by_bin(df: DataFrame, p: str, q: str, fdr: float, bin_kb: int) -> DataFrame:
     """The row of smallest p of each bin among those with q < fdr, numbered by p."""
     d = df.filter(F.col(q) < fdr).withColumn("_bin", F.expr(f"pos div {bin_kb * 1000}"))
-    d = d.withColumn("_rn", F.row_number().over(W.partitionBy("CHR", "_bin").orderBy(p, "variant_index"))).filter("_rn = 1")
-    rank = F.row_number().over(W.orderBy(p, "variant_index"))
-    return d.select(rank.alias("lead_rank"), F.col("variant_index").alias("lead_variant_index"), F.col("snp").alias("lead_snp"), "CHR", "pos", p, q)
+    best = d.groupBy("CHR", "_bin").agg(F.min_by(F.struct("variant_index", "snp", "pos", p, q), F.struct(p, "variant_index")).alias("_x")).select("CHR", "_x.*")
+    out = numbered(best, [F.col(p), F.col("variant_index")], "_number")
+    return out.select((F.col("_number") + 1).alias("lead_rank"), F.col("variant_index").alias("lead_variant_index"), F.col("snp").alias("lead_snp"), "CHR", "pos", p, q)
 
 
 def thinned_markers(df: DataFrame, bin_kb: int, most: int) -> DataFrame:
@@ -165,6 +234,5 @@ def thinned_markers(df: DataFrame, bin_kb: int, most: int) -> DataFrame:
     if n <= most:
         return d
     # Row r (from 0) is taken if some j < most has floor(j * (n - 1) / (most - 1)) = r.
-    r = F.row_number().over(W.orderBy("CHR", "pos", "variant_index")) - 1
     step = F.lit(n - 1) / F.lit(max(most - 1, 1))
-    return d.withColumn("_r", r).filter(F.floor(F.ceil(F.col("_r") / step) * step) == F.col("_r")).drop("_r")
+    return numbered(d, [F.col("CHR"), F.col("pos"), F.col("variant_index")], "_r").filter(F.floor(F.ceil(F.col("_r") / step) * step) == F.col("_r")).drop("_r")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from locusframe.functions import special
 from locusframe.functions.stats import acat, interval, neglog10, simes
 from locusframe.operators.guards import cut, join_one_to_one, require, require_columns
-from locusframe.operators.ranking import bh_adjust, bh_columns, jaccard_top, lambda_gc, running_counts
+from locusframe.operators.ranking import bh_adjust, bh_columns, jaccard_by, jaccard_top, lambda_gc, quantiles, running_counts
 
 META = ("variant_index", "snp", "CHR", "pos", "MAF", "missing_rate")
 METHODS = ("INC", "SEV", "ACAT", "SIMES")
@@ -56,10 +56,10 @@ def long_form(table: DataFrame, *keep: str) -> DataFrame:
 
 def profile(table: DataFrame, test: str, context: str = "loco", fdr: float = 0.10) -> DataFrame:
     """By method: number of p-values, lambda GC, smallest p and q, hits."""
-    p, q = F.col("p"), F.col("q")
-    return long_form(table).groupBy("method").agg(
-        F.count("p").alias("n_variants"), lambda_gc(p).alias("lambda_gc"), F.min(p).alias("minimum_p"), F.min(q).alias("minimum_q"), F.count_if(q < fdr).alias("hits")
-    ).withColumn("context", F.lit(context)).withColumn("test", F.lit(test))
+    long = cut(long_form(table))
+    own = long.groupBy("method").agg(F.count("p").alias("n_variants"), F.min("p").alias("minimum_p"), F.min("q").alias("minimum_q"), F.count_if(F.col("q") < fdr).alias("hits"))
+    out = own.join(lambda_gc(long, "p", "method"), "method", "left")
+    return out.select("method", "n_variants", "lambda_gc", "minimum_p", "minimum_q", "hits", F.lit(context).alias("context"), F.lit(test).alias("test"))
 
 
 def pearson(x: str, y: str):  # noqa: ANN201
@@ -68,46 +68,67 @@ def pearson(x: str, y: str):  # noqa: ANN201
     return F.when((sxx > 0) & (syy > 0), sxy / (F.sqrt(sxx) * F.sqrt(syy)))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rho, n. Average ranks of both columns come from one pass over their distinct values.
+def spearman_by(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """(group, rho, n). Average ranks of both columns in each group come from one pass over their distinct values.
 
-    The two columns are checkpointed, as the ranks and the rows read them.
+    The columns are checkpointed, as the ranks and the rows read them.
     """
-    d = cut(df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).dropna())
-    long = d.select(F.inline(F.array(*(F.struct(F.lit(c).alias("_name"), F.col(c).alias("_v")) for c in ("_x", "_y")))))
+    d = cut(df.select(F.col(group).alias("_group"), F.col(x).alias("_x"), F.col(y).alias("_y")).dropna())
+    named = lambda c: F.concat(F.col("_group").cast("string"), F.lit(c))
+    long = d.select(F.inline(F.array(*(F.struct(named(c).alias("_name"), F.col(c).alias("_v")) for c in ("_x", "_y")))))
     ranks = running_counts(long.groupBy("_name", "_v").agg(F.count("*").alias("k")), "_v", "_name")
+    ranks = ranks.select(F.col("_name").alias("_of"), F.col("_v").alias("_at"), (F.col("_upto") - (F.col("k") - 1) / 2).alias("_rank"))
     for c in ("_x", "_y"):
-        d = d.join(ranks.filter(F.col("_name") == c).select(F.col("_v").alias(c), (F.col("_upto") - (F.col("k") - 1) / 2).alias("_r" + c)), c)
-    return d.agg(pearson("_r_x", "_r_y").alias("rho"), F.count("*").alias("n"))
+        own = ranks.withColumnRenamed("_rank", f"_r{c}")
+        d = d.withColumn("_of_row", named(c)).join(own, (F.col("_of_row") == F.col("_of")) & (F.col(c) == F.col("_at"))).drop("_of", "_at", "_of_row")
+    return d.groupBy(F.col("_group").alias(group)).agg(pearson("_r_x", "_r_y").alias("rho"), F.count("*").alias("n"))
 
 
-def compare_pair(left: DataFrame, right: DataFrame, method: str, fdr: float = 0.10) -> DataFrame:
-    """One row that compares a method's p-values between two tests, joined by variant.
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: rho, n."""
+    return spearman_by(df.select(F.lit("").alias("_g"), x, y), "_g", x, y).drop("_g")
+
+
+#: Names and shares of the top lists that two tests are compared by.
+TOPS = {"top_0p1pct_jaccard": 0.001, "top_1pct_jaccard": 0.01, "top_5pct_jaccard": 0.05}
 
-    The joined rows, eight numbers each, are checkpointed, as several statistics read them.
+
+def compare_groups(both: DataFrame, group: str, fdr: float = 0.10) -> DataFrame:
+    """A row for each group of (group, variant_index, pl, ql, pr, qr): how the p- and q-values of two tests agree.
+
+    The rows, eight numbers each, are checkpointed, as several statistics read them; groups are few.
     """
-    both = left.select("variant_index", F.col(f"p_{method}").alias("pl"), F.col(f"q_{method}").alias("ql")).join(right.select("variant_index", F.col(f"p_{method}").alias("pr"), F.col(f"q_{method}").alias("qr")), "variant_index")
-    both = both.withColumn("x", neglog10(F.col("pl"))).withColumn("y", neglog10(F.col("pr"))).withColumn("d", F.abs(F.col("x") - F.col("y")))
-    both = cut(both)
-    hits = [F.count_if(c < fdr) for c in (F.col("ql"), F.col("qr"))]
-    base = both.agg(
-        pearson("x", "y").alias("pearson"), F.percentile("d", 0.5).alias("median_difference"), F.percentile("d", 0.99).alias("p99_difference"), F.max("d").alias("max_difference"),
-        hits[0].alias("left_hits"), hits[1].alias("right_hits"), F.count_if((F.col("ql") < fdr) & (F.col("qr") < fdr)).alias("common_hits"),
+    d = both.withColumn("x", neglog10(F.col("pl"))).withColumn("y", neglog10(F.col("pr"))).withColumn("d", F.abs(F.col("x") - F.col("y")))
+    d = cut(d)
+    base = d.groupBy(group).agg(
+        pearson("x", "y").alias("pearson"), F.max("d").alias("max_difference"), F.count_if(F.col("ql") < fdr).alias("left_hits"), F.count_if(F.col("qr") < fdr).alias("right_hits"),
+        F.count_if((F.col("ql") < fdr) & (F.col("qr") < fdr)).alias("common_hits"),
     )
-    tops = jaccard_top(both, "pl", "pr", [0.001, 0.01, 0.05]).groupBy().pivot("top_fraction", [0.001, 0.01, 0.05]).agg(F.first("jaccard"))
-    tops = tops.toDF("top_0p1pct_jaccard", "top_1pct_jaccard", "top_5pct_jaccard")
-    one = F.lit(1).alias("_one")
-    joined = base.select("*", one).join(spearman(both, "x", "y").select(F.col("rho").alias("spearman"), one), "_one").join(tops.select("*", one), "_one")
-    return joined.drop("_one").withColumn("method", F.lit(method))
-
-
-def compare_tests(tables: dict[str, DataFrame]) -> DataFrame:
-    """All pairs of tests and methods."""
-    out = [
-        compare_pair(tables[a], tables[b], m).withColumn("left_test", F.lit(a)).withColumn("right_test", F.lit(b))
-        for a, b in (("score", "lrt"), ("score", "wald"), ("lrt", "wald")) if a in tables and b in tables for m in METHODS
-    ]
-    return reduce(DataFrame.unionByName, out)
+    middle = quantiles(d, "d", group, [0.5, 0.99]).select(group, F.col("q0").alias("median_difference"), F.col("q1").alias("p99_difference"))
+    tops = jaccard_by(d, group, "pl", "pr", list(TOPS.values()))
+    tops = tops.groupBy(group).agg(*(F.max(F.when(F.col("top_fraction") == f, F.col("jaccard"))).alias(name) for name, f in TOPS.items()))
+    out = base.join(middle, group, "left").join(spearman_by(d, group, "x", "y").select(group, F.col("rho").alias("spearman")), group, "left")
+    return out.join(tops, group)
+
+
+def compare_tests(tables: dict[str, DataFrame], fdr: float = 0.10) -> DataFrame:
+    """left_test, right_test, method and the figures of all pairs of tests and methods, in one pass for all."""
+    parts = []
+    for a, b in (("score", "lrt"), ("score", "wald"), ("lrt", "wald")):
+        if a in tables and b in tables:
+            own = lambda name, side: long_form(tables[name], "variant_index").select("variant_index", "method", F.col("p").alias(f"p{side}"), F.col("q").alias(f"q{side}"))
+            parts.append(own(a, "l").join(own(b, "r"), ["variant_index", "method"]).withColumn("left_test", F.lit(a)).withColumn("right_test", F.lit(b)))
+    require(bool(parts), "no two tests to compare")
+    both = reduce(DataFrame.unionByName, parts).withColumn("_of", F.concat_ws(" ", "left_test", "right_test", "method"))
+    named = [F.get(F.split("_of", " "), F.lit(k)).alias(c) for k, c in enumerate(("left_test", "right_test", "method"))]
+    found = compare_groups(both.select("_of", "variant_index", "pl", "ql", "pr", "qr"), "_of", fdr)
+    return found.select(*named, *(c for c in found.columns if c != "_of"))
+
+
+def compare_pair(left: DataFrame, right: DataFrame, method: str, fdr: float = 0.10) -> DataFrame:
+    """One row that compares a method's p-values between two tests, joined by variant."""
+    side = lambda df, s: df.select("variant_index", F.col(f"p_{method}").alias(f"p{s}"), F.col(f"q_{method}").alias(f"q{s}"))
+    return compare_groups(side(left, "l").join(side(right, "r"), "variant_index").withColumn("method", F.lit(method)), "method", fdr)
 
 
 def compare_scans(full: DataFrame, other: DataFrame, label: str) -> DataFrame:

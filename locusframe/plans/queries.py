@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from locusframe.functions import stats, text
-from locusframe.operators import annotate, genotype, guards, kinship, ld, models, packed, phenotype, ranking, tables
+from locusframe.operators import annotate, genotype, guards, kinship, ld, models, numbering, packed, phenotype, ranking, tables
 from locusframe.plans import views as v
 from locusframe.sources import text_formats
 
@@ -245,9 +245,14 @@ def k11_digest(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "supplier").select("s_suppkey", F.upper(F.sha2("s_name", 256)).alias("digest"))
 
 
-@query("SELECT variant_index, round(-log10((row_number() OVER (ORDER BY p_score_INC, variant_index) - 0.5) / count(*) OVER ()), 8) AS expected, round(-log10(p_score_INC), 8) AS observed FROM scan", v.SCAN_SQL)
+@query(
+    "SELECT variant_index, round(-log10((row_number() OVER (ORDER BY p, variant_index) - 0.5) / count(*) OVER ()), 8) AS expected, round(-log10(p), 8) AS observed FROM (SELECT variant_index, CASE WHEN variant_index % 50 = 0 THEN 1e-300::DOUBLE ELSE p_score_INC END AS p FROM scan)",
+    v.SCAN_SQL,
+)
 def k9_qq_points(spark: SparkSession, d: str) -> DataFrame:
-    q = ranking.qq_points(v.scan(spark, d), "p_score_INC")
+    """Every 50th p-value is 0."""
+    s = v.scan(spark, d).select("variant_index", F.when(F.col("variant_index") % 50 == 0, 0.0).otherwise(F.col("p_score_INC")).alias("p"))
+    q = ranking.qq_points(s, "p")
     return q.select("variant_index", r8("expected").alias("expected"), r8("observed").alias("observed"))
 
 
@@ -286,6 +291,14 @@ def w4_thinned_markers(spark: SparkSession, d: str) -> DataFrame:
     return ranking.thinned_markers(v.scan(spark, d), 20, 10**9).select("variant_index", "CHR", F.col("thin_bin").alias("bin"))
 
 
+@query(
+    "SELECT variant_index, CHR, bin FROM (SELECT *, row_number() OVER (ORDER BY CHR, pos, variant_index) - 1 AS r, count(*) OVER () AS n FROM (SELECT *, row_number() OVER (PARTITION BY CHR, bin ORDER BY missing_rate, MAF DESC, pos, variant_index) AS rn FROM (SELECT *, pos // 20000 AS bin FROM scan)) WHERE rn = 1) t WHERE n <= 7 OR r IN (SELECT CAST(floor(j * (t.n - 1) / 6.0) AS BIGINT) FROM (SELECT unnest(range(0, 7)) AS j))",
+    v.SCAN_SQL,
+)
+def w4_evenly_thinned(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.thinned_markers(v.scan(spark, d), 20, 7).select("variant_index", "CHR", F.col("thin_bin").alias("bin"))
+
+
 @query(
     f"SELECT row_number() OVER (ORDER BY p_score_INC, variant_index) AS lead_rank, variant_index AS lead_variant_index, snp AS lead_snp, CHR, pos FROM (SELECT *, row_number() OVER (PARTITION BY CHR, pos // 50000 ORDER BY p_score_INC, variant_index) AS rn FROM ({_bh_sql('p_score_INC', 'scan')}) WHERE q < 0.999) WHERE rn = 1",
     v.SCAN_SQL,
@@ -297,8 +310,9 @@ def w5_leads_by_bin(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY missing_rate, MAF DESC, pos, variant_index) AS candidate_rank, variant_index FROM scan", v.SCAN_SQL)
 def t1_stable_order(spark: SparkSession, d: str) -> DataFrame:
-    w = W.orderBy(F.col("missing_rate").asc_nulls_last(), F.col("MAF").desc_nulls_last(), "pos", "variant_index")
-    return v.scan(spark, d).select(F.row_number().over(w).cast("bigint").alias("candidate_rank"), "variant_index")
+    order = [F.col("missing_rate").asc_nulls_last(), F.col("MAF").desc_nulls_last(), F.col("pos"), F.col("variant_index")]
+    s = v.scan(spark, d).select("variant_index", "missing_rate", "MAF", "pos")
+    return numbering.numbered(s, order, "_number").select((F.col("_number") + 1).alias("candidate_rank"), "variant_index")
 
 
 @query("SELECT variant_index, p_score_INC AS p FROM scan ORDER BY p_score_INC, variant_index LIMIT 50", v.SCAN_SQL)
@@ -394,7 +408,7 @@ _Z = v.norm_ppf_sql("(p_score_SEV / 2)")
 
 @query(f"SELECT round(quantile_cont({_Z} * {_Z}, 0.5) / 0.4549364231195727::DOUBLE, 6) AS lambda_gc FROM scan", v.SCAN_SQL)
 def a8_lambda_gc(spark: SparkSession, d: str) -> DataFrame:
-    return v.scan(spark, d).agg(F.round(ranking.lambda_gc(F.col("p_score_SEV")), 6).alias("lambda_gc"))
+    return ranking.lambda_gc(v.scan(spark, d).withColumn("all", F.lit("")), "p_score_SEV", "all").select(F.round("lambda_gc", 6).alias("lambda_gc"))
 
 
 def _rank_sql(c: str) -> str:
@@ -412,29 +426,68 @@ def a10_compare_tests(spark: SparkSession, d: str) -> DataFrame:
     return c.select("method", *(F.round(k, 6).alias(k) for k in ("pearson", "spearman", "median_difference", "p99_difference", "max_difference")), "left_hits", "common_hits")
 
 
-_CONCORDANCE_SQL = f"""SELECT 'Pearson' AS metric, round(corr(x, y), 6) AS coefficient, count(*) AS n_snps FROM (SELECT -log10(p_score_INC) AS x, -log10(p_score_SEV) AS y FROM scan)
-UNION ALL SELECT 'Spearman', round(corr(rx, ry), 6), count(*) FROM (SELECT {_rank_sql('p_score_INC')} AS rx, {_rank_sql('p_score_SEV')} AS ry FROM scan)"""
+_PAIRS = [("score", "lrt"), ("score", "wald"), ("lrt", "wald")]
+_BY = "PARTITION BY left_test, right_test, method"
+
+
+def _by_rank(c: str) -> str:
+    return f"rank() OVER ({_BY} ORDER BY {c}) + (count(*) OVER ({_BY}, {c}) - 1) / 2.0"
+
+
+_ALL_COMPARED_SQL = f"""SELECT left_test, right_test, method, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(quantile_cont(dd, 0.5), 6) AS median_difference, round(quantile_cont(dd, 0.99), 6) AS p99_difference, round(max(dd), 6) AS max_difference,
+  count(*) FILTER (ql < 0.10) AS left_hits, count(*) FILTER (qr < 0.10) AS right_hits, count(*) FILTER (ql < 0.10 AND qr < 0.10) AS common_hits,
+  {", ".join(f"round(count(*) FILTER (ra <= k{i} AND rb <= k{i}) / (2.0 * any_value(k{i}) - count(*) FILTER (ra <= k{i} AND rb <= k{i})), 8) AS {name}" for i, name in enumerate(tables.TOPS))}
+FROM (SELECT *, {_by_rank("x")} AS rx, {_by_rank("y")} AS ry, abs(x - y) AS dd, row_number() OVER ({_BY} ORDER BY pl, variant_index) AS ra, row_number() OVER ({_BY} ORDER BY pr, variant_index) AS rb,
+  {", ".join(f"CAST(greatest(1, round_even(count(*) OVER ({_BY}) * {f}::DOUBLE, 0)) AS BIGINT) AS k{i}" for i, f in enumerate(tables.TOPS.values()))}
+  FROM (SELECT *, -log10(pl) AS x, -log10(pr) AS y FROM ({" UNION ALL ".join(f"SELECT '{a}' AS left_test, '{b}' AS right_test, '{m}' AS method, a.variant_index, a.p_{m} AS pl, a.q_{m} AS ql, b.p_{m} AS pr, b.q_{m} AS qr FROM t_{a} a JOIN t_{b} b USING (variant_index)" for a, b in _PAIRS for m in tables.METHODS)})))
+GROUP BY left_test, right_test, method"""
+
+
+@query(_ALL_COMPARED_SQL, v.SCAN_SQL, _methods_sql("score"), _methods_sql("lrt"), _methods_sql("wald"))
+def a10_all_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    c = tables.compare_tests({t: pair(spark, d, t) for t in ("score", "lrt", "wald")})
+    return c.select("left_test", "right_test", "method", *(F.round(k, 6).alias(k) for k in ("pearson", "spearman", "median_difference", "p99_difference", "max_difference")), "left_hits", "right_hits", "common_hits", *(r8(k).alias(k) for k in tables.TOPS))
+
+
+#: Two-sided p of a correlation by Simpson's rule over the density of t, in 4,000 steps.
+_T_SQL = """SELECT metric, round(coefficient, 6) AS coefficient, round(1 - 2 * t / 12000 * (SELECT sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * power(1 + t * t * i * i / 16000000.0 / (n - 2), -(n - 1) / 2.0)) FROM (SELECT unnest(range(0, 4001)) AS i)), 6) AS p_value, n AS n_snps
+FROM (SELECT *, abs(coefficient) * sqrt((n - 2) / (1 - coefficient * coefficient)) AS t FROM ({}))"""
+_CONCORDANCE_SQL = _T_SQL.format(f"""SELECT 'Pearson' AS metric, corr(x, y) AS coefficient, count(*) AS n FROM (SELECT -log10(p_score_INC) AS x, -log10(p_score_SEV) AS y FROM scan)
+UNION ALL SELECT 'Spearman', corr(rx, ry), count(*) FROM (SELECT {_rank_sql('p_score_INC')} AS rx, {_rank_sql('p_score_SEV')} AS ry FROM scan)""")
 
 
 @query(_CONCORDANCE_SQL, v.SCAN_SQL)
 def a12_concordance(spark: SparkSession, d: str) -> DataFrame:
     c, _ = tables.concordance(v.scan(spark, d), "p_score_INC", "p_score_SEV")
-    return c.select("metric", F.round("coefficient", 6).alias("coefficient"), "n_snps")
+    return c.select("metric", F.round("coefficient", 6).alias("coefficient"), F.round("p_value", 6).alias("p_value"), "n_snps")
 
 
-@query()
+def _tops_sql(a: str, b: str, source: str, fractions: tuple[float, ...]) -> str:
+    """top_fraction, k, overlap and n of the top lists by two columns."""
+    return " UNION ALL ".join(f"SELECT {f}::DOUBLE AS top_fraction, any_value(k) AS k, count(*) FILTER (ra <= k AND rb <= k) AS overlap, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY {a}, variant_index) AS ra, row_number() OVER (ORDER BY {b}, variant_index) AS rb, CAST(greatest(1, round_even(count(*) OVER () * {f}::DOUBLE, 0)) AS BIGINT) AS k FROM {source})" for f in fractions)
+
+
+_HYPER = "exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(n - k + 1) - lgamma(k - x + 1) - lgamma(n - 2 * k + x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1))"
+
+
+@query(
+    f"SELECT top_fraction, k AS top_n_each, overlap, round(overlap / (2.0 * k - overlap), 8) AS jaccard, round(1.0::DOUBLE * k * k / n, 8) AS expected_overlap, round(overlap / (1.0::DOUBLE * k * k / n), 8) AS fold_enrichment, round(CASE WHEN k = overlap THEN 'inf'::DOUBLE ELSE 1.0::DOUBLE * overlap * (n - 2 * k + overlap) / ((k - overlap) * (k - overlap)) END, 8) AS odds_ratio,"
+    f" round((SELECT sum({_HYPER}) FROM (SELECT unnest(range(t.overlap, t.k + 1)) AS x)), 8) AS fisher_p FROM ({_tops_sql('p_score_INC', 'p_score_SEV', 'scan', (0.01, 0.05, 0.1))}) t",
+    v.SCAN_SQL,
+)
 def a12_concordance_tops(spark: SparkSession, d: str) -> DataFrame:
-    return tables.concordance(v.scan(spark, d), "p_score_INC", "p_score_SEV")[1]
+    t = tables.concordance(v.scan(spark, d), "p_score_INC", "p_score_SEV")[1]
+    return t.select("top_fraction", F.col("top_n_each").cast("bigint").alias("top_n_each"), "overlap", *(r8(c).alias(c) for c in ("jaccard", "expected_overlap", "fold_enrichment", "odds_ratio", "fisher_p")))
 
 
-_METHOD_SQL = f"""SELECT 'rank correlation' AS comparison, round(corr(rx, ry), 6) AS value FROM (SELECT {_rank_sql('p_ACAT')} AS rx, {_rank_sql('p_SIMES')} AS ry FROM t_score)
-UNION ALL SELECT 'hits ACAT', CAST(count(*) FILTER (q_ACAT < 0.9) AS DOUBLE) FROM t_score UNION ALL SELECT 'hits SIMES', CAST(count(*) FILTER (q_SIMES < 0.9) AS DOUBLE) FROM t_score"""
+_METHOD_SQL = f"""SELECT 'rank correlation' AS comparison, round(corr(rx, ry), 6) AS value, NULL::DOUBLE AS jaccard FROM (SELECT {_rank_sql('p_ACAT')} AS rx, {_rank_sql('p_SIMES')} AS ry FROM t_score)
+UNION ALL SELECT 'hits ACAT', CAST(count(*) FILTER (q_ACAT < 0.9) AS DOUBLE), NULL FROM t_score UNION ALL SELECT 'hits SIMES', CAST(count(*) FILTER (q_SIMES < 0.9) AS DOUBLE), NULL FROM t_score
+UNION ALL SELECT concat('top ', CAST(CAST(round(top_fraction * 100) AS INTEGER) AS VARCHAR), '%'), CAST(overlap AS DOUBLE), round(overlap / (2.0 * k - overlap), 8) FROM ({_tops_sql('p_ACAT', 'p_SIMES', 't_score', (0.01, 0.05, 0.1))})"""
 
 
 @query(_METHOD_SQL, v.SCAN_SQL, _methods_sql("score"))
 def a13_method_comparison(spark: SparkSession, d: str) -> DataFrame:
-    m = tables.method_comparison(pair(spark, d), 0.9).filter(~F.col("comparison").startswith("top"))
-    return m.select("comparison", F.round("value", 6).alias("value"))
+    return tables.method_comparison(pair(spark, d), 0.9).select("comparison", F.round("value", 6).alias("value"), r8("jaccard").alias("jaccard"))
 
 
 @query(
@@ -470,8 +523,8 @@ def j5_ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_quantity AS INC, round(l_tax - l_discount, 8) AS SEV_correction, abs(l_tax - l_discount) > 1e-12 AS CorrectionFlag FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem)")
 def j6_align_by_position(spark: SparkSession, d: str) -> DataFrame:
     # All columns settle ties, so that both tables number their rows alike.
-    w = W.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    li = v.table(spark, d, "lineitem").withColumn("row", F.row_number().over(w)).withColumn("id", F.concat(F.lit("C"), F.col("l_partkey").cast("string")))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    li = numbering.numbered(v.table(spark, d, "lineitem").select(*order), [F.col(c) for c in order], "row").withColumn("id", F.concat(F.lit("C"), F.col("l_partkey").cast("string")))
     raw = li.select("row", "l_orderkey", F.col("l_quantity").alias("INC_raw_source"), F.col("l_discount").alias("SEV_raw_source"), F.col("l_returnflag").alias("Location"), F.col("id").alias("Cultivar_raw"))
     fixed = li.select("row", F.col("l_quantity").alias("INC"), F.col("l_tax").alias("SEV"), F.col("l_returnflag").alias("Location"), F.col("id").alias("Cultivar"), F.col("id").alias("ID_std"))
     return phenotype.align_by_position(raw, fixed, ["row"]).select("l_orderkey", "INC", r8("SEV_correction").alias("SEV_correction"), "CorrectionFlag")
@@ -716,6 +769,12 @@ def a5_accession_traits(spark: SparkSession, d: str) -> DataFrame:
     return phenotype.accession_traits(v.plots(spark, d))
 
 
+@query()
+def a5_omission_traits(spark: SparkSession, d: str) -> DataFrame:
+    """Traits without one region at a time."""
+    return phenotype.omission_traits(v.plots(spark, d), _REGIONS)
+
+
 @query("SELECT trait, count(*) AS n, count(*) FILTER (alike) AS same FROM (SELECT 'INC' AS trait, sign(beta_INC) = sign(beta_SEV) AS alike FROM scan UNION ALL SELECT 'SEV', sign(beta_SEV) = sign(se) FROM scan) GROUP BY trait", v.SCAN_SQL)
 def a20_direction_summary(spark: SparkSession, d: str) -> DataFrame:
     s = v.scan(spark, d)
