@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are looked at together; a longer text is one piece.
-SLICE = 4 << 20
+SLICE = 2 << 20
 WORD, BLANK, BREAK = 0, 1, 2
 _M1, _M2, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
@@ -42,7 +42,7 @@ class Cut:
     ids: np.ndarray
     row: np.ndarray
     piece: np.ndarray
-    vocabulary: pa.BinaryArray
+    vocabulary: pa.Array
 
     def firsts(self, rows: int) -> np.ndarray:
         """The number of the first word of each row, and at the end that of all words."""
@@ -66,13 +66,22 @@ def cut(texts: pa.Array, kinds: np.ndarray, fold: bool) -> Cut:
     start[1:] &= ~word[:-1] | edge[1:-1]
     end[:-1] &= ~word[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    offsets = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(ends - starts, out=offsets[1:])
     kept = np.ascontiguousarray(data[word])
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
-    row = np.searchsorted(off, starts, "right") - 1
-    breaks = np.cumsum(kind == BREAK)[starts] if len(starts) else np.zeros(0, np.int64)
-    return Cut(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), row, breaks + row, coded.dictionary)
+    wide = len(kept) >= 1 << 31
+    offsets = np.zeros(len(starts) + 1, np.int64 if wide else np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    coded = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+    row = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
+    piece = row + np.cumsum(kind == BREAK)[starts] if (kinds == BREAK).any() and len(starts) else row
+    return Cut(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), row, piece, coded.dictionary)
+
+
+def spelled(vocabulary: pa.Array) -> list[bytes]:
+    """The words as bytes; slices of the buffer, as to_pylist takes four times as long."""
+    held = vocabulary.buffers()
+    off = np.frombuffer(held[1], np.int32 if vocabulary.type == pa.binary() else np.int64)[vocabulary.offset : vocabulary.offset + len(vocabulary) + 1].tolist()
+    data = held[2].to_pybytes() if held[2] is not None else b""
+    return [data[a:b] for a, b in zip(off, off[1:], strict=False)]
 
 
 def parts(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -99,9 +108,9 @@ def over_parts(run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Cal
     return all_parts
 
 
-def digests(vocabulary: pa.BinaryArray) -> np.ndarray:
+def digests(vocabulary: pa.Array) -> np.ndarray:
     """Two 64-bit halves of a digest of each word: (2, words)."""
-    raw = b"".join(map(xxhash.xxh3_128_digest, vocabulary.to_pylist()))
+    raw = b"".join(map(xxhash.xxh3_128_digest, spelled(vocabulary)))
     return np.frombuffer(raw, np.uint64).reshape(-1, 2).T.copy()
 
 
