@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from locusframe.operators.numbering import numbered
 
 from .common import Scratch, table
-from .word_cuts import LETTERS, cut, over_parts, parts
+from .word_cuts import LETTERS, cut, over_parts, parts, spelled
 
 #: Lengths of the n-grams, buckets of their hash, documents drawn of 100, words of a document that can be drawn.
 ORDERS, BUCKETS, PERCENT, LEAST = (1, 1), 10_000, 10, 20
@@ -54,7 +54,7 @@ def runs(ids: np.ndarray, row: np.ndarray, longest: int) -> tuple[np.ndarray, np
 def features(part: pa.RecordBatch, orders: tuple[int, int], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bucket and the row of each n-gram's occurrence, and the number of words of each row."""
     words = cut(part.column("text"), LETTERS, fold=True)
-    names = words.vocabulary.to_pylist()
+    names = spelled(words.vocabulary)
     order, common = runs(words.ids, words.row, orders[1])
     found, rows = [], []
     for n in range(orders[0], orders[1] + 1):
@@ -124,7 +124,8 @@ def ranked(docs: DataFrame, target: DataFrame, orders: tuple[int, int] = ORDERS,
     """
     scratch = Scratch(docs.sparkSession)
     gain = gains(bucket_counts(docs, orders, buckets), bucket_counts(target, orders, buckets))
-    scored = weighed(docs, gain, orders).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
+    # Written first: finding the ranges of the order reads its rows twice.
+    scored = scratch.keep(weighed(docs, gain, orders), "weighed").withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     # Short documents come after all others and so take no number that counts.
     order = [F.col("n_words") < least, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features"), F.col("weight")]
     found = numbered(scored, order, "_number", lambda df: scratch.keep(df, "scored"))
