@@ -6,8 +6,8 @@ the slice; sums over all slices are exact frequencies. Only frequent phrases are
 their digests mark bits of a map of fixed size that all tasks get. A digest that another phrase has marked only makes a
 task count a phrase in vain, as what isn't frequent is dropped after the sums.
 
-Frequencies, cuts and containment are joins and sums on phrases. The rows kept are ranked by language in shares of a
-hash first, so that one language's phrases are never one task's.
+Frequencies, cuts and containment are joins and sums on phrases. The rows kept are numbered along ranges of one order of
+all languages, so that one language's phrases are never one task's.
 
 Edge cases: a null or empty text has no words, a null language is ``und``; phrases cross neither pieces nor texts; rows
 that repeat count again; extra columns aren't read; empty tables and languages without a frequent phrase give no row.
@@ -23,9 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import Scratch, table
+from locusframe.operators.numbering import numbered
+
+from .common import Scratch, rows_a_batch, table
 from .word_cuts import PIECES, Cut, cut, digests, over_parts, pair
 
 LONGEST, LEAST, TOP = 4, 30, 2000
@@ -33,13 +34,13 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 INSIDE = 80
 #: The map of frequent phrases: 2^26 bits, 8 MB.
 BITS = 26
-#: Shares that a language's phrases are ranked in before the final ranks.
-SHARES = 64
+#: Languages whose totals are broadcast; rows of a batch of texts.
+FEW, ROWS = 10_000, 1_000
 
 
 def _langs(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct languages, each row's number among them and its digest."""
-    coded = column.fill_null("und").cast(pa.large_binary()).dictionary_encode()
+    coded = column.fill_null("und").cast(pa.binary()).dictionary_encode()
     number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     return coded.dictionary.cast(pa.string()), number, digests(coded.dictionary)[0][number]
 
@@ -81,7 +82,7 @@ class Postings:
 def _phrases(words: Cut, head: np.ndarray, length: int) -> pa.Array:
     """The phrases that begin at these words, their words joined by a space."""
     columns = [words.vocabulary.take(pa.array(words.ids[head + k])) for k in range(length)]
-    return (columns[0] if length == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))).cast(pa.string())
+    return (columns[0] if length == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", words.vocabulary.type))).cast(pa.string())
 
 
 def level_counts(docs: DataFrame, length: int, maps: list[np.ndarray]) -> DataFrame:
@@ -166,21 +167,24 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     a longer candidate contains with ``inside`` of 100 of their occurrences.
     """
     scratch = Scratch(docs.sparkSession)
-    words = scratch.keep(level_counts(docs, 1, []), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels, maps = [words.filter(F.col("f") >= least)], []
-    for n in range(2, longest + 1):
-        maps.append(frequent_map(levels[-1]))
-        levels.append(scratch.keep(level_counts(docs, n, maps).filter(F.col("f") >= least), f"level{n}"))
+    with rows_a_batch(docs.sparkSession, ROWS):
+        words = scratch.keep(level_counts(docs, 1, []), "words")
+        totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+        levels, maps = [words.filter(F.col("f") >= least)], []
+        for n in range(2, longest + 1):
+            maps.append(frequent_map(levels[-1]))
+            levels.append(scratch.keep(level_counts(docs, n, maps).filter(F.col("f") >= least), f"level{n}"))
     known = reduce(DataFrame.unionByName, levels)
     long = reduce(DataFrame.unionByName, levels[1:]).withColumn("words", F.split("phrase", " ", -1)).withColumn("size", F.size("words"))
     scored, around = lowest_cuts(long, known), most_around(long)
     kept = scored.join(around, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (_wide("most") * 100 < _wide("a") * inside))
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
-    best = kept.withColumn("_share", share).withColumn("_rank", F.row_number().over(W.partitionBy("lang", "_share").orderBy(*order))).filter(F.col("_rank") <= top)
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # One order of all languages; a language's first number makes its ranks.
+    order = [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    found = numbered(kept, order, "_number", lambda df: scratch.keep(df, "ranked"))
+    of_lang = found.groupBy("lang").agg(F.min("_number").alias("_first")).join(totals, "lang")
+    few = of_lang.limit(FEW + 1).count() <= FEW  # else by a join that can split a language
+    ranked = found.join(F.broadcast(of_lang) if few else of_lang, "lang").withColumn("rank", F.col("_number") - F.col("_first") + 1)
+    return ranked.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
