@@ -7,11 +7,13 @@ farther apart than the radius are skipped, short ones are compared by one matrix
 pair of blocks gives a count of links for each vector and one link of it to the smallest vector that it reaches there,
 never the pairs themselves.
 
-Equal vectors of a label are joined once and counted with their number. The axes are fitted to a bounded sample; any
+Equal vectors of a label are one class with a number of its own, joined once and counted with its size; vec_ids only
+name the results. The axes are fitted to a bounded sample; any
 axes give the same result, good ones skip more.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and null labels, link with nothing;
-vectors of different lengths link with nothing; rows that repeat count as vectors of their own; an empty table gives an
+vectors of different lengths link with nothing; rows that repeat a vec_id count as vectors of their own; a vector with a null vec_id
+links like any other, names no component (null where no other vec_id is in it) and isn't kept; an empty table gives an
 empty result; extra columns are left out.
 """
 
@@ -40,7 +42,9 @@ STRIDES = np.array([1 << 20 * k for k in range(MEET)], np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, by their largest component first, whose square may be beyond the range of doubles."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(np.float64).smallest_subnormal)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -108,7 +112,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     v = vectors.select("vec_id", F.col("embedding").cast(f"array<{held_as}>").alias("embedding"), "label")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0)
-    classes = scratch.keep(v.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
+    classes = scratch.keep(v.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     axes = spark.sparkContext.broadcast(axes_of(classes))
 
     def project(x: np.ndarray) -> np.ndarray:
@@ -194,8 +198,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     labels = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")), scratch)
     scratch.drop("blocks")
     whole = v.withColumn("usable", usable).join(classes.withColumnRenamed("label", "k_label").withColumnRenamed("embedding", "k_embedding"), F.col("usable") & (F.col("label") == F.col("k_label")) & (F.col("embedding") == F.col("k_embedding")), "left")
-    whole = whole.join(n_links, F.col("rep") == F.col("c_rep"), "left").join(labels, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    # The smallest vec_id of each component of classes; a class without links is its own.
+    own = F.coalesce("component", "rep")
+    ids = classes.join(labels, F.col("rep") == F.col("node"), "left").groupBy(own.alias("c_root")).agg(F.min("least").alias("c_least"))
+    whole = whole.join(n_links, F.col("rep") == F.col("c_rep"), "left").join(labels, F.col("rep") == F.col("node"), "left").withColumn("root", own)
+    whole = whole.join(ids, F.col("root") == F.col("c_root"), "left")
+    component = F.when(F.col("rep").isNull(), F.col("vec_id")).otherwise(F.col("c_least"))
     return whole.select(
         "vec_id",
         (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
