@@ -28,8 +28,9 @@ ORDERS = (1, 2, 3)
 ALPHA = 0.5
 #: About so many documents are sampled for each language, fewer where there are fewer.
 SAMPLE = 2_000
-#: Languages that are learned, those with the most labelled rows: they bound the matrix, 64 KB each.
-MOST_LANGUAGES = 1_000
+#: Languages that are scored together, entries of the product that are held at a time, and languages that a broadcast
+#: matrix, 64 KB each, has room for: more are an error, none is left out.
+TOGETHER, ENTRIES, ROOM = 64, 1 << 21, 8_000
 #: Code points looked at together.
 PIECE = 1 << 20
 _A, _B = np.uint32(2654435761), np.uint32(2246822519)
@@ -84,34 +85,44 @@ class Model:
         use = [i for i, t in enumerate(texts) if self.names and has_letter(t)]
         if not use:
             return names, shares
-        where, values, ends = [], [], []
+        where, values = [], []
         for i in use:
             c = counts(texts[i])
             at = np.flatnonzero(c)
             where.append(at)
             values.append(c[at])
-            ends.append(len(at))
-        weighted = self.logs[np.concatenate(where)] * np.concatenate(values).astype(np.float32)[:, None]
-        logs = np.add.reduceat(weighted.astype(np.float64), np.concatenate(([0], np.cumsum(ends)[:-1])), axis=0)
-        best = logs.argmax(axis=1)
-        post = np.exp(logs - logs.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
         for row, i in enumerate(use):
-            names[i], shares[i] = self.names[best[row]], float(post[row, best[row]])
+            best, share = self._likeliest(where[row], values[row].astype(np.float32))
+            names[i], shares[i] = self.names[best], share
         return names, shares
 
+    def _likeliest(self, where: np.ndarray, values: np.ndarray) -> tuple[int, float]:
+        """The first label of the largest log-probability and its share, by blocks of labels and runs of entries."""
+        logs = np.zeros(len(self.names))
+        for k in range(0, len(logs), TOGETHER):
+            block = self.logs[:, k : k + TOGETHER]
+            step = max(1, ENTRIES // block.shape[1])
+            for at in range(0, len(where), step):
+                logs[k : k + TOGETHER] += (block[where[at : at + step]] * values[at : at + step, None]).sum(axis=0, dtype=np.float64)
+        best = int(logs.argmax())
+        return best, float(1 / np.exp(logs - logs[best]).sum())
+
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit to (doc_id, text, lang) rows with a lang that isn't null; at most about ``sample`` of each of MOST_LANGUAGES."""
+    """Fit to (doc_id, text, lang) rows with a lang that isn't null; at most about ``sample`` of each language.
+
+    The draw hashes the row and its place, so that rows that share an id or a text don't share it.
+    """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col("lang").isNotNull())
-    by_size = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang")
-    sizes = {r["lang"]: r["count"] for r in by_size.limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(ROOM + 1).collect()}
+    if len(sizes) > ROOM:
+        raise ValueError(f"more than {ROOM} languages don't fit the matrix that is broadcast")
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)))
     shares = spark.createDataFrame([(k, min(1.0, sample / n)) for k, n in sizes.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("lang", "text")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.withColumn("draw", draw).join(F.broadcast(shares), "lang").filter(F.col("draw") < F.col("share")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -131,10 +142,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(names, by_name)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` with lang_pred and lang_score."""
+def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """The columns of ``docs`` with the language and its score, in place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema if f.name not in ("lang_pred", "lang_score")]
+    fields = [f for f in docs.schema if f.name not in (pred, score)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +153,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch.column("text")):
                 rows = batch.slice(part.start, part.stop - part.start)
                 names, scores = shared.value.score(rows.column("text").to_pylist())
-                yield rows.append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
+                yield rows.append_column(pred, pa.array(names, pa.string())).append_column(score, pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*fields, StructField(pred, StringType()), StructField(score, DoubleType())]))
 
 
 def learned(docs: DataFrame) -> Model:
