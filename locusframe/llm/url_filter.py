@@ -1,12 +1,12 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 Features: lengths of url, host and path, depth, dots and dashes of the host, share of digits, entropy of the letters,
-number of parameters, scheme, fragment, and statistics of the host's suffix and of the path's first segment: their share
-of all urls and the share of blocked ones among theirs. Suffixes and segments are hashed to a fixed number of bins, so
-that the tables of statistics have a bound, and a url's statistics leave out the fold of urls that it is in, so that no
-label speaks for itself. The trees learn from urls with a label, by default those that a rule decides; a url without a
-label counts as one to allow, as the ones to block are what rules name. Of either kind a hash of the url chooses a
-sample, bounded by SAMPLE in all, weighted back to its number. All of it are DataFrame expressions and Spark ML.
+number of parameters, scheme, fragment, and statistics of the host's suffix, of the path's first segment and of both
+together: their share of all urls and the share of blocked ones among their labelled ones. They are hashed to a fixed
+number of bins, so that the tables of statistics have a bound, and a url's statistics leave out the fold of urls that it
+is in, so that no label speaks for itself. The trees learn from urls with a label, by default those that a rule decides;
+one without a label may be of either kind and counts as one to allow at the weight UNSURE. Of either kind a hash of the
+row and its place chooses a sample, bounded by about SAMPLE in all, weighted back to its number. All of it are DataFrame expressions and Spark ML.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule, and is judged by the trees like
 any other; where nothing, or everything, is labelled to block, every url that no rule decides is allowed; an empty table gives an empty
@@ -39,8 +39,10 @@ RULES: tuple[tuple[str, str, str], ...] = (
 SAMPLE = 4_000
 #: Of hashed suffixes and segments; of urls whose labels are left out of each other's statistics.
 BINS, FOLDS = 256, 5
+#: Weight of a url without a label, against one of a label.
+UNSURE = 0.25
 TREES, DEPTH = 12, 4
-FEATURES = ("f_url_len", "f_host_len", "f_path_len", "f_depth", "f_dots", "f_dashes", "f_digits", "f_entropy", "f_params", "f_https", "f_fragment", "f_suffix_share", "f_suffix_block", "f_segment_share", "f_segment_block")
+FEATURES = ("f_url_len", "f_host_len", "f_path_len", "f_depth", "f_dots", "f_dashes", "f_digits", "f_entropy", "f_params", "f_https", "f_fragment", "f_suffix_share", "f_suffix_block", "f_segment_share", "f_segment_block", "f_both_share", "f_both_block")
 
 
 def host_of(url: Column) -> Column:
@@ -87,39 +89,39 @@ def lexical(pages: DataFrame) -> DataFrame:
     }
     d = d.withColumns({k: v.cast("double") for k, v in number.items()})
     suffix, segment = F.element_at(F.split("host", r"\."), -1), F.split_part("path", F.lit("/"), F.lit(2))
-    bins = {k: F.pmod(F.xxhash64(v), F.lit(BINS)).cast("int") for k, v in (("suffix_bin", suffix), ("segment_bin", segment))}
+    bins = {k: F.pmod(F.xxhash64(v), F.lit(BINS)).cast("int") for k, v in (("suffix_bin", suffix), ("segment_bin", segment), ("both_bin", F.concat_ws("/", suffix, segment)))}
     return d.withColumns(bins).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "u"), F.lit(FOLDS)).cast("int")).drop("u")
 
 
 def statistics(featured: DataFrame, what: str) -> DataFrame:
-    """Of each bin of ``what`` and each fold: the bin's share of urls and of blocked ones in the other folds, at most BINS x FOLDS rows."""
-    t = featured.groupBy(F.col(f"{what}_bin").alias("of_bin"), F.col("fold").alias("of_fold")).agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
+    """Of each bin of ``what`` and each fold: the bin's share of urls, and of blocked ones among its labelled ones, in the other folds; at most BINS x FOLDS rows."""
+    t = featured.groupBy(F.col(f"{what}_bin").alias("of_bin"), F.col("fold").alias("of_fold")).agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
     # Folds in which a bin has no url meet no row; those that have some leave their own out.
     whole, own, fold = (W.partitionBy(*x) for x in ([F.lit(0)], ["of_bin"], ["of_fold"]))
     n = F.sum("n").over(own) - F.col("n")
     share = n / F.greatest(F.sum("n").over(whole) - F.sum("n").over(fold), F.lit(1))
-    blocked = (F.sum("blocked").over(own) - F.col("blocked") + 0.1) / (n + 1.0)
+    blocked = (F.sum("blocked").over(own) - F.col("blocked") + 0.5) / (F.sum("known").over(own) - F.col("known") + 1.0)
     return t.select("of_bin", "of_fold", share.alias(f"f_{what}_share"), blocked.alias(f"f_{what}_block"))
 
 
 def with_statistics(featured: DataFrame) -> DataFrame:
-    for what in ("suffix", "segment"):
+    for what in ("suffix", "segment", "both"):
         own = statistics(featured, what)
         featured = featured.join(F.broadcast(own), (featured[f"{what}_bin"] == own["of_bin"]) & (featured["fold"] == own["of_fold"])).drop("of_bin", "of_fold")
     return featured
 
 
 def fit(featured: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
-    """Trees on rows with the features, a label of 1 to block or else 0; None where one of them doesn't occur."""
-    d = featured.withColumn("label", F.coalesce("label", F.lit(0.0)))
+    """Trees on rows with the features and a label, 1 to block, 0 to allow or null; None where one kind doesn't occur."""
+    d = featured.withColumn("sure", F.when(F.col("label").isNull(), UNSURE).otherwise(1.0)).withColumn("label", F.coalesce("label", F.lit(0.0)))
     kinds = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}
     if len(kinds) < 2:
         return None
     share = F.when(F.col("label") > 0, min(1.0, sample / 2 / kinds[1.0])).otherwise(min(1.0, sample / 2 / kinds[0.0]))
-    draw = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
     # All tasks filter; only the sample, which has a bound, goes to one partition, and is written so that it's drawn once.
     # In one sorted partition floating-point sums, and so the trees, come out alike in each run.
-    chosen = d.filter(draw < share).select("label", (1.0 / share).alias("weight"), *FEATURES)
+    chosen = d.withColumn("draw", draw).filter(F.col("draw") < share).select("label", (F.col("sure") / share).alias("weight"), *FEATURES)
     chosen = keep(chosen.repartition(1).sortWithinPartitions(*FEATURES, "label"), "url-sample")
     if chosen.select("label").distinct().count() < 2:
         return None
