@@ -5,9 +5,9 @@ of the template's distinct tokens; then it holds one of the template's first ``s
 filter), at least ``need`` tokens of templates (length filter), and what follows a shared token in both suffices
 (positional filter). Tokens that are in no template can't count and are left out of blocks.
 
-Blocks are lines and, as notices are wrapped, runs of words across lines: some run a template long, with as many other
-words as ``CONTAINS`` lets miss, must hold the tokens. The filters take wide runs, that overlap so far that each such
-run lies in one of them; what passes is verified in each run of the template's own length.
+Blocks are runs of words, across lines, as notices are wrapped: some run a template long, with as many other words as
+``CONTAINS`` lets miss, must hold the tokens, whether its text has one line or many. The filters take wide runs, that
+overlap so far that each such run lies in one of them; what passes is verified in each run of the template's own length.
 
 All of it are DataFrame expressions. One scan counts the documents of each template token, a second one scans; only
 rows with a block that may match are exploded, and one narrow shuffle brings a row's blocks together again.
@@ -104,14 +104,9 @@ def scan(docs: DataFrame) -> DataFrame:
     d = d.withColumn("places_by", F.array(*(F.struct(F.lit(label).alias("label"), places(F.col("words"), p).alias("at")) for p, label in PHRASES)))
     # A text whose words as a whole fail the filters has no block that passes them.
     may = F.arrays_overlap("words", heads) & (F.size(F.array_intersect(ordered, F.col("words"))) >= fewest)
-    none = F.array().cast("array<string>")
-    block = lambda words, run: F.struct(F.array_intersect(ordered, words).alias("set"), run.alias("run"))
-    lines = F.transform(F.split("lowered", "\n"), lambda b: block(tokens(b), none))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STEP))
-    wide = F.transform(starts, lambda i: block(F.slice("words", i + 1, 2 * STEP), F.slice("words", i + 1, 2 * STEP)))
-    # In a text of one line a run holds no more than the line.
-    across = F.when(F.contains("lowered", F.lit("\n")), wide).otherwise(F.array())
-    block_sets = F.filter(F.concat(lines, across), lambda b: (F.size(b["set"]) >= fewest) & F.arrays_overlap(b["set"], heads))
+    wide = F.transform(starts, lambda i: F.struct(F.array_intersect(ordered, F.slice("words", i + 1, 2 * STEP)).alias("set"), F.slice("words", i + 1, 2 * STEP).alias("run")))
+    block_sets = F.filter(wide, lambda b: (F.size(b["set"]) >= fewest) & F.arrays_overlap(b["set"], heads))
     d = d.select(
         "row",
         "doc_id",
@@ -130,8 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
     passes = (F.size("block") >= F.col("t_need")) & (follow >= F.col("t_need"))
     at = F.sequence(F.lit(0), F.greatest(F.size("run") - F.col("t_run"), F.lit(0)))
     held = F.array_max(F.transform(at, lambda i: F.size(F.array_intersect("t_tokens", F.slice("run", i + 1, F.col("t_run"))))))
-    best = F.when(F.size("run") == 0, shared).otherwise(held)
-    match = F.when(passes, F.when(shared >= F.col("t_need"), F.when(best >= F.col("t_need"), F.struct("label", (best / F.col("t_size")).alias("share")))))
+    match = F.when(passes, F.when(shared >= F.col("t_need"), F.when(held >= F.col("t_need"), F.struct("label", (held / F.col("t_size")).alias("share")))))
     out = pairs.withColumn("match", match).groupBy("row").agg(*(F.first(c).alias(c) for c in base[1:]), F.collect_set("match").alias("matches"))
     return out.drop("row")
 
