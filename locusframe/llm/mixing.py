@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import keep, table, words
+from .common import keep, table, unused, words
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
+#: Sources whose rates are broadcast; beyond, rates are joined by source and one of SALTS shares of its documents.
+FEW, SALTS = 50_000, 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
@@ -55,33 +57,35 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mixing_plan(docs: DataFrame, size: Column, **options: object) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies."""
-    sized = docs.withColumn("__size", size.cast("long"))
-    totals = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    rates = source_targets(totals, **options).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+def mixing_plan(docs: DataFrame, size: Column, **options: object) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with size, source_size, target and copies, and the names that these columns have got beside the table's own."""
+    name = {c: unused(docs, f"__{c}") for c in ("size", "source_size", "target", "copies", "source", "salt")}
+    totals = docs.select("source", size.cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    rates = keep(source_targets(totals, **options).select(F.col("source").alias(name["source"]), F.col("source_size").alias(name["source_size"]), F.col("target").alias(name["target"])), "rates")
+    sized, same = docs.withColumn(name["size"], size.cast("long")), F.col("source").eqNullSafe(F.col(name["source"]))
+    if rates.limit(FEW + 1).count() <= FEW:
+        joined = sized.join(F.broadcast(rates), same)
+    else:
+        salted = rates.withColumn(name["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        share = F.pmod(F.xxhash64("doc_id", "text" if "text" in docs.columns else "doc_id"), F.lit(SALTS))
+        joined = sized.join(salted, same & (share == F.col(name["salt"]))).drop(name["salt"])
+    rate = F.when(F.col(name["source_size"]) > 0, F.col(name["target"]) / F.col(name["source_size"])).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (draw(F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    return sized.join(rates, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies).drop("__source")
+    return joined.withColumn(name["copies"], copies).drop(name["source"]), name
 
 
 def mix(docs: DataFrame, size: Column | None = None, **options: object) -> DataFrame:
     """The mixed documents: the columns of ``docs``, each row as often as the mix takes it."""
     size = F.size(words(F.col("text"))) if size is None else size
-    plan = mixing_plan(docs, size, **options)
-    return plan.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    plan, name = mixing_plan(docs, size, **options)
+    return plan.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(name["copies"]).cast("int"))).alias(unused(docs, "__copy"))).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = keep(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("words")), "mix-sizes")
-    return mixing_plan(sized, F.col("words")).select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"),
-    )
+    plan, name = mixing_plan(sized, F.col("words"))
+    return plan.select("doc_id", *(F.col(name[c]).alias(c) for c in ("size", "source_size", "target")), (F.col(name["size"]) * F.col(name["copies"])).alias("taken"))
 
 
 OP10_SQL = r"""
