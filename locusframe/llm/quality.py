@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table, words
+from .common import BLANKS, table, unused, words
 
 WINDOW = 8
 #: Frequent function words of the languages of the corpus.
@@ -31,6 +31,8 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("upper_ratio", None, 0.6),
 )
 
+#: Columns that quality_counts works with and drops.
+STEPS = ("__q_words", "__q_lines", "__q_may_repeat", "__q_windows", "__q_starts")
 #: Columns that quality_counts adds.
 COUNTS = ("q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_lines", "q_n_repeat_words", "q_n_stop", "q_n_upper")
 
@@ -41,6 +43,11 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def quality_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with the counts that the rules use, as columns named ``q_*``."""
+    aside = {}
+    for c in docs.columns:
+        if c.lower() in STEPS:  # a column of the table's own: it has another name meanwhile
+            aside[c] = unused(docs, f"_{c}")
+            docs = docs.withColumnRenamed(c, aside[c])
     text = F.coalesce(F.col("text"), F.lit(""))
     has_word = r"[^\x20\x09-\x0D]"
     d = docs.withColumn("__q_words", words(text)).withColumn("__q_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word)))
@@ -97,7 +104,8 @@ def quality_counts(docs: DataFrame) -> DataFrame:
         .withColumn("q_n_stop", F.size(F.filter("__q_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"))
         .withColumn("q_n_upper", F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long"))
         .withColumn("q_n_words", F.col("q_n_words").cast("long"))
-        .drop("__q_words", "__q_lines", "__q_may_repeat", "__q_windows", "__q_starts")
+        .drop(*STEPS)
+        .withColumnsRenamed({new: c for c, new in aside.items()})
     )
 
 
