@@ -34,8 +34,9 @@ _ANY = regex.compile(PATTERN)
 #: The same for texts of Latin letters only, in the standard library's engine, which is four times as fast.
 _LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[ɐ-\U0010ffff]")
-#: Pieces whose encoding a worker remembers; beyond, it starts anew.
-CACHE = 600_000
+#: Pieces whose encoding a worker remembers; beyond, it starts anew. Longer pieces than LONG are forgotten with their
+#: batch, so that the number bounds the bytes.
+CACHE, LONG = 600_000, 64
 #: Pairs of tokens that a worker remembers.
 PAIRS = 2_000_000
 
@@ -151,6 +152,12 @@ def unseen(batch: list[list[str]], known: dict) -> set[str]:
     return fresh
 
 
+def forget(fresh: set[str], known: dict) -> None:
+    for s in fresh:
+        if len(s) > LONG:
+            del known[s]
+
+
 def _encoded(texts: list[str | None], path: str, known: dict[str, str]) -> Iterator[tuple[int, str, str]]:
     """Number of ids, ids as decimal text, decoded text."""
     coder = trie_encoder(path)
@@ -166,6 +173,7 @@ def _encoded(texts: list[str | None], path: str, known: dict[str, str]) -> Itera
         ids = ",".join(map(of, pieces))
         each = ids.split(",") if ids else []
         yield len(each), ids, b"".join(map(text_of, each)).decode("utf-8", "replace")
+    forget(fresh, known)
 
 
 _KNOWN: dict[str, dict[str, str]] = {}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bpe import pieces_of, slices, unseen, vocabulary_path
+from .bpe import forget, pieces_of, slices, unseen, vocabulary_path
 from .common import shared_dir, table
 
 BLOCK = 128
@@ -154,9 +154,12 @@ def encode_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     library, cut = _library(path)
     known = _KNOWN.setdefault(path, {})
     batch = pieces_of(texts, cut)
-    known.update(encode_pieces(list(unseen(batch, known)), library))
+    fresh = unseen(batch, known)
+    known.update(encode_pieces(list(fresh), library))
     of = known.__getitem__
-    return [np.frombuffer(b"".join(map(of, pieces)), "<u4") for pieces in batch]
+    out = [np.frombuffer(b"".join(map(of, pieces)), "<u4") for pieces in batch]
+    forget(fresh, known)
+    return out
 
 
 _FIELDS = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
