@@ -115,9 +115,11 @@ def test_license_scan(spark, folder):
     texts = texts_of(spark, folder)
     for r in found:
         want = set(filter(None, r["base_labels"].split(",")))
-        for block in (texts[r["doc_id"]] or "").split("\n"):
-            have = set(brute.LICENSE_WORD.findall(block.translate(brute.LOWER)))
-            want |= {label for label, t in templates if len(t & have) >= licenses.need(len(t))}
+        words = brute.LICENSE_WORD.findall((texts[r["doc_id"]] or "").translate(brute.LOWER))
+        for (label, t), (_, text) in zip(templates, licenses.TEMPLATES, strict=True):
+            run = licenses.run_of(len(text.split()))
+            if any(len(t & set(words[i : i + run])) >= licenses.need(len(t)) for i in range(max(1, len(words) - run + 1))):
+                want.add(label)
         assert r["labels"] == ",".join(sorted(want)) and 0 <= r["score"] <= 1
 
 
