@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm import bpe, language, mixing, near_duplicates, quality
-from locusframe.llm.common import Scratch, table
+from locusframe.llm.common import Scratch, table, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Share of the posterior that the likeliest language needs.
@@ -19,8 +19,9 @@ NEAR = (5, 80)
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; those without a letter or a likely language go."""
-    judged = language.predict(docs, language.learned(docs))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= SURE)).select(*docs.columns)
+    pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    judged = language.predict(docs, language.learned(docs), pred, score)
+    return judged.filter((F.col(pred) != "und") & (F.col(score) >= SURE)).select(*docs.columns)
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
