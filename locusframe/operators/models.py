@@ -276,6 +276,27 @@ def mixed_scan(geno: DataFrame, traits: dict[str, np.ndarray], loco: bool = True
     return d.groupBy("context", "group").cogroup(bases.groupBy("context", "group")).applyInArrow(run, schema)
 
 
+def rescan_candidates(geno: DataFrame, candidates: DataFrame, traits: dict[str, np.ndarray], omitted: dict[str, dict[str, np.ndarray]], w: np.ndarray | None = None, spectrum: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Score tests of the candidates alone: for all samples' traits, and for the traits that leave a location out.
+
+    ``omitted``: by location, the traits. One pass over the candidates' genotypes fits every null model beside the
+    decompositions that the whole scan has (``spectrum``, made of all of ``geno`` if it isn't given). Returns (variant_index,
+    trait, beta, se, p_score) and (variant_index, lead_snp, omitted_location, beta_<trait>_score, p_<trait>_score).
+    """
+    require(all(set(own) == set(traits) for own in omitted.values()), "a location lacks a trait")
+    spectrum = cut(spectra(geno) if spectrum is None else spectrum)
+    own = cut(geno.join(candidates.select("variant_index"), "variant_index", "left_semi"))
+    require(own.count() == candidates.count(), "candidates repeat or aren't among the genotypes")
+    keys = {f"{k}": (place, t) for k, (place, t) in enumerate([(None, t) for t in traits] + [(place, t) for place in omitted for t in traits])}
+    values = {k: traits[t] if place is None else omitted[place][t] for k, (place, t) in keys.items()}
+    named = geno.sparkSession.createDataFrame([(k, place, t) for k, (place, t) in keys.items()], "key string, omitted_location string, of string")
+    found = cut(mixed_scan(own, values, True, "score", w, spectrum)).withColumnRenamed("trait", "key").join(F.broadcast(named), "key")  # a row a model
+    primary = found.filter(F.col("omitted_location").isNull()).select("variant_index", F.col("of").alias("trait"), "beta", "se", "p_score")
+    wide = found.filter(F.col("omitted_location").isNotNull()).groupBy("variant_index", "omitted_location")
+    rest = wide.agg(*(F.max(F.when(F.col("of") == t, F.col(c))).alias(f"{n}_{t}_score") for t in traits for c, n in (("beta", "beta"), ("p_score", "p"))))
+    return primary, candidates.select("variant_index", "lead_snp").join(rest, "variant_index")
+
+
 @lru_cache(maxsize=1024)
 def cutoff(alpha: float, df: int) -> float:
     return special.t_ppf_upper(alpha / 2, df)
@@ -283,6 +304,7 @@ def cutoff(alpha: float, df: int) -> float:
 
 def power(beta: float, n: int, maf: float, alpha: float, covariates: int = 1) -> float:
     """Two-sided power of the slope's t test for an effect of beta residual standard deviations an allele."""
+    require(n > covariates + 1 and 0 < maf <= 0.5 and 0 < alpha < 1 and covariates >= 0, f"no power of n {n}, maf {maf}, alpha {alpha}, {covariates} covariates")
     df = n - covariates - 1
     cut = cutoff(alpha, df)
     shift = abs(beta) * (n * 2 * maf * (1 - maf)) ** 0.5
@@ -291,6 +313,8 @@ def power(beta: float, n: int, maf: float, alpha: float, covariates: int = 1) ->
 
 def detectable_beta(n: int, maf: float, alpha: float, target: float, covariates: int = 1) -> float:
     """The smallest effect with that power; 0 where the test's level is enough."""
+    require(0 < target < 1, f"no effect has the power {target}")
+    power(0.0, n, maf, alpha, covariates)  # checks the rest
     if target <= alpha:
         return 0.0
     low, high = 0.0, 0.25

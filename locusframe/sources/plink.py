@@ -1,18 +1,23 @@
-"""PLINK BED, BIM and FAM. Rows are packed and unpacked in Arrow batches; files are written row by row in order."""
+"""PLINK BED, BIM and FAM. Rows are packed and unpacked in Arrow batches; tasks read and write at their places of a file."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from math import isfinite
 
 import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from locusframe.functions.text import marker_id
 from locusframe.operators.guards import require
+from locusframe.operators.numbering import numbered
+from locusframe.operators.packed import matrix
+from locusframe.sources.placed import write_rows
 
 MAGIC = b"\x6c\x1b\x01"
 #: Two-bit codes of the dosages 0, 1, 2 and of a missing one (last).
@@ -34,25 +39,51 @@ def unpack(data: np.ndarray, samples: int) -> np.ndarray:
 
 
 def packed_rows(geno: DataFrame) -> DataFrame:
+    """The other columns with ``bed``, the packed dosages."""
+    fields = [f for f in geno.schema if f.name != "dosages"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pack(np.array(batch.column("dosages").to_pylist(), np.int8))
-            yield pa.record_batch([batch.column("variant_index"), pa.array([r.tobytes() for r in rows], pa.binary())], ["variant_index", "bed"])
+            rows = pack(matrix(batch.column("dosages")))
+            yield batch.select([f.name for f in fields]).append_column("bed", pa.array([r.tobytes() for r in rows], pa.binary()))
+
+    return geno.select(*(f.name for f in fields), "dosages").mapInArrow(run, StructType([*fields, StructField("bed", BinaryType())]))
 
-    return geno.select("variant_index", "dosages").mapInArrow(run, "variant_index long, bed binary")
 
+def write_plink(geno: DataFrame, samples: list[str], phenotypes: dict[str, list[float]], prefix: str, structure: DataFrame | None = None) -> dict[str, object]:
+    """prefix.bed and .bim, a .fam for each trait, a list of marker ids for each chromosome and, for ``structure``
+    (variant_index), of its markers; returns what was written.
 
-def write_plink(geno: DataFrame, samples: list[str], phenotypes: dict[str, list[float]], prefix: str) -> None:
-    """prefix.bed and .bim, a .fam for each trait. Marker ids are unique whatever the names of the variants."""
-    rows = packed_rows(geno).join(geno.select("variant_index", "CHR", "pos"), "variant_index").orderBy("variant_index")
-    with open(prefix + ".bed", "wb") as bed, open(prefix + ".bim", "w", newline="\n") as bim:
-        bed.write(MAGIC)
-        for r in rows.withColumn("id", marker_id(F.col("variant_index"))).toLocalIterator():  # one partition at a time
-            bed.write(bytes(r["bed"]))
-            bim.write(f"{r['CHR']}\t{r['id']}\t0\t{r['pos']}\tA\tG\n")
+    Marker ids are unique whatever the names of the variants; variant_index must count from 0 without a gap. Tasks write
+    at their places of the files, and twelve rows of the BED file are read back and compared.
+    """
+    for trait, values in phenotypes.items():
+        require(len(values) == len(samples) and all(map(isfinite, values)), f"{trait}: {len(samples)} finite values are needed")
+    rows = numbered(packed_rows(geno.select("variant_index", "CHR", "pos", "dosages")), [F.col("variant_index")], "_number")
+    width, n = -(-len(samples) // 4), rows.count()
+    off = rows.filter((F.col("_number") != F.col("variant_index")) | (F.length("bed") != width) | F.col("CHR").isNull() | F.col("pos").isNull()).limit(1).collect()
+    require(not off, f"variant_index isn't 0 to {n - 1}, or a row has no place or not {len(samples)} samples: {[r['variant_index'] for r in off]}")
+    rows = rows.withColumn("id", marker_id(F.col("variant_index")))
+    write_rows(rows, "bed", f"{prefix}.bed", MAGIC)
+    cells = [F.col(c).cast("string") for c in ("CHR", "id")] + [F.lit("0"), F.col("pos").cast("string"), F.lit("A"), F.lit("G\n")]
+    write_rows(rows.select(F.concat_ws("\t", *cells).alias("line")), "line", f"{prefix}.bim")
+    line = F.concat("id", F.lit("\n")).alias("line")
+    chromosomes = sorted(r["CHR"] for r in rows.select("CHR").distinct().collect())
+    lists = {int(c): write_rows(rows.filter(F.col("CHR") == c).select(line), "line", f"{prefix}.chr{c}_snps.txt") for c in chromosomes}
+    if structure is not None:
+        own = numbered(structure.select("variant_index").distinct().join(rows.select("variant_index", "id"), "variant_index"), [F.col("variant_index")], "_number")
+        require(own.count() == structure.count(), "structure markers repeat or aren't among the variants")
+        write_rows(own.select(line), "line", f"{prefix}.structure_snps.txt")
     for trait, values in phenotypes.items():
         with open(f"{prefix}.{trait}.fam", "w", newline="\n") as fam:
             fam.writelines(f"{s} {s} 0 0 0 {v:.12g}\n" for s, v in zip(samples, values, strict=True))
+    checked = sorted({round(k * (n - 1) / 11) for k in range(12)}) if n else []
+    with open(f"{prefix}.bed", "rb") as bed:
+        for r in geno.filter(F.col("variant_index").isin(checked)).select("variant_index", "dosages").collect():
+            bed.seek(len(MAGIC) + r["variant_index"] * width)
+            got = unpack(np.frombuffer(bed.read(width), np.uint8)[None], len(samples))[0]
+            require(got.tolist() == list(r["dosages"]), f"row {r['variant_index']} of the BED file differs from its dosages")
+    return {"variants": n, "samples": len(samples), "bytes_per_variant": width, "bed_bytes": os.path.getsize(f"{prefix}.bed"), "chromosomes": lists, "checked": checked}
 
 
 def read_bed(spark: SparkSession, path: str, samples: int, task_bytes: int = 32 << 20) -> DataFrame:

@@ -12,11 +12,12 @@ from locusframe.functions.stats import TINY, clip, finite
 from locusframe.functions.text import chromosome_number, genotype_code, genotype_field, normalize_id, number_or_null
 from locusframe.operators.genotype import quality_controlled
 from locusframe.operators.guards import join_one_to_one, require
+from locusframe.sources.blocks import block_lines, is_blocked
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
     """Names of the samples of the first ``#CHROM`` line."""
-    found = spark.read.text(path).filter(F.col("value").startswith("#CHROM")).limit(1).collect()
+    found = (block_lines(spark, path) if is_blocked(path) else spark.read.text(path)).filter(F.col("value").startswith("#CHROM")).limit(1).collect()
     fields = found[0][0].split("\t") if found else []
     require(len(fields) >= 10, f"{path}: no header line with samples")
     return fields[9:]
@@ -34,15 +35,23 @@ def match_samples(spark: SparkSession, samples: Sequence[str], ids: Sequence[str
     return out.select("sample_index", "ID_std", "VCF_sample", "VCF_sample_index").orderBy("sample_index")
 
 
-def vcf_records(spark: SparkSession, path: str, columns: Sequence[int]) -> DataFrame:
+def vcf_records(spark: SparkSession, path: str, columns: Sequence[int], region: tuple[int, int, int] | None = None) -> DataFrame:
     """Each record in file order: line, CHR, pos, snp, dosages of the sample columns, and skip, the reason to leave it out.
 
-    Only the wanted sample fields are parsed, and only in records that the cheap conditions pass.
+    Only the wanted sample fields are parsed, and only in records that the cheap conditions pass. A block-compressed file
+    is read by as many tasks as it has ranges, which hand on nothing but these fields, and those of a ``region``
+    (chromosome, first and last position) alone; one compressed as a whole is one task's.
     """
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    if is_blocked(path):
+        lines, columns = block_lines(spark, path, columns, region), range(len(columns))
+    else:
+        lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    lines = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     f = F.col("f")
     d = lines.select("line", F.split("value", "\t").alias("f"))
     d = d.withColumn("CHR", chromosome_number(F.get(f, F.lit(0)))).withColumn("pos", F.get(f, F.lit(1)).try_cast("bigint"))
+    if region is not None:
+        d = d.filter((F.col("CHR") == region[0]) & F.col("pos").between(region[1], region[2]))
     early = F.when(F.size("f") < 10, "short").when(F.col("CHR").isNull(), "chromosome").when(F.get(f, F.lit(4)).contains(","), "multiallelic").when(F.col("pos").isNull(), "position")
     d = d.withColumn("early", early)
     calls = F.transform(F.array(*(F.lit(9 + c) for c in columns)), lambda c: genotype_code(genotype_field(F.get(f, F.lit(8)), F.coalesce(F.get(f, c), F.lit(".")))))
