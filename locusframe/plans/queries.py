@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from locusframe.functions import stats, text
-from locusframe.operators import annotate, genotype, guards, kinship, ld, models, numbering, packed, phenotype, ranking, tables
+from locusframe.operators import annotate, genotype, guards, inputs, kinship, ld, models, numbering, packed, phenotype, ranking, tables
 from locusframe.plans import views as v
 from locusframe.sources import text_formats
 
@@ -37,9 +38,6 @@ def r8(c: Column | str) -> Column:
 
 # -- scalar functions -------------------------------------------------------------------------------------------------
 
-_TOKENS = ["0/0", "0|1", "1/1", "./.", "1", "0/2", ".|1", "1|0", "0/1/1", ""]
-
-
 def _pick(values: list[str], key: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
 
@@ -48,9 +46,15 @@ def _pick_sql(values: list[str], key: str) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + f"][{key} % {len(values)} + 1]"
 
 
-@query(f"SELECT token, count(*) AS n, CASE token WHEN '0/0' THEN 0 WHEN '0|1' THEN 1 WHEN '1|0' THEN 1 WHEN '1/1' THEN 2 ELSE -1 END AS code FROM (SELECT {_pick_sql(_TOKENS, 'event_id')} AS token FROM events) GROUP BY token")
+#: Two alleles, or one or three of them, from the digits of a hash.
+_ALLELES = "concat(translate(substr(h, 1, 1), '0123456789abcdef', '0101012.01013.01'), CASE WHEN substr(h, 2, 1) < '3' THEN '' WHEN substr(h, 2, 1) < '9' THEN '/' ELSE '|' END, CASE WHEN substr(h, 2, 1) < '3' THEN '' ELSE translate(substr(h, 3, 1), '0123456789abcdef', '101.01012.01010.') END, CASE WHEN substr(h, 4, 1) < '2' THEN concat('/', substr(h, 5, 2)) ELSE '' END)"
+
+
+@query(
+    f"SELECT token, count(*) AS n, CASE WHEN regexp_matches(token, '^[01][/|][01]$') THEN CAST(substr(token, 1, 1) AS INTEGER) + CAST(substr(token, 3, 1) AS INTEGER) ELSE -1 END AS code FROM (SELECT {_ALLELES} AS token FROM (SELECT md5(CAST(event_id AS VARCHAR)) AS h FROM events)) GROUP BY token"
+)
 def s4_genotype_token(spark: SparkSession, d: str) -> DataFrame:
-    e = v.table(spark, d, "events").select(_pick(_TOKENS, "event_id").alias("token"))
+    e = v.table(spark, d, "events").select(F.md5(F.col("event_id").cast("string")).alias("h")).select(F.expr(_ALLELES).alias("token"))
     return e.groupBy("token").agg(F.count("*").alias("n")).withColumn("code", text.genotype_code(F.col("token")).cast("int"))
 
 
@@ -857,6 +861,44 @@ def m9_pc_geometry(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(models.pc_geometry(kinship.principal_components(packed.packed(g.select("dosages")), 5), models.structure_components(g, some))[1])
 
 
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Score tests of every ninth variant with the panel's traits, and without each of three places."""
+    g, y = _panel(spark, d)
+    traits = {"INC": y, "SEV": y**2}
+    omitted = {place: {t: x + 0.1 * np.cos(np.arange(len(x)) * (k + 2)) for t, x in traits.items()} for k, place in enumerate(_REGIONS[:3])}
+    candidates = g.filter("variant_index % 9 = 1").select("variant_index", F.concat(F.lit("S"), F.col("variant_index").cast("string")).alias("lead_snp"))
+    return models.rescan_candidates(g, candidates, traits, omitted)
+
+
+@query()
+def m12_candidate_effects(spark: SparkSession, d: str) -> DataFrame:
+    primary, rest = _candidates(spark, d)
+    p = primary.groupBy("variant_index").agg(*(F.max(F.when(F.col("trait") == t, F.col("p_score"))).alias(f"p_{t}_score") for t in ("INC", "SEV")))
+    return tables.candidate_score_effects(primary, rest.select("variant_index", "lead_snp").distinct().join(p, "variant_index"), rest, 3)
+
+
+@query(
+    "SELECT 'genotypes' AS input, count(DISTINCT v) AS n FROM dosage UNION ALL SELECT 'metadata', count(DISTINCT v) FROM dosage UNION ALL SELECT 'markers', count(DISTINCT v) FILTER (v <= 40) FROM dosage UNION ALL SELECT 'ids', count(*) FILTER (vec_id % 4 > 0) FROM embeddings UNION ALL SELECT 'traits', count(*) FILTER (vec_id % 4 > 0) FROM embeddings",
+    v.DOSAGE_SQL,
+)
+def m13_primary_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """The panel as a project's inputs, three of four samples eligible; the published tables are the same ones."""
+    g, y = _panel(spark, d)
+    g = g.withColumn("variant_index", F.col("variant_index") - 1)
+    ids = numbering.numbered(v.table(spark, d, "embeddings").select("vec_id"), [F.col("vec_id")], "sample_index")
+    samples = ids.select(F.col("sample_index").cast("int").alias("sample_index"), F.concat(F.lit("ID"), F.col("vec_id").cast("string")).alias("ID_std"), (F.col("vec_id") % 4 > 0).alias("PRIMARY_ELIGIBLE"))
+    traits = samples.select("ID_std", F.sin("sample_index").alias("INC"), F.cos("sample_index").alias("SEV"))
+    meta = g.select("variant_index", F.concat(F.lit("S"), F.col("variant_index").cast("string")).alias("snp"), "CHR", "pos")
+    markers = meta.filter("variant_index < 40")
+    chosen = samples.filter("PRIMARY_ELIGIBLE").orderBy("sample_index").collect()
+    pc = models.structure_components(g, markers.select("variant_index"), [r["sample_index"] for r in chosen])
+    pcs = spark.createDataFrame([(r["ID_std"], *map(float, x)) for r, x in zip(chosen, pc, strict=True)], "ID_std string, " + ", ".join(f"{c} double" for c in inputs.PCS))
+    given = inputs.Inputs(samples, traits, pcs, meta, markers, g.select("variant_index", "dosages"))
+    found = inputs.primary_inputs(given, given, (len(chosen), g.count(), len(y)), ("INC", "SEV"))
+    out = [df.agg(F.lit(k).alias("input"), F.count("*").alias("n")) for k, df in found.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query()
 def m11_reproduce_power(spark: SparkSession, d: str) -> DataFrame:
     return models.reproduce_power(m10_power_table(spark, d))
