@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from locusframe.functions.stats import same_sign
+from locusframe.operators.guards import cut
 
 
 def gap(pos: Column, start: Column, end: Column) -> Column:
@@ -17,8 +18,8 @@ def gap(pos: Column, start: Column, end: Column) -> Column:
 def nearby_genes(leads: DataFrame, genes: DataFrame, flank_bp: int) -> DataFrame:
     """Genes within the flank of each lead; where there is none, the nearest of the chromosome.
 
-    Within the flank: an equality on flank-wide buckets that an interval covers. Nearest: an aggregate over intervals
-    left and right of the lead, by running maxima and minima along the chromosome, without pairing all with all.
+    Within the flank: an equality on flank-wide buckets that an interval covers. Nearest: ``nearest_outside``, for the
+    leads that the first step leaves; a repeated lead counts once there.
     """
     width = max(flank_bp, 1)
     g = genes.select("CHR", F.col("start").alias("gene_start"), F.col("end").alias("gene_end"), "gene")
@@ -26,17 +27,38 @@ def nearby_genes(leads: DataFrame, genes: DataFrame, flank_bp: int) -> DataFrame
     spans = g.withColumn("bucket", F.explode(F.sequence(F.expr(f"(gene_start - {flank_bp}) div {width} - 1"), F.expr(f"(gene_end + {flank_bp}) div {width}"))))
     near = at.join(spans, ["CHR", "bucket"]).withColumn("distance_bp", gap(F.col("lead_pos"), F.col("gene_start"), F.col("gene_end"))).filter(F.col("distance_bp") <= flank_bp)
     near = near.select("lead_snp", "CHR", "lead_pos", "gene", "gene_start", "gene_end", "distance_bp", F.lit(True).alias("within_flank"))
-    lone = at.drop("bucket").join(near.select("lead_snp", "CHR", "lead_pos"), ["lead_snp", "CHR", "lead_pos"], "left_anti")
-    # The nearest gene that ends at or before the lead, and the nearest that starts at or after it.
-    marks = lambda c, df: df.select("CHR", F.col(c).alias("x"), F.lit(None).cast("string").alias("lead_snp"), F.struct("gene_start", "gene_end", "gene").alias("g"))
-    mine = lone.select("CHR", F.col("lead_pos").alias("x"), "lead_snp", F.lit(None).cast("struct<gene_start:bigint,gene_end:bigint,gene:string>").alias("g"))
-    long = lambda df: df.withColumn("gene_start", F.col("gene_start").cast("bigint")).withColumn("gene_end", F.col("gene_end").cast("bigint"))
-    before = mine.unionByName(marks("gene_end", long(g))).withColumn("g", F.last("g", ignorenulls=True).over(W.partitionBy("CHR").orderBy("x", F.col("g.gene_start").desc_nulls_last(), F.col("g.gene").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)))
-    after = mine.unionByName(marks("gene_start", long(g))).withColumn("g", F.first("g", ignorenulls=True).over(W.partitionBy("CHR").orderBy("x", F.col("g.gene").asc_nulls_first()).rowsBetween(0, W.unboundedFollowing)))
-    both = before.unionByName(after).filter(F.col("lead_snp").isNotNull() & F.col("g").isNotNull())
-    both = both.select("lead_snp", "CHR", F.col("x").alias("lead_pos"), "g.gene", "g.gene_start", "g.gene_end", gap(F.col("x"), F.col("g.gene_start"), F.col("g.gene_end")).alias("distance_bp"))
-    nearest = W.partitionBy("lead_snp", "CHR", "lead_pos").orderBy("distance_bp", "gene_start", "gene")
-    return near.unionByName(both.withColumn("rn", F.row_number().over(nearest)).filter("rn = 1").drop("rn").withColumn("within_flank", F.lit(False)))
+    lone = at.drop("bucket").join(near.select("lead_snp", "CHR", "lead_pos"), ["lead_snp", "CHR", "lead_pos"], "left_anti").distinct()
+    g = g.withColumn("gene_start", F.col("gene_start").cast("bigint")).withColumn("gene_end", F.col("gene_end").cast("bigint"))
+    found = nearest_outside(lone.select("CHR", F.col("lead_pos").alias("x")).distinct(), g).withColumnRenamed("x", "lead_pos")
+    both = lone.join(found, ["CHR", "lead_pos"]).select("lead_snp", "CHR", "lead_pos", "gene", "gene_start", "gene_end", "distance_bp", F.lit(False).alias("within_flank"))
+    return near.unionByName(both)
+
+
+def nearest_outside(points: DataFrame, genes: DataFrame) -> DataFrame:
+    """(CHR, x, distance_bp, gene, gene_start, gene_end): the nearest gene of points that lie in none; ties by start, then name.
+
+    One row a place says which gene ends and which starts there. Places are dealt to ranges of (CHR, x), so that a
+    chromosome of any length is many tasks; within a range, windows carry the last gene that ended and the next that
+    starts, and a row for each range and chromosome carries them on to the other ranges. Points of a chromosome without a
+    gene, or without a chromosome, have no row.
+    """
+    g = genes.select("CHR", F.struct("gene_start", "gene_end", "gene").alias("g"))
+    ends = g.groupBy("CHR", F.col("g.gene_end").alias("x")).agg(F.min_by("g", F.struct("g.gene_start", "g.gene")).alias("ended"))
+    starts = g.groupBy("CHR", F.col("g.gene_start").alias("x")).agg(F.min_by("g", F.struct("g.gene", "g.gene_end")).alias("starting"))
+    marks = points.select("CHR", F.col("x").cast("bigint").alias("x"), F.lit(True).alias("asked")).unionByName(ends, True).unionByName(starts, True)
+    places = marks.groupBy("CHR", "x").agg(F.max("asked").alias("asked"), F.first("ended", True).alias("ended"), F.first("starting", True).alias("starting"))
+    dealt = cut(places.repartitionByRange("CHR", "x").withColumn("_range", F.spark_partition_id()))
+    at = W.partitionBy("CHR", "_range").orderBy("x")
+    inside = dealt.withColumn("before", F.last("ended", True).over(at.rowsBetween(W.unboundedPreceding, 0))).withColumn("after", F.first("starting", True).over(at.rowsBetween(0, W.unboundedFollowing)))
+    own = dealt.groupBy("CHR", "_range").agg(
+        F.max_by("ended", F.when(F.col("ended").isNotNull(), F.col("x"))).alias("ended"), F.min_by("starting", F.when(F.col("starting").isNotNull(), F.col("x"))).alias("starting")
+    )
+    order = W.partitionBy("CHR").orderBy("_range")
+    others = own.select("CHR", "_range", F.last("ended", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"), F.first("starting", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("later"))
+    far = lambda c: F.when(c.isNotNull(), F.struct(gap(F.col("x"), c["gene_start"], c["gene_end"]).alias("distance_bp"), c["gene_start"].alias("gene_start"), c["gene"].alias("gene"), c["gene_end"].alias("gene_end")))
+    sides = F.array(far(F.coalesce("before", "earlier")), far(F.coalesce("after", "later")))
+    met = inside.filter("asked").join(F.broadcast(others), ["CHR", "_range"]).select("CHR", "x", F.array_min(sides).alias("g"))
+    return met.filter(F.col("g").isNotNull()).select("CHR", "x", "g.*")
 
 
 def window_minima(leads: DataFrame, scan: DataFrame, window_bp: int, columns: list[str]) -> DataFrame:

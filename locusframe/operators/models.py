@@ -330,15 +330,38 @@ def detectable_beta(n: int, maf: float, alpha: float, target: float, covariates:
 def power_table(spark: SparkSession, ns: Sequence[int], mafs: Sequence[float], alphas: dict[str, float], targets: Sequence[float]) -> DataFrame:
     """Detectable effects over a grid; its rows are dealt to tasks."""
     rows = [(n, m, k, a, t) for n in ns for m in mafs for k, a in alphas.items() for t in targets]
-    grid = spark.createDataFrame(rows, "n_samples int, maf double, alpha_definition string, alpha double, target_power double")
+    return detectable_effects(spark.createDataFrame(rows, "n_samples int, maf double, alpha_definition string, alpha double, target_power double"))
+
+
+def variant_power(variants: DataFrame, alphas: dict[str, float | None], targets: Sequence[float]) -> DataFrame:
+    """Detectable effects of variants (n_samples, maf), once for each distinct pair, with n_variants, the rows that have it.
+
+    An alpha of None is 0.05 over the number of rows. Pairs that allow no test (null or monomorphic frequency, fewer than
+    three samples) keep their row with a null effect; a frequency above 1/2 is that of the other allele. Frequencies count as equal to 12 decimals.
+    """
+    n = variants.count()
+    levels = F.array(*(F.struct(F.lit(k).alias("alpha_definition"), F.lit(a if a is not None else 0.05 / max(n, 1)).alias("alpha"), F.lit(t).alias("target_power")) for k, a in alphas.items() for t in targets))
+    minor = F.round(F.when(F.col("maf") > 0.5, 1 - F.col("maf")).otherwise(F.col("maf")), 12)
+    designs = variants.select(F.col("n_samples").cast("int").alias("n_samples"), minor.cast("double").alias("maf")).groupBy("n_samples", "maf").agg(F.count("*").alias("n_variants"))
+    return detectable_effects(designs.select("*", F.inline(levels)))
+
+
+def detectable_effects(grid: DataFrame) -> DataFrame:
+    """Adds the detectable effect and its degrees of freedom to rows of a grid, which are dealt to tasks by their hash."""
+    names = grid.columns
+
+    def effect(r: dict) -> float | None:
+        n, maf = r["n_samples"], r["maf"]
+        return detectable_beta(n, maf, r["alpha"], r["target_power"]) if n is not None and n > 2 and maf is not None and maf > 0 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [detectable_beta(r["n_samples"], r["maf"], r["alpha"], r["target_power"]) for r in batch.to_pylist()]
-            yield batch.append_column("minimum_detectable_beta_residual_SD_per_allele", pa.array(got, pa.float64())).append_column("residual_df_assumption", pa.array([n - 2 for n in batch.column("n_samples").to_pylist()], pa.int32()))
+            df = [None if n is None else n - 2 for n in batch.column("n_samples").to_pylist()]
+            yield batch.append_column("minimum_detectable_beta_residual_SD_per_allele", pa.array([effect(r) for r in batch.to_pylist()], pa.float64())).append_column("residual_df_assumption", pa.array(df, pa.int32()))
 
-    schema = "n_samples int, maf double, alpha_definition string, alpha double, target_power double, minimum_detectable_beta_residual_SD_per_allele double, residual_df_assumption int"
-    return grid.repartition(8, "maf", "alpha_definition").mapInArrow(run, schema)
+    schema = grid.withColumn("minimum_detectable_beta_residual_SD_per_allele", F.lit(None).cast("double")).withColumn("residual_df_assumption", F.lit(None).cast("int")).schema
+    # A row is a search of tens of milliseconds or more: a stated number keeps small grids from being put into one task.
+    return grid.repartition(grid.sparkSession.sparkContext.defaultParallelism, *(F.col(c) for c in names)).mapInArrow(run, schema)
 
 
 def reproduce_power(table: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from locusframe.operators.ranking import rank_normal
 
 #: Strata that a model may have; columns of a design that is solved as a whole.
 STRATA, WHOLE = 2_000, 3_000
+#: Models that are fitted at a time.
+MODELS = 5
 
 
 def disease_flags(plots: DataFrame) -> DataFrame:
@@ -207,22 +211,33 @@ def accession_traits(plots: DataFrame) -> DataFrame:
     """Adjusted INC, SEV, SEV of diseased plots and SEV given INC, simple means, and the inverse-normal form of each."""
     out = simple_means(plots)
     models = {"INC": (plots, "INC", ()), "SEV": (plots, "SEV", ()), "SEV_POS": (plots.filter("INC > 0"), "SEV", ()), "SEV_COND": (plots, "SEV", ("INC",))}
-    for name, (rows, value, cov) in models.items():
-        out = out.join(adjusted_means(rows, value, cov, name).drop(f"{name}_RANK", f"{name}_DF"), "ID_std", "left")
+    # The models are independent, and each waits for several small jobs.
+    with ThreadPoolExecutor(len(models)) as pool:
+        fitted = list(pool.map(lambda m: adjusted_means(*m[1], m[0]).drop(f"{m[0]}_RANK", f"{m[0]}_DF"), models.items()))
+    for own in fitted:
+        out = out.join(own, "ID_std", "left")
     raw = ("INC_ADJ_RAW", "SEV_ADJ_RAW", "SEV_POS_ADJ_RAW", "SEV_COND_ADJ_RAW", "INC_SIMPLE_RAW", "SEV_SIMPLE_RAW")
     return rank_normal(out, {c: c.replace("_RAW", "_INT") for c in raw})
 
 
 def omission_traits(plots: DataFrame, locations: Sequence[str]) -> DataFrame:
-    """Adjusted INC, SEV and conditional SEV without one location at a time, inverse-normal."""
-    out, names = plots.select("ID_std").distinct(), {}
-    for place in locations:
-        rest, label = plots.filter(F.col("Location") != place), slug(place)
-        for name, value, cov in (("INC", "INC", ()), ("SEV", "SEV", ()), ("SEV_COND", "SEV", ("INC",))):
-            names[f"_{name}_{label}"] = f"{name}_LOO_{label}"
-            own = adjusted_means(rest, value, cov, "X").select("ID_std", F.col("X_ADJ_RAW").alias(f"_{name}_{label}"))
-            out = out.join(own, "ID_std", "left")
-    return rank_normal(out, names).drop(*names)
+    """Adjusted INC, SEV and conditional SEV without one location at a time, inverse-normal.
+
+    The models are independent and fitted MODELS at a time; their means meet in one pivot with known names.
+    """
+    values = {"INC": ("INC", ()), "SEV": ("SEV", ()), "SEV_COND": ("SEV", ("INC",))}
+    wanted = [(place, name) for place in locations for name in values]
+    column = lambda m: f"{m[1]}_LOO_{slug(m[0])}"
+
+    def fit(m: tuple[str, str]) -> DataFrame:
+        own = adjusted_means(plots.filter(F.col("Location") != m[0]), *values[m[1]], "X")
+        return own.select("ID_std", F.lit("_" + column(m)).alias("_model"), F.col("X_ADJ_RAW").alias("_mean"))
+
+    with ThreadPoolExecutor(MODELS) as pool:
+        means = reduce(DataFrame.unionByName, pool.map(fit, wanted))
+    wide = means.groupBy("ID_std").pivot("_model", ["_" + column(m) for m in wanted]).agg(F.max("_mean"))
+    out = plots.select("ID_std").distinct().join(wide, "ID_std", "left")
+    return rank_normal(out, {"_" + column(m): column(m) for m in wanted}).drop(*("_" + column(m) for m in wanted))
 
 
 def slug(place: str) -> str:

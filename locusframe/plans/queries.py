@@ -42,10 +42,6 @@ def _pick(values: list[str], key: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
 
 
-def _pick_sql(values: list[str], key: str) -> str:
-    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + f"][{key} % {len(values)} + 1]"
-
-
 #: Two alleles, or one or three of them, from the digits of a hash.
 _ALLELES = "concat(translate(substr(h, 1, 1), '0123456789abcdef', '0101012.01013.01'), CASE WHEN substr(h, 2, 1) < '3' THEN '' WHEN substr(h, 2, 1) < '9' THEN '/' ELSE '|' END, CASE WHEN substr(h, 2, 1) < '3' THEN '' ELSE translate(substr(h, 3, 1), '0123456789abcdef', '101.01012.01010.') END, CASE WHEN substr(h, 4, 1) < '2' THEN concat('/', substr(h, 5, 2)) ELSE '' END)"
 
@@ -58,27 +54,36 @@ def s4_genotype_token(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("token").agg(F.count("*").alias("n")).withColumn("code", text.genotype_code(F.col("token")).cast("int"))
 
 
-_FORMATS, _FIELDS = ["GT:DP", "DP:GT", "DP", "DP:AD:GT"], ["0/1:9", "12:1/1", "7", "3:4:0/0", "1/1"]
+#: FORMAT with or without GT at any place, and sample fields of one to four entries.
+_FORMAT = "concat_ws(':', CASE WHEN substr(h, 1, 1) < '4' THEN 'DP' END, CASE WHEN substr(h, 2, 1) < 'b' THEN 'GT' END, CASE WHEN substr(h, 3, 1) < '8' THEN 'AD' END, CASE WHEN substr(h, 4, 1) < '3' THEN concat('GT', substr(h, 5, 1)) END)"
+_FIELD = "concat_ws(':', concat(substr(h, 6, 1), '/', substr(h, 7, 1)), CASE WHEN substr(h, 8, 1) < 'c' THEN substr(h, 9, 2) END, CASE WHEN substr(h, 11, 1) < '8' THEN concat(substr(h, 12, 1), '|', substr(h, 13, 1)) END, CASE WHEN substr(h, 14, 1) < '2' THEN '' END)"
 
 
-@query(
-    f"SELECT fmt, field, count(*) AS n, coalesce(string_split(field, ':')[greatest(coalesce(list_position(string_split(fmt, ':'), 'GT'), 0), 1)], '.') AS gt FROM (SELECT {_pick_sql(_FORMATS, 'event_id')} AS fmt, {_pick_sql(_FIELDS, '(event_id // 7)')} AS field FROM events) GROUP BY fmt, field"
-)
-def s5_format_lookup(spark: SparkSession, d: str) -> DataFrame:
-    e = v.table(spark, d, "events").withColumn("k", F.expr("event_id div 7"))
-    e = e.select(_pick(_FORMATS, "event_id").alias("fmt"), _pick(_FIELDS, "k").alias("field")).groupBy("fmt", "field").agg(F.count("*").alias("n"))
-    return e.withColumn("gt", text.genotype_field(F.col("fmt"), F.col("field")))
+def _hashed(spark: SparkSession, d: str, table: str, key: str, **tokens: str) -> DataFrame:
+    """Tokens, in SQL over h, the hash of a row's key, and their numbers of rows."""
+    h = v.table(spark, d, table).select(F.md5(F.col(key).cast("string")).alias("h"))
+    return h.select(*(F.expr(e).alias(name) for name, e in tokens.items())).groupBy(*tokens).agg(F.count("*").alias("n"))
 
 
-_CHROMS = ["Chr01", "chr10", "7", " CHR3 ", "scaffold_12", "Chr011", "0", "chr00", "ChrX", "10"]
+def _hashed_sql(table: str, key: str, **tokens: str) -> str:
+    return f"(SELECT {', '.join(f'{e} AS {name}' for name, e in tokens.items())}, count(*) AS n FROM (SELECT md5(CAST({key} AS VARCHAR)) AS h FROM {table}) GROUP BY ALL)"
 
 
-@query(
-    f"SELECT name, count(*) AS n, CASE WHEN k BETWEEN 1 AND 10 THEN k END AS chrom FROM (SELECT name, TRY_CAST(nullif(regexp_extract(trim(name), '^(?:[cC][hH][rR])?0*([0-9]+)$', 1), '') AS INTEGER) AS k FROM (SELECT {_pick_sql(_CHROMS, 'event_id')} AS name FROM events)) GROUP BY name, k"
+@query(f"SELECT fmt, field, n, coalesce(string_split(field, ':')[greatest(coalesce(list_position(string_split(fmt, ':'), 'GT'), 0), 1)], '.') AS gt FROM {_hashed_sql('events', 'event_id', fmt=_FORMAT, field=_FIELD)}")
+def s5_format_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return _hashed(spark, d, "events", "event_id", fmt=_FORMAT, field=_FIELD).withColumn("gt", text.genotype_field(F.col("fmt"), F.col("field")))
+
+
+#: Chromosome names: prefixes in several cases or none, leading zeros, one to three digits, blanks and letters after them.
+_CHROM = (
+    "concat(CASE WHEN substr(h, 7, 1) = '2' THEN '  ' ELSE '' END, CASE WHEN substr(h, 1, 1) < '4' THEN 'Chr' WHEN substr(h, 1, 1) < '7' THEN 'chr' WHEN substr(h, 1, 1) < '9' THEN 'CHR' WHEN substr(h, 1, 1) < 'a' THEN 'scaffold_' WHEN substr(h, 1, 1) < 'b' THEN 'cHr' ELSE '' END,"
+    " CASE WHEN substr(h, 2, 1) < '5' THEN '0' WHEN substr(h, 2, 1) < '7' THEN '00' ELSE '' END, translate(substr(h, 3, 1), 'abcdef', '101201'), CASE WHEN substr(h, 4, 1) < '6' THEN translate(substr(h, 5, 2), 'abcdef', '012301') ELSE '' END, CASE WHEN substr(h, 8, 1) = '0' THEN 'X' WHEN substr(h, 8, 1) = '1' THEN ' ' ELSE '' END)"
 )
+
+
+@query(f"SELECT name, n, CASE WHEN k BETWEEN 1 AND 10 THEN k END AS chrom FROM (SELECT *, TRY_CAST(nullif(regexp_extract(trim(name), '^(?:[cC][hH][rR])?0*([0-9]+)$', 1), '') AS INTEGER) AS k FROM {_hashed_sql('events', 'event_id', name=_CHROM)})")
 def s6_chromosome(spark: SparkSession, d: str) -> DataFrame:
-    e = v.table(spark, d, "events").groupBy(_pick(_CHROMS, "event_id").alias("name")).agg(F.count("*").alias("n"))
-    return e.withColumn("chrom", text.chromosome_number(F.col("name")))
+    return _hashed(spark, d, "events", "event_id", name=_CHROM).withColumn("chrom", text.chromosome_number(F.col("name")))
 
 
 @query(
@@ -93,16 +98,20 @@ def s12_gff_genes(spark: SparkSession, d: str) -> DataFrame:
     return text_formats.parse_genes(v.table(spark, d, "supplier").select(line.alias("value"))).drop("attributes")
 
 
-_NAMES = ["btx-6", " SC 748", "sc748-5", "P I 12-3", "BTx623", "Macia"]
+#: Accession names in several spellings: letters, a separator, digits and sometimes a suffix.
+_NAME = (
+    "concat(CASE WHEN substr(h, 1, 1) < '3' THEN 'btx' WHEN substr(h, 1, 1) < '6' THEN 'BTx' WHEN substr(h, 1, 1) < '9' THEN 'SC' WHEN substr(h, 1, 1) < 'c' THEN 's c' ELSE concat('P I', substr(h, 9, 2)) END,"
+    " CASE WHEN substr(h, 2, 1) < '8' THEN '' WHEN substr(h, 2, 1) < 'a' THEN ' ' WHEN substr(h, 2, 1) < 'c' THEN '-' WHEN substr(h, 2, 1) < 'd' THEN '  - ' ELSE '_' END,"
+    " CASE WHEN substr(h, 3, 1) < '3' THEN '6' WHEN substr(h, 3, 1) < '6' THEN '623' WHEN substr(h, 3, 1) < '8' THEN '748' WHEN substr(h, 3, 1) < 'a' THEN '7485' WHEN substr(h, 3, 1) < 'c' THEN '748-5' ELSE substr(h, 4, 3) END, CASE WHEN substr(h, 7, 1) = '0' THEN ' ' WHEN substr(h, 7, 1) = '1' THEN concat('-', substr(h, 8, 1)) ELSE '' END)"
+)
 
 
 @query(
     f"""SELECT raw, n, CASE k WHEN 'BTX6' THEN 'BTX623' WHEN 'SC748' THEN 'SC748_5' WHEN 'SC7485' THEN 'SC748_5' ELSE k END AS id
-    FROM (SELECT raw, n, upper(replace(regexp_replace(raw, '\\s+', '', 'g'), '-', '_')) AS k FROM (SELECT concat({_pick_sql(_NAMES, 'p_partkey')}, CASE WHEN p_size > 25 THEN concat(' -', CAST(p_size AS VARCHAR)) ELSE '' END) AS raw, count(*) AS n FROM part GROUP BY 1))"""
+    FROM (SELECT raw, n, upper(replace(regexp_replace(raw, '\\s+', '', 'g'), '-', '_')) AS k FROM {_hashed_sql('part', 'p_partkey', raw=_NAME)})"""
 )
 def p1_normalize_id(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(_pick(_NAMES, "p_partkey"), F.when(F.col("p_size") > 25, F.concat(F.lit(" -"), F.col("p_size").cast("string"))).otherwise(""))
-    return v.table(spark, d, "part").groupBy(raw.alias("raw")).agg(F.count("*").alias("n")).withColumn("id", text.normalize_id(F.col("raw")))
+    return _hashed(spark, d, "part", "p_partkey", raw=_NAME).withColumn("id", text.normalize_id(F.col("raw")))
 
 
 @query("SELECT url, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, count(*) AS n FROM pages GROUP BY url")
@@ -116,15 +125,19 @@ def p3_location_label(spark: SparkSession, d: str) -> DataFrame:
     return n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select("r_name", phenotype.location_label(F.concat("r_name", F.lit(" / "), "n_name")).alias("label"))
 
 
-_CELLS = ["1.5", " 0 ", "MISSING", "missintg", ".", "N/A", "12", "1d", "-3.5e2", "", "x", "+7", "nan", "inf", ".5"]
+#: Cells of a field book: words for a missing value, and numbers with signs, blanks, points, exponents or letters after them.
+_CELL = (
+    "CASE WHEN substr(h, 1, 1) < '3' THEN CASE WHEN substr(h, 2, 1) < '2' THEN '' WHEN substr(h, 2, 1) < '4' THEN ' . ' WHEN substr(h, 2, 1) < '6' THEN 'MISSING' WHEN substr(h, 2, 1) < '8' THEN 'missintg' WHEN substr(h, 2, 1) < 'a' THEN 'N/A' WHEN substr(h, 2, 1) < 'c' THEN 'nan' WHEN substr(h, 2, 1) < 'e' THEN 'inf' ELSE concat('na', substr(h, 3, 1)) END"
+    " ELSE concat(CASE WHEN substr(h, 4, 1) < '2' THEN ' ' ELSE '' END, CASE WHEN substr(h, 4, 1) > 'd' THEN '-' WHEN substr(h, 4, 1) > 'b' THEN '+' ELSE '' END, CASE WHEN substr(h, 5, 1) < '2' THEN '' ELSE translate(substr(h, 6, 2), 'abcdef', '012345') END, CASE WHEN substr(h, 5, 1) > '9' THEN '' ELSE '.' END,"
+    " CASE WHEN substr(h, 8, 1) < '3' THEN '' ELSE translate(substr(h, 9, 3), 'abcdef', '543210') END, CASE WHEN substr(h, 12, 1) < '2' THEN concat('e-', translate(substr(h, 13, 1), 'abcdef', '123456')) WHEN substr(h, 12, 1) < '3' THEN 'E+3' WHEN substr(h, 12, 1) < '4' THEN 'd' WHEN substr(h, 12, 1) < '5' THEN ' ' ELSE '' END) END"
+)
 
 
 @query(
-    f"SELECT cell, count(*) AS n, CASE WHEN trim(cell) IN ('', '.', 'MISSING', 'missing', 'Missing', 'missintg', 'MISSINTG', 'NA', 'N/A') THEN NULL WHEN regexp_matches(trim(cell), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(trim(cell) AS DOUBLE) END AS number FROM (SELECT {_pick_sql(_CELLS, 'event_id')} AS cell FROM events) GROUP BY cell"
+    f"SELECT cell, n, CASE WHEN trim(cell) IN ('', '.', 'MISSING', 'missing', 'Missing', 'missintg', 'MISSINTG', 'NA', 'N/A') THEN NULL WHEN regexp_matches(trim(cell), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(trim(cell) AS DOUBLE) END AS number FROM {_hashed_sql('events', 'event_id', cell=_CELL)}"
 )
 def p4_numeric(spark: SparkSession, d: str) -> DataFrame:
-    e = v.table(spark, d, "events").groupBy(_pick(_CELLS, "event_id").alias("cell")).agg(F.count("*").alias("n"))
-    return e.withColumn("number", text.number_or_null(F.col("cell")))
+    return _hashed(spark, d, "events", "event_id", cell=_CELL).withColumn("number", text.number_or_null(F.col("cell")))
 
 
 _REP_SQL = "CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_linenumber AS BIGINT) END"
@@ -526,12 +539,41 @@ def j5_ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_quantity AS INC, round(l_tax - l_discount, 8) AS SEV_correction, abs(l_tax - l_discount) > 1e-12 AS CorrectionFlag FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem)")
 def j6_align_by_position(spark: SparkSession, d: str) -> DataFrame:
-    # All columns settle ties, so that both tables number their rows alike.
+    return _aligned(spark, d, F.col("l_quantity")).select("l_orderkey", "INC", r8("SEV_correction").alias("SEV_correction"), "CorrectionFlag")
+
+
+def _aligned(spark: SparkSession, d: str, inc: Column) -> DataFrame:
+    """Order lines as a raw and a corrected field book, aligned; all columns settle ties, so that both number rows alike."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     li = numbering.numbered(v.table(spark, d, "lineitem").select(*order), [F.col(c) for c in order], "row").withColumn("id", F.concat(F.lit("C"), F.col("l_partkey").cast("string")))
-    raw = li.select("row", "l_orderkey", F.col("l_quantity").alias("INC_raw_source"), F.col("l_discount").alias("SEV_raw_source"), F.col("l_returnflag").alias("Location"), F.col("id").alias("Cultivar_raw"))
-    fixed = li.select("row", F.col("l_quantity").alias("INC"), F.col("l_tax").alias("SEV"), F.col("l_returnflag").alias("Location"), F.col("id").alias("Cultivar"), F.col("id").alias("ID_std"))
-    return phenotype.align_by_position(raw, fixed, ["row"]).select("l_orderkey", "INC", r8("SEV_correction").alias("SEV_correction"), "CorrectionFlag")
+    rep, block = F.when(F.col("l_linenumber") != 1, F.col("l_linenumber")), F.when(F.col("l_orderkey") % 3 != 0, F.col("l_orderkey") % 3)
+    raw = li.select("row", "l_orderkey", rep.alias("Rep"), block.alias("Block"), inc.alias("INC_raw_source"), F.col("l_discount").alias("SEV_raw_source"), F.col("l_returnflag").alias("Location"), F.col("id").alias("Cultivar_raw"))
+    fixed = li.select("row", inc.alias("INC"), F.col("l_tax").alias("SEV"), F.col("l_returnflag").alias("Location"), F.col("id").alias("Cultivar"), F.col("id").alias("ID_std"))
+    return phenotype.align_by_position(raw, fixed, ["row"])
+
+
+_FLAGS = ["CorrectionFlag", "DiseasePresent", "INC_zero_SEV_zero", "INC_zero_SEV_positive", "INC_positive_SEV_zero"]
+
+
+@query(
+    f"SELECT l_orderkey, concat(l_returnflag, '_R', coalesce(CAST({_REP_SQL} AS VARCHAR), 'NA'), CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE concat('_B', CAST(l_orderkey % 3 AS VARCHAR)) END) AS Stratum, abs(l_tax - l_discount) > 1e-12 AS CorrectionFlag,"
+    " l_quantity > 5 AS DiseasePresent, l_quantity <= 5 AND l_tax = 0 AS INC_zero_SEV_zero, l_quantity <= 5 AND l_tax > 0 AS INC_zero_SEV_positive, l_quantity > 5 AND l_tax = 0 AS INC_positive_SEV_zero FROM lineitem"
+)
+def m17_canonical_plots(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical plots of two aligned books: strata, corrections, zero patterns."""
+    inc = F.when(F.col("l_quantity") <= 5, F.lit(0.0)).otherwise(F.col("l_quantity"))
+    return phenotype.canonical_plots(_aligned(spark, d, inc)).select("l_orderkey", "Stratum", *_FLAGS)
+
+
+@query(
+    "SELECT Location, Stratum, count(*) AS n, 0 AS corrected, count(*) FILTER (INC > 0) AS present, (SELECT count(*) FROM plots) AS numbers, 1.0::DOUBLE AS first_plot, (SELECT CAST(count(*) AS DOUBLE) FROM plots) AS last_plot FROM (SELECT Location, concat(Location, '_RNA') AS Stratum, INC FROM plots) GROUP BY Location, Stratum",
+    v.PLOTS_SQL,
+)
+def m17_without_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical plots where no field book is at hand: plots are numbered, nothing is corrected."""
+    p = guards.cut(phenotype.without_sources(v.plots(spark, d).drop("Stratum").withColumn("Cultivar", F.col("ID_std"))).select("Location", "Stratum", "Plot", "CorrectionFlag", "DiseasePresent"))
+    numbers = p.agg(F.countDistinct("Plot").alias("numbers"), F.min("Plot").alias("first_plot"), F.max("Plot").alias("last_plot"))  # one row
+    return p.groupBy("Location", "Stratum").agg(F.count("*").alias("n"), F.count_if("CorrectionFlag").alias("corrected"), F.count_if("DiseasePresent").alias("present")).join(F.broadcast(numbers))
 
 
 # -- range joins ------------------------------------------------------------------------------------------------------
@@ -845,7 +887,10 @@ def m3_kinship(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m10_power_table(spark: SparkSession, d: str) -> DataFrame:
-    return models.power_table(spark, [100, 102], [0.05, 0.1, 0.2, 0.3, 0.5], {"bonferroni": 0.05 / 567758, "suggestive": 1e-5}, [0.8, 0.9])
+    """Detectable effects of the scan's variants, by allele frequency and number of called samples out of 102."""
+    s = v.scan(spark, d)
+    called = F.round((1 - F.col("missing_rate")) * 102).cast("int")
+    return models.variant_power(s.select(called.alias("n_samples"), F.col("MAF").alias("maf")), {"bonferroni": None, "suggestive": 1e-5}, [0.8, 0.9])
 
 
 @query()
