@@ -317,14 +317,24 @@ def detectable_beta(n: int, maf: float, alpha: float, target: float, covariates:
     power(0.0, n, maf, alpha, covariates)  # checks the rest
     if target <= alpha:
         return 0.0
-    low, high = 0.0, 0.25
-    while power(high, n, maf, alpha, covariates) < target:
-        high *= 2
+    over = lambda beta: power(beta, n, maf, alpha, covariates) - target
+    low, high, below, above = 0.0, 0.25, alpha - target, over(0.25)
+    while above < 0:
+        low, below, high = high, above, high * 2
         require(high <= 32, "no effect has that power")
+        above = over(high)
+    # False position: the end that stays twice in a row counts half, so that both ends close in.
+    at, kept = high, 0
     while high - low > 1e-10:
-        mid = (low + high) / 2
-        low, high = (mid, high) if power(mid, n, maf, alpha, covariates) < target else (low, mid)
-    return (low + high) / 2
+        last, at = at, high - above * (high - low) / (above - below)
+        found = over(at)
+        if found < 0:
+            low, below, above, kept = at, found, above / 2 if kept == 1 else above, 1
+        else:
+            high, above, below, kept = at, found, below / 2 if kept == -1 else below, -1
+        if found == 0 or abs(at - last) < 1e-12:
+            break
+    return at
 
 
 def power_table(spark: SparkSession, ns: Sequence[int], mafs: Sequence[float], alphas: dict[str, float], targets: Sequence[float]) -> DataFrame:
