@@ -57,7 +57,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def split_text(text: str) -> list[str]:
-    return (_ANY if _BEYOND.search(text) else _LATIN).findall(text)
+    return (_ANY if not text.isascii() and _BEYOND.search(text) else _LATIN).findall(text)
 
 
 class TrieEncoder:
@@ -145,7 +145,7 @@ def pieces_of(texts: list[str | None], cut: re.Pattern[str] | None) -> list[list
 
 def unseen(batch: list[list[str]], known: dict) -> set[str]:
     """Pieces without an entry in ``known``, which starts anew when it is full."""
-    fresh = set().union(*batch) - known.keys()
+    fresh = set().union(*batch).difference(known)  # walks the batch; a difference from known.keys() walks all that is known
     if len(known) + len(fresh) > CACHE:
         known.clear()
         fresh = set().union(*batch)
