@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,16 +44,18 @@ def expect(df: DataFrame, n: int, what: str) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed: for one that several statistics read, so that its plan isn't repeated in theirs.
+def shared_folder(session: SparkSession) -> str:
+    """The one of spark.checkpoint.dir; only a local session without it takes a temporary one."""
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    require(bool(folder) or session.sparkContext.master.startswith("local"), "spark.checkpoint.dir must name a shared folder")
+    return folder or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
 
-    The folder is the one of spark.checkpoint.dir; only a local session without it takes a temporary one.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed: for one that several statistics read, so that its plan isn't repeated in theirs."""
     session = df.sparkSession
     if session.sparkContext.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        require(bool(folder) or session.sparkContext.master.startswith("local"), "spark.checkpoint.dir must name a shared folder")
-        session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        session.sparkContext.setCheckpointDir(shared_folder(session))
     return df.checkpoint()
 
 

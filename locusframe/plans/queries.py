@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 
 from locusframe.functions import stats, text
 from locusframe.operators import annotate, genotype, guards, inputs, kinship, ld, models, numbering, packed, phenotype, ranking, tables
+from locusframe.plans import final
 from locusframe.plans import views as v
 from locusframe.sources import text_formats
 
@@ -947,3 +949,36 @@ def m13_primary_inputs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m11_reproduce_power(spark: SparkSession, d: str) -> DataFrame:
     return models.reproduce_power(m10_power_table(spark, d))
+
+
+# -- the composed last stage ------------------------------------------------------------------------------------------
+
+#: Thresholds that give clumps on the p-values and vectors of the views.
+_FINAL = final.Settings(index_p=0.02, secondary_p=0.1, window_kb=20, r2=0.1, candidates=50, flank_kb=5, fdr=0.9999, sample_sizes=(64,))
+
+
+def _final(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    s = v.scan(spark, d)
+    traits = F.array(*(F.struct(F.lit(t).alias("trait"), F.col(f"beta_{t}").alias("beta"), *(F.col(f"p_{k}_{t}").alias(f"p_{k}") for k in final.TESTS)) for t in ("INC", "SEV")))
+    scans = s.select(F.lit("loco").alias("context"), *tables.META, "se", F.inline(traits))
+    return final.final_results(scans, v.scan_vectors(s), v.genes(spark, d), f"{guards.shared_folder(spark)}/{uuid.uuid4().hex}", _FINAL)
+
+
+def _final_sql() -> str:
+    rows = ["SELECT 'n_samples' AS figure, 64.0::DOUBLE AS value", "SELECT 'n_variants', CAST(count(*) AS DOUBLE) FROM scan", "SELECT 'unique_tests', CAST(count(DISTINCT (CHR, codes)) AS DOUBLE) FROM scan_vectors"]
+    rows += [f"SELECT '{t}_{m}_hits', CAST(count(*) FILTER (q_{m} < {_FINAL.fdr}) AS DOUBLE) FROM t_{t}" for t in final.TESTS for m in tables.METHODS]
+    z = v.norm_ppf_sql("(p_ACAT / 2)")
+    rows += [f"SELECT 'score_ACAT_lambda_gc', round(quantile_cont({z} * {z}, 0.5) / 0.4549364231195727::DOUBLE, 6) FROM t_score", "SELECT 'score_ACAT_minimum_p', round(min(p_ACAT), 6) FROM t_score"]
+    return " UNION ALL ".join(rows)
+
+
+@query()
+def o_final_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of a whole run: clumped leads of both methods with all tests, effects, classes and ranks."""
+    return _final(spark, d)["candidates"]
+
+
+@query(_final_sql(), v.SCAN_SQL, v.SCAN_VECTORS_SQL, *map(_methods_sql, final.TESTS))
+def o_final_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of a whole run; how many candidates there are is left to the tests, as SQL can't clump."""
+    return _final(spark, d)["summary"].filter("figure <> 'candidates'").withColumn("value", F.round("value", 6))

@@ -67,6 +67,18 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("v").alias("variant_index"), (F.col("v") % 10 + 1).cast("int").alias("CHR"), (F.expr("v div 10") * 1000 + 1000).alias("pos"), F.transform("a", lambda x: x["code"].cast("tinyint")).alias("dosages"))
 
 
+#: A dosage for each hex digit of a hash: 64 samples, a sixteenth of them missing. Three variants in a row share it.
+_DIGITS, _DOSAGES = "0123456789abcdef", "0000011111222229"
+SCAN_VECTORS_SQL = f"scan_vectors AS (SELECT variant_index, CHR, translate(sha256(CAST(variant_index // 3 AS VARCHAR)), '{_DIGITS}', '{_DOSAGES}') AS codes FROM scan)"
+
+
+def scan_vectors(scan: DataFrame) -> DataFrame:
+    """variant_index and dosages of the scan's variants."""
+    codes = F.translate(F.sha2(F.expr("variant_index div 3").cast("string"), 256), _DIGITS, _DOSAGES)
+    code = lambda c: F.when(c == "9", -1).otherwise(c.cast("int")).cast("tinyint")
+    return scan.select("variant_index", F.transform(F.split(codes, ""), code).alias("dosages"))
+
+
 #: Plots: an order line as a plot of a supplier's line at the customer's region.
 PLOTS_SQL = """plots AS (
   SELECT concat('ID', CAST(l_suppkey AS VARCHAR)) AS ID_std, r_name AS Location, concat(l_returnflag, l_linestatus) AS Stratum,
