@@ -134,3 +134,15 @@ def test_profile_uses_exact_medians(spark):
         chi = [NormalDist().inv_cdf(x / 2) ** 2 for x in frame[f"p_{r['method']}"]]
         assert r["lambda_gc"] == pytest.approx(np.median(chi) / 0.4549364231195727, rel=1e-9)
         assert (r["n_variants"], r["hits"]) == (333, int((frame[f"q_{r['method']}"] < 0.1).sum()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_inflation_from_the_middle_p_values(n, spark):
+    from statistics import NormalDist
+
+    p = [float(x) for x in R.choice([0.001, 0.2, 0.21, 0.6, 0.99, 1.0], n)]
+    odd = [None, 0.0, 1.5, -0.1, float("nan")]
+    df = spark.createDataFrame([("a", x) for x in p + odd] + [("none", None)], "g string, p double").repartition(3)
+    got = {r["g"]: r["lambda_gc"] for r in ranking.lambda_gc(df, "p", "g").collect()}
+    want = np.median([NormalDist().inv_cdf(x / 2) ** 2 for x in p]) / 0.4549364231195727
+    assert got.keys() == {"a"} and got["a"] == pytest.approx(want, rel=1e-9)
