@@ -27,6 +27,8 @@ from locusframe.sources.text_formats import fingerprint
 from locusframe.sources.workbooks import write_workbook
 
 TESTS = ("score", "lrt", "wald")
+#: The p-values whose signals are clumped.
+LEADING = ("ACAT", "SEV")
 #: Second traits that the score test's table is made again with: their name beside candidates and in the profile.
 OTHERS = {"SEV_COND": ("conditional", "conditional_severity"), "SEV_POS": ("positive_only", "positive_only_severity")}
 #: Allele frequencies and targets of the table of detectable effects.
@@ -66,10 +68,13 @@ class Store:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-    def keep(self, name: str, build: Callable[..., DataFrame], *args: object) -> DataFrame:
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        reader, path = self.spark.read, f"{self.folder}/{name}"
         if not self.whole(name):
-            build(*args).write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+            df = build()
+            df.write.mode("overwrite").parquet(path)
+            reader = reader.schema(df.schema)
+        return reader.parquet(path)
 
 
 def classed_variants(score: DataFrame, genotypes: DataFrame) -> DataFrame:
@@ -108,76 +113,106 @@ def supported_candidates(pool: DataFrame, pairs: dict[str, DataFrame], others: d
     return out.withColumn("candidate_rank", F.row_number().over(W.orderBy(*order)))  # at most settings.candidates rows
 
 
-def _united(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def final_results(scans: DataFrame, genotypes: DataFrame, genes: DataFrame, folder: str, settings: Settings | None = None) -> dict[str, DataFrame]:
-    """All tables of the stage by name, ``summary`` (figure, value) among them.
+class Run:
+    """The stage's tables by name, each built when it, or one that reads it, is first asked for.
 
     ``scans``: context, trait, the variant's columns (tables.META), beta, se, p_score, p_lrt and p_wald, with rows of the
     context ``loco`` for the traits INC and SEV, and, if there are any, for SEV_COND and SEV_POS; ``genotypes``:
     variant_index and dosages of the samples scanned; ``genes``: CHR, start, end, gene.
     """
-    s, spark = settings or Settings(), scans.sparkSession
-    loco = scans.filter(F.col("context") == "loco").select("trait", *tables.META, *(c for c in ("beta", "se", "l_remle") if c in scans.columns), *(f"p_{t}" for t in TESTS))
-    genotypes, genes = genotypes.select("variant_index", "dosages"), genes.select("CHR", "start", "end", "gene")
-    store = Store(spark, f"{folder}/{run_key({'scans': loco, 'genotypes': genotypes, 'genes': genes}, s)}")
-    have = {t for t in ("INC", "SEV", *OTHERS) if not loco.filter(F.col("trait") == t).isEmpty()}
-    for t in ("INC", "SEV"):
-        require(t in have, f"no primary scan of {t}")
-
-    def pair(second: str, test: str) -> DataFrame:
-        return tables.trait_pair_table(loco.filter("trait = 'INC'"), loco.filter(F.col("trait") == second), test)
-
-    pairs = {t: store.keep(f"pairs_{t}", pair, "SEV", t) for t in TESTS}
-    others = {t: store.keep(f"pairs_{OTHERS[t][0]}", pair, t, "score") for t in OTHERS if t in have}
-    score, out = pairs["score"], {}
-    out["profile"] = store.keep("profile", lambda: _united([*(tables.profile(df, t, fdr=s.fdr) for t, df in pairs.items()), *(tables.profile(df, "score", OTHERS[t][1], s.fdr) for t, df in others.items())]))
-    out["test_comparison"] = store.keep("test_comparison", tables.compare_tests, pairs, s.fdr)
-    for k, name in enumerate(("concordance", "concordance_tops")):
-        out[name] = store.keep(name, lambda k=k: tables.concordance(score)[k])
-    out["acat_simes"] = store.keep("acat_simes", tables.method_comparison, score, s.fdr)
-
-    variants = store.keep("variants", classed_variants, score, genotypes)
-    for name in ("test_classes", "global_classes", "summary"):
-        out[f"classes_{name}" if name == "summary" else name] = store.keep(f"class_{name}", lambda name=name: genotype.class_tables(variants)[name])
-    leads = {}
-    for m in ("ACAT", "SEV"):
-        unique = store.keep(f"unique_{m}", genotype.collapse, variants, m)
-        if not (store.whole(f"leads_{m}") and store.whole(f"members_{m}")):
-            found = unique.filter(F.col(f"p_{m}") <= s.index_p).isEmpty()
-            criterion = f"{s.fallback} smallest p_{m}" if found else f"p_{m} <= {s.index_p:g}"
-            lead, member = ld.clump(unique.join(genotypes, "variant_index"), f"p_{m}", s.index_p, s.secondary_p, s.window_kb * 1000, s.r2, s.fallback)
-            store.keep(f"leads_{m}", lead.withColumn, "candidate_criterion", F.lit(criterion))
-            store.keep(f"members_{m}", member.select, "*")
-        leads[m] = out[f"leads_{m}"] = spark.read.parquet(f"{store.folder}/leads_{m}")
-        out[f"members_{m}"] = spark.read.parquet(f"{store.folder}/members_{m}")
-    pool = store.keep("pool", pooled_leads, leads, score, s.candidates)
-    out["candidates"] = store.keep("candidates", supported_candidates, pool, pairs, others, variants, out["global_classes"], s)
-    out["candidate_genes"] = store.keep("candidate_genes", annotate.nearby_genes, out["candidates"].select("lead_snp", "CHR", "pos"), genes, s.flank_kb * 1000)
-
-    n, n_tests = score.count(), out["test_classes"].count()
-    alphas = {"bonferroni_rows": 0.05 / n, "bonferroni_unique_tests": 0.05 / n_tests, "suggestive": 1e-5}
-    out["power"] = store.keep("power", models.power_table, spark, s.sample_sizes, FREQUENCIES, alphas, TARGETS)
-    for m in ("ACAT", "SEV"):
-        out[f"qq_{m}"] = store.keep(f"qq_{m}", ranking.qq_points, score, f"p_{m}")
-    out |= {f"top_{t}": store.keep(f"top_{t}", ranking.top_k, df, "p_ACAT", s.top_rows) for t, df in pairs.items()}
-    out["top_test_classes"] = store.keep("top_test_classes", lambda: out["test_classes"].orderBy(F.col("minimum_p_ACAT").asc_nulls_last(), "test_class").limit(s.top_rows))
-    out["largest_classes"] = store.keep("largest_classes", lambda: out["global_classes"].orderBy(F.desc("class_size"), "global_class").limit(s.top_classes))
-    out["summary"] = store.keep("summary", summary, out, n, n_tests, genotypes)
-    return {f"all_{t}": df for t, df in pairs.items()} | {f"all_{OTHERS[t][0]}": df for t, df in others.items()} | out
-
-
-def summary(results: dict[str, DataFrame], n_variants: int, n_tests: int, genotypes: DataFrame) -> DataFrame:
-    """(figure, value): sizes, hits by test and method, inflation and smallest p of the primary table."""
-    spark = genotypes.sparkSession
-    rows = [("n_samples", genotypes.agg(F.max(F.size("dosages"))).first()[0]), ("n_variants", n_variants), ("unique_tests", n_tests), ("candidates", results["candidates"].count())]
-    for r in results["profile"].filter("context = 'loco'").collect():  # a row for each test and method
-        rows.append((f"{r['test']}_{r['method']}_hits", r["hits"]))
-        if r["test"] == "score" and r["method"] == "ACAT":
-            rows += [("score_ACAT_lambda_gc", r["lambda_gc"]), ("score_ACAT_minimum_p", r["minimum_p"])]
-    return spark.createDataFrame([(k, None if x is None else float(x)) for k, x in rows], "figure string, value double")
+
+    def __init__(self, scans: DataFrame, genotypes: DataFrame, genes: DataFrame, folder: str, settings: Settings | None = None) -> None:
+        self.settings, spark = settings or Settings(), scans.sparkSession
+        s = self.settings
+        loco = scans.filter(F.col("context") == "loco").select("trait", *tables.META, *(c for c in ("beta", "se", "l_remle") if c in scans.columns), *(f"p_{t}" for t in TESTS))
+        genotypes, genes = genotypes.select("variant_index", "dosages"), genes.select("CHR", "start", "end", "gene")
+        have = {r["trait"] for r in loco.filter(F.col("trait").isin("INC", "SEV", *OTHERS)).select("trait").distinct().collect()}
+        for t in ("INC", "SEV"):
+            require(t in have, f"no primary scan of {t}")
+        self._store = Store(spark, f"{folder}/{run_key({'scans': loco, 'genotypes': genotypes, 'genes': genes}, s)}")
+        self._read: dict[str, DataFrame] = {}
+        self._others = {t: OTHERS[t][0] for t in OTHERS if t in have}
+
+        def pair(second: str, test: str) -> Callable[[], DataFrame]:
+            return lambda: tables.trait_pair_table(loco.filter("trait = 'INC'"), loco.filter(F.col("trait") == second), test)
+
+        def classes(name: str) -> Callable[[], DataFrame]:
+            return lambda: genotype.class_tables(self.table("variants"))[name]
+
+        t = self.table
+        self._builds: dict[str, Callable[[], DataFrame]] = {
+            **{f"all_{k}": pair("SEV", k) for k in TESTS},
+            **{f"all_{name}": pair(k, "score") for k, name in self._others.items()},
+            "profile": self._profile,
+            "test_comparison": lambda: tables.compare_tests(self._pairs(), s.fdr),
+            "concordance": lambda: tables.concordance(t("all_score"))[0],
+            "concordance_tops": lambda: tables.concordance(t("all_score"))[1],
+            "acat_simes": lambda: tables.method_comparison(t("all_score"), s.fdr),
+            "variants": lambda: classed_variants(t("all_score"), genotypes),
+            "test_classes": classes("test_classes"),
+            "global_classes": classes("global_classes"),
+            "classes_summary": classes("summary"),
+            **{f"unique_{m}": lambda m=m: genotype.collapse(t("variants"), m) for m in LEADING},
+            **{f"leads_{m}": lambda m=m: self._leads(m, genotypes) for m in LEADING},
+            "pool": lambda: pooled_leads({m: t(f"leads_{m}") for m in LEADING}, t("all_score"), s.candidates),
+            "candidates": lambda: supported_candidates(t("pool"), self._pairs(), {k: t(f"all_{name}") for k, name in self._others.items()}, t("variants"), t("global_classes"), s),
+            "candidate_genes": lambda: annotate.nearby_genes(t("candidates").select("lead_snp", "CHR", "pos"), genes, s.flank_kb * 1000),
+            "power": lambda: models.power_table(spark, s.sample_sizes, FREQUENCIES, {"bonferroni_rows": 0.05 / t("all_score").count(), "bonferroni_unique_tests": 0.05 / t("test_classes").count(), "suggestive": 1e-5}, TARGETS),
+            **{f"qq_{m}": lambda m=m: ranking.qq_points(t("all_score"), f"p_{m}") for m in LEADING},
+            **{f"top_{k}": lambda k=k: ranking.top_k(t(f"all_{k}"), "p_ACAT", s.top_rows) for k in TESTS},
+            "top_test_classes": lambda: t("test_classes").orderBy(F.col("minimum_p_ACAT").asc_nulls_last(), "test_class").limit(s.top_rows),
+            "largest_classes": lambda: t("global_classes").orderBy(F.desc("class_size"), "global_class").limit(s.top_classes),
+            "summary": lambda: self._summary(genotypes),
+        }
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._read:
+            if name in self._members:
+                self.table(self._members[name])  # written with them
+            self._read[name] = self._store.keep(name, self._builds.get(name, lambda: self._missing(name)))
+        return self._read[name]
+
+    @property
+    def names(self) -> list[str]:
+        return [*self._builds, *self._members]
+
+    _members = {f"members_{m}": f"leads_{m}" for m in LEADING}
+
+    def _missing(self, name: str) -> DataFrame:
+        raise ValueError(f"no table {name}")
+
+    def _pairs(self) -> dict[str, DataFrame]:
+        return {k: self.table(f"all_{k}") for k in TESTS}
+
+    def _profile(self) -> DataFrame:
+        fdr = self.settings.fdr
+        own = [tables.profile(df, k, fdr=fdr) for k, df in self._pairs().items()]
+        return reduce(DataFrame.unionByName, own + [tables.profile(self.table(f"all_{name}"), "score", OTHERS[k][1], fdr) for k, name in self._others.items()])
+
+    def _leads(self, m: str, genotypes: DataFrame) -> DataFrame:
+        """The leads of a method; their members are written before them."""
+        s, unique = self.settings, self.table(f"unique_{m}")
+        found = unique.filter(F.col(f"p_{m}") <= s.index_p).isEmpty()
+        criterion = f"{s.fallback} smallest p_{m}" if found else f"p_{m} <= {s.index_p:g}"
+        leads, members = ld.clump(unique.join(genotypes, "variant_index"), f"p_{m}", s.index_p, s.secondary_p, s.window_kb * 1000, s.r2, s.fallback)
+        self._store.keep(f"members_{m}", lambda: members)
+        return leads.withColumn("candidate_criterion", F.lit(criterion))
+
+    def _summary(self, genotypes: DataFrame) -> DataFrame:
+        """(figure, value): sizes, hits by test and method, inflation and smallest p of the primary table."""
+        rows = [("n_samples", genotypes.agg(F.max(F.size("dosages"))).first()[0])]
+        rows += [("n_variants", self.table("all_score").count()), ("unique_tests", self.table("test_classes").count()), ("candidates", self.table("candidates").count())]
+        for r in self.table("profile").filter("context = 'loco'").collect():  # a row for each test and method
+            rows.append((f"{r['test']}_{r['method']}_hits", r["hits"]))
+            if r["test"] == "score" and r["method"] == "ACAT":
+                rows += [("score_ACAT_lambda_gc", r["lambda_gc"]), ("score_ACAT_minimum_p", r["minimum_p"])]
+        return genotypes.sparkSession.createDataFrame([(k, None if x is None else float(x)) for k, x in rows], "figure string, value double")
+
+
+def final_results(scans: DataFrame, genotypes: DataFrame, genes: DataFrame, folder: str, settings: Settings | None = None) -> dict[str, DataFrame]:
+    """All tables of a run by name."""
+    run = Run(scans, genotypes, genes, folder, settings)
+    return {name: run.table(name) for name in run.names}
 
 
 #: What a workbook shows: bounded lists, not the full tables.

@@ -957,11 +957,11 @@ def m11_reproduce_power(spark: SparkSession, d: str) -> DataFrame:
 _FINAL = final.Settings(index_p=0.02, secondary_p=0.1, window_kb=20, r2=0.1, candidates=50, flank_kb=5, fdr=0.9999, sample_sizes=(64,))
 
 
-def _final(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _final(spark: SparkSession, d: str) -> final.Run:
     s = v.scan(spark, d)
     traits = F.array(*(F.struct(F.lit(t).alias("trait"), F.col(f"beta_{t}").alias("beta"), *(F.col(f"p_{k}_{t}").alias(f"p_{k}") for k in final.TESTS)) for t in ("INC", "SEV")))
     scans = s.select(F.lit("loco").alias("context"), *tables.META, "se", F.inline(traits))
-    return final.final_results(scans, v.scan_vectors(s), v.genes(spark, d), f"{guards.shared_folder(spark)}/{uuid.uuid4().hex}", _FINAL)
+    return final.Run(scans, v.scan_vectors(s), v.genes(spark, d), f"{guards.shared_folder(spark)}/{uuid.uuid4().hex}", _FINAL)
 
 
 def _final_sql() -> str:
@@ -975,10 +975,10 @@ def _final_sql() -> str:
 @query()
 def o_final_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of a whole run: clumped leads of both methods with all tests, effects, classes and ranks."""
-    return _final(spark, d)["candidates"]
+    return _final(spark, d).table("candidates")
 
 
 @query(_final_sql(), v.SCAN_SQL, v.SCAN_VECTORS_SQL, *map(_methods_sql, final.TESTS))
 def o_final_summary(spark: SparkSession, d: str) -> DataFrame:
     """Figures of a whole run; how many candidates there are is left to the tests, as SQL can't clump."""
-    return _final(spark, d)["summary"].filter("figure <> 'candidates'").withColumn("value", F.round("value", 6))
+    return _final(spark, d).table("summary").filter("figure <> 'candidates'").withColumn("value", F.round("value", 6))

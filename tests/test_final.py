@@ -102,23 +102,27 @@ def test_candidates_and_their_tables(spark, tmp_path):
 
 def test_a_run_goes_on_where_it_ended_and_only_on_its_own_inputs(spark, tmp_path, monkeypatch):
     scans, genotypes, genes, *_ = inputs(spark)
-    made, keep, lost = [], final.Store.keep, [True]
+    made, keep, support, lost = [], final.Store.keep, final.supported_candidates, [True]
 
-    def kept(self, name, build, *args):
-        if name == "candidates" and lost:
+    def supported(*args):
+        if lost:
             raise RuntimeError("lost")
+        return support(*args)
+
+    def kept(self, name, build):
         made.extend([] if self.whole(name) else [name])
-        return keep(self, name, build, *args)
+        return keep(self, name, build)
 
     monkeypatch.setattr(final.Store, "keep", kept)
+    monkeypatch.setattr(final, "supported_candidates", supported)
     folder = f"file://{tmp_path}/run"
     with pytest.raises(RuntimeError, match="lost"):
-        final.final_results(scans, genotypes, genes, folder, SETTINGS)
-    before = set(made)
+        final.Run(scans, genotypes, genes, folder, SETTINGS).table("candidate_genes")
+    before = set(made) - {"candidates", "candidate_genes"}
     made.clear()
     lost.clear()
-    got = final.final_results(scans.repartition(2), genotypes, genes, folder, SETTINGS)["candidates"]
-    assert got.count() > 2 and made[0] == "candidates" and not before & set(made) and {"pairs_score", "leads_SEV", "pool"} <= before
+    got = final.Run(scans.repartition(2), genotypes, genes, folder, SETTINGS).table("candidates")
+    assert got.count() > 2 and "candidates" in made and not before & set(made) and {"all_score", "leads_SEV", "members_SEV", "global_classes"} <= before
     keys = {final.run_key({"scans": df}, s) for df in (scans, scans.filter("variant_index > 0"), scans.withColumn("beta", F.col("beta") * 2)) for s in (SETTINGS, replace(SETTINGS, r2=0.5))}
     assert len(keys) == 6
     assert final.run_key({"scans": scans.repartition(9)}, SETTINGS) == final.run_key({"scans": scans}, SETTINGS)
@@ -130,6 +134,6 @@ def test_inputs_that_dont_fit_stop_the_run(spark, tmp_path):
     with pytest.raises(ValueError, match="no primary scan of SEV"):
         final.final_results(scans.filter("trait <> 'SEV'"), genotypes, genes, folder, SETTINGS)
     with pytest.raises(ValueError, match="score scans"):
-        final.final_results(scans.filter("trait <> 'SEV' OR variant_index <> 4"), genotypes, genes, folder, SETTINGS)
+        final.Run(scans.filter("trait <> 'SEV' OR variant_index <> 4"), genotypes, genes, folder, SETTINGS).table("all_score")
     with pytest.raises(ValueError, match="genotypes"):
-        final.final_results(scans, genotypes.filter("variant_index <> 4"), genes, folder, SETTINGS)
+        final.Run(scans, genotypes.filter("variant_index <> 4"), genes, folder, SETTINGS).table("candidates")
