@@ -103,7 +103,8 @@ def _step_up(values: DataFrame) -> DataFrame:
     raw = counts.withColumn("_raw", F.col("_p") * F.col("_n").cast("double") / F.col("_upto"))
     lowest = raw.groupBy("_name", "_range").agg(F.min("_raw").alias("_low"))
     later = lowest.select("_name", "_range", F.min("_low").over(W.partitionBy("_name").orderBy("_range").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
-    down = W.partitionBy("_name", "_range").orderBy("_p").rowsBetween(0, W.unboundedFollowing)
+    # From the largest down: a frame that ends with the partition would be added up anew for every row.
+    down = W.partitionBy("_name", "_range").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0)
     q = F.least(F.min("_raw").over(down), "_later", F.lit(1.0))  # nulls are skipped
     return raw.join(F.broadcast(later), ["_name", "_range"]).select("_name", "_p", q.alias("_q"))
 
