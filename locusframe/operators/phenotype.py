@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.stats import close
@@ -79,27 +80,58 @@ def plot_report(plots: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Plots summed by id, stratum, other columns and which of the values a plot has: n, and of each value its mean and
+    plain sum and number, of each two of them the products of deviations from the cell's means (c0_0, c0_1, ...)."""
+
+    rows: DataFrame
+    names: tuple[str, ...]
+
+
+def cells_of(plots: DataFrame, names: Sequence[str], by: Sequence[Column | str] = ()) -> Cells:
+    """Checkpointed, so that the plots are read once, however many models are fitted of them. NaN counts as missing, but
+    for the plain sums."""
+    x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in names]
+    d = plots.select(F.col("ID_std").cast("string").alias("ID_std"), F.col("Stratum").cast("string").alias("Stratum"), *by, *(F.col(c).alias(f"v{i}") for i, c in enumerate(names)), *(v.alias(f"x{i}") for i, v in enumerate(x)))
+    d = d.withColumns({f"has{i}": F.col(f"x{i}").isNotNull() for i in range(len(names))})
+    keys = [c for c in d.columns if c not in {f"{k}{i}" for k in "vx" for i in range(len(names))}]
+    products = {f"c{i}_{j}": F.covar_pop(f"x{i}", f"x{j}") * F.count("*") for i in range(len(names)) for j in range(i, len(names))}
+    values = [f(f"{of}{i}").alias(f"{k}{i}") for i in range(len(names)) for k, of, f in (("m", "x", F.avg), ("sum", "v", F.sum), ("count", "v", F.count))]
+    return Cells(cut(d.groupBy(*keys).agg(F.count("*").alias("n"), *values, *(c.alias(k) for k, c in products.items()))), tuple(names))
+
+
 def adjusted_means(plots: DataFrame, value: str, covariates: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
+    """Least-squares means of ids of plots, see fitted_means."""
+    return fitted_means(cells_of(plots, [value, *covariates]), value, covariates, prefix)
+
+
+def fitted_means(cells: Cells, value: str, covariates: Sequence[str] = (), prefix: str | None = None, where: Column | None = None) -> DataFrame:
     """Least-squares means of ids: value ~ id + stratum + covariates, every stratum with equal weight.
 
     Ids are absorbed: what is solved is their Schur complement, of the size of strata and covariates, and an id's mean and
     error follow from its own sums. Ids, however many, stay in Spark; their sums are added up by task. Where ids and
     strata fall apart into groups that share no stratum, the means aren't estimable one by one, and the minimum-norm
     solution of all dummies is taken, for a design of at most WHOLE columns. Covariates are centred on the rows used.
+    ``where``: the cells whose plots are used, if not all that have the values.
     """
     prefix = prefix or value
     names = [value, *covariates]
-    used = cut(plots.select(F.col("ID_std").cast("string").alias("ID_std"), F.col("Stratum").cast("string").alias("Stratum"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names))).dropna())
+    own = [cells.names.index(c) for c in names]
+    complete = reduce(lambda a, b: a & b, (F.col(f"has{i}") for i in own), F.col("ID_std").isNotNull() & F.col("Stratum").isNotNull())
+    used = cells.rows.filter(complete if where is None else complete & where)
     xs = [f"x{i}" for i in range(len(names))]
-    n, n_ids, *centre = used.agg(F.count("*"), F.count_distinct("ID_std"), *(F.avg(x) for x in xs)).first()
+    n, n_ids, *totals = used.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("ID_std"), *(F.sum(F.col("n") * F.col(f"m{i}")) for i in own)).first()
+    centre = [t / n if n else 0.0 for t in totals]
     strata = sorted(r["Stratum"] for r in used.select("Stratum").distinct().limit(STRATA + 1).collect())
     require(len(strata) <= STRATA, f"{value}: more than {STRATA} strata")
     require(n_ids >= 10 and n > n_ids + len(strata), f"{value}: {n_ids} ids, {len(strata)} strata and {n} rows don't suffice")
-    used = used.select("ID_std", "Stratum", *((F.col(x) - F.lit(m)).alias(x) for x, m in zip(xs, centre, strict=True)))
+    off = [F.col(f"m{i}") - F.lit(m) for i, m in zip(own, centre, strict=True)]
     pairs = [(a, b) for k, a in enumerate(xs) for b in xs[k:]]
-    by_stratum = {r["Stratum"]: r for r in used.groupBy("Stratum").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in xs)).collect()}
-    products = used.agg(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs)).first()
-    product = {p: v for (a, b), v in zip(pairs, products, strict=True) for p in ((a, b), (b, a))}
+    within = {(a, b): F.col("c{}_{}".format(*sorted((own[int(a[1:])], own[int(b[1:])])))) for a, b in pairs}
+    used = used.select("ID_std", "Stratum", "n", *((F.col("n") * d).alias(x) for x, d in zip(xs, off, strict=True)), *((within[a, b] + F.col("n") * off[int(a[1:])] * off[int(b[1:])]).alias(f"{a}_{b}") for a, b in pairs))
+    by_stratum = {r["Stratum"]: r for r in used.groupBy("Stratum").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in xs), *(F.sum(f"{a}_{b}").alias(f"{a}_{b}") for a, b in pairs)).collect()}
+    product = {p: sum(r[f"{a}_{b}"] for r in by_stratum.values()) for a, b in pairs for p in ((a, b), (b, a))}
     # The nuisance columns: strata but the first, then covariates.
     k, c = len(strata) - 1, len(covariates)
     inner, toward = np.zeros((k + c, k + c)), np.zeros(k + c)
@@ -110,8 +142,8 @@ def adjusted_means(plots: DataFrame, value: str, covariates: Sequence[str] = (),
     for j, a in enumerate(xs[1:]):
         toward[k + j] = product[a, "x0"]
         inner[k + j, k:] = [product[a, b] for b in xs[1:]]
-    cells = used.groupBy("ID_std", "Stratum").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in xs))
-    by_id = cut(cells.groupBy("ID_std").agg(F.collect_list("Stratum").alias("strata"), F.collect_list("n").alias("counts"), F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in xs)))
+    summed_up = used.groupBy("ID_std", "Stratum").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in xs))
+    by_id = cut(summed_up.groupBy("ID_std").agg(F.collect_list("Stratum").alias("strata"), F.collect_list("n").alias("counts"), F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in xs)))
     at = {name: j - 1 for j, name in enumerate(strata)}
 
     def means(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +173,7 @@ def adjusted_means(plots: DataFrame, value: str, covariates: Sequence[str] = (),
     values, vectors = np.linalg.eigh(schur) if k + c else (np.zeros(0), np.zeros((0, 0)))
     if k + c and values[0] <= 1e-10 * max(float(np.diag(inner).max()), 1e-300):
         require(n_ids + len(strata) + c <= WHOLE, f"{value}: ids and strata fall apart, and {n_ids} ids are too many for one matrix")
-        return _whole_design(cells, names, centre[0], product, prefix)
+        return _whole_design(summed_up, names, centre[0], product, prefix)
     inverse = (vectors / values) @ vectors.T
     gamma = inverse @ right
     df = max(n - n_ids - k - c, 1)
@@ -209,34 +241,38 @@ def simple_means(plots: DataFrame) -> DataFrame:
 
 def accession_traits(plots: DataFrame) -> DataFrame:
     """Adjusted INC, SEV, SEV of diseased plots and SEV given INC, simple means, and the inverse-normal form of each."""
-    out = simple_means(plots)
-    models = {"INC": (plots, "INC", ()), "SEV": (plots, "SEV", ()), "SEV_POS": (plots.filter("INC > 0"), "SEV", ()), "SEV_COND": (plots, "SEV", ("INC",))}
+    cells = cells_of(plots, ("INC", "SEV"), ["Location", F.coalesce(F.col("INC") > 0, F.lit(False)).alias("positive")])
+    mean = lambda i: F.try_divide(F.sum(f"sum{i}"), F.sum(f"count{i}"))
+    out = cells.rows.groupBy("ID_std").agg(mean(0).alias("INC_SIMPLE_RAW"), mean(1).alias("SEV_SIMPLE_RAW"), F.sum("n").alias("N_PLOTS_TOTAL"), F.countDistinct("Location").alias("N_LOCATIONS"))
+    models = {"INC": ("INC", (), None), "SEV": ("SEV", (), None), "SEV_POS": ("SEV", (), F.col("positive")), "SEV_COND": ("SEV", ("INC",), None)}
     # The models are independent, and each waits for several small jobs.
     with ThreadPoolExecutor(len(models)) as pool:
-        fitted = list(pool.map(lambda m: adjusted_means(*m[1], m[0]).drop(f"{m[0]}_RANK", f"{m[0]}_DF"), models.items()))
+        fitted = list(pool.map(lambda m: fitted_means(cells, m[1][0], m[1][1], m[0], m[1][2]).drop(f"{m[0]}_RANK", f"{m[0]}_DF"), models.items()))
     for own in fitted:
         out = out.join(own, "ID_std", "left")
     raw = ("INC_ADJ_RAW", "SEV_ADJ_RAW", "SEV_POS_ADJ_RAW", "SEV_COND_ADJ_RAW", "INC_SIMPLE_RAW", "SEV_SIMPLE_RAW")
-    return rank_normal(out, {c: c.replace("_RAW", "_INT") for c in raw})
+    return rank_normal(cut(out), {c: c.replace("_RAW", "_INT") for c in raw})
 
 
 def omission_traits(plots: DataFrame, locations: Sequence[str]) -> DataFrame:
     """Adjusted INC, SEV and conditional SEV without one location at a time, inverse-normal.
 
-    The models are independent and fitted MODELS at a time; their means meet in one pivot with known names.
+    The plots are read once, into cells; the models are independent and fitted MODELS at a time, and their means meet in
+    one pivot with known names.
     """
+    cells = cells_of(plots, ("INC", "SEV"), ["Location"])
     values = {"INC": ("INC", ()), "SEV": ("SEV", ()), "SEV_COND": ("SEV", ("INC",))}
     wanted = [(place, name) for place in locations for name in values]
     column = lambda m: f"{m[1]}_LOO_{slug(m[0])}"
 
     def fit(m: tuple[str, str]) -> DataFrame:
-        own = adjusted_means(plots.filter(F.col("Location") != m[0]), *values[m[1]], "X")
+        own = fitted_means(cells, *values[m[1]], "X", F.col("Location") != m[0])
         return own.select("ID_std", F.lit("_" + column(m)).alias("_model"), F.col("X_ADJ_RAW").alias("_mean"))
 
     with ThreadPoolExecutor(MODELS) as pool:
         means = reduce(DataFrame.unionByName, pool.map(fit, wanted))
     wide = means.groupBy("ID_std").pivot("_model", ["_" + column(m) for m in wanted]).agg(F.max("_mean"))
-    out = plots.select("ID_std").distinct().join(wide, "ID_std", "left")
+    out = cut(cells.rows.select("ID_std").distinct().join(wide, "ID_std", "left"))
     return rank_normal(out, {"_" + column(m): column(m) for m in wanted}).drop(*("_" + column(m) for m in wanted))
 
 

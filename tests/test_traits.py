@@ -61,6 +61,34 @@ def test_an_id_of_the_omitted_location_only_has_no_trait(spark):
     assert lone["INC_LOO_WEST"] is None and lone["INC_LOO_SOUTH"] is not None
 
 
+@pytest.mark.parametrize("traits", [phenotype.accession_traits, lambda d: phenotype.omission_traits(d, PLACES)], ids=["accession", "omission"])
+def test_plots_are_read_once_for_all_models(traits, spark):
+    rows, read = plots(), spark.sparkContext.accumulator(0)
+    schema = "ID_std string, Location string, Stratum string, INC double, SEV double"
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert traits(spark.createDataFrame(rows, schema).mapInArrow(counted, schema)).count() == 14
+    assert read.value == len(rows)
+
+
+def test_missing_values_leave_out_the_models_that_need_them(spark):
+    rows = [(a, b, c, None if k % 11 == 3 else x, float("nan") if k % 13 == 5 else y) for k, (a, b, c, x, y) in enumerate(plots())]
+    table = spark.createDataFrame(rows, "ID_std string, Location string, Stratum string, INC double, SEV double")
+    got = {r["ID_std"]: r for r in phenotype.accession_traits(table).collect()}
+    sound = lambda v: v is not None and v == v
+    whole = {"INC": means([r for r in rows if sound(r[3])], 3), "SEV": means([r for r in rows if sound(r[4])], 4), "SEV_POS": means([r for r in rows if sound(r[4]) and sound(r[3]) and r[3] > 0], 4), "SEV_COND": means([r for r in rows if sound(r[3]) and sound(r[4])], 4, 3)}
+    for name, want in whole.items():
+        for own, value in want.items():
+            assert got[own][f"{name}_ADJ_RAW"] == pytest.approx(value, abs=1e-9)
+    for own, r in got.items():
+        inc = [x[3] for x in rows if x[0] == own and x[3] is not None]
+        assert r["INC_SIMPLE_RAW"] == pytest.approx(sum(inc) / len(inc)) and r["N_PLOTS_TOTAL"] == sum(x[0] == own for x in rows)
+
+
 def test_power_of_variants(spark):
     rows = [(100, 0.05), (100, 0.05), (100, 0.95), (60, 0.2), (None, 0.2), (60, None), (60, 0.0), (2, 0.3)]
     got = models.variant_power(spark.createDataFrame(rows, "n_samples int, maf double"), {"all": None, "one": 1e-3}, [0.8])
