@@ -73,9 +73,9 @@ def _ordered(samples: DataFrame) -> DataFrame:
 
 def _components(ids: DataFrame, pcs: DataFrame, what: str) -> np.ndarray:
     """Five columns, samples in rows, in the order of ``ids``; a row a sample."""
-    rows = ids.join(pcs.select("ID_std", *PCS), "ID_std", "left").orderBy("place").select(*PCS).collect()
-    require(all(x is not None for r in rows for x in r), f"{what}: a sample has no components")
-    return np.array([tuple(r) for r in rows], float)
+    rows = ids.join(pcs.select("ID_std", *PCS), "ID_std", "left").orderBy("place").select(*(F.col(c).cast("double") for c in PCS)).toArrow()
+    require(not any(c.null_count for c in rows.columns), f"{what}: a sample has no components")
+    return np.column_stack([c.to_numpy() for c in rows.columns])
 
 
 def primary_inputs(given: Inputs, expected: Inputs, dimensions: tuple[int, int, int], traits: Sequence[str]) -> dict[str, DataFrame]:
@@ -121,7 +121,7 @@ def primary_inputs(given: Inputs, expected: Inputs, dimensions: tuple[int, int,
 
     stored = _components(ids, given.pcs, "stored PCs")
     require(_same(_components(ids, expected.pcs, "reference PCs"), stored), "stored PCs disagree with the reference basis")
-    chosen = [r["sample_index"] for r in ids.orderBy("place").collect()]
+    chosen = ids.orderBy("place").select("sample_index").toArrow().column(0).to_numpy()
     require(_same(stored, structure_components(genotypes, markers, chosen)), "PC reconstruction from genotype rows failed")
     return {"ids": ids, "traits": values, "metadata": metadata, "markers": markers, "genotypes": genotypes}
 
