@@ -25,6 +25,27 @@ def test_ols_scan_is_least_squares(spark):
         assert (r["beta"], r["se"], r["t"]) == pytest.approx((coef[-1], se, coef[-1] / se), rel=1e-8)
 
 
+def test_ols_scan_takes_a_batch_in_pieces(spark, monkeypatch):
+    df, _ = panel(spark)
+    rng = np.random.default_rng(6)
+    traits, pcs = {"T": rng.normal(size=30)}, rng.normal(size=(30, 3))
+    by = ["variant_index", "n_pcs"]
+    whole = models.ols_scan(df.coalesce(1), traits, pcs, [0, 2]).orderBy(*by).toPandas()
+    monkeypatch.setattr(models, "SCANNED", 8 * 30 * 7)
+    seen = spark.sparkContext.accumulator(0)
+    block = models.ols_block
+
+    def counted(x, *rest):
+        seen.add(1)
+        assert len(x) <= 7
+        return block(x, *rest)
+
+    monkeypatch.setattr(models, "ols_block", counted)
+    pieces = models.ols_scan(df.coalesce(1), traits, pcs, [0, 2]).orderBy(*by).toPandas()
+    assert np.allclose(whole[["beta", "se", "t", "p"]], pieces[["beta", "se", "t", "p"]]) and len(whole) == 80
+    assert seen.value >= 2 * 6
+
+
 def test_mixed_model_is_generalised_least_squares(spark):
     _, x = panel(spark)
     rng = np.random.default_rng(7)
