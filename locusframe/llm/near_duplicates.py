@@ -13,8 +13,9 @@ together, and only buckets of several classes are written. Within a batch one se
 segment: the others are marked as meeting it and are dealt out by themselves, so that a segment that very many sets
 share is no hot key. A group of similar sets would meet in each bucket of its segments, so links are not sought pair
 by pair: each set is compared with two pivots of its buckets, components are formed, and buckets within one component
-are done, as no further link changes the result. What is left, pairs of different components in one bucket, is
-compared in full. Statistics of buckets are partial aggregates that are written and joined back, which Spark splits where
+are done, as no further link changes the result. A pivot may be an odd one of its group, which few others link with, so
+each group of buckets then draws sets at random, which its other sets are compared with, until the pairs left are about
+as few as the rows. What is left, pairs of different components in one bucket, is compared in full. Statistics of buckets are partial aggregates that are written and joined back, which Spark splits where
 they are skewed. Parities of hashed shingles reject most pairs exactly (their difference bounds the sets' difference from
 below), short ones as a condition of the join itself, so that rejected pairs are never rows; the rest is verified on
 the whole sets, which are read from the texts then.
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from math import exp, log
 
@@ -54,6 +55,8 @@ RISK = 10_000.0
 CROWDED = 8
 #: Pivots that each set is compared with before the rest.
 PIVOTS = 2
+#: Sets that a group of buckets draws in a round, and rounds at most; what they leave is compared in full.
+DRAWN, ROUNDS = 4, 8
 #: Digests that a task remembers, so that equal sets enter the index once a task.
 SEEN = 500_000
 #: Words of the short parities.
@@ -347,20 +350,44 @@ def grouped(rows: DataFrame, scratch: Scratch) -> DataFrame:
     of_sig = scratch.keep(rows.groupBy(F.col("sig").alias("of_sig")).agg(F.count("*").alias("k"), F.min(order)["doc"].alias("pivot")), "of-sig")
     key = F.when(F.col("k") > CROWDED, F.col("pivot")).otherwise(F.col("sig"))
     rows = rows.join(of_sig, F.col("sig") == F.col("of_sig")).groupBy(key.alias("key"), "doc").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.max("probes").alias("probes"))
-    rows = scratch.keep(rows, "grouped")
+    return told(scratch.keep(rows, "grouped"), scratch, "first")
+
+
+def told(rows: DataFrame, scratch: Scratch, step: str) -> DataFrame:
+    """Adds other to (key, doc, comp, ...); groups of one component go."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = scratch.keep(sizes.groupBy(F.col("key").alias("of_key")).agg(F.max(F.struct("k", "comp"))["comp"].alias("main")), "main")
+    main = sizes.groupBy(F.col("key").alias("of_key")).agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    main = scratch.keep(main.select("of_key", "main"), f"main-{step}")
     return rows.join(main, F.col("key") == F.col("of_key")).withColumn("other", F.col("comp") != F.col("main")).drop("of_key", "main")
 
 
+def relabelled(rows: DataFrame, labels: DataFrame, scratch: Scratch, step: str) -> DataFrame:
+    """The rows of groups with new components."""
+    rows = rows.drop("comp", "other").join(labels, F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
+    return told(scratch.keep(rows, f"relabelled-{step}"), scratch, step)
+
+
+def _meet(x: Callable[[str], Column], y: Callable[[str], Column], t: int = T) -> Column:
+    """Of two rows of a group, by their columns: different components, of which the smaller set probes, that short parities don't reject."""
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.get(x("brief"), F.lit(k)).bitwiseXOR(F.get(y("brief"), F.lit(k)))) for k in range(BRIEF)))
+    probed = (x("probes") & (x("n") <= y("n"))) | (y("probes") & (y("n") <= x("n")))
+    return (x("comp") != y("comp")) & _alike(x("n"), y("n"), t) & probed & ((100 + t) * apart <= (100 - t) * (x("n") + y("n")))
+
+
+def drawn(rows: DataFrame, step: int, scratch: Scratch, t: int = T) -> DataFrame:
+    """Pairs (a, b) of a set and one that its group drew at random, and for how many pairs of the group each stands (weight)."""
+    sets_drawn = F.array(*(F.min_by(F.struct("doc", "n", "comp", "probes", "brief"), F.xxhash64(F.lit(step * DRAWN + k), "doc")) for k in range(DRAWN)))
+    of_key = scratch.keep(rows.groupBy(F.col("key").alias("of_key")).agg(F.count("*").alias("k"), F.array_distinct(sets_drawn).alias("drawn")), f"of-key-{step}")
+    near = F.filter("drawn", lambda x: _meet(x.getField, F.col, t))
+    met = rows.join(of_key, F.col("key") == F.col("of_key")).select("doc", (F.col("k") / (2 * F.size("drawn"))).alias("weight"), F.explode(F.transform(near, lambda x: x["doc"])).alias("with"))
+    return met.select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b"), "weight")
+
+
 def remaining(rows: DataFrame, t: int = T) -> DataFrame:
     """Pairs of different components in a group of which the smaller set probes, but for those that parities reject."""
     x = rows.filter("other").select(*(F.col(c).alias(f"x_{c}") for c in ("key", "doc", "n", "probes", "comp", "brief")))
-    apart = reduce(lambda a, b: a + b, (F.bit_count(F.get("x_brief", F.lit(k)).bitwiseXOR(F.get("brief", F.lit(k)))) for k in range(BRIEF)))
     once = ~F.col("other") | (F.col("x_doc") < F.col("doc"))
-    probed = (F.col("x_probes") & (F.col("x_n") <= F.col("n"))) | (F.col("probes") & (F.col("n") <= F.col("x_n")))
-    close = (100 + t) * apart <= (100 - t) * (F.col("x_n") + F.col("n"))
-    meets = x.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_comp") != F.col("comp")) & once & _alike(F.col("x_n"), F.col("n"), t) & probed & close)
+    meets = x.join(rows, (F.col("x_key") == F.col("key")) & once & _meet(lambda c: F.col(f"x_{c}"), F.col, t))
     return meets.select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
 
 
@@ -430,11 +457,24 @@ def classified(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, t: int
     rows_left = scratch.keep(mixed(buckets, labels, scratch, "rest"), "left")
     scratch.drop("buckets", "several-rest", *(f"pivots-{k}" for k in range(PIVOTS)))
     left = scratch.keep(grouped(rows_left, scratch).join(classes.select("doc", "brief"), "doc"), "mixed")
-    scratch.drop("left", "of-sig", "grouped", "main")
+    scratch.drop("left", "of-sig", "grouped", "main-first")
+    linked = lambda more: components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+    last = "mixed"
+    for k in range(ROUNDS):
+        pairs = scratch.keep(drawn(left, k, scratch, t), f"drawn-{k}")
+        if (pairs.agg(F.sum("weight")).first()[0] or 0) <= left.count():
+            break
+        more = links_of(pairs.select("a", "b").distinct(), f"drawn-{k}")
+        if more.isEmpty():
+            break
+        labels = linked(more)
+        left = scratch.keep(relabelled(left, labels, scratch, str(k)), f"mixed-{k}")
+        scratch.drop(last, f"drawn-{k}", f"links-drawn-{k}", f"of-key-{k}", f"relabelled-{k}", f"main-{k}")
+        last = f"mixed-{k}"
     rest = links_of(remaining(left, t), "rest")
-    scratch.drop("mixed")
+    scratch.drop(last)
     if not rest.isEmpty():
-        labels = components(links.unionByName(rest), scratch)
+        labels = linked(rest)
 
     member = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
     group = classes.select("digest", "doc", "doc_id").join(member, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("node"), "doc_id")

@@ -41,3 +41,26 @@ def test_no_bucket_is_spared_that_is_needed(t, spark):
         rows += [" ".join(words), " ".join([*words[:-1], "odd"])]
     got = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 1, t).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard_components(dict(enumerate(rows)), 1, t)
+
+
+def test_odd_pivots_leave_few_pairs(spark, monkeypatch):
+    """200 copies of 120 words with two of them changed, a few with 20, and pivots that link with none of them."""
+    rng = np.random.default_rng(3)
+    words, rows = [f"w{i}" for i in range(120)], []
+    for k in range(200):
+        changed = list(words)
+        for at in rng.permutation(120)[: 20 if k % 40 == 0 else 2]:
+            changed[at] = f"v{rng.integers(0, 10**6)}"
+        rows.append(" ".join(changed))
+    left, remaining = [], near_duplicates.remaining
+
+    def counted(*args):
+        pairs = remaining(*args)
+        left.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_duplicates, "pivots", lambda rows, *_: rows.limit(0).selectExpr("doc AS a", "doc AS b"))
+    monkeypatch.setattr(near_duplicates, "remaining", counted)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 1, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard_components(dict(enumerate(rows)), 1, 80)
+    assert sum(left) < 5 * len(rows)
