@@ -112,11 +112,14 @@ def compare_groups(both: DataFrame, group: str, fdr: float = 0.10) -> DataFrame:
 
 
 def compare_tests(tables: dict[str, DataFrame], fdr: float = 0.10) -> DataFrame:
-    """left_test, right_test, method and the figures of all pairs of tests and methods, in one pass for all."""
-    parts = []
+    """left_test, right_test, method and the figures of all pairs of tests and methods, in one pass for all.
+
+    Each test's p- and q-values are checkpointed, as it's in several pairs.
+    """
+    parts, tables = [], {name: cut(long_form(df, "variant_index")) for name, df in tables.items()}
     for a, b in (("score", "lrt"), ("score", "wald"), ("lrt", "wald")):
         if a in tables and b in tables:
-            own = lambda name, side: long_form(tables[name], "variant_index").select("variant_index", "method", F.col("p").alias(f"p{side}"), F.col("q").alias(f"q{side}"))
+            own = lambda name, side: tables[name].select("variant_index", "method", F.col("p").alias(f"p{side}"), F.col("q").alias(f"q{side}"))
             parts.append(own(a, "l").join(own(b, "r"), ["variant_index", "method"]).withColumn("left_test", F.lit(a)).withColumn("right_test", F.lit(b)))
     require(bool(parts), "no two tests to compare")
     both = reduce(DataFrame.unionByName, parts).withColumn("_of", F.concat_ws(" ", "left_test", "right_test", "method"))
