@@ -31,15 +31,15 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(links.sparkSession)
     name = f"links-{uuid.uuid4().hex}"
     now = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") > F.col("v")).distinct(), name)
-    seen = None
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         last, name = name, f"stars-{uuid.uuid4().hex}"
         now = scratch.keep(_star(_star(now, True), False), name)
         scratch.drop(last)
-        # The links change as long as a round does something; a star's rows stay as they are.
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        # Stars: each node but the smallest has one link, down to one that has none.
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+        ends = ends.unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        unlike = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1")
+        if unlike.agg(F.count("*")).first()[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = state

@@ -14,11 +14,13 @@ segment: the others are marked as meeting it and are dealt out by themselves, so
 share is no hot key. A group of similar sets would meet in each bucket of its segments, so links are not sought pair
 by pair: each set is compared with two pivots of its buckets, components are formed, and buckets within one component
 are done, as no further link changes the result. A pivot may be an odd one of its group, which few others link with, so
-each group of buckets then draws sets at random, which its other sets are compared with, until the pairs left are about
-as few as the rows. What is left, pairs of different components in one bucket, is compared in full. Statistics of buckets are partial aggregates that are written and joined back, which Spark splits where
-they are skewed. Parities of hashed shingles reject most pairs exactly (their difference bounds the sets' difference from
+each large group of buckets then draws sets at random, which its other sets are compared with, until the pairs left are
+about as few as the rows. Groups of few sets, most of which met by chance, have no part in that. What is left, pairs of
+different components in one bucket, is compared in full. Statistics of buckets are partial aggregates that are written
+and joined back, which Spark splits where they are skewed. Parities of hashed shingles reject most pairs exactly (their difference bounds the sets' difference from
 below), short ones as a condition of the join itself, so that rejected pairs are never rows; the rest is verified on
-the whole sets, which are read from the texts then.
+the whole sets, which are read from the texts then; a bitmap of fixed size over their documents keeps most other texts
+out of that shuffle.
 
 Shingles are compared by 64-bit hashes, sets by a 128-bit digest of these; that two of a pair's shingles agree by
 chance has a probability of about the product of the sets' sizes / 2^64.
@@ -55,8 +57,10 @@ RISK = 10_000.0
 CROWDED = 8
 #: Pivots that each set is compared with before the rest.
 PIVOTS = 2
-#: Sets that a group of buckets draws in a round, and rounds at most; what they leave is compared in full.
-DRAWN, ROUNDS = 4, 8
+#: Sets of a group of buckets up to which it's compared in full at once; of larger ones, sets drawn in a round and rounds at most.
+FEW, DRAWN, ROUNDS = 32, 16, 8
+#: Places of the bitmap of documents whose texts are read again (2 MB), and of one row of it.
+PLACES, ROW_PLACES = 1 << 24, 1 << 15
 #: Digests that a task remembers, so that equal sets enter the index once a task.
 SEEN = 500_000
 #: Words of the short parities.
@@ -299,6 +303,17 @@ def sets(wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return wanted.select("doc", "digest", "text").mapInArrow(run, "doc long, hashes array<long>")
 
 
+def perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id stands in wanted (as of_id), and few others: those that share a place of the bitmap."""
+    hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(PLACES))
+    stretch, place = (hashed("of_id") / ROW_PLACES).cast("long"), hashed("of_id") % ROW_PLACES
+    bits = wanted.groupBy(stretch.alias("of_stretch")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    at = hashed("doc_id") % ROW_PLACES
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.join(F.broadcast(bits), (hashed("doc_id") / ROW_PLACES).cast("long") == F.col("of_stretch"))
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def shared_buckets(index: DataFrame) -> DataFrame:
     """(sig, name, n, own, spare) of the buckets of the index that hold several sets."""
     bucket = W.partitionBy("sig", "apart")
@@ -341,10 +356,10 @@ def pivots(rows: DataFrame, seed: int, scratch: Scratch, t: int = T) -> DataFram
 
 
 def grouped(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, doc, n, comp, probes, other): the rows of mixed buckets, each set once a group of buckets.
+    """(key, doc, n, comp, probes, size, other): the rows of mixed buckets, each set once a group of buckets.
 
     Sets that are alike meet in very many buckets. Crowded buckets are one group if they have the same pivot, so that a
-    pair meets in few groups; a group holds the pairs of all of its buckets. other: not of the group's largest component.
+    pair meets in few groups; a group holds the pairs of all of its buckets. size: its sets; other: not of its largest component.
     """
     order = F.struct(F.xxhash64("doc").alias("key"), "doc")
     of_sig = scratch.keep(rows.groupBy(F.col("sig").alias("of_sig")).agg(F.count("*").alias("k"), F.min(order)["doc"].alias("pivot")), "of-sig")
@@ -354,17 +369,16 @@ def grouped(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def told(rows: DataFrame, scratch: Scratch, step: str) -> DataFrame:
-    """Adds other to (key, doc, comp, ...); groups of one component go."""
+    """Adds size and other to (key, doc, comp, ...); groups of one component go."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy(F.col("key").alias("of_key")).agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    main = scratch.keep(main.select("of_key", "main"), f"main-{step}")
+    main = sizes.groupBy(F.col("key").alias("of_key")).agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.sum("k").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
+    main = scratch.keep(main.select("of_key", "main", "size"), f"main-{step}")
     return rows.join(main, F.col("key") == F.col("of_key")).withColumn("other", F.col("comp") != F.col("main")).drop("of_key", "main")
 
 
-def relabelled(rows: DataFrame, labels: DataFrame, scratch: Scratch, step: str) -> DataFrame:
-    """The rows of groups with new components."""
-    rows = rows.drop("comp", "other").join(labels, F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
-    return told(scratch.keep(rows, f"relabelled-{step}"), scratch, step)
+def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups with new components; those of a group's largest one are still of one component, so other holds."""
+    return rows.drop("comp").join(labels, F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
 
 
 def _meet(x: Callable[[str], Column], y: Callable[[str], Column], t: int = T) -> Column:
@@ -442,37 +456,39 @@ def classified(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, t: int
     scratch.drop("index", "sizes", "probes", "several-first")
 
     def links_of(pairs: DataFrame, step: str) -> DataFrame:
-        """Those of the pairs that are links."""
-        pairs = scratch.keep(rejected_not(pairs, classes, t).distinct(), f"pairs-{step}")
+        """Those of the pairs, which are distinct, that are links."""
+        pairs = scratch.keep(rejected_not(pairs, classes, t), f"pairs-{step}")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(classes.select("doc", "digest", F.col("doc_id").alias("of_id")), "doc")
         wanted = scratch.keep(wanted, f"wanted-{step}")
-        own = scratch.keep(sets(docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("of_id")), shingle), f"sets-{step}")
+        own = scratch.keep(sets(perhaps(docs.select("doc_id", "text"), wanted).join(wanted, F.col("doc_id") == F.col("of_id")), shingle), f"sets-{step}")
         with rows_a_batch(spark, 256):  # a row holds two sets
-            links = scratch.keep(verified(pairs, own, t).distinct(), f"links-{step}")
+            links = scratch.keep(verified(pairs, own, t), f"links-{step}")
         scratch.drop(f"pairs-{step}", f"wanted-{step}", f"sets-{step}")
         return links
 
-    links = links_of(reduce(DataFrame.unionByName, (pivots(buckets, k, scratch, t) for k in range(PIVOTS))), "pivots")
+    links = links_of(reduce(DataFrame.unionByName, (pivots(buckets, k, scratch, t) for k in range(PIVOTS))).distinct(), "pivots")
     labels = components(links, scratch)
     rows_left = scratch.keep(mixed(buckets, labels, scratch, "rest"), "left")
     scratch.drop("buckets", "several-rest", *(f"pivots-{k}" for k in range(PIVOTS)))
-    left = scratch.keep(grouped(rows_left, scratch).join(classes.select("doc", "brief"), "doc"), "mixed")
+    groups = scratch.keep(grouped(rows_left, scratch).join(classes.select("doc", "brief"), "doc"), "mixed")
     scratch.drop("left", "of-sig", "grouped", "main-first")
     linked = lambda more: components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
-    last = "mixed"
-    for k in range(ROUNDS):
-        pairs = scratch.keep(drawn(left, k, scratch, t), f"drawn-{k}")
-        if (pairs.agg(F.sum("weight")).first()[0] or 0) <= left.count():
+    few, large = groups.filter(F.col("size") <= FEW), groups.filter(F.col("size") > FEW)
+    rows_in_all, rows_in_large = groups.agg(F.count("*"), F.count_if(F.col("size") > FEW)).first()
+    for k in range(ROUNDS if rows_in_large else 0):
+        pairs = scratch.keep(drawn(large, k, scratch, t), f"drawn-{k}")
+        if (pairs.agg(F.sum("weight")).first()[0] or 0) <= rows_in_all:
             break
         more = links_of(pairs.select("a", "b").distinct(), f"drawn-{k}")
         if more.isEmpty():
             break
         labels = linked(more)
-        left = scratch.keep(relabelled(left, labels, scratch, str(k)), f"mixed-{k}")
-        scratch.drop(last, f"drawn-{k}", f"links-drawn-{k}", f"of-key-{k}", f"relabelled-{k}", f"main-{k}")
-        last = f"mixed-{k}"
-    rest = links_of(remaining(left, t), "rest")
-    scratch.drop(last)
+        few = relabelled(groups.filter(F.col("size") <= FEW), labels)
+        again = scratch.keep(relabelled(large.drop("size", "other"), labels), f"relabelled-{k}")
+        large = scratch.keep(told(again, scratch, str(k)), f"mixed-{k}")
+        scratch.drop(f"drawn-{k}", f"links-drawn-{k}", f"of-key-{k}", f"relabelled-{k}", f"main-{k}", f"mixed-{k - 1}")
+    rest = links_of(remaining(few.unionByName(large), t), "rest")
+    scratch.drop("mixed", *(f"{x}-{k}" for k in range(ROUNDS) for x in ("mixed", "drawn", "of-key")))
     if not rest.isEmpty():
         labels = linked(rest)
 

@@ -64,3 +64,30 @@ def test_odd_pivots_leave_few_pairs(spark, monkeypatch):
     got = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 1, 80).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard_components(dict(enumerate(rows)), 1, 80)
     assert sum(left) < 5 * len(rows)
+
+
+def test_groups_of_few_sets_draw_nothing(spark, monkeypatch):
+    """Ten texts of 100 words and a partner of each that shares buckets with it but isn't linked: no set is drawn at random for them."""
+    rows, drawn, calls = [], near_duplicates.drawn, []
+    for k in range(10):
+        words = [f"w{k}_{i}" for i in range(100)]
+        rows += [" ".join(words), " ".join(f"v{k}_{i}" if i % 8 == 0 else w for i, w in enumerate(words))]
+
+    def counted(left, *args):
+        calls.append(left.count())
+        return drawn(left, *args)
+
+    monkeypatch.setattr(near_duplicates, "drawn", counted)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 1, 80).collect()
+    want = brute.jaccard_components(dict(enumerate(rows)), 1, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len({c for _, c in want.values()}) == len(rows)
+    assert not calls
+
+
+def test_texts_not_wanted_stay_out(spark):
+    docs = spark.range(-3000, 3000).selectExpr("id * 1000003 AS doc_id", "string(id) AS text").unionByName(spark.sql("SELECT CAST(NULL AS long) AS doc_id, 'x' AS text"))
+    wanted = docs.filter("doc_id % 100 = 0").selectExpr("doc_id AS of_id")
+    got = {r["doc_id"] for r in near_duplicates.perhaps(docs, wanted).collect()}
+    ids = {k * 1000003 for k in range(-3000, 3000, 100)}
+    assert ids <= got and len(got) < len(ids) + 30
