@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from locusframe.operators.guards import cut, require
 from locusframe.operators.numbering import numbered
 from locusframe.operators.packed import links, matrix, packed
 from locusframe.operators.ranking import bh_columns
@@ -64,24 +65,37 @@ def quality_controlled(calls: DataFrame, maf_min: float, missing_max: float) ->
 
 
 def digests(geno: DataFrame) -> DataFrame:
-    """Adds orientation and digest: 128 bits of the canonical vector as 32 upper hex letters."""
-    d = geno.withColumn("orientation", orientation(F.col("dosages"))).withColumn("_canonical", canonical(F.col("dosages")))
-    fields = [f for f in d.schema if f.name != "_canonical"]
+    """orientation and digest, 128 bits of the canonical vector as 32 upper hex letters, in place of dosages."""
+    fields = [f for f in geno.schema if f.name != "dosages"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [hashlib.blake2b(np.array(x, np.int8).tobytes(), digest_size=16).hexdigest().upper() for x in batch.column("_canonical").to_pylist()]
-            yield batch.select([f.name for f in fields]).append_column("digest", pa.array(own, pa.string()))
-
-    return d.mapInArrow(run, StructType([*fields, StructField("digest", StringType())]))
+            column = batch.column("dosages")
+            flat = column.flatten()
+            require(column.null_count == 0 and flat.null_count == 0, "dosages are null")
+            x, ends = flat.to_numpy(zero_copy_only=False).astype(np.int8, copy=False), np.cumsum(column.value_lengths().to_numpy(), dtype=np.int64)
+            starts = np.concatenate((np.zeros(1, np.int64), ends))[: len(ends)]
+            # A row's first entry of 0 or 2, if it has one, says whether its complement comes first.
+            told = np.flatnonzero((x == 0) | (x == 2))
+            at = np.searchsorted(told, starts)
+            has = at < np.searchsorted(told, ends)
+            turned = has & (x[told[np.where(has, at, 0)]] == 2) if len(told) else has
+            both = (np.ascontiguousarray(x), np.where(x >= 0, 2 - x, x).astype(np.int8))
+            own = [hashlib.blake2b(both[t][a:b], digest_size=16).hexdigest().upper() for t, a, b in zip(turned.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+            rows = batch.select([f.name for f in fields]).append_column("orientation", pa.array(np.where(turned, -1, 1).astype(np.int32)))
+            yield rows.append_column("digest", pa.array(own, pa.string()))
+
+    schema = StructType([*fields, StructField("orientation", IntegerType(), False), StructField("digest", StringType())])
+    return geno.select(*(f.name for f in fields), "dosages").mapInArrow(run, schema)
 
 
 def equivalence_classes(geno: DataFrame) -> DataFrame:
     """variant_index, CHR, orientation, and index, id and size of the class over all and within the chromosome.
 
-    The classes come from a group-by of the canonical vectors; indexes follow the digests' order.
+    The classes come from a group-by of the canonical vectors; indexes follow the digests' order. The digests are
+    checkpointed, as three passes read them.
     """
-    d = digests(geno.select("variant_index", "CHR", "pos", "dosages")).drop("dosages")
+    d = cut(digests(geno.select("variant_index", "CHR", "pos", "dosages")))
     whole = d.groupBy("digest").agg(F.count("*").alias("global_size"))
     whole = numbered(whole, [F.col("digest")], "global_class").withColumn("global_id", F.concat(F.lit("G_"), F.col("digest")))
     local = d.groupBy("CHR", "digest").agg(F.count("*").alias("test_size"))

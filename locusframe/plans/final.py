@@ -130,16 +130,18 @@ class Run:
         for t in ("INC", "SEV"):
             require(t in have, f"no primary scan of {t}")
         self._store = Store(spark, f"{folder}/{run_key({'scans': loco, 'genotypes': genotypes, 'genes': genes}, s)}")
+        # Read for many tables: written once, in as many parts as the session has tasks, whatever it was computed from.
+        self._given = {"scans": lambda: loco.repartition("variant_index"), "genotypes": lambda: genotypes.repartition("variant_index")}
         self._read: dict[str, DataFrame] = {}
         self._others = {t: OTHERS[t][0] for t in OTHERS if t in have}
 
         def pair(second: str, test: str) -> Callable[[], DataFrame]:
-            return lambda: tables.trait_pair_table(loco.filter("trait = 'INC'"), loco.filter(F.col("trait") == second), test)
+            return lambda: tables.trait_pair_table(given("scans").filter("trait = 'INC'"), given("scans").filter(F.col("trait") == second), test)
 
         def classes(name: str) -> Callable[[], DataFrame]:
             return lambda: genotype.class_tables(self.table("variants"))[name]
 
-        t = self.table
+        t, given = self.table, self._copy
         self._builds: dict[str, Callable[[], DataFrame]] = {
             **{f"all_{k}": pair("SEV", k) for k in TESTS},
             **{f"all_{name}": pair(k, "score") for k, name in self._others.items()},
@@ -148,12 +150,12 @@ class Run:
             "concordance": lambda: tables.concordance(t("all_score"))[0],
             "concordance_tops": lambda: tables.concordance(t("all_score"))[1],
             "acat_simes": lambda: tables.method_comparison(t("all_score"), s.fdr),
-            "variants": lambda: classed_variants(t("all_score"), genotypes),
+            "variants": lambda: classed_variants(t("all_score"), given("genotypes")),
             "test_classes": classes("test_classes"),
             "global_classes": classes("global_classes"),
             "classes_summary": classes("summary"),
             **{f"unique_{m}": lambda m=m: genotype.collapse(t("variants"), m) for m in LEADING},
-            **{f"leads_{m}": lambda m=m: self._leads(m, genotypes) for m in LEADING},
+            **{f"leads_{m}": lambda m=m: self._leads(m, given("genotypes")) for m in LEADING},
             "pool": lambda: pooled_leads({m: t(f"leads_{m}") for m in LEADING}, t("all_score"), s.candidates),
             "candidates": lambda: supported_candidates(t("pool"), self._pairs(), {k: t(f"all_{name}") for k, name in self._others.items()}, t("variants"), t("global_classes"), s),
             "candidate_genes": lambda: annotate.nearby_genes(t("candidates").select("lead_snp", "CHR", "pos"), genes, s.flank_kb * 1000),
@@ -162,7 +164,7 @@ class Run:
             **{f"top_{k}": lambda k=k: ranking.top_k(t(f"all_{k}"), "p_ACAT", s.top_rows) for k in TESTS},
             "top_test_classes": lambda: t("test_classes").orderBy(F.col("minimum_p_ACAT").asc_nulls_last(), "test_class").limit(s.top_rows),
             "largest_classes": lambda: t("global_classes").orderBy(F.desc("class_size"), "global_class").limit(s.top_classes),
-            "summary": lambda: self._summary(genotypes),
+            "summary": lambda: self._summary(given("genotypes")),
         }
 
     def table(self, name: str) -> DataFrame:
@@ -172,6 +174,12 @@ class Run:
             self._read[name] = self._store.keep(name, self._builds.get(name, lambda: self._missing(name)))
         return self._read[name]
 
+    def _copy(self, name: str) -> DataFrame:
+        key = f"given_{name}"
+        if key not in self._read:
+            self._read[key] = self._store.keep(key, self._given[name])
+        return self._read[key]
+
     @property
     def names(self) -> list[str]:
         return [*self._builds, *self._members]

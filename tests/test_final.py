@@ -137,3 +137,22 @@ def test_inputs_that_dont_fit_stop_the_run(spark, tmp_path):
         final.Run(scans.filter("trait <> 'SEV' OR variant_index <> 4"), genotypes, genes, folder, SETTINGS).table("all_score")
     with pytest.raises(ValueError, match="genotypes"):
         final.Run(scans, genotypes.filter("variant_index <> 4"), genes, folder, SETTINGS).table("candidates")
+
+
+def test_a_run_reads_its_inputs_twice(spark, tmp_path):
+    """Once for the key and once for the copy that all tables are made from, not anew for each of them."""
+    scans, genotypes, genes, g, *_ = inputs(spark)
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("scans", "genotypes")}
+
+    def counted(df, name):
+        def run(batches):
+            for batch in batches:
+                seen[name].add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    run = final.Run(counted(scans, "scans"), counted(genotypes, "genotypes"), genes, f"file://{tmp_path}/run", SETTINGS)
+    before = seen["scans"].value  # which traits there are, and the key
+    assert run.table("candidates").count() > 2
+    assert seen["genotypes"].value == 2 * N and seen["scans"].value - before == len(TRAITS) * N + 1

@@ -130,3 +130,21 @@ def test_queries_of_linkage(spark, sf_dir):
     assert [r["lead_variant_index"] for r in queries.l4_ld_clump(spark, sf_dir).orderBy("lead_rank").collect()] == [ids[i] for i in want]
     members = {(r["lead_variant_index"], r["variant_index"]): pytest.approx(r["r2_to_lead"], abs=1e-9) for r in queries.l4_clump_members(spark, sf_dir).collect()}
     assert members == {(ids[i], ids[j]): r for i, x in want.items() for j, r in x.items()}
+
+
+def test_bins_of_few_rows_share_a_group_and_lose_no_pair(spark):
+    """A group for each pair of neighbouring bins had a row or two each, so that time went into their number."""
+    rng = np.random.default_rng(3)
+    window, rows = 10, 3000
+    pos = np.sort(rng.integers(-500, 40_000, rows))
+    pos[600:1300] = rng.integers(5000, 5012, 700)  # crowded bins among those of few rows
+    pos[1300:1500] = rng.integers(2555, 2566, 200)  # beside the end of a pack
+    chrom, g = rng.integers(1, 3, rows), rng.integers(-1, 3, (rows, 12))
+    geno = spark.createDataFrame([(i, int(chrom[i]), int(pos[i]), g[i].tolist()) for i in range(rows)], "id long, CHR int, pos long, dosages array<tinyint>").repartition(5)
+    d = packed.packed(geno)
+    near = (chrom[:, None] == chrom) & (np.abs(pos[:, None] - pos) <= window) & (np.arange(rows)[:, None] < np.arange(rows))
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)}
+    got = [(r["a"], r["b"]) for r in packed.links(d, window).select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    groups = packed.tiled(d, window).groupBy("CHR", "_tile").count()
+    assert groups.count() < 150 and groups.agg({"count": "max"}).first()[0] <= 4 * packed.TILE
