@@ -115,7 +115,7 @@ def class_tables(variants: DataFrame) -> dict[str, DataFrame]:
     tests = variants.groupBy("test_class", "test_id", "CHR").agg(
         F.count("*").alias("class_size"), *reps, *(F.min(f"p_{m}").alias(f"minimum_p_{m}") for m in METHODS), *((F.max(f"p_{m}") - F.min(f"p_{m}")).alias(f"spread_{m}") for m in METHODS)
     )
-    tests = bh_columns(tests, {f"minimum_p_{m}": f"q_unique_{m}" for m in METHODS})
+    tests = bh_columns(tests, {f"minimum_p_{m}": f"q_unique_{m}" for m in METHODS}, "test_class")
     name = F.concat("snp", F.lit("@chr"), F.col("CHR").cast("string"), F.lit(":"), F.col("pos").cast("string"))
     whole = variants.groupBy("global_class", "global_id").agg(
         F.count("*").alias("class_size"), F.min_by("variant_index", F.struct(F.coalesce("p_ACAT", F.lit(float("inf"))).alias("p"), "variant_index")).alias("representative"),

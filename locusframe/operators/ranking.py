@@ -17,8 +17,12 @@ RANGES = 64
 
 
 def ranged(counts: DataFrame, p: str, group: str) -> DataFrame:
-    """Adds _range, the number of quantiles of ``p`` in its group that a value is above: at most RANGES ranges a group."""
-    cuts = counts.groupBy(group).agg(F.percentile_approx(p, [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    """Adds _range, the number of quantiles of ``p`` in its group that a value is above: at most RANGES ranges a group.
+
+    The quantiles are approximate, and come out otherwise when they're told again, as their parts meet in another order;
+    so they are checkpointed, or the rows dealt by one reading would meet the sums of ranges of another.
+    """
+    cuts = cut(counts.groupBy(group).agg(F.percentile_approx(p, [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts")))
     dealt = counts.join(F.broadcast(cuts), group)  # one row a group
     return dealt.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(p)))).drop("_cuts")
 
